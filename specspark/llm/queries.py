@@ -2,15 +2,35 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .common import table
 from .fingerprints import fingerprint_documents
+from .quality import judge
 
 QUERIES = {}
 ORACLES = {}
 
 
+def op(sql=None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+@op()
 def op1_fingerprints(spark, sf_dir):
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES["op1_fingerprints"] = op1_fingerprints
+@op()
+def op2_quality(spark, sf_dir):
+    judged = judge(table(spark, sf_dir, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"),
+    )
