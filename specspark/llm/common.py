@@ -42,3 +42,20 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``written`` made and nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def in_batches(df: DataFrame, batches: int) -> list[DataFrame]:
+    """``df`` in at most ``batches`` parts. A frame that only reads Parquet files is cut by files, so each
+    is read once; any other frame is one batch."""
+    files = sorted(df.inputFiles()) if df.isLocal() is False else []
+    plan = df._jdf.queryExecution().analyzed().toString()
+    if len(files) < 2 or not plan.startswith("Relation") or batches < 2:
+        return [df]
+    groups = [files[i::batches] for i in range(min(batches, len(files)))]
+    return [df.sparkSession.read.schema(df.schema).parquet(*g) for g in groups]

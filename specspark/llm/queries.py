@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .fingerprints import fingerprint_documents
+from .linededup import drop_frequent_lines
 from .quality import judge
 
 QUERIES = {}
@@ -34,3 +35,25 @@ def op2_quality(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"),
     )
+
+
+_OP4 = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (
+  SELECT r, i, l, translate(regexp_replace(regexp_replace(l, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT r, generate_subscripts(lines, 1) AS i, unnest(lines) AS l FROM docs)
+),
+often AS (SELECT k FROM (SELECT DISTINCT r, k FROM lines WHERE k <> '') GROUP BY k HAVING count(*) >= 10),
+marked AS (SELECT r, i, l, k IN (SELECT k FROM often) AS gone FROM lines)
+SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM (
+  SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+         sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+  FROM marked GROUP BY r) JOIN docs USING (r)
+"""
+
+
+@op(_OP4)
+def op4_line_dedup(spark, sf_dir):
+    kept = drop_frequent_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
