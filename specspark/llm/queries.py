@@ -8,6 +8,7 @@ from .common import table
 from .fingerprints import fingerprint_documents
 from .linededup import drop_frequent_lines
 from .quality import judge
+from .secrets import find_secrets, joined
 
 QUERIES = {}
 ORACLES = {}
@@ -57,3 +58,16 @@ SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM (
 def op4_line_dedup(spark, sf_dir):
     kept = drop_frequent_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@op()
+def op10_secrets(spark, sf_dir):
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"] != "markov")
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter(spans["kind"], F.lit(k).__eq__)).cast("bigint").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+        joined(spans).alias("spans"),
+    )
