@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .fingerprints import fingerprint_documents
+from .langid import identify
 from .linededup import drop_frequent_lines
 from .quality import judge
 from .secrets import find_secrets, joined
@@ -71,3 +72,9 @@ def op10_secrets(spark, sf_dir):
         F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
         joined(spans).alias("spans"),
     )
+
+
+@op()
+def op6_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return identify(docs).select("doc_id", "held_out", "lang_pred", "score")
