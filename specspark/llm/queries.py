@@ -8,6 +8,7 @@ from .common import table
 from .fingerprints import fingerprint_documents
 from .langid import identify
 from .linededup import drop_frequent_lines
+from .packing import pack_documents
 from .quality import judge
 from .secrets import find_secrets, joined
 
@@ -78,3 +79,11 @@ def op10_secrets(spark, sf_dir):
 def op6_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@op()
+def op5_packing(spark, sf_dir):
+    packed = pack_documents(table(spark, sf_dir, "documents"))
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
