@@ -11,6 +11,7 @@ from .linededup import drop_frequent_lines
 from .packing import pack_documents
 from .quality import judge
 from .secrets import find_secrets, joined
+from .warc import read_archive, write_archive
 
 QUERIES = {}
 ORACLES = {}
@@ -87,3 +88,9 @@ def op5_packing(spark, sf_dir):
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@op()
+def op8_warc(spark, sf_dir):
+    files = write_archive(table(spark, sf_dir, "pages"))
+    return read_archive(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
