@@ -8,6 +8,7 @@ from .common import table
 from .fingerprints import fingerprint_documents
 from .langid import identify
 from .linededup import drop_frequent_lines
+from .mixing import mix
 from .packing import pack_documents
 from .quality import judge
 from .secrets import find_secrets, joined
@@ -90,6 +91,25 @@ def op5_packing(spark, sf_dir):
     )
 
 
+_OP7 = """
+WITH n AS (SELECT source, count(*) AS k FROM documents GROUP BY source),
+t AS (SELECT sum(k) AS rows, count(*) AS sources FROM n),
+r AS (SELECT source, CAST(rows AS DOUBLE) / sources / k AS rate FROM n, t),
+steps AS (SELECT source, rate, i, sum(CASE WHEN i = 0 THEN 0 ELSE ln(greatest(i, 1)) END) OVER (PARTITION BY source ORDER BY i) AS lf
+          FROM r, generate_series(0, 400) AS g(i)),
+c AS (SELECT source, i, sum(exp(i * ln(rate) - rate - lf)) OVER (PARTITION BY source ORDER BY i) AS p FROM steps),
+u AS (SELECT doc_id, text, lang, source, n_chars, CAST(CAST('0x' || substr(md5('17:' || coalesce(source, '') || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u FROM documents),
+d AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, count(*) FILTER (WHERE c.p <= u.u) AS times
+      FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source GROUP BY ALL)
+SELECT doc_id, text, lang, source, n_chars, CAST(g.i AS INTEGER) AS copy FROM d, generate_series(0, 60) AS g(i) WHERE g.i < times
+"""
+
+
+@op(_OP7)
+def op7_mixing(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source", "n_chars", "copy")
+
+
 @op()
 def op8_warc(spark, sf_dir):
     files = write_archive(table(spark, sf_dir, "pages"))
