@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .fingerprints import fingerprint_documents
+from .html import extract_pages
 from .langid import identify
 from .linededup import drop_frequent_lines
 from .mixing import mix
@@ -83,6 +84,11 @@ def op6_language(spark, sf_dir):
     return identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@op()
+def op3_html(spark, sf_dir):
+    return extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @op()
 def op5_packing(spark, sf_dir):
     packed = pack_documents(table(spark, sf_dir, "documents"))
