@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .fingerprints import fingerprint_documents
 from .html import extract_pages
+from .jaccard import near_duplicates
 from .langid import identify
 from .linededup import drop_frequent_lines
 from .mixing import mix
@@ -120,3 +121,25 @@ def op7_mixing(spark, sf_dir):
 def op8_warc(spark, sf_dir):
     files = write_archive(table(spark, sf_dir, "pages"))
     return read_archive(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_OP9 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, e FROM (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i+4], ' ')) END) AS e FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+often AS (SELECT e FROM s GROUP BY e HAVING count(*) > 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM (SELECT * FROM s SEMI JOIN often USING (e)) a JOIN s b ON a.e = b.e AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT o.a, o.b FROM o JOIN n x ON o.a = x.doc_id JOIN n y ON o.b = y.doc_id WHERE 100 * o >= 75 * (x.n + y.n - o)),
+twoway AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT twoway.a, reach.c FROM twoway JOIN reach ON twoway.b = reach.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(reach.c) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN reach ON reach.doc_id = d.doc_id GROUP BY d.doc_id, n.n
+"""
+
+
+@op(_OP9)
+def op9_near_duplicates(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
