@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-COMMON_WORDS, CANDIDATES, SKETCH_ITEMS = 32, 96, 10_000
+COMMON_WORDS, CANDIDATES, SKETCH_ITEMS = 20, 64, 10_000
 MIN_WORDS, MIN_CHARS = 60, 200
 MAX_WORD_DISTANCE, MAX_CLASS_DISTANCE = 0.47, 0.26
 WINDOW = 8
@@ -24,8 +24,9 @@ WINDOW = 8
 BROADCAST_LANGS = 2000
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
-#: Character classes, each counted by a pattern; what is left of the text is the last class.
-CLASSES = ("[a-z]", "[A-Z]", "[0-9]", r"[\x20\x09-\x0D]", "[.,;:!?'\"()-]", r"[^\x00-\x7F]")
+SYMBOLS = "[#*$%&|<>]"
+#: Character classes, each counted by a pattern that matches seldom; then non-ASCII, then what is left.
+CLASSES = ("[A-Z]", "[0-9]", "[.,;:!?'\"()-]", SYMBOLS)
 
 
 def words_of(text: Column) -> Column:
@@ -35,51 +36,40 @@ def words_of(text: Column) -> Column:
 
 def _class_counts(text: Column) -> Column:
     counted = [F.regexp_count(text, F.lit(c)).cast("double") for c in CLASSES]
-    rest = F.char_length(text) - sum(counted[1:], counted[0])
-    return F.array(*counted, rest)
+    ascii_only = F.char_length(text) == F.octet_length(text)
+    counted.append(F.when(ascii_only, F.lit(0.0)).otherwise(F.regexp_count(text, F.lit(r"[^\x00-\x7F]")).cast("double")))
+    return F.array(*counted, F.char_length(text).cast("double"))
+
+
+def _class_shares(counts: Column) -> Column:
+    """Shares of the counted classes of all characters (the last number), and of what is left."""
+    total = F.greatest(F.get(counts, F.lit(len(CLASSES) + 1)), F.lit(1.0))
+    shares = [F.get(counts, F.lit(i)) / total for i in range(len(CLASSES) + 1)]
+    return F.array(*shares, F.lit(1.0) - sum(shares[1:], shares[0]))
 
 
 def language_references(docs: DataFrame) -> DataFrame:
     """(lang, classes, common, shares): of all non-null texts of each lang (null is a language of its own)
     the shares of the character classes, the most frequent words, and the words' shares with all others last."""
     texts = docs.select("lang", "text").filter("text is not null")
-    tops = (
-        texts.select("lang", F.explode(words_of(F.col("text"))).alias("word"))
-        .groupBy("lang")
-        .agg(F.transform(F.expr(f"approx_top_k(word, {CANDIDATES}, {SKETCH_ITEMS})"), lambda x: x["item"]).alias("candidates"))
-    )
-    tops = written(tops, "language-words")
-    small = tops.count() <= BROADCAST_LANGS
-    hint = F.broadcast if small else (lambda x: x)
-    with_words = texts.join(hint(tops.withColumnRenamed("lang", "l")), F.col("lang").eqNullSafe(F.col("l")), "left").withColumn("w", words_of(F.col("text")))
-    listed = F.col("candidates")
-    hits = F.filter(F.col("w"), lambda x: listed.isNotNull() & F.array_contains(listed, x))
-    counts = with_words.select("lang", F.size("w").alias("n"), hits.alias("hits"), _class_counts(F.col("text")).alias("c"))
-    n = len(CLASSES) + 1
-    # each text becomes one row for its totals and one for each hit: summed by language and word before the shuffle
-    rows = counts.select(
-        "lang",
-        F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("hits"))).alias("word"),
-        "n", "c",
-    )
-    total = F.col("word").isNull()
-    summed = rows.groupBy("lang", "word").agg(
-        F.count(F.lit(1)).alias("k"), F.sum(F.when(total, F.col("n"))).alias("n"),
-        *[F.sum(F.when(total, F.get("c", F.lit(i)))).alias(f"c{i}") for i in range(n)],
-    )
-    listed = F.sort_array(F.collect_list(F.when(F.col("word").isNotNull(), F.struct((-F.col("k")).alias("k"), F.col("word").alias("word")))))
-    refs = summed.groupBy("lang").agg(
-        F.slice(listed, 1, COMMON_WORDS).alias("top"), F.max("n").alias("n"),
-        F.array(*[F.max(f"c{i}") for i in range(n)]).alias("c"),
-    )
+    words = texts.select("lang", F.explode(words_of(F.col("text"))).alias("word"))
+    tops = words.groupBy("lang").agg(F.expr(f"approx_top_k(word, {CANDIDATES}, {SKETCH_ITEMS})").alias("top"))
+    tops = written(tops.select(F.col("lang").alias("l"), F.explode("top.item").alias("c")), "language-words")
+    small = tops.count() <= BROADCAST_LANGS * CANDIDATES
+    same = F.col("lang").eqNullSafe(F.col("l")) & (F.col("word") == F.col("c"))
+    counted = words.join(F.broadcast(tops) if small else tops, same).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("k"))
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), F.col("word").alias("word"))))
+    common = counted.groupBy("lang").agg(F.slice(ordered, 1, COMMON_WORDS).alias("top"))
+    measures = texts.select("lang", F.size(words_of(F.col("text"))).alias("n"), _class_counts(F.col("text")).alias("c"))
+    width = len(CLASSES) + 2
+    totals = measures.groupBy("lang").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("c", F.lit(i))) for i in range(width)]).alias("c"))
+    refs = totals.join(common.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left")
+    top = F.coalesce("top", F.array().cast("array<struct<k:bigint,word:string>>"))
     words_total = F.greatest(F.col("n"), F.lit(1)).cast("double")
-    chars_total = F.greatest(F.aggregate("c", F.lit(0.0), lambda a, x: a + x), F.lit(1.0))
-    top_total = F.aggregate("top", F.lit(0.0), lambda a, x: a - x["k"])
+    top_total = F.aggregate(top, F.lit(0.0), lambda a, x: a - x["k"])
     return refs.select(
-        "lang",
-        F.transform("c", lambda x: x / chars_total).alias("classes"),
-        F.transform("top", lambda x: x["word"]).alias("common"),
-        F.concat(F.transform("top", lambda x: -x["k"] / words_total), F.array((words_total - top_total) / words_total)).alias("shares"),
+        "lang", _class_shares(F.col("c")).alias("classes"), F.transform(top, lambda x: x["word"]).alias("common"),
+        F.concat(F.transform(top, lambda x: -x["k"] / words_total), F.array((words_total - top_total) / words_total)).alias("shares"),
     )
 
 
@@ -103,11 +93,13 @@ def with_repeats(df: DataFrame, words: str, out: str) -> DataFrame:
     def doubled(h: Column, by: int) -> Column:
         return F.zip_with(h, F.slice(h, by + 1, F.greatest(F.size(h), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
 
-    for i, by in enumerate((1, 2, 4)):
-        df = df.withColumn(f"{h1}{i}", doubled(F.col(h1 if i == 0 else f"{h1}{i - 1}"), by))
-    # a window that lacks words hashes from a null: only the first n - 7 are whole
-    full = F.size(words) - (WINDOW - 1)
-    df = df.withColumn(h8, F.when(full > 1, F.slice(F.col(f"{h1}2"), 1, F.greatest(full, F.lit(1)))))
+    n = F.size(words)
+    df = df.withColumn(f"{h1}2", doubled(F.col(h1), 1)).withColumn(f"{h1}4", doubled(F.col(f"{h1}2"), 2))
+    # a window that lacks words hashes from a null: only the first n - 3, n - 7 are whole
+    df = df.withColumn(f"{h1}4", F.when(n > WINDOW, F.slice(F.col(f"{h1}4"), 1, F.greatest(n - 3, F.lit(1)))))
+    four = F.col(f"{h1}4")
+    # most texts repeat no four words, so no eight
+    df = df.withColumn(h8, F.when(F.size(F.array_distinct(four)) < F.size(four), F.slice(doubled(four, 4), 1, F.greatest(n - (WINDOW - 1), F.lit(1)))))
     df = df.withColumn(h8, F.when(F.size(F.array_distinct(h8)) < F.size(h8), F.col(h8)))
     df = df.withColumn(order, F.sort_array(F.transform(h8, lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
     s = F.col(order)
@@ -142,15 +134,13 @@ def judge(docs: DataFrame) -> DataFrame:
     common = F.col("__ref_common")
     df = df.withColumn("__hits", F.filter("__w", lambda x: common.isNotNull() & F.array_contains(common, x)))
     df = df.withColumn("word_chars", F.aggregate("__w", F.lit(0), lambda a, x: a + F.char_length(x)).cast("bigint"))
-    df = df.drop("__w").withColumn("n_symbols", F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("bigint"))
+    df = df.drop("__w").withColumn("__c", _class_counts(t)).withColumn("n_symbols", F.get("__c", F.lit(len(CLASSES) - 1)).cast("bigint"))
     df = df.withColumn("__lines", F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != ""))
     df = df.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint")).drop("__lines")
-    df = df.withColumn("__c", _class_counts(t))
-    chars = F.greatest(F.char_length(t), F.lit(1)).cast("double")
-    df = df.withColumn("class_distance", js_distance(F.transform("__c", lambda x: x / chars), F.col("__ref_classes")))
+    df = df.withColumn("class_distance", js_distance(_class_shares(F.col("__c")), F.col("__ref_classes")))
     hits, n = F.col("__hits"), F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    seen = F.transform(common, lambda c: F.when(hits.isNotNull(), F.size(F.filter(hits, lambda x: x == c)) / n))
-    shares = F.concat(seen, F.array((n - F.size(hits)) / n))
+    seen = F.array(*[(F.size(hits) - F.size(F.array_remove(hits, F.get(common, F.lit(i))))) / n for i in range(COMMON_WORDS)])
+    shares = F.concat(F.slice(seen, 1, F.size(common)), F.array((n - F.size(hits)) / n))
     df = df.withColumn("word_distance", js_distance(shares, F.col("__ref_shares")))
     df = df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     far = ((F.char_length(t) >= MIN_CHARS) & (F.col("class_distance") > MAX_CLASS_DISTANCE)) | (
@@ -161,5 +151,9 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with the columns of ``docs``."""
-    return judge(docs).filter("kept").select(*docs.columns)
+    """The rows of ``docs`` that ``judge`` keeps, with the columns of ``docs``.
+
+    The row id stops the filter from being pushed below the projections, where each step's expression would be
+    written out inside the next.
+    """
+    return judge(docs).withColumn("__row", F.monotonically_increasing_id()).filter("kept AND __row >= 0").select(*docs.columns)
