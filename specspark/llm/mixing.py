@@ -13,6 +13,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from .common import partitions, written
 
@@ -29,7 +30,7 @@ def uniform(seed: int, source: Column, doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, DIGITS), 16, 10).cast("double") / float(16**DIGITS)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def poisson_table(rate):
     """P(X <= k) for k = 0, 1, ... of each mean, until it is 1 within rounding. A mean of 0 has one entry."""
 
