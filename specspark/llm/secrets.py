@@ -81,8 +81,12 @@ def fit(samples: Iterable[tuple[str, int]]) -> np.ndarray:
 
 
 def training_samples(docs: DataFrame, rows: int = SAMPLE_ROWS, words: int = SAMPLE_WORDS, seed: int = 7) -> list[tuple[str, int]]:
-    """Labelled strings: words of the ``rows`` documents first by hash of their id, and drawn strings."""
-    sample = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows)
+    """Labelled strings: words of the ``rows`` documents first by hash of their id (null ids aside), and drawn strings.
+
+    The ids are chosen without their texts, so each task passes on ``rows`` numbers, not texts.
+    """
+    first = docs.filter("doc_id is not null").select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(rows).distinct()
+    sample = docs.select("doc_id", "text").join(F.broadcast(first), F.xxhash64("doc_id") == F.col("h"), "left_semi").limit(rows)
     found = (
         sample.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_-]{3,}"), F.lit(0))).alias("w"))
         .distinct().orderBy(F.xxhash64("w")).limit(words)
