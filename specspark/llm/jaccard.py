@@ -12,7 +12,7 @@ of followers is settled from that answer where the differences allow it; only th
 *Skipping lists.* What two sets share in their prefixes, and how much of either set lies beyond, bounds their
 overlap; pairs under the need are never fetched. Elements in lists of more than ``LONG_LIST`` leaders
 (passages that many documents share) go last in the global order, which moves them out of prefixes; the
-sets concerned get new prefixes. Sets made of almost nothing else are grouped by their long-list elements, and
+sets concerned take as many further elements, until no prefix holds a long list. Sets made of almost nothing else are grouped by their long-list elements, and
 compared group by group: see ``_made_of_passages``. No list is cut, sampled or skipped without such a proof.
 """
 
@@ -28,8 +28,10 @@ from .linededup import SPACE_CHARS, lower_ascii
 
 PERCENT, SHINGLE = 75, 5
 LONG_LIST = 48
+#: A set is first compared with a leader that it shares this part of its prefix with. A help, not a condition: other pairs are found by the lists.
+LEADER_SHARE = 0.3
 #: Ids (8 bytes) and elements that may be broadcast; more are shuffled.
-BROADCAST_ROWS = 400_000
+BROADCAST_ROWS = 1_000_000
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -113,7 +115,7 @@ class Join:
     def sets(self, ids: DataFrame) -> DataFrame:
         """(id, set) of some ids, from their whole texts."""
         ids = written(ids.select("id").distinct(), "ids")
-        return written(with_set(self.docs.join(_small(ids), "id", "left_semi")).distinct(), "sets")
+        return written(with_set(self.docs.join(_small(ids), "id", "left_semi")), "sets")
 
     def compared(self, pairs: DataFrame) -> DataFrame:
         """``pairs`` (a, b) with the sets' sizes na, nb and their overlap o."""
@@ -142,38 +144,39 @@ class Join:
 
     def _edges(self, reps: DataFrame) -> DataFrame:
         """(a, b): links that connect whatever links between the sets of ``reps`` (id, n, prefix) connect."""
-        rows = reps.select("id", "n", F.element_at("prefix", -1).alias("last"), F.posexplode("prefix").alias("pos", "e"))
+        rows = reps.select("id", "n", F.posexplode("prefix").alias("pos", "e"))
         shared = written(rows.groupBy("e").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("e"), "shared")
         if shared.isEmpty():
             return reps.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
         lists = written(rows.join(_small(shared), "e"), "lists")
         star = self._leaders(lists)
-        links = star.select("a", "b")
-        # a set's leader, its size and the differences to it; sets without one lead themselves
         follows = star.select(F.col("a").alias("id"), F.col("b").alias("leader"), (F.col("na") - F.col("o")).alias("own"), (F.col("nb") - F.col("o")).alias("lost"))
         follows = written(follows, "followers")
-        lists = self._led(lists, follows)
-        lengths = lists.groupBy("e", "leader").agg(F.count(F.lit(1)).alias("c")).groupBy("e").agg(F.count(F.lit(1)).alias("leaders"))
-        lengths = written(lengths.filter("leaders > 1"), "open-lists")
-        long_lists = written(lengths.filter(F.col("leaders") > LONG_LIST).select("e"), "long-lists")
-        extra_links = None
+        long_lists = self._long_lists(self._led(lists, follows))
+        passages = None
         if long_lists.isEmpty():
-            open_rows = lists.join(_small(lengths.select("e")), "e", "left_semi")
+            open_rows = self._led(lists, follows).withColumn("p", prefix_size(F.col("n")))
         else:
-            open_rows, extra_links = self._without_long_lists(rows, lists, follows, long_lists)
+            open_rows, passages = self._without_long_lists(rows, follows, long_lists)
         pairs = self._leader_pairs(open_rows, follows)
-        links = links.unionByName(self._follower_links(self.compared(pairs), follows))
-        return links if extra_links is None else links.unionByName(extra_links)
+        links = star.select("a", "b").unionByName(self._follower_links(self.compared(pairs), follows))
+        return links if passages is None else links.unionByName(passages)
 
     def _leaders(self, lists: DataFrame) -> DataFrame:
-        """Compared pairs (a, b, na, nb, o) that link: b is the smallest id in most of a's lists, and no follower."""
+        """Compared pairs (a, b, na, nb, o) that link: b is the smallest id in most of a's lists."""
         heads = lists.groupBy("e").agg(F.min("id").alias("leader"))
-        votes = lists.select("e", "id").join(heads, "e").filter("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("k"))
+        votes = lists.select("e", "id", "n").join(heads, "e").filter("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"))
+        votes = votes.filter(F.col("k") >= LEADER_SHARE * prefix_size(F.col("n")))
         best = votes.groupBy("id").agg(F.max(F.struct("k", (-F.col("leader")).alias("l"))).alias("m"))
         first = self.compared(best.select(F.col("id").alias("a"), (-F.col("m.l")).alias("b")))
         linked = first.filter(F.col("o") >= needed(F.col("na"), F.col("nb")))
-        linked = written(linked.groupBy("a", "b").agg(F.min("na").alias("na"), F.max("nb").alias("nb"), F.max("o").alias("o")), "star")
-        return linked
+        return written(linked.groupBy("a", "b").agg(F.min("na").alias("na"), F.max("nb").alias("nb"), F.max("o").alias("o")), "star")
+
+    @staticmethod
+    def _long_lists(rows: DataFrame) -> DataFrame:
+        """(e) of the lists of ``rows`` (e, leader) with more than ``LONG_LIST`` leaders."""
+        leaders = rows.groupBy("e", "leader").agg(F.count(F.lit(1)).alias("c")).groupBy("e").agg(F.count(F.lit(1)).alias("leaders"))
+        return written(leaders.filter(F.col("leaders") > LONG_LIST).select("e"), "long-lists")
 
     @staticmethod
     def _led(rows: DataFrame, follows: DataFrame) -> DataFrame:
@@ -181,21 +184,31 @@ class Join:
         return rows.join(_small(follows.select("id", "leader")), "id", "left").withColumn("leader", F.coalesce("leader", "id"))
 
     def _leader_pairs(self, rows: DataFrame, follows: DataFrame) -> DataFrame:
-        """(a, b) of leaders with a common list, a < b, that may link or have followers that may."""
+        """(a, b) of leaders with a common list, a < b, whose sets or followers may link.
+
+        ``rows`` has p, how many elements of its order a set is listed by. Of two sets, the one whose listed part ends first
+        has all it shares of that part in common lists: overlap <= common lists + the larger rest of both. The lists that two
+        leaders have in common by any follower are at least as many as any pair of followers has, so this holds for groups
+        with their largest rest and their smallest need. For sets without followers the place of the last common list bounds it, too.
+        """
         led = written(follows.groupBy("leader").agg(F.count(F.lit(1)).alias("f")).select("leader"), "with-followers")
-        entry = rows.groupBy("e", "leader").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("pos").alias("pos"))
-        entry = entry.join(_small(led.withColumn("group", F.lit(True))), "leader", "left").withColumn("group", F.coalesce("group", F.lit(False)))
+        rows = written(rows.select("e", "id", "leader", "n", "pos", "p"), "led-lists")
+        stats = rows.groupBy("leader").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("p")).alias("rest"))
+        stats = stats.join(_small(led.withColumn("group", F.lit(True))), "leader", "left").withColumn("group", F.coalesce("group", F.lit(False)))
+        entry = rows.groupBy("e", "leader").agg(F.max("pos").alias("pos")).join(stats, "leader")
         entry = written(entry, "entries")
-        a, b = (entry.select("e", *[F.col(c).alias(f"{c}_{x}") for c in ("leader", "least", "most", "pos", "group")]) for x in ("a", "b"))
-        near = (F.col("least_a") * 100 <= F.col("most_b") * 100 * 100 / PERCENT) & (F.col("least_b") * 100 <= F.col("most_a") * 100 * 100 / PERCENT)
+        fields = ("leader", "least", "most", "rest", "pos", "group")
+        a, b = (entry.select("e", *[F.col(c).alias(f"{c}_{x}") for c in fields]) for x in ("a", "b"))
+        near = (F.col("least_a") * PERCENT <= F.col("most_b") * 100) & (F.col("least_b") * PERCENT <= F.col("most_a") * 100)
         met = a.join(b, "e").filter((F.col("leader_a") < F.col("leader_b")) & near)
         met = met.groupBy(F.col("leader_a").alias("a"), F.col("leader_b").alias("b")).agg(
-            F.count(F.lit(1)).alias("o"), F.max("pos_a").alias("pa"), F.max("pos_b").alias("pb"), F.min("least_a").alias("na"),
-            F.min("least_b").alias("nb"), F.max("most_a").alias("ma"), F.max("most_b").alias("mb"),
-            F.max(F.col("group_a") | F.col("group_b")).alias("group"),
+            F.count(F.lit(1)).alias("o"), F.max("pos_a").alias("pa"), F.max("pos_b").alias("pb"), F.max("least_a").alias("na"),
+            F.max("least_b").alias("nb"), F.max("most_a").alias("ma"), F.max("most_b").alias("mb"),
+            F.max(F.greatest("rest_a", "rest_b")).alias("rest"), F.max(F.col("group_a") | F.col("group_b")).alias("group"),
         )
-        most = F.col("o") + F.least(F.col("ma") - F.col("pa") - 1, F.col("mb") - F.col("pb") - 1)
-        return met.filter(F.col("group") | (most >= needed(F.col("na"), F.col("nb")))).select("a", "b")
+        need = needed(F.col("na"), F.col("nb"))
+        after = F.least(F.col("ma") - F.col("pa") - 1, F.col("mb") - F.col("pb") - 1)
+        return met.filter((F.col("o") + F.col("rest") >= need) & (F.col("group") | (F.col("o") + after >= need))).select("a", "b")
 
     def _follower_links(self, leaders: DataFrame, follows: DataFrame) -> DataFrame:
         """Links between the sets of two leaders, from the leaders' answer where it settles them.
@@ -232,44 +245,61 @@ class Join:
             rest.filter(F.col("o") >= needed(F.col("na"), F.col("nb"))).select("a", "b")
         )
 
-    def _without_long_lists(self, rows: DataFrame, lists: DataFrame, follows: DataFrame, long_lists: DataFrame):
-        """Rows of open lists under an order with long-list elements last, and the links of sets made of them."""
-        touched = lists.join(_small(long_lists), "e", "left_semi").select("id")
-        sets = self.sets(touched)
-        elements = self._led(sets.select("id", F.explode("set").alias("e")), follows)
-        counts = elements.groupBy("e", "leader").agg(F.count(F.lit(1)).alias("c")).groupBy("e").agg(F.count(F.lit(1)).alias("leaders"))
-        last = written(counts.filter(F.col("leaders") > LONG_LIST).select("e").unionByName(long_lists).distinct(), "last-elements")
-        # every set with such an element in its prefix gets a new prefix
-        changed = written(rows.join(_small(last), "e", "left_semi").select("id").distinct(), "changed")
-        sets = self.sets(changed)
-        late = sets.select("id", F.explode("set").alias("e")).join(_small(last), "e").groupBy("id").agg(F.collect_set("e").alias("late"))
-        sets = sets.join(late, "id", "left").withColumn("late", F.coalesce("late", F.array().cast("array<bigint>")))
-        sets = sets.withColumn("early", F.array_except("set", "late")).withColumn("n", F.size("set"))
-        p = prefix_size(F.col("n"))
-        sets = written(sets.select("id", "n", p.alias("p"), F.sort_array("early").alias("early"), F.sort_array("late").alias("late")), "reordered")
-        fresh = sets.filter(F.size("early") > 0).select("id", "n", F.posexplode(F.slice("early", 1, F.col("p"))).alias("pos", "e"))
-        fresh = written(fresh, "new-prefixes")
-        names = written(fresh.select("e").distinct(), "new-elements")
-        old = rows.select("id", "n", "pos", "e").join(_small(changed), "id", "left_anti")
-        wanted = written(names.unionByName(lists.select("e").distinct()).distinct(), "wanted")
-        old = old.join(_small(wanted), "e", "left_semi")
-        both = self._led(fresh.select("id", "n", "pos", "e").unionByName(old.select("id", "n", "pos", "e")), follows)
-        both = written(both, "all-lists")
-        spread = both.groupBy("e", "leader").agg(F.count(F.lit(1)).alias("c")).groupBy("e").agg(F.count(F.lit(1)).alias("k"))
-        open_lists = written(spread.filter("k > 1").select("e"), "open-lists")
-        return both.join(_small(open_lists), "e", "left_semi"), self._made_of_passages(sets)
+    def _without_long_lists(self, rows: DataFrame, follows: DataFrame, long_lists: DataFrame):
+        """Prefix rows under an order with long-list elements last, and the links of sets made of them.
+
+        Each round, a set with long-list elements among those it has read reads as many more in hash order, and lists
+        that have become long by that count too. At the end every set has its first ``prefix_size`` other elements, or
+        has been read whole.
+        """
+        late, more, rounds = long_lists, None, 0
+        while True:
+            seen = rows if more is None else rows.unionByName(more)
+            hot = seen.join(_small(late), "e", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("late"), F.max("n").alias("n"))
+            if more is None:
+                state = hot.withColumn("more", F.lit(0))
+            else:
+                state = hot.join(more.groupBy("id").agg(F.count(F.lit(1)).alias("more")), "id", "left").withColumn("more", F.coalesce("more", F.lit(0)))
+            p = prefix_size(F.col("n"))
+            state = state.withColumn("p", p).withColumn("short", F.col("late") - F.col("more")).withColumn("read", p + F.col("more"))
+            state = written(state.select("id", "n", "p", "late", "read", "short"), "read-so-far")
+            # how far to read is a guess that saves rounds: after three, the few sets left are read whole
+            step, rounds = 16 * 4**rounds if rounds < 3 else 2**30, rounds + 1
+            want = state.filter("short > 0 and read < n").select("id", "read", F.least(F.col("n") - F.col("read"), F.col("short") * 2 + step).cast("int").alias("take"))
+            want = written(want, "wanted")
+            if want.isEmpty():
+                break
+            read = with_set(self.docs.join(_small(want), "id"))
+            taken = F.posexplode(F.slice("set", F.col("read") + 1, F.col("take"))).alias("i", "e")
+            fresh = read.select("id", F.size("set").alias("n"), "read", taken).select("id", "n", (F.col("read") + F.col("i")).cast("int").alias("pos"), "e")
+            fresh = written(fresh, "read-more")
+            more = fresh if more is None else more.unionByName(fresh)
+            late = written(late.unionByName(self._long_lists(self._led(more, follows))).distinct(), "late-elements")
+        early = rows.select("id", "n", "pos", "e") if more is None else rows.select("id", "n", "pos", "e").unionByName(more)
+        early = early.join(_small(late), "e", "left_anti")
+        often = written(early.groupBy("e").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("e"), "shared")
+        both = self._led(early.join(_small(often), "e"), follows)
+        # a place in the new order is at least the old one less the late elements read
+        back = state.select("id", "late", F.least(F.col("p"), F.col("read") - F.col("late")).alias("early"))
+        both = both.join(_small(back), "id", "left").withColumn("pos", F.col("pos") - F.coalesce("late", F.lit(0)))
+        both = both.withColumn("p", F.coalesce("early", prefix_size(F.col("n")))).drop("late", "early")
+        # sets read whole without finding enough other elements
+        whole = written(state.filter("short > 0").select("id"), "passage-ids")
+        seen = rows if more is None else rows.unionByName(more)
+        parts = seen.join(_small(whole), "id", "left_semi").join(_small(late.withColumn("is_late", F.lit(True))), "e", "left")
+        sets = parts.groupBy("id").agg(F.count_if(F.col("is_late").isNull()).cast("int").alias("c"), F.array_sort(F.collect_set(F.when(F.col("is_late"), F.col("e")))).alias("h"))
+        return both, self._made_of_passages(sets)
 
     @staticmethod
     def _made_of_passages(sets: DataFrame) -> DataFrame:
-        """Links among sets whose early elements don't fill the prefix: x has early elements C(x), late ones H(x).
+        """Links among ``sets`` (id, c, h) whose early elements don't fill the prefix: c of early ones C(x), and the late ones H(x) as h.
 
         All of C(x) is in x's prefix, so pairs that share an early element are found by the lists. Without one,
         the overlap is that of H. Let m be the set of fewest early elements of all with H = H(m). If x and y with H(y) = H(m)
         link without a shared early element, so do x and m, and so do m and the like set of H(x), for C only grows: comparing
         every x with one set of each similar H finds all their components.
         """
-        made = sets.filter(F.size("early") < F.col("p")).select("id", F.size("early").alias("c"), F.col("late").alias("h"))
-        made = written(made.withColumn("g", F.xxhash64("h")), "passage-sets")
+        made = written(sets.withColumn("g", F.xxhash64("h")), "passage-sets")
         if made.isEmpty():
             return made.select(F.col("id").alias("a"), F.col("id").alias("b"))
         least = made.groupBy("g").agg(F.min(F.struct("c", "id")).alias("m"), F.min("h").alias("h"))
