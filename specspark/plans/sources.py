@@ -22,9 +22,9 @@ def peak_text_round_trip(spark, sf):
     return rows.select("spectrum_id", "pos", F.round("p.mz", 6).alias("mz"), F.round("p.intensity", 6).alias("intensity"))
 
 
-@query(f"WITH {PEAKS_SQL} SELECT spectrum_id, CAST(count(*) AS INT) AS n, round(sum(round(mz, 2)), 4) AS total FROM peaks GROUP BY 1")
+@query(f"WITH {PEAKS_SQL} SELECT spectrum_id, CAST(count(*) AS INT) AS n, round(sum(floor(mz * 100) / 100), 4) AS total FROM peaks GROUP BY 1")
 def peak_tuples_round_trip(spark, sf):
-    text = tb.format_peak_tuples(F.transform("mz", lambda m: F.round(m, 2)), F.col("intensity"), 2)
+    text = tb.format_peak_tuples(F.transform("mz", lambda m: F.floor(m * 100) / 100), F.col("intensity"), 2)
     df = spectra(spark, sf).select("spectrum_id", tb.parse_peak_tuples(text).alias("p"))
     return df.select("spectrum_id", F.size("p").alias("n"), F.round(F.aggregate("p", F.lit(0.0), lambda a, p: a + p["mz"]), 4).alias("total"))
 
