@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-COMMON_WORDS, CANDIDATES, SKETCH_ITEMS = 20, 64, 10_000
+COMMON_WORDS, CANDIDATES, SKETCH_ITEMS = 32, 96, 10_000
 MIN_WORDS, MIN_CHARS = 60, 200
 MAX_WORD_DISTANCE, MAX_CLASS_DISTANCE = 0.47, 0.26
 WINDOW = 8
@@ -25,8 +25,9 @@ BROADCAST_LANGS = 2000
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "[#*$%&|<>]"
-#: Character classes, each counted by a pattern that matches seldom; then non-ASCII, then what is left.
-CLASSES = ("[A-Z]", "[0-9]", "[.,;:!?'\"()-]", SYMBOLS)
+#: Character classes counted by a pattern that matches seldom. Then come non-ASCII, white space (the characters outside the
+#: words) and lower-case letters (what no other class holds).
+CLASSES = ("[A-Z]", "[0-9]", "[.,;:!?'\"()-]", r"[\x00-\x08\x0E-\x1F+/=@\[\\\]^_`{}~\x7F]", SYMBOLS)
 
 
 def words_of(text: Column) -> Column:
@@ -34,18 +35,25 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.btrim(text, F.lit(SPACE_CHARS)), SPACE), lambda w: w != "")
 
 
-def _class_counts(text: Column) -> Column:
+def word_chars(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0), lambda a, x: a + F.char_length(x))
+
+
+def _class_counts(text: Column, in_words: Column) -> Column:
+    """Counts of all classes, then of all characters; ``in_words`` is ``word_chars`` of the text."""
     counted = [F.regexp_count(text, F.lit(c)).cast("double") for c in CLASSES]
     ascii_only = F.char_length(text) == F.octet_length(text)
     counted.append(F.when(ascii_only, F.lit(0.0)).otherwise(F.regexp_count(text, F.lit(r"[^\x00-\x7F]")).cast("double")))
-    return F.array(*counted, F.char_length(text).cast("double"))
+    total = F.char_length(text).cast("double")
+    return F.array(*counted, total - in_words, total)
 
 
 def _class_shares(counts: Column) -> Column:
     """Shares of the counted classes of all characters (the last number), and of what is left."""
-    total = F.greatest(F.get(counts, F.lit(len(CLASSES) + 1)), F.lit(1.0))
-    shares = [F.get(counts, F.lit(i)) / total for i in range(len(CLASSES) + 1)]
-    return F.array(*shares, F.lit(1.0) - sum(shares[1:], shares[0]))
+    n = len(CLASSES) + 2
+    total = F.greatest(F.get(counts, F.lit(n)), F.lit(1.0))
+    left = F.get(counts, F.lit(n)) - F.aggregate(F.slice(counts, 1, n), F.lit(0.0), lambda a, x: a + x)
+    return F.array(*[F.get(counts, F.lit(i)) / total for i in range(n)], left / total)
 
 
 def language_references(docs: DataFrame) -> DataFrame:
@@ -60,8 +68,9 @@ def language_references(docs: DataFrame) -> DataFrame:
     counted = words.join(F.broadcast(tops) if small else tops, same).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("k"))
     ordered = F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), F.col("word").alias("word"))))
     common = counted.groupBy("lang").agg(F.slice(ordered, 1, COMMON_WORDS).alias("top"))
-    measures = texts.select("lang", F.size(words_of(F.col("text"))).alias("n"), _class_counts(F.col("text")).alias("c"))
-    width = len(CLASSES) + 2
+    measures = texts.withColumn("w", words_of(F.col("text")))
+    measures = measures.select("lang", F.size("w").alias("n"), _class_counts(F.col("text"), word_chars(F.col("w"))).alias("c"))
+    width = len(CLASSES) + 3
     totals = measures.groupBy("lang").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("c", F.lit(i))) for i in range(width)]).alias("c"))
     refs = totals.join(common.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left")
     top = F.coalesce("top", F.array().cast("array<struct<k:bigint,word:string>>"))
@@ -133,8 +142,8 @@ def judge(docs: DataFrame) -> DataFrame:
     df = with_repeats(df, "__w", "n_repeat_words")
     common = F.col("__ref_common")
     df = df.withColumn("__hits", F.filter("__w", lambda x: common.isNotNull() & F.array_contains(common, x)))
-    df = df.withColumn("word_chars", F.aggregate("__w", F.lit(0), lambda a, x: a + F.char_length(x)).cast("bigint"))
-    df = df.drop("__w").withColumn("__c", _class_counts(t)).withColumn("n_symbols", F.get("__c", F.lit(len(CLASSES) - 1)).cast("bigint"))
+    df = df.withColumn("word_chars", word_chars(F.col("__w")).cast("bigint"))
+    df = df.drop("__w").withColumn("__c", _class_counts(t, F.col("word_chars"))).withColumn("n_symbols", F.get("__c", F.lit(len(CLASSES) - 1)).cast("bigint"))
     df = df.withColumn("__lines", F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != ""))
     df = df.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint")).drop("__lines")
     df = df.withColumn("class_distance", js_distance(_class_shares(F.col("__c")), F.col("__ref_classes")))

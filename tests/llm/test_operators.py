@@ -368,3 +368,30 @@ def test_pipeline_stages(spark, docs):
             assert df.count() == before.count()
     pieces = cp.STAGES[-1][1](spark, df, "").collect()
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in df.collect()}
+
+
+def prose(lang_words, n, seed):
+    """Text of ``n`` words: every second one from the frequent ``lang_words``, the others made of letters, with usual punctuation."""
+    r = np.random.default_rng(seed)
+    other = ["".join(chr(97 + c) for c in r.integers(0, 26, r.integers(4, 9))) for _ in range(n)]
+    out = [lang_words[r.integers(0, len(lang_words))] if i % 2 else w for i, w in enumerate(other)]
+    return ". ".join(" ".join(out[i : i + 12]).capitalize() for i in range(0, n, 12)) + "."
+
+
+EN = "the of and to a in is that it for was on are as with his they at be this from have or by one had not but what all".split()
+DE = "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird".split()
+
+
+def quality_kept(spark, planted):
+    texts = [(i, prose(EN if lang == "en" else DE, 300, i), lang) for i, lang in enumerate(["en", "de"] * 60)]
+    got = quality.judge(spark.createDataFrame(texts + planted, "doc_id bigint, text string, lang string")).collect()
+    return {r["doc_id"]: r["kept"] for r in got}
+
+
+def test_quality_rejects_symbol_junk(spark):
+    # 30 words and more, no window of eight twice: only the character classes tell
+    junk = lambda marks, seed: " ".join("".join(np.random.default_rng([seed, i]).choice(list(marks), 9)) for i in range(50))
+    planted = [(1000 + i, junk(marks, i), lang) for i, (marks, lang) in enumerate((m, x) for m in ("=_@~", "{}[]", "^/\\+`") for x in ("en", "de"))]
+    kept = quality_kept(spark, planted)
+    assert not any(kept[i] for i, _, _ in planted)
+    assert all(kept[i] for i in range(120))
