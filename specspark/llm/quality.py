@@ -5,12 +5,20 @@ and the language's ``COMMON_WORDS`` most frequent words with one bin for all oth
 Jensen-Shannon distance (square root of the divergence in bits, 0 to 1). Short texts give noisy
 histograms, so a text below ``MIN_CHARS`` or ``MIN_WORDS`` isn't judged by that histogram.
 
+A text that lacks its language's common words can't be further off than one with none of them, so the limit
+of the word distance is set against that one's distance, the language's *lack*: its square is
+``LACK_SHARE`` of the lack's square and what chance alone gives a text of so many words (bins / 8 ln 2 n bits), at
+most ``LACK_MOST`` of the lack, and ``MAX_WORD_DISTANCE`` at most. Where chance alone reaches ``LACK_NOISE`` of the
+lack's square, the words are too few to tell, and only ``MAX_WORD_DISTANCE`` holds.
+
 The references are learned from the whole table: a frequent-items sketch names ``CANDIDATES`` words a
 language, these are then counted exactly, and the first ``COMMON_WORDS`` by count (ties by word) stay.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +27,7 @@ from .common import written
 COMMON_WORDS, CANDIDATES, SKETCH_ITEMS = 32, 96, 10_000
 MIN_WORDS, MIN_CHARS = 60, 200
 MAX_WORD_DISTANCE, MAX_CLASS_DISTANCE = 0.47, 0.26
+LACK_SHARE, LACK_MOST, LACK_NOISE = 0.35, 0.97, 0.75
 WINDOW = 8
 #: Up to so many languages the references (about 1 KB each) are broadcast; beyond it they are joined by shuffle.
 BROADCAST_LANGS = 2000
@@ -57,8 +66,9 @@ def _class_shares(counts: Column) -> Column:
 
 
 def language_references(docs: DataFrame) -> DataFrame:
-    """(lang, classes, common, shares): of all non-null texts of each lang (null is a language of its own)
-    the shares of the character classes, the most frequent words, and the words' shares with all others last."""
+    """(lang, classes, common, shares, lack): of all non-null texts of each lang (null is a language of its own)
+    the shares of the character classes, the most frequent words, the words' shares with all others last, and
+    the distance from these of a text with none of the words."""
     texts = docs.select("lang", "text").filter("text is not null")
     words = texts.select("lang", F.explode(words_of(F.col("text"))).alias("word"))
     tops = words.groupBy("lang").agg(F.expr(f"approx_top_k(word, {CANDIDATES}, {SKETCH_ITEMS})").alias("top"))
@@ -76,10 +86,12 @@ def language_references(docs: DataFrame) -> DataFrame:
     top = F.coalesce("top", F.array().cast("array<struct<k:bigint,word:string>>"))
     words_total = F.greatest(F.col("n"), F.lit(1)).cast("double")
     top_total = F.aggregate(top, F.lit(0.0), lambda a, x: a - x["k"])
-    return refs.select(
+    refs = refs.select(
         "lang", _class_shares(F.col("c")).alias("classes"), F.transform(top, lambda x: x["word"]).alias("common"),
         F.concat(F.transform(top, lambda x: -x["k"] / words_total), F.array((words_total - top_total) / words_total)).alias("shares"),
     )
+    none = F.concat(F.transform("common", lambda x: F.lit(0.0)), F.array(F.lit(1.0)))
+    return refs.withColumn("lack", js_distance(none, F.col("shares")))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -119,6 +131,14 @@ def with_repeats(df: DataFrame, words: str, out: str) -> DataFrame:
     return df.withColumn(out, F.coalesce(F.aggregate(gaps, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("bigint")).select(*keep, out)
 
 
+def word_limit(n: Column, bins: Column, lack: Column) -> Column:
+    """The largest word distance of a kept text of ``n`` words, given the reference's bins and lack."""
+    chance = bins / (8 * math.log(2) * n)
+    square = F.least(LACK_SHARE * lack * lack + chance, (LACK_MOST * lack) ** 2)
+    told = chance <= LACK_NOISE * lack * lack
+    return F.when(told, F.least(F.sqrt(square), F.lit(MAX_WORD_DISTANCE))).otherwise(MAX_WORD_DISTANCE)
+
+
 #: What ``judge`` adds, in order.
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")
 
@@ -127,7 +147,7 @@ def judge(docs: DataFrame) -> DataFrame:
     """``docs`` (lang, text and any others) with ``ADDED`` columns; input columns of those names are replaced.
 
     base_failed: fewer than 20 words, or over 30 % of the words in repeated 8-word windows. kept: not
-    base_failed and both distances at most their thresholds. A null or empty text has no words: counts
+    base_failed and both distances at most their limits. A null or empty text has no words: counts
     are 0 and it fails. A null lang is a language of its own. Every row gives one row.
     """
     keep = [c for c in docs.columns if c not in ADDED]
@@ -153,7 +173,7 @@ def judge(docs: DataFrame) -> DataFrame:
     df = df.withColumn("word_distance", js_distance(shares, F.col("__ref_shares")))
     df = df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     far = ((F.char_length(t) >= MIN_CHARS) & (F.col("class_distance") > MAX_CLASS_DISTANCE)) | (
-        (F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE)
+        (F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > word_limit(n, F.size("__ref_common"), F.col("__ref_lack")))
     )
     df = df.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
     return df.select(*keep, *ADDED)

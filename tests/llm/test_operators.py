@@ -395,3 +395,13 @@ def test_quality_rejects_symbol_junk(spark):
     kept = quality_kept(spark, planted)
     assert not any(kept[i] for i, _, _ in planted)
     assert all(kept[i] for i in range(120))
+
+
+def test_quality_rejects_text_without_common_words(spark):
+    random_words = lambda seed: prose(["".join(chr(97 + c) for c in np.random.default_rng([seed, i]).integers(0, 26, 6)) for i in range(400)], 300, seed)
+    planted = [(1000 + i, prose(DE if lang == "en" else EN, n, i), lang) for i, (n, lang) in enumerate((n, x) for n in (120, 300, 2000) for x in ("en", "de"))]
+    planted += [(2000 + i, random_words(i), lang) for i, lang in enumerate(("en", "de"))]
+    planted += [(3000 + i, prose(EN if lang == "en" else DE, n, 50 + i), lang) for i, (n, lang) in enumerate((n, x) for n in (62, 80, 120, 2000) for x in ("en", "de"))]
+    kept = quality_kept(spark, planted)
+    assert not any(kept[i] for i, _, _ in planted if i < 3000)
+    assert all(k for i, k in kept.items() if i < 1000 or i >= 3000)
