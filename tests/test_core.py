@@ -240,3 +240,27 @@ def test_models_learn(spark):
     assert ridge.summary.r2 > 0.5 and trees.transform(data).count() == 160
     assert bl.fit_logistic_cv(df, "v", folds=2).transform(df.withColumn("features", F.lit(None)).drop("features").withColumn("features", __import__("pyspark.ml.functions", fromlist=["x"]).array_to_vector("v"))).filter("prediction = label").count() > 110
     assert bl.fit_mlp_probe(df, df, "v", "label", 2, 2, (1,)) is not None
+
+
+def test_complete_link_equals_greedy_and_has_no_member_limit(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    # many ties, pairs missing, in two blocks
+    rows = [(k, a, b, round(float(r.random()), 1)) for k in ("x", "y") for a in range(24) for b in range(a + 1, 24) if r.random() < 0.8]
+
+    def greedy(block, threshold):
+        s, clusters = {(a, b): v for k, a, b, v in rows if k == block}, {i: [i] for i in range(24)}
+        far = lambda x, y: min(s.get((min(i, j), max(i, j)), 0.0) for i in clusters[x] for j in clusters[y])
+        while len(clusters) > 1:
+            v, x, y = min((-far(x, y), x, y) for x in clusters for y in clusters if x < y)
+            if -v < threshold:
+                break
+            clusters[x] += clusters.pop(y)
+        return {(block, i, c) for c, m in clusters.items() if len(m) > 1 for i in m}
+
+    df = spark.createDataFrame(rows, "block string, a long, b long, similarity double")
+    for t in (0.3, 0.0):
+        assert {tuple(x) for x in gr.complete_link(df, "block", t).collect()} == greedy("x", t) | greedy("y", t)
+    hot = spark.range(3000).selectExpr("'h' AS block", "2 * id AS a", "2 * id + 1 AS b", "0.5D AS similarity")
+    assert gr.complete_link(hot, "block", 0.3).count() == 6000
