@@ -5,7 +5,8 @@ a k-mer is chosen depends on nothing outside it, so two texts that share a passa
 anchors in it, and the anchors' positions can be matched.
 
 Texts of ``SHORT_CHARS`` code points or more are read as words (k = 3 words, s = 1 word), shorter
-ones as characters (k = 9, s = 3), so that even a line of text has anchors. A fingerprint is the
+ones and those with more than ``WORD_CHARS`` code points a word (unspaced scripts, encoded data) as characters
+(k = 9, s = 3), so that even a line of text has anchors. Two texts of different units are compared by characters. A fingerprint is the
 ``SKETCH`` smallest distinct anchor hashes, each with the position of its first occurrence:
 ``w:<hash>@<position>.<hash>@<position>...`` in hexadecimal, or ``c:`` for characters. A text with no
 complete k-mer has one anchor, the hash of the whole text, so equal texts always have equal fingerprints.
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions
 
-SHORT_CHARS = 480
+SHORT_CHARS, WORD_CHARS = 480, 20
 SKETCH = 64
 CHAR_K, CHAR_S = 9, 3
 #: Anchors agree in position when their offset differs from the median offset by this many units, or
@@ -32,20 +33,28 @@ def _hash32(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 32)
 
 
-def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
+def with_sketch(df: DataFrame, text: str, out: str, chars_only: bool = False) -> DataFrame:
     """Add ``out``: array<struct<h bigint, p int>>, the sketch of column ``text``, by hash; and
-    ``{out}_short``: whether it is made of characters. ``text`` must not be null."""
-    n, words, units, mins, anchors, smallest, small = (f"__{out}_{x}" for x in ("n", "w", "u", "m", "a", "s", "k"))
+    ``{out}_short``: whether it is made of characters, always with ``chars_only``. A null text has a null sketch."""
+    n, words, letters, units, anchors, smallest, small = (f"__{out}_{x}" for x in ("n", "w", "c", "u", "a", "s", "k"))
     short, t = f"{out}_short", F.col(text)
     keep = [c for c in df.columns]
-    df = df.withColumn(n, F.char_length(t)).withColumn(short, F.col(n) < SHORT_CHARS)
+    df = df.withColumn(n, F.char_length(t))
+    if chars_only:
+        df = df.withColumn(words, F.lit(None).cast("array<string>")).withColumn(short, F.lit(True))
+    else:
+        df = df.withColumn(words, F.when(F.col(n) >= SHORT_CHARS, F.split(F.btrim(t, F.lit(SPACE_CHARS)), SPACE)))
+        df = df.withColumn(short, (F.col(n) < SHORT_CHARS) | (F.size(words) * WORD_CHARS < F.col(n)))
+    # a list of characters: a place in a string is found from its start only
+    df = df.withColumn(letters, F.when(F.col(short) & t.isNotNull(), F.split(t, F.lit(""))))
+    c = F.col(letters)
     # hashes of the s-mers: of each word, or of each three characters
     count = F.greatest(F.col(n) - CHAR_S + 1, F.lit(0))
     s_mers = F.when(
         F.col(short),
-        F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(t.substr(i, F.lit(CHAR_S)))))
+        F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.array_join(F.slice(c, i, CHAR_S), ""))))
         .otherwise(F.array().cast("array<bigint>")),
-    ).otherwise(F.transform(F.split(F.btrim(t, F.lit(SPACE_CHARS)), SPACE), lambda w: F.xxhash64(w)))
+    ).otherwise(F.transform(words, lambda w: F.xxhash64(w)))
     df = df.withColumn(units, s_mers)
     u = F.col(units)
     width = CHAR_K - CHAR_S + 1
@@ -54,7 +63,7 @@ def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
             F.sequence(F.lit(1), F.greatest(F.size(u) - width + 1, F.lit(1))),
             lambda i: F.array_min(F.slice(u, i, width)) == F.least(F.get(u, i - 1), F.get(u, i + (width - 2))),
         ),
-        lambda i: F.struct(_hash32(t.substr(i, F.lit(CHAR_K))).alias("h"), i.alias("p")),
+        lambda i: F.struct(_hash32(F.array_join(F.slice(c, i, CHAR_K), "")).alias("h"), i.alias("p")),
     )
     triples = F.arrays_zip(
         u.alias("a"), F.slice(u, 2, F.size(u)).alias("b"), F.slice(u, 3, F.size(u)).alias("c"),
@@ -65,7 +74,7 @@ def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
         lambda z: F.struct(_hash32(z["a"], z["b"], z["c"]).alias("h"), z["p"].alias("p")),
     )
     df = df.withColumn(anchors, F.when(F.col(short), F.when(F.size(u) >= width, chars)).otherwise(by_words))
-    whole = F.array(F.struct(_hash32(t).alias("h"), F.lit(0).alias("p")))
+    whole = F.when(t.isNotNull(), F.array(F.struct(_hash32(t).alias("h"), F.lit(0).alias("p"))))
     df = df.withColumn(anchors, F.when(F.size(anchors) > 0, F.col(anchors)).otherwise(whole))
     a = F.col(anchors)
     hashes = F.array_distinct(F.transform(a, lambda x: x["h"]))
@@ -87,7 +96,7 @@ def fingerprint(sketch: Column, short: Column) -> Column:
 
 def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     """Add ``out`` in [0, 1]: of the ``SKETCH`` smallest hashes of both sketches together, the share
-    that both hold at agreeing relative positions. 0 where one is of characters and one of words."""
+    that both hold at agreeing relative positions. Both must be of one unit."""
     union, both, d = f"__{out}_u", f"__{out}_b", f"__{out}_d"
     keep = [c for c in df.columns]
     ha, hb = (F.transform(F.col(x), lambda x: x["h"]) for x in (a, b))
@@ -106,8 +115,7 @@ def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     )
     m, s = F.col(middle), F.col(slack)
     agree = F.size(F.filter(offsets, lambda x: m.isNotNull() & s.isNotNull() & (F.abs(x["d"] - m) <= s)))
-    same_unit = F.col(f"{a}_short") == F.col(f"{b}_short")
-    value = F.when(same_unit & (F.size(union) > 0), agree / F.size(union)).otherwise(F.lit(0.0))
+    value = F.when(F.size(union) > 0, agree / F.size(union)).otherwise(F.lit(0.0))
     return df.withColumn(out, value.cast("double")).select(*keep, out)
 
 
@@ -186,9 +194,22 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     df = df.withColumn("n_chars", F.char_length("text").cast("bigint"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     df = df.withColumn("edited_text", F.concat(F.col("text").substr(F.lit(1), (F.col("n_chars") - cut).cast("int")), F.col("next_text").substr(F.lit(1), cut)))
-    df = df.withColumn("edited_sha256", F.sha2(F.col("edited_text").cast("binary"), 256)).drop("text", "next_text")
-    df = with_sketch(df, "edited_text", "edited").drop("edited_text")
-    df = with_likeness(with_likeness(df, "own", "edited", "near_edited"), "own", "following", "near_next")
+    df = df.withColumn("edited_sha256", F.sha2(F.col("edited_text").cast("binary"), 256))
+    df = with_sketch(df, "edited_text", "edited")
+    # pairs of both units: the one of words is read as characters, too
+    own, edited, following = (F.col(f"{x}_short") for x in ("own", "edited", "following"))
+    df = df.withColumns({
+        "own_text": F.when(~own & (edited | following), F.col("text")),
+        "edited_text": F.when(own & ~edited, F.col("edited_text")),
+        "following_text": F.when(own & ~following, F.col("next_text")),
+    }).drop("text", "next_text")
+    for x in ("own", "edited", "following"):
+        df = with_sketch(df, f"{x}_text", f"{x}_chars", chars_only=True).drop(f"{x}_text", f"{x}_chars_short")
+    for x, out in (("edited", "near_edited"), ("following", "near_next")):
+        mixed = own != F.col(f"{x}_short")
+        df = df.withColumn("__own", F.when(mixed & ~own, F.col("own_chars")).otherwise(F.col("own")))
+        df = df.withColumn("__other", F.when(mixed & own, F.col(f"{x}_chars")).otherwise(F.col(x)))
+        df = with_likeness(df, "__own", "__other", out).drop("__own", "__other")
     return df.select(
         "doc_id", "n_chars", "edited_sha256",
         fingerprint(F.col("own"), F.col("own_short")).alias("fingerprint"),

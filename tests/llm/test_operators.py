@@ -405,3 +405,20 @@ def test_quality_rejects_text_without_common_words(spark):
     kept = quality_kept(spark, planted)
     assert not any(kept[i] for i, _, _ in planted if i < 3000)
     assert all(k for i, k in kept.items() if i < 1000 or i >= 3000)
+
+
+def test_fingerprints_of_mixed_units(spark):
+    r = np.random.default_rng(3)
+    line = lambda n: " ".join("".join(chr(97 + c) for c in r.integers(0, 26, 5)) for _ in range(n))
+    text = line(80)[:479]
+    unspaced = "".join(chr(0x4E00 + c) for c in r.integers(0, 3000, 3000))
+    rows = [
+        (8, text + "xy"), (7, text), (6, text + "zz"),  # 481, 479 and 481 characters
+        (5, line(110)[:600]), (4, "short one"),  # the edited text has 409
+        (3, unspaced), (2, unspaced[:1500] + "変" + unspaced[1500:]), (1, line(300)),
+    ]
+    got = {x["doc_id"]: x for x in fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[8]["near_next"] > 0.8 and got[7]["near_next"] > 0.8
+    assert got[5]["near_edited"] > 0.4 and got[5]["near_next"] < 0.1
+    assert got[3]["near_next"] > 0.8 and got[2]["near_edited"] > 0.4 and got[3]["near_edited"] > 0.4
+    assert got[6]["near_next"] < 0.1 and got[1]["near_next"] < 0.1
