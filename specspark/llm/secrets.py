@@ -26,6 +26,8 @@ MIN_VALUE, MIN_ACCESS, MIN_HEX = 12, 18, 16
 KINDS = ("assign", "access", "hex", "markov")
 TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-"
+#: Characters that no token begins or ends with, and those that part a path or a name from a key.
+EDGE, CUTS = "._-=/+", "/.=-_"
 #: At most so many rows and so many distinct words are read to fit the models.
 SAMPLE_ROWS, SAMPLE_WORDS = 1000, 20_000
 #: A token is a secret at this mean ratio, when it also mixes two kinds of letters or digits.
@@ -106,19 +108,66 @@ def training_samples(docs: DataFrame, rows: int = SAMPLE_ROWS, words: int = SAMP
     return [(s, 0) for s in ordinary + joined + camel] + [(s, 1) for s in drawn + random_own]
 
 
+def _parts(a: int, b: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What is left of a to b outside the sorted ``spans``."""
+    out = []
+    for x, _, y in spans:
+        if x >= b:
+            break
+        if x > a:
+            out.append((a, x))
+        a = max(a, y)
+    return out + [(a, b)] if a < b else out
+
+
+def _stretch(values: np.ndarray, ends: list[int]) -> tuple[int, int]:
+    """The stretch of whole pieces (each up to one of ``ends``) with the largest sum."""
+    sums = np.r_[0.0, np.cumsum(values)][[0, *ends]]
+    low = np.minimum.accumulate(sums[:-1])
+    j = int(np.argmax(sums[1:] - low))
+    return [0, *ends][int(np.argmin(sums[: j + 1]))], ends[j]
+
+
+def random_stretches(text: str, a: int, b: int, ratio: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """(start, end) of what scores as random in the token characters from a to b.
+
+    The part is cut after ``/ . = - _``, and the stretch of pieces with the largest sum of log ratios is tried, then that of
+    the sum above ``least`` a character, then the whole; what lies before and after a hit is looked at likewise.
+    """
+    out, todo = [], [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        while a < b and text[a] in EDGE:
+            a += 1
+        while a < b and text[b - 1] in EDGE:
+            b -= 1
+        if b - a < MIN_HEX:
+            continue
+        part = text[a:b]
+        codes = codes_of(part)
+        values = ratio[np.r_[len(ALPHABET), codes[:-1]], codes]
+        ends = [i + 1 for i, c in enumerate(part) if c in CUTS] + [len(part)]
+        whole = (0, len(part))
+        for x, y in (whole,) if len(ends) == 1 else (_stretch(values, ends), _stretch(values - least, ends), whole):
+            token = part[x:y].rstrip(EDGE)
+            x += len(token) - len(token.lstrip(EDGE))
+            token = token.lstrip(EDGE)
+            kinds = sum(bool(re.search(k, token)) for k in ("[a-z]", "[A-Z]", "[0-9]"))
+            if len(token) >= MIN_HEX and kinds >= 2 and score(ratio, token) >= least:
+                out.append((a + x, a + x + len(token)))
+                todo += [(a, a + x), (a + x + len(token), b)]
+                break
+    return out
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]], ratio: np.ndarray, least: float) -> list[tuple[int, int, int]]:
-    """Tokens outside the base spans that score as random."""
+    """The stretches of tokens outside the base spans that score as random."""
     found = []
     for run in TOKEN.finditer(text):
-        a, b = run.span()
-        if any(x < b and y > a for x, _, y in base):
-            continue
-        token = run[0].strip("._-=/+")
-        a = text.index(token, a) if token else a
-        kinds = sum(bool(re.search(k, token)) for k in ("[a-z]", "[A-Z]", "[0-9]"))
-        if len(token) >= MIN_HEX and kinds >= 2 and score(ratio, token) >= least:
-            found.append((a, 3, a + len(token)))
-    return found
+        near = [s for s in base if s[0] < run.end() and s[2] > run.start()]
+        for part in _parts(*run.span(), near):
+            found += [(a, 3, b) for a, b in random_stretches(text, *part, ratio, least)]
+    return sorted(found)
 
 
 def scanner(ratio: np.ndarray, least: float = MIN_SCORE):

@@ -422,3 +422,24 @@ def test_fingerprints_of_mixed_units(spark):
     assert got[5]["near_edited"] > 0.4 and got[5]["near_next"] < 0.1
     assert got[3]["near_next"] > 0.8 and got[2]["near_edited"] > 0.4 and got[3]["near_edited"] > 0.4
     assert got[6]["near_next"] < 0.1 and got[1]["near_next"] < 0.1
+
+
+def test_secrets_beside_base_spans_and_in_paths():
+    r = np.random.default_rng(9)
+    draw = lambda n, a: "".join(a[i] for i in r.integers(0, len(a), n))
+    letters = secrets.ALPHABET[:62]
+    names = ["home", "user", "conf", "value", "number", "service", "default", "index", "library", "x", "key", "path", "data", "client", "config"]
+    ordinary = ["/".join(r.choice(names, 4)) for _ in range(800)] + ["_".join(r.choice(names, 3)) for _ in range(800)] + ["=".join(r.choice(names, 2)) for _ in range(400)]
+    ratio = secrets.fit([(s, 0) for s in ordinary] + [(draw(40, letters), 1) for _ in range(2000)])
+    found = lambda t: [(t[a:b]) for a, _, b in secrets.added_spans(t, secrets.base_spans(t), ratio, secrets.MIN_SCORE)]
+    key, other = draw(40, letters), draw(32, letters)
+    hexed = draw(16, "0123456789abcdef")
+    for t, want in (
+        (f"use AKIA{draw(16, letters[26:])}/{key} now", [key]),
+        (f"{hexed}-{key}", [key]),
+        (f"/home/user/conf/x={key}", [key]),
+        (f"config/{key}/library/service/default/index/{other}", [key, other]),
+        ("home/user/library/service/config/default_value.index", []),
+        (f"see {key}.", [key]),
+    ):
+        assert found(t) == want, t
