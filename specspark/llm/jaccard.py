@@ -132,15 +132,40 @@ class Join:
         s = s.withColumn("n", F.size("set"))
         first = F.slice("set", 1, F.greatest(prefix_size(F.col("n")), F.lit(1)))
         table = written(s.select("id", "n", F.xxhash64("set").alias("d1"), F.xxhash64(F.lit("set"), "set").alias("d2"), F.when(F.col("n") > 0, first).alias("prefix")), "prefixes")
+        ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("d1", "d2") for f in (F.min, F.max)]
+        several = table.groupBy("id").agg(*ends).filter("min_d1 <> max_d1 OR min_d2 <> max_d2").select("id")
+        several, named = written(several, "several-texts"), None
+        if not several.isEmpty():
+            table, named = self._apart(table, several)
         groups = table.filter("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k"))
         copies = written(groups.filter("k > 1").select("d1", "d2", "rep"), "classes")
-        in_class = table.select("id", "n", "d1", "d2").join(_small(copies), ["d1", "d2"], "left").withColumn("rep", F.coalesce("rep", "id"))
-        extra = written(in_class.filter("id <> rep").select("id").distinct(), "copies")
-        reps = table.filter("n > 0").select("id", "n", "prefix").join(_small(extra), "id", "left_anti")
+        in_class = table.join(_small(copies), ["d1", "d2"], "left").withColumn("rep", F.coalesce("rep", "id"))
+        reps = in_class.filter("n > 0 AND id = rep").select("id", "n", "prefix")
         edges = self._edges(reps)
         twins = in_class.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-        found = components(edges.unionByName(twins))
-        return table.select("id", "n", "d1", "d2").join(found, "id", "left")
+        edges, table = edges.unionByName(twins), table.select("id", "n", "d1", "d2")
+        if named is not None:
+            for c in ("a", "b"):
+                edges = edges.join(named.select(F.col("node").alias(c), "id"), c, "left").withColumn(c, F.coalesce("id", c)).drop("id")
+            table = table.join(named.select(F.col("node").alias("id"), F.col("id").alias("own")), "id", "left").withColumn("id", F.coalesce("own", "id")).drop("own")
+            edges = edges.filter("a <> b")
+        return table.join(components(edges), "id", "left")
+
+    def _apart(self, table: DataFrame, several: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``table`` with a number of its own for each set of the ids ``several``, which have more than one; and (node, id).
+
+        Sets are compared by these numbers; their links are the ids' links.
+        """
+        low, high = table.agg(F.min("id"), F.max("id")).first()
+        first = max(high, 0) + 1 if high < 2**62 else min(low, 0) - 2**62
+        named = table.join(_small(several), "id", "left_semi").select("id", "d1", "d2").distinct()
+        named = written(named.withColumn("node", F.monotonically_increasing_id() + F.lit(first)), "nodes")
+        split = with_set(self.docs.join(_small(several), "id", "left_semi").withColumn("t", F.col("text")))
+        split = split.withColumn("d1", F.xxhash64("set")).withColumn("d2", F.xxhash64(F.lit("set"), "set"))
+        split = written(split.join(named, ["id", "d1", "d2"]).select(F.col("node").alias("id"), F.col("t").alias("text")), "texts")
+        self.docs = self.docs.join(_small(several), "id", "left_anti").unionByName(split)
+        table = table.join(named, ["id", "d1", "d2"], "left").withColumn("id", F.coalesce("node", "id")).drop("node")
+        return written(table, "prefixes"), named.select("node", "id")
 
     def _edges(self, reps: DataFrame) -> DataFrame:
         """(a, b): links that connect whatever links between the sets of ``reps`` (id, n, prefix) connect."""

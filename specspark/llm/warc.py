@@ -83,9 +83,11 @@ def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     hashes = base.select("page_id", F.sha1("payload").alias("h"), F.octet_length("payload").alias("n")).filter(F.col("n") >= least)
     groups = hashes.groupBy("h", "n").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("k"))
     shared = groups.filter("k > 1").select("h", "n", "first")
-    links = hashes.join(shared, ["h", "n"]).filter("page_id <> first").select(F.col("page_id").alias("__p"), F.col("first").alias("refers_to"))
-    links = links.groupBy("__p").agg(F.max("refers_to").alias("refers_to"))
-    return base.join(links, F.col("page_id") == F.col("__p"), "left").drop("__p")
+    links = hashes.join(shared, ["h", "n"]).filter("page_id <> first")
+    # by payload, too: rows of one id may have others
+    links = links.groupBy(F.col("page_id").alias("__p"), F.col("h").alias("__h"), F.col("n").alias("__n")).agg(F.max("first").alias("refers_to"))
+    same = (F.col("page_id") == F.col("__p")) & (F.sha1("payload") == F.col("__h")) & (F.octet_length("payload") == F.col("__n"))
+    return base.join(links, same, "left").drop("__p", "__h", "__n")
 
 
 def write_archive(pages: DataFrame, folder: str | None = None, least: int = 0) -> DataFrame:

@@ -443,3 +443,22 @@ def test_secrets_beside_base_spans_and_in_paths():
         (f"see {key}.", [key]),
     ):
         assert found(t) == want, t
+
+
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    t = [words(120, 300 + i) for i in range(6)]
+    near = lambda w, i: " ".join([*w[:i], "changed", *w[i + 1 :]])
+    rows = [
+        (3, " ".join(t[0])), (5, " ".join(t[0])), (5, " ".join(t[1])), (9, near(t[1], 60)),  # a copy and a near text
+        (13, " ".join(t[2])), (15, near(t[2], 50)), (15, " ".join(t[3])), (19, near(t[3], 70)), (20, near(t[3], 20)),  # two near texts
+        (30, " ".join(t[4])), (31, " ".join(t[5])),
+    ]
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(3, 3), (5, 3), (9, 3), (13, 13), (15, 13), (19, 13), (20, 13), (30, 30), (31, 31)}
+
+
+def test_warc_keeps_payloads_of_an_id_with_two_texts(spark):
+    rows = [(7, "u7", "<p>same</p>"), (9, "u9", "<p>same</p>"), (7, "v7", "<p>other</p>")]
+    files = warc.write_archive(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    got = {(r["url"], r["record_type"], r["refers_to"], r["payload"] and bytes(r["payload"])) for r in warc.read_archive(files).collect()}
+    assert got == {("u7", "revisit", 9, None), ("u9", "response", None, b"<p>same</p>"), ("v7", "response", None, b"<p>other</p>")}
