@@ -12,7 +12,8 @@ from ..registry import query
 
 V = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v)"""
-#: Every hundredth vector against the vectors of its residue class; scores in millionths, so that both engines order alike.
+#: Every tenth vector (vec_id % 10 = 3) against the fifth of the vectors with its vec_id % 5, not the whole library; scores in
+#: millionths, so that both engines order alike.
 PAIRS = f"""{V}, pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS candidate_id, c.label AS candidate_label, q.label = c.label AS correct,
   round(list_dot_product(q.e, c.e) / q.n / c.n, 6) AS score FROM u q JOIN u c ON q.vec_id % 5 = c.vec_id % 5 AND q.vec_id <> c.vec_id WHERE q.vec_id % 10 = 3)"""
 W = f"WITH {PAIRS}"
@@ -21,7 +22,7 @@ FIRST = f"{RANKED}, f AS (SELECT query_id, coalesce(min(r) FILTER (WHERE correct
 
 
 def scored(spark, sf):
-    """(query_id, candidate_id, candidate_label, correct, score): stated queries against the rows of their class."""
+    """(query_id, candidate_id, candidate_label, correct, score): stated queries against the rows of equal vec_id % 5, a fifth of all."""
     v = vectors(spark, sf).withColumn("part", F.col("vec_id") % 5)
     q = v.filter("vec_id % 10 = 3").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("qv"), F.col("label").alias("ql"), "part")
     c = v.select(F.col("vec_id").alias("candidate_id"), F.col("vector").alias("cv"), F.col("label").alias("candidate_label"), "part")
