@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         if current.isDefined():
             base = current.get()
         else:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
             context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -40,6 +42,32 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """A folder of one run's written tables. Each ends the lineage of what it holds; they are deleted when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.made = spark, shared_dir(spark, name), 0
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.made += 1
+        path = f"{self.root}/{self.made:03d}-{name}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that ``write`` returned and nothing will read again."""
+        for gone in tables:
+            (path,) = (p for t, p in self.tables if t is gone)
+            remove(self.spark, path)
+            self.tables = [(t, p) for t, p in self.tables if p != path]
+
+    def drop_all(self, *but: DataFrame) -> None:
+        self.drop(*(t for t, _ in self.tables if not any(t is b for b in but)))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -1,108 +1,225 @@
 """Near-duplicate documents: an exact Jaccard join of word n-gram sets that skips work by relations between sets.
 
-Sets are 64-bit hashes of five-word shingles in hash order. Equal sets are one class from the start. A pair
-of Jaccard similarity t or more shares an element in the first ``n - ceil(t n) + 1`` elements of both (their
-prefixes), so only prefixes are indexed, as lists of sets by element.
-
-*Answers of similar sets.* Each set is compared with one leader first, the smallest id it shares most
-lists with. A set that links becomes the leader's follower, with known differences to it. From then on
-lists hold leaders: lists of copies shrink to one entry. Leaders of a common list are compared once, and a pair
-of followers is settled from that answer where the differences allow it; only the rest is compared itself.
-
-*Skipping lists.* What two sets share in their prefixes, and how much of either set lies beyond, bounds their
-overlap; pairs under the need are never fetched. Elements in lists of more than ``LONG_LIST`` leaders
-(passages that many documents share) go last in the global order, which moves them out of prefixes; the
-sets concerned take as many further elements, until no prefix holds a long list. Sets made of almost nothing else are grouped by their long-list elements, and
-compared group by group: see ``_made_of_passages``. No list is cut, sampled or skipped without such a proof.
+Sets are 64-bit hashes of five-word shingles. Equal sets are one class from the start. The join works in three steps.
+
+*Which sets can have a link.* Two sets that link share at least ``ceil(t n)`` elements of either, so the first k elements that they
+share, in any order common to all sets, are among the first ``n - ceil(t n) + k`` of each. k grows with n, and a set's partners have at
+least ``ceil(t n)`` elements: so a set stays only if as many as their k of its first elements (``ahead``) are found in other sets';
+what stays is read whole, and sets of which less than ``ceil(t n)`` elements are found in another one go, too.
+
+*Lists in blocks by position.* Elements are ordered by the number of sets that hold them, rarest first. If e is the first
+element that x and y share, they share at most ``n - position of e`` elements of either. So x looks into the list of e only for sizes
+that its position allows, and y is in that list only if it could link with sets of its size or more from its position. Lists
+are cut in blocks by size; blocks that a position rules out are never paired. Passages that many sets share stand last
+in the order, so sets that hold something of their own aren't in these lists at all.
+
+*Answers of similar sets.* Each set is compared with one leader first, of the heads of its lists the one it shares most lists with
+(the head of a list is the set that has the element first). A set that links follows the leader, with known differences to it, and the
+lists hold leaders in place of their followers. Leaders that meet in a block are compared once; for their followers that answer and
+the differences tell most links or their absence, and only the rest is compared itself.
+
+No list is cut or sampled and no candidate is dropped without such a proof.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
-from .linededup import SPACE_CHARS, lower_ascii
+from .common import Scratch, partitions
+from .shingles import digest, shingle_sets, short_key
 
-PERCENT, SHINGLE = 75, 5
-LONG_LIST = 48
-#: A set is first compared with a leader that it shares this part of its prefix with. A help, not a condition: other pairs are found by the lists.
-LEADER_SHARE = 0.3
-#: Ids (8 bytes) and elements that may be broadcast; more are shuffled.
+PERCENT = 75
+#: k as a share of n. It changes how much is read before most sets are ruled out, not the result.
+AHEAD = 0.12
+#: Sizes of one block of a list differ by this factor at most.
+BLOCK_RATIO = 1.1
+#: Ids (8 bytes) that may be broadcast; more are shuffled.
 BROADCAST_ROWS = 1_000_000
-SPACE = r"[\x20\x09-\x0D]+"
+#: Comparisons with one set that are made in one piece; the set is repeated for further ones.
+PIECE = 1000
+#: Elements that a task holds before it passes them on.
+HELD = 1 << 21
+SETS = "id bigint, n int, d binary, d1 bigint"
+
+
+def least_overlap(n: Column) -> Column:
+    """The least overlap of a set of ``n`` with any set that it links with: ceil(0.75 n)."""
+    return F.ceil(n * PERCENT / 100.0).cast("int")
 
 
-def shingle_set(text: Column, add) -> Column:
-    """Adds what it needs with ``add(name, column)`` and returns the sorted distinct hashes of the shingles of ``text``."""
-    words = add("w", F.filter(F.split(F.btrim(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(SPACE_CHARS)), SPACE), lambda w: w != ""))
-    h = add("h", F.transform(words, lambda w: F.xxhash64(w)))
+def links(o: Column, na: Column, nb: Column) -> Column:
+    """100 o >= 75 (na + nb - o), in whole numbers."""
+    return (100 + PERCENT) * o >= PERCENT * (na + nb)
 
-    def after(a: Column, k: int, b: Column) -> Column:
-        later = F.slice(b, k + 1, F.greatest(F.size(b), F.lit(1)))
-        return F.zip_with(a, later, lambda x, y: F.when(x.isNotNull() & y.isNotNull(), F.xxhash64(x, y)))
 
-    h2 = add("h2", after(h, 1, h))
-    h4 = add("h4", after(h2, 2, h2))
-    h5 = add("h5", F.slice(after(h4, 4, h), 1, F.greatest(F.size(h) - (SHINGLE - 1), F.lit(1))))
-    short = F.when(F.size(h) > 0, F.array(F.xxhash64(F.lit("short"), F.array_join(words, " ")))).otherwise(F.array().cast("array<bigint>"))
-    return F.when(F.size(h) >= SHINGLE, F.sort_array(F.array_distinct(h5))).otherwise(short)
+def ahead(n: int, share: float) -> int:
+    """How many elements of a set of ``n`` are looked at first."""
+    return n + (-n * PERCENT // 100) + max(1, math.floor(share * n))
 
 
-def with_set(docs: DataFrame, out: str = "set") -> DataFrame:
-    """``docs`` (text, others) with the shingle set in place of text."""
-    keep = [c for c in docs.columns if c != "text"]
-    state = {"df": docs}
+def shared_ahead(n: Column, share: float) -> Column:
+    """How many of these a set that links with another finds among its partner's: k of the smallest partner."""
+    return F.greatest(F.floor(share * least_overlap(n)), F.lit(1))
 
-    def add(name: str, c: Column) -> Column:
-        state["df"] = state["df"].withColumn(f"__{name}", c)
-        return F.col(f"__{name}")
 
-    made = shingle_set(F.col("text"), add)
-    return state["df"].withColumn(out, made).select(*keep, out)
+def _column(values: np.ndarray) -> pa.Array:
+    return pa.array(values.view(np.int64))
 
 
-def needed(na: Column, nb: Column) -> Column:
-    """The least overlap that links: 100 o >= 75 (na + nb - o)."""
-    return F.ceil(PERCENT * (na + nb) / (100.0 + PERCENT) - 1e-9)
+def summaries(docs: DataFrame) -> DataFrame:
+    """(id, n, d, d1) of each row of ``docs`` (id, text): size and digest of its set, and 64 bits of that."""
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            found = [(len(s), digest(s, i)) for i, s in zip(ids, shingle_sets(batch.column(1)))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([n for n, _ in found], pa.int32()), pa.array([d for _, d in found], pa.binary()),
+                 pa.array([short_key(d) for _, d in found], pa.int64())], names=["id", "n", "d", "d1"],
+            )
 
-def prefix_size(n: Column) -> Column:
-    return (n - F.ceil(n * PERCENT / 100.0) + 1).cast("int")
+    return docs.select("id", "text").mapInArrow(read, SETS)
+
+
+def _first_elements(docs: DataFrame, share: float) -> DataFrame:
+    """(e, d1, c) of the ``ahead`` elements of all sets of ``docs``.
+
+    Each is a row with c = 0, except those that a task finds in several sets itself: such an element is one row of a
+    null d1, however many sets hold it, and c of its own rows (e is any number then) counts them for a set.
+    """
+
+    def flush(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
+        keys = np.array(list(sets), np.int64)
+        e, d1 = np.concatenate(list(sets.values())), np.repeat(keys, [len(s) for s in sets.values()])
+        order = np.argsort(e, kind="stable")
+        e, d1 = e[order], d1[order]
+        starts = np.flatnonzero(np.append(True, e[1:] != e[:-1]))
+        several = np.diff(np.append(starts, len(e))) > 1
+        inside = np.repeat(several, np.diff(np.append(starts, len(e))))
+        counted, counts = np.unique(d1[inside], return_counts=True)
+        marks = e[starts[several]]
+        out_d = np.concatenate((d1[~inside], np.zeros(len(marks), np.int64), counted))
+        null = np.zeros(len(out_d), bool)
+        null[(~inside).sum() : (~inside).sum() + len(marks)] = True
+        out_c = np.concatenate((np.zeros((~inside).sum() + len(marks), np.int32), counts.astype(np.int32)))
+        out_e = np.concatenate((e[~inside].view(np.int64), marks.view(np.int64), counted))
+        return pa.RecordBatch.from_arrays([pa.array(out_e), pa.array(out_d, mask=null), pa.array(out_c)], names=["e", "d1", "c"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
+        for batch in batches:
+            for s in shingle_sets(batch.column(0)):
+                if len(s):
+                    first = s[: ahead(len(s), share)].copy()
+                    size += len(first)
+                    held[short_key(digest(s, 0))] = first
+                    if size > HELD:
+                        yield flush(held)
+                        held, size = {}, 0
+        if held:
+            yield flush(held)
+
+    return docs.select("text").mapInArrow(read, "e bigint, d1 bigint, c int")
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """(d1, c): how many elements of each set are found in another one, from ``rows`` of ``_first_elements`` (or more, where a set occurs twice).
+
+    Rows lie sorted by element, and a run of one element is told as it passes; a task holds one batch and the run at its end.
+    """
+
+    def told(e: np.ndarray, d: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """d of the rows whose element has a mark or two different d; rows are sorted by (e, mark first, d)."""
+        new = np.append(True, (e[1:] != e[:-1]) | (d[1:] != d[:-1]) | (mark[1:] != mark[:-1])) if len(e) else np.zeros(0, bool)
+        e, d, mark = e[new], d[new], mark[new]
+        if not len(e):
+            return d
+        starts = np.append(True, e[1:] != e[:-1])
+        run = np.cumsum(starts) - 1
+        shared = (np.bincount(run) > 1) | (np.bincount(run, weights=mark) > 0)
+        return d[shared[run] & ~mark]
+
+    def counts(d: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        keys, inverse = np.unique(d, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(inverse, weights=c, minlength=len(keys)).astype(np.int64))], names=["d1", "c"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        rest = (none, none, np.zeros(0, bool))
+        for batch in batches:
+            e, c = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            mark = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            d = batch.column(1).fill_null(0).to_numpy()
+            known = c > 0
+            if known.any():
+                yield counts(d[known], c[known])
+            e, d, mark = (np.concatenate((x, y[~known])) for x, y in zip(rest, (e, d, mark)))
+            last = np.searchsorted(e, e[-1]) if len(e) else 0
+            found = told(e[:last], d[:last], mark[:last])
+            if len(found):
+                yield counts(found, np.ones(len(found)))
+            rest = (e[last:], d[last:], mark[last:])
+        found = told(*rest)
+        if len(found):
+            yield counts(found, np.ones(len(found)))
+
+    dealt = rows.repartition(partitions(rows.sparkSession), "e").sortWithinPartitions("e", F.asc_nulls_first("d1"))
+    return dealt.mapInArrow(read, "d1 bigint, c bigint").groupBy("d1").agg(F.sum("c").alias("c"))
+
+
+def whole_sets(docs: DataFrame) -> DataFrame:
+    """(d, n, set) of each row of ``docs`` (text)."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [s for s in shingle_sets(batch.column(0)) if len(s)]
+            ends = np.cumsum([0, *(len(s) for s in sets)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([digest(s, 0) for s in sets], pa.binary()), pa.array(np.diff(ends), pa.int32()),
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _column(np.concatenate([np.zeros(0, np.uint64), *sets])))], names=["d", "n", "set"],
+            )
+
+    return docs.select("text").mapInArrow(read, "d binary, n int, set array<bigint>")
 
 
 def _small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table, marked for broadcast if it has at most ``limit`` rows."""
+    """A written table of ids and little else, marked for broadcast if it has at most ``limit`` rows."""
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component): the smallest id that each id of ``edges`` (a, b) is connected with.
 
     Labels take the smallest neighbouring label and are followed to their end, again and again, until
     no edge crosses two labels; each round is a written table.
     """
     ids = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    labels = written(ids.select("id", F.col("id").alias("component")), "labels")
-    cross = written(edges.select("a", "b").filter("a <> b").distinct(), "edges")
+    labels = scratch.write(ids.select("id", F.col("id").alias("component")), "labels")
+    cross = scratch.write(edges.select("a", "b").filter("a <> b").distinct(), "edges")
     while not cross.isEmpty():
         both = cross.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        parent = written(both.groupBy("a").agg(F.min("b").alias("b")), "parents")
+        parent = scratch.write(both.groupBy("a").agg(F.min("b").alias("b")), "parents")
         while True:  # follow each label to its end
             up = parent.select(F.col("a").alias("b"), F.col("b").alias("c"))
             step = parent.join(up, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("moved"))
-            step = written(step, "parents")
-            parent = step.select("a", "b")
-            if step.filter("moved").isEmpty():
+            before, parent = parent, scratch.write(step, "parents")
+            scratch.drop(before)
+            if parent.filter("moved").isEmpty():
                 break
-        labels = labels.join(parent, F.col("component") == F.col("a"), "left")
-        labels = written(labels.select("id", F.coalesce("b", "component").alias("component")), "labels")
-        to = parent.withColumnRenamed("b", "c")
-        cross = cross.join(to, "a", "left").select(F.coalesce("c", "a").alias("a"), "b")
-        cross = cross.join(to.select(F.col("a").alias("b"), "c"), "b", "left").select("a", F.coalesce("c", "b").alias("b"))
-        cross = written(cross.filter("a <> b").distinct(), "edges")
+        to = parent.select("a", F.col("b").alias("c"))
+        named = labels.join(to, F.col("component") == F.col("a"), "left").select("id", F.coalesce("c", "component").alias("component"))
+        left = cross.join(to, "a", "left").select(F.coalesce("c", "a").alias("a"), "b")
+        left = left.join(to.select(F.col("a").alias("b"), "c"), "b", "left").select("a", F.coalesce("c", "b").alias("b"))
+        before = (labels, cross, parent)
+        labels, cross = scratch.write(named, "labels"), scratch.write(left.filter("a <> b").distinct(), "edges")
+        scratch.drop(*before)
+    scratch.drop(cross)
     return labels
 
 
@@ -110,236 +227,164 @@ class Join:
     """One run of the join over ``docs`` (doc_id, text)."""
 
     def __init__(self, docs: DataFrame):
-        self.docs = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
-
-    def sets(self, ids: DataFrame) -> DataFrame:
-        """(id, set) of some ids, from their whole texts."""
-        ids = written(ids.select("id").distinct(), "ids")
-        return written(with_set(self.docs.join(_small(ids), "id", "left_semi")), "sets")
-
-    def compared(self, pairs: DataFrame) -> DataFrame:
-        """``pairs`` (a, b) with the sets' sizes na, nb and their overlap o."""
-        pairs = written(pairs.select("a", "b").distinct(), "pairs")
-        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")))
-        left = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
-        right = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-        both = pairs.join(left, "a").join(right, "b")
-        return written(both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("o")), "compared")
+        self.docs = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").filter("id is not null")
+        self.scratch = Scratch(docs.sparkSession, "near-duplicates")
 
     def run(self) -> DataFrame:
-        """(id, n, d1, d2, component) of every row with an id; component is null if it has no link beyond its class."""
-        s = with_set(self.docs.filter("id is not null"))
-        s = s.withColumn("n", F.size("set"))
-        first = F.slice("set", 1, F.greatest(prefix_size(F.col("n")), F.lit(1)))
-        table = written(s.select("id", "n", F.xxhash64("set").alias("d1"), F.xxhash64(F.lit("set"), "set").alias("d2"), F.when(F.col("n") > 0, first).alias("prefix")), "prefixes")
-        ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("d1", "d2") for f in (F.min, F.max)]
-        several = table.groupBy("id").agg(*ends).filter("min_d1 <> max_d1 OR min_d2 <> max_d2").select("id")
-        several, named = written(several, "several-texts"), None
-        if not several.isEmpty():
-            table, named = self._apart(table, several)
-        groups = table.filter("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k"))
-        copies = written(groups.filter("k > 1").select("d1", "d2", "rep"), "classes")
-        in_class = table.join(_small(copies), ["d1", "d2"], "left").withColumn("rep", F.coalesce("rep", "id"))
-        reps = in_class.filter("n > 0 AND id = rep").select("id", "n", "prefix")
-        edges = self._edges(reps)
-        twins = in_class.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-        edges, table = edges.unionByName(twins), table.select("id", "n", "d1", "d2")
-        if named is not None:
-            for c in ("a", "b"):
-                edges = edges.join(named.select(F.col("node").alias(c), "id"), c, "left").withColumn(c, F.coalesce("id", c)).drop("id")
-            table = table.join(named.select(F.col("node").alias("id"), F.col("id").alias("own")), "id", "left").withColumn("id", F.coalesce("own", "id")).drop("own")
-            edges = edges.filter("a <> b")
-        return table.join(components(edges), "id", "left")
-
-    def _apart(self, table: DataFrame, several: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """``table`` with a number of its own for each set of the ids ``several``, which have more than one; and (node, id).
-
-        Sets are compared by these numbers; their links are the ids' links.
+        """(id, n, component) of every row with an id, as a written table, the only one that is left."""
+        w = self.scratch
+        rows = w.write(summaries(self.docs), "summaries")
+        links_found = self._links(rows)
+        several = rows.groupBy("id").agg(F.min("d").alias("b"), F.max("d").alias("most")).filter("b <> most").select("id", "b")
+        several = w.write(several, "several-texts")
+        if not several.isEmpty():  # the texts of one id are one document
+            links_found = links_found.unionByName(rows.join(_small(several), "id").select(F.col("d").alias("a"), "b").filter("a <> b"))
+        labels = components(links_found, w)
+        named = rows.join(labels, F.col("d") == labels["id"], "left").select(rows["id"], "n", F.coalesce("component", "d").alias("label"))
+        groups = named.groupBy("label").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select(F.col("label").alias("l"), "least")
+        done = named.join(groups, F.col("label") == F.col("l"), "left").select("id", "n", F.coalesce("least", "id").alias("component"))
+        result = w.write(done, "components")
+        w.drop_all(result)
+        return result
+
+    def _links(self, rows: DataFrame) -> DataFrame:
+        """(a, b) of digests: links that connect whatever links between different sets connect."""
+        w = self.scratch
+        sets = self._candidates(rows)
+        order = self._ordered(sets)
+        lists = self._lists(order)
+        star = self._star(lists, order)
+        heads = star.select(F.col("b").alias("a")).distinct()
+        follows = star.join(heads, "a", "left_anti")  # a set that others follow stays a leader
+        follows = w.write(follows.select(F.col("a").alias("k"), F.col("b").alias("leader"), "n_a", (F.col("s_a") - F.col("o")).alias("own"), (F.col("s_b") - F.col("o")).alias("lost")), "followers")
+        pairs = w.write(self._block_pairs(lists, follows), "leader-pairs")
+        compared = self._compared(pairs, order)
+        edges = star.select("a", "b").unionByName(self._answers(compared, follows, order))
+        names = sets.select("k", "d")
+        edges = edges.join(names.withColumnRenamed("k", "a"), "a").select(F.col("d").alias("x"), "b")
+        return w.write(edges.join(names.withColumnRenamed("k", "b"), "b").select(F.col("x").alias("a"), F.col("d").alias("b")), "links")
+
+    def _candidates(self, rows: DataFrame) -> DataFrame:
+        """(k, d, n, set) of the different sets that may have a link; k is a number of this table."""
+        w = self.scratch
+        found = w.write(_counted(_first_elements(self.docs, AHEAD)), "shared-elements")
+        one = rows.filter("n > 0").groupBy("d", "d1", "id").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
+        one = one.groupBy("d", "d1").agg(F.min(F.struct("id", "k", "n")).alias("m")).select("d", "d1", "m.*")
+        kept = w.write(one.join(found, "d1").filter(F.col("c") >= shared_ahead(F.col("n"), AHEAD)).select("id", "d", "k"), "kept")
+        read = whole_sets(self.docs.join(_small(kept.select("id").distinct()), "id", "left_semi"))
+        if not kept.filter("k > 1").isEmpty():  # rows that repeat both id and text
+            read = read.dropDuplicates(["d"])
+        sets = w.write(read.withColumn("k", F.monotonically_increasing_id()), "sets")
+        w.drop(found, kept)
+        return sets
+
+    def _ordered(self, sets: DataFrame) -> DataFrame:
+        """(k, n, s): the elements that other sets of ``sets`` hold, too, the rarest first, of sets with enough of them."""
+        w = self.scratch
+        rows = sets.select("k", F.explode("set").alias("e"))
+        often = rows.groupBy("e").agg(F.count(F.lit(1)).cast("int").alias("f")).filter("f > 1")
+        shared = rows.join(often, "e").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("s"))
+        shared = shared.join(sets.select("k", "n"), "k").filter(F.size("s") >= least_overlap(F.col("n")))
+        return w.write(shared.select("k", "n", F.col("s.e").alias("s")), "ordered")
+
+    def _lists(self, order: DataFrame) -> DataFrame:
+        """(e, k, n, rest, head): prefix elements that several sets have in theirs. rest: how many elements of the set there are from e on.
+
+        Elements of a set that no other one holds come first of all, so those of ``s`` are its last.
         """
-        low, high = table.agg(F.min("id"), F.max("id")).first()
-        first = max(high, 0) + 1 if high < 2**62 else min(low, 0) - 2**62
-        named = table.join(_small(several), "id", "left_semi").select("id", "d1", "d2").distinct()
-        named = written(named.withColumn("node", F.monotonically_increasing_id() + F.lit(first)), "nodes")
-        split = with_set(self.docs.join(_small(several), "id", "left_semi").withColumn("t", F.col("text")))
-        split = split.withColumn("d1", F.xxhash64("set")).withColumn("d2", F.xxhash64(F.lit("set"), "set"))
-        split = written(split.join(named, ["id", "d1", "d2"]).select(F.col("node").alias("id"), F.col("t").alias("text")), "texts")
-        self.docs = self.docs.join(_small(several), "id", "left_anti").unionByName(split)
-        table = table.join(named, ["id", "d1", "d2"], "left").withColumn("id", F.coalesce("node", "id")).drop("node")
-        return written(table, "prefixes"), named.select("node", "id")
-
-    def _edges(self, reps: DataFrame) -> DataFrame:
-        """(a, b): links that connect whatever links between the sets of ``reps`` (id, n, prefix) connect."""
-        rows = reps.select("id", "n", F.posexplode("prefix").alias("pos", "e"))
-        shared = written(rows.groupBy("e").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("e"), "shared")
-        if shared.isEmpty():
-            return reps.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-        lists = written(rows.join(_small(shared), "e"), "lists")
-        star = self._leaders(lists)
-        follows = star.select(F.col("a").alias("id"), F.col("b").alias("leader"), (F.col("na") - F.col("o")).alias("own"), (F.col("nb") - F.col("o")).alias("lost"))
-        follows = written(follows, "followers")
-        long_lists = self._long_lists(self._led(lists, follows))
-        passages = None
-        if long_lists.isEmpty():
-            open_rows = self._led(lists, follows).withColumn("p", prefix_size(F.col("n")))
-        else:
-            open_rows, passages = self._without_long_lists(rows, follows, long_lists)
-        pairs = self._leader_pairs(open_rows, follows)
-        links = star.select("a", "b").unionByName(self._follower_links(self.compared(pairs), follows))
-        return links if passages is None else links.unionByName(passages)
-
-    def _leaders(self, lists: DataFrame) -> DataFrame:
-        """Compared pairs (a, b, na, nb, o) that link: b is the smallest id in most of a's lists."""
-        heads = lists.groupBy("e").agg(F.min("id").alias("leader"))
-        votes = lists.select("e", "id", "n").join(heads, "e").filter("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"))
-        votes = votes.filter(F.col("k") >= LEADER_SHARE * prefix_size(F.col("n")))
-        best = votes.groupBy("id").agg(F.max(F.struct("k", (-F.col("leader")).alias("l"))).alias("m"))
-        first = self.compared(best.select(F.col("id").alias("a"), (-F.col("m.l")).alias("b")))
-        linked = first.filter(F.col("o") >= needed(F.col("na"), F.col("nb")))
-        return written(linked.groupBy("a", "b").agg(F.min("na").alias("na"), F.max("nb").alias("nb"), F.max("o").alias("o")), "star")
-
-    @staticmethod
-    def _long_lists(rows: DataFrame) -> DataFrame:
-        """(e) of the lists of ``rows`` (e, leader) with more than ``LONG_LIST`` leaders."""
-        leaders = rows.groupBy("e", "leader").agg(F.count(F.lit(1)).alias("c")).groupBy("e").agg(F.count(F.lit(1)).alias("leaders"))
-        return written(leaders.filter(F.col("leaders") > LONG_LIST).select("e"), "long-lists")
-
-    @staticmethod
-    def _led(rows: DataFrame, follows: DataFrame) -> DataFrame:
-        """``rows`` with leader: the set itself or what it follows."""
-        return rows.join(_small(follows.select("id", "leader")), "id", "left").withColumn("leader", F.coalesce("leader", "id"))
-
-    def _leader_pairs(self, rows: DataFrame, follows: DataFrame) -> DataFrame:
-        """(a, b) of leaders with a common list, a < b, whose sets or followers may link.
-
-        ``rows`` has p, how many elements of its order a set is listed by. Of two sets, the one whose listed part ends first
-        has all it shares of that part in common lists: overlap <= common lists + the larger rest of both. The lists that two
-        leaders have in common by any follower are at least as many as any pair of followers has, so this holds for groups
-        with their largest rest and their smallest need. For sets without followers the place of the last common list bounds it, too.
-        """
-        led = written(follows.groupBy("leader").agg(F.count(F.lit(1)).alias("f")).select("leader"), "with-followers")
-        rows = written(rows.select("e", "id", "leader", "n", "pos", "p"), "led-lists")
-        stats = rows.groupBy("leader").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("p")).alias("rest"))
-        stats = stats.join(_small(led.withColumn("group", F.lit(True))), "leader", "left").withColumn("group", F.coalesce("group", F.lit(False)))
-        entry = rows.groupBy("e", "leader").agg(F.max("pos").alias("pos")).join(stats, "leader")
-        entry = written(entry, "entries")
-        fields = ("leader", "least", "most", "rest", "pos", "group")
-        a, b = (entry.select("e", *[F.col(c).alias(f"{c}_{x}") for c in fields]) for x in ("a", "b"))
-        near = (F.col("least_a") * PERCENT <= F.col("most_b") * 100) & (F.col("least_b") * PERCENT <= F.col("most_a") * 100)
-        met = a.join(b, "e").filter((F.col("leader_a") < F.col("leader_b")) & near)
-        met = met.groupBy(F.col("leader_a").alias("a"), F.col("leader_b").alias("b")).agg(
-            F.count(F.lit(1)).alias("o"), F.max("pos_a").alias("pa"), F.max("pos_b").alias("pb"), F.max("least_a").alias("na"),
-            F.max("least_b").alias("nb"), F.max("most_a").alias("ma"), F.max("most_b").alias("mb"),
-            F.max(F.greatest("rest_a", "rest_b")).alias("rest"), F.max(F.col("group_a") | F.col("group_b")).alias("group"),
-        )
-        need = needed(F.col("na"), F.col("nb"))
-        after = F.least(F.col("ma") - F.col("pa") - 1, F.col("mb") - F.col("pb") - 1)
-        return met.filter((F.col("o") + F.col("rest") >= need) & (F.col("group") | (F.col("o") + after >= need))).select("a", "b")
-
-    def _follower_links(self, leaders: DataFrame, follows: DataFrame) -> DataFrame:
-        """Links between the sets of two leaders, from the leaders' answer where it settles them.
-
-        For x of leader a and y of b: overlap(a, b) - lost(x) - lost(y) <= overlap(x, y) <= overlap(a, b) + own(x) + own(y).
-        """
-        linked = F.col("o") >= needed(F.col("na"), F.col("nb"))
-        links = leaders.filter(linked).select("a", "b")
-        members = follows.select("leader", "id", "own", "lost")
-        sizes = leaders.select(F.explode(F.array(F.struct(F.col("a").alias("leader"), F.col("na").alias("n")), F.struct(F.col("b").alias("leader"), F.col("nb").alias("n")))).alias("s")).select("s.*").distinct()
-        selves = sizes.select("leader", F.col("leader").alias("id"), F.lit(0).alias("own"), F.lit(0).alias("lost"), "n")
-        members = members.join(sizes, "leader").withColumn("n", F.col("n") - F.col("lost") + F.col("own"))
-        widest = written(members.groupBy("leader").agg(F.max("own").alias("wide"), F.min("n").alias("small")), "widest")
-        if widest.isEmpty():
-            return links
-        # leaders that link have linked followers by way of them: only the other pairs need a look
-        apart = leaders.filter(~linked)
-        for x in ("a", "b"):
-            w = widest.select(F.col("leader").alias(x), F.col("wide").alias(f"w{x}"), F.col("small").alias(f"s{x}"))
-            apart = apart.join(w, x, "left").withColumn(f"w{x}", F.coalesce(f"w{x}", F.lit(0))).withColumn(f"s{x}", F.least(F.coalesce(f"s{x}", f"n{x}"), F.col(f"n{x}")))
-        # with fewer members than the smallest, the need would be less: the smallest sizes bound it from below
-        apart = apart.filter(F.col("wa") + F.col("wb") + F.col("o") >= needed(F.col("sa"), F.col("sb"))).filter((F.col("wa") > 0) | (F.col("wb") > 0) | (F.col("sa") < F.col("na")) | (F.col("sb") < F.col("nb")))
-        everyone = members.select("leader", "id", "own", "lost", "n").unionByName(selves.select("leader", "id", "own", "lost", "n"))
-        everyone = written(everyone.distinct(), "members")
-        x = everyone.select(F.col("leader").alias("a"), F.col("id").alias("x"), F.col("own").alias("ox"), F.col("lost").alias("lx"), F.col("n").alias("nx"))
-        y = everyone.select(F.col("leader").alias("b"), F.col("id").alias("y"), F.col("own").alias("oy"), F.col("lost").alias("ly"), F.col("n").alias("ny"))
-        need = needed(F.col("nx"), F.col("ny"))
-        both = apart.select("a", "b", "o").join(x, "a").join(y, "b").filter(F.col("o") + F.col("ox") + F.col("oy") >= need)
-        both = both.filter((F.col("x") != F.col("a")) | (F.col("y") != F.col("b")))
-        sure = F.col("o") - F.col("lx") - F.col("ly") >= need
-        both = written(both.select(F.col("x").alias("a"), F.col("y").alias("b"), sure.alias("sure")), "follower-pairs")
-        rest = self.compared(both.filter("not sure"))
-        return links.unionByName(both.filter("sure").select("a", "b")).unionByName(
-            rest.filter(F.col("o") >= needed(F.col("na"), F.col("nb"))).select("a", "b")
-        )
-
-    def _without_long_lists(self, rows: DataFrame, follows: DataFrame, long_lists: DataFrame):
-        """Prefix rows under an order with long-list elements last, and the links of sets made of them.
-
-        Each round, a set with long-list elements among those it has read reads as many more in hash order, and lists
-        that have become long by that count too. At the end every set has its first ``prefix_size`` other elements, or
-        has been read whole.
+        own = F.col("n") - F.size("s")
+        length = F.greatest(F.col("n") - least_overlap(F.col("n")) + 1 - own, F.lit(0))
+        rows = order.select("k", "n", F.size("s").alias("m"), F.posexplode(F.slice("s", 1, length)).alias("i", "e"))
+        rows = rows.select("e", "k", "n", (F.col("m") - F.col("i")).alias("rest"))
+        first = F.min(F.struct((F.col("n") - F.col("rest")).alias("at"), F.col("k").alias("k")))
+        heads = rows.groupBy("e").agg(first.alias("h"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("e", F.col("h.k").alias("head"))
+        return self.scratch.write(rows.join(heads, "e"), "lists")
+
+    def _star(self, lists: DataFrame, order: DataFrame) -> DataFrame:
+        """Compared pairs (a, b, ...) that link, one of each set a at most: b is the head of most of its lists."""
+        votes = lists.filter("k <> head").groupBy("k", "head").agg(F.count(F.lit(1)).alias("c"))
+        best = votes.groupBy("k").agg(F.max(F.struct("c", (-F.col("head")).alias("h"))).alias("m"))
+        pairs = self.scratch.write(best.select(F.col("k").alias("a"), (-F.col("m.h")).alias("b")), "star-pairs")
+        compared = self._compared(pairs, order)
+        return self.scratch.write(compared.filter(links(F.col("o"), F.col("n_a"), F.col("n_b"))), "star")
+
+    def _compared(self, pairs: DataFrame, order: DataFrame) -> DataFrame:
+        """``pairs`` (a, b), a written table, with the overlap o of their sets, the sizes n_a, n_b and s_a, s_b of their shared elements.
+
+        A set of many pairs is repeated for every ``PIECE`` of them.
         """
-        late, more, rounds = long_lists, None, 0
-        while True:
-            seen = rows if more is None else rows.unionByName(more)
-            hot = seen.join(_small(late), "e", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("late"), F.max("n").alias("n"))
-            if more is None:
-                state = hot.withColumn("more", F.lit(0))
-            else:
-                state = hot.join(more.groupBy("id").agg(F.count(F.lit(1)).alias("more")), "id", "left").withColumn("more", F.coalesce("more", F.lit(0)))
-            p = prefix_size(F.col("n"))
-            state = state.withColumn("p", p).withColumn("short", F.col("late") - F.col("more")).withColumn("read", p + F.col("more"))
-            state = written(state.select("id", "n", "p", "late", "read", "short"), "read-so-far")
-            # how far to read is a guess that saves rounds: after three, the few sets left are read whole
-            step, rounds = 16 * 4**rounds if rounds < 3 else 2**30, rounds + 1
-            want = state.filter("short > 0 and read < n").select("id", "read", F.least(F.col("n") - F.col("read"), F.col("short") * 2 + step).cast("int").alias("take"))
-            want = written(want, "wanted")
-            if want.isEmpty():
-                break
-            read = with_set(self.docs.join(_small(want), "id"))
-            taken = F.posexplode(F.slice("set", F.col("read") + 1, F.col("take"))).alias("i", "e")
-            fresh = read.select("id", F.size("set").alias("n"), "read", taken).select("id", "n", (F.col("read") + F.col("i")).cast("int").alias("pos"), "e")
-            fresh = written(fresh, "read-more")
-            more = fresh if more is None else more.unionByName(fresh)
-            late = written(late.unionByName(self._long_lists(self._led(more, follows))).distinct(), "late-elements")
-        early = rows.select("id", "n", "pos", "e") if more is None else rows.select("id", "n", "pos", "e").unionByName(more)
-        early = early.join(_small(late), "e", "left_anti")
-        often = written(early.groupBy("e").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("e"), "shared")
-        both = self._led(early.join(_small(often), "e"), follows)
-        # a place in the new order is at least the old one less the late elements read
-        back = state.select("id", "late", F.least(F.col("p"), F.col("read") - F.col("late")).alias("early"))
-        both = both.join(_small(back), "id", "left").withColumn("pos", F.col("pos") - F.coalesce("late", F.lit(0)))
-        both = both.withColumn("p", F.coalesce("early", prefix_size(F.col("n")))).drop("late", "early")
-        # sets read whole without finding enough other elements
-        whole = written(state.filter("short > 0").select("id"), "passage-ids")
-        seen = rows if more is None else rows.unionByName(more)
-        parts = seen.join(_small(whole), "id", "left_semi").join(_small(late.withColumn("is_late", F.lit(True))), "e", "left")
-        sets = parts.groupBy("id").agg(F.count_if(F.col("is_late").isNull()).cast("int").alias("c"), F.array_sort(F.collect_set(F.when(F.col("is_late"), F.col("e")))).alias("h"))
-        return both, self._made_of_passages(sets)
+        df = pairs
+        for c, other in (("a", "b"), ("b", "a")):
+            parts = pairs.groupBy(c).agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("parts"))
+            df = df.join(parts, c).withColumn("part", F.pmod(F.xxhash64(other), F.col("parts")).cast("int")).drop("parts")
+            sets = order.join(parts, order["k"] == parts[c]).select(
+                F.col("k").alias(c), F.col("n").alias(f"n_{c}"), F.col("s").alias(f"set_{c}"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+            )
+            df = df.join(sets, [c, "part"]).drop("part")
+        o = F.size(F.array_intersect("set_a", "set_b"))
+        return self.scratch.write(df.select("a", "b", "n_a", "n_b", F.size("set_a").alias("s_a"), F.size("set_b").alias("s_b"), o.alias("o")), "compared")
 
     @staticmethod
-    def _made_of_passages(sets: DataFrame) -> DataFrame:
-        """Links among ``sets`` (id, c, h) whose early elements don't fill the prefix: c of early ones C(x), and the late ones H(x) as h.
+    def _block_pairs(lists: DataFrame, follows: DataFrame) -> DataFrame:
+        """(a, b), a < b: leaders (or sets that follow none) that meet, or whose followers meet, in a block of a list.
 
-        All of C(x) is in x's prefix, so pairs that share an early element are found by the lists. Without one,
-        the overlap is that of H. Let m be the set of fewest early elements of all with H = H(m). If x and y with H(y) = H(m)
-        link without a shared early element, so do x and m, and so do m and the like set of H(x), for C only grows: comparing
-        every x with one set of each similar H finds all their components.
+        Of a linking pair x, y with y not the larger one, let e be the first common element: both have at least
+        the needed overlap from e on. So y stands in e's list with ``rest`` of at least what it needs with a set of its own size, in the block
+        of its size, and x's rest admits a size of at most 7/3 rest - n: x looks into the blocks from 0.75 n to that.
+        """
+        t = 100 + PERCENT
+        led = lists.select("e", "k", "n", "rest").join(_small(follows.select("k", "leader")), "k", "left").withColumn("g", F.coalesce("leader", "k"))
+
+        def block(n: Column) -> Column:
+            return F.floor(F.log(n.cast("double")) / math.log(BLOCK_RATIO) + 1e-9).cast("int")
+
+        best = [F.max("rest").alias("rest"), F.min("n").alias("least"), F.max("n").alias("most")]
+        listed = led.filter(t * F.col("rest") >= 2 * PERCENT * F.col("n")).groupBy("e", block(F.col("n")).alias("block"), "g").agg(*best)
+        low = least_overlap(F.col("n"))
+        high = F.least(F.col("n"), F.floor(t * F.col("rest") / PERCENT).cast("int") - F.col("n"))
+        looking = led.withColumn("low", low).withColumn("high", high).filter("low <= high")
+        blocks = F.explode(F.sequence(block(F.col("low")), block(F.col("high")))).alias("block")
+        looking = looking.select("e", blocks, "g", "rest", "n").groupBy("e", "block", "g").agg(*best)
+        fields = ("g", "rest", "least", "most")
+        x, y = (df.select("e", "block", *[F.col(c).alias(f"{c}_{i}") for c in fields]) for df, i in ((looking, "x"), (listed, "y")))
+        near = t * F.least("rest_x", "rest_y") >= PERCENT * (F.col("least_x") + F.col("least_y"))
+        sizes = (F.col("least_x") * PERCENT <= F.col("most_y") * 100) & (F.col("least_y") * PERCENT <= F.col("most_x") * 100)
+        met = x.join(y, ["e", "block"]).filter((F.col("g_x") != F.col("g_y")) & near & sizes)
+        return met.select(F.least("g_x", "g_y").alias("a"), F.greatest("g_x", "g_y").alias("b")).distinct()
+
+    def _answers(self, leaders: DataFrame, follows: DataFrame, order: DataFrame) -> DataFrame:
+        """(a, b): links of the compared ``leaders`` and, where these don't link, of the sets that follow them.
+
+        For x of leader a and y of b: o(a, b) - lost(x) - lost(y) <= o(x, y) <= o(a, b) + own(x) + own(y), where own counts elements of x
+        that its leader lacks and some other set holds.
         """
-        made = written(sets.withColumn("g", F.xxhash64("h")), "passage-sets")
-        if made.isEmpty():
-            return made.select(F.col("id").alias("a"), F.col("id").alias("b"))
-        least = made.groupBy("g").agg(F.min(F.struct("c", "id")).alias("m"), F.min("h").alias("h"))
-        least = written(least.select("g", F.col("m.c").alias("c"), F.col("m.id").alias("id"), "h", F.size("h").alias("n")), "passage-groups")
-        rows = least.select("g", "n", F.explode(F.slice("h", 1, prefix_size(F.col("n")))).alias("e"))
-        g, k = rows.select("e", "g", "n"), rows.select("e", F.col("g").alias("g2"), F.col("n").alias("n2"))
-        close = F.col("n2").between(F.col("n") * PERCENT / 100.0, F.col("n") * 100.0 / PERCENT)
-        pairs = written(g.join(k, "e").filter(close).select("g", "g2").distinct(), "passage-pairs")
-        one = least.select("g", "h", "n")
-        two = least.select(F.col("g").alias("g2"), F.col("h").alias("h2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("id").alias("b"))
-        pairs = pairs.join(one, "g").join(two, "g2").withColumn("o", F.size(F.array_intersect("h", "h2")))
-        pairs = written(pairs.filter(F.col("o") >= needed(F.col("n"), F.col("n2"))).select("g", "n", "n2", "c2", "b", "o"), "passage-near")
-        met = made.select("id", "c", "g").join(_small(pairs), "g")
-        met = met.filter(F.col("o") >= needed(F.col("n") + F.col("c"), F.col("n2") + F.col("c2")))
-        return written(met.select(F.col("id").alias("a"), "b").filter("a <> b"), "passage-links")
+        w = self.scratch
+        linked = links(F.col("o"), F.col("n_a"), F.col("n_b"))
+        found = leaders.filter(linked).select("a", "b")
+        members = follows.select("leader", F.col("k"), F.col("n_a").alias("n"), "own", "lost")
+        widest = w.write(members.groupBy("leader").agg(F.max("own").alias("wide"), F.min("n").alias("small")), "widest")
+        # leaders that link have their followers linked by way of them: only the other pairs need a look
+        apart = leaders.filter(~linked).select("a", "b", "n_a", "n_b", "o")
+        for c in ("a", "b"):
+            m = widest.select(F.col("leader").alias(c), F.col("wide").alias(f"wide_{c}"), F.col("small").alias(f"small_{c}"))
+            apart = apart.join(m, c, "left").withColumn(f"wide_{c}", F.coalesce(f"wide_{c}", F.lit(0))).withColumn(f"small_{c}", F.least(f"small_{c}", f"n_{c}"))
+        apart = w.write(apart.filter(links(F.col("o") + F.col("wide_a") + F.col("wide_b"), F.col("small_a"), F.col("small_b"))), "apart")
+        if apart.isEmpty():
+            return found
+        # on either side the leader and those followers that could link with someone of the other side
+        sides = []
+        for c, d in (("a", "b"), ("b", "a")):
+            selves = apart.select("a", "b", F.col(c).alias("k"), F.col(f"n_{c}").alias("n"), F.lit(0).alias("own"), F.lit(0).alias("lost"))
+            some = apart.join(members, F.col(c) == members["leader"]).select("a", "b", "k", "n", "own", "lost", "o", f"wide_{d}", f"small_{d}")
+            some = some.filter(links(F.col("o") + F.col("own") + F.col(f"wide_{d}"), F.col("n"), F.col(f"small_{d}"))).select("a", "b", "k", "n", "own", "lost")
+            sides.append(selves.unionByName(some).select("a", "b", *[F.col(x).alias(f"{x}_{c}") for x in ("k", "n", "own", "lost")]))
+        both = apart.select("a", "b", "o").join(sides[0], ["a", "b"]).join(sides[1], ["a", "b"])
+        both = both.filter(links(F.col("o") + F.col("own_a") + F.col("own_b"), F.col("n_a"), F.col("n_b")) & ((F.col("k_a") != F.col("a")) | (F.col("k_b") != F.col("b"))))
+        sure = links(F.col("o") - F.col("lost_a") - F.col("lost_b"), F.col("n_a"), F.col("n_b"))
+        both = w.write(both.select(F.col("k_a").alias("a"), F.col("k_b").alias("b"), sure.alias("sure")), "follower-pairs")
+        unsure = w.write(both.filter("not sure").select("a", "b").distinct(), "unsure")
+        rest = self._compared(unsure, order).filter(linked)
+        return found.unionByName(both.filter("sure").select("a", "b")).unionByName(rest.select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -351,22 +396,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     with nothing and have a null component_id. Other columns are left out.
     """
     done = Join(docs).run()
-    numbered = done.select(F.col("id").alias("doc_id"), F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    nameless = with_set(docs.filter("doc_id is null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
-    return numbered.unionByName(nameless.select("doc_id", F.size("set").cast("bigint").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id")))
+    numbered = done.select(F.col("id").alias("doc_id"), F.col("n").cast("bigint").alias("n_shingles"), F.col("component").alias("component_id"))
+    nameless = summaries(docs.filter("doc_id is null").select(F.lit(None).cast("bigint").alias("id"), "text"))
+    return numbered.unionByName(nameless.select(F.col("id").alias("doc_id"), F.col("n").cast("bigint").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one row of each component: one of the smallest doc_id (of rows with that id,
     the first by hash of the text). Rows with a null id all stay."""
-    found = near_duplicates(docs)
-    gone = written(found.filter("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
+    found = Join(docs).run()
+    w = Scratch(docs.sparkSession, "keep-one")
+    gone = w.write(found.filter("component <> id").select(F.col("id").alias("doc_id")).distinct(), "near-copies")
     kept = docs.join(_small(gone), "doc_id", "left_anti")
-    again = written(kept.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("doc_id"), "repeated")
+    again = found.filter("component = id").groupBy("id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.col("id").alias("doc_id"))
+    again = w.write(again, "repeated")
     if again.isEmpty():
         return kept.select(*docs.columns)
     # repeated rows of one id, a rarity: the first of each
-    w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    first = kept.join(_small(again), "doc_id", "left_semi").withColumn("__r", F.row_number().over(w)).filter("__r = 1")
+    by_text = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    first = kept.join(_small(again), "doc_id", "left_semi").withColumn("__r", F.row_number().over(by_text)).filter("__r = 1")
     rest = kept.join(_small(again), "doc_id", "left_anti")
     return rest.select(*docs.columns).unionByName(first.select(*docs.columns))

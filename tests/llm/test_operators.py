@@ -7,10 +7,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from specspark.llm import fingerprints, html, jaccard, langid, linededup, mixing, packing, quality, secrets, warc
+from specspark.llm import fingerprints, html, jaccard, langid, linededup, mixing, packing, quality, secrets, shingles, warc
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, w string, kept string, set string, copy string, leader string"
@@ -152,14 +153,15 @@ def brute_components(rows):
     return collections.Counter((i, len(s), find(i)) for i, s in zip(ids, sets))
 
 
-@pytest.mark.parametrize("long_list, share", [(48, 0.3), (2, 0.3), (2, 9.0)])
-def test_near_duplicates(docs, rows, empty, monkeypatch, long_list, share):
-    monkeypatch.setattr(jaccard, "LONG_LIST", long_list)
-    monkeypatch.setattr(jaccard, "LEADER_SHARE", share)
+@pytest.mark.parametrize("share, ratio", [(0.12, 1.1), (0.0, 2.0), (0.75, 1.02)])
+def test_near_duplicates(docs, rows, empty, monkeypatch, share, ratio):
+    monkeypatch.setattr(jaccard, "AHEAD", share)
+    monkeypatch.setattr(jaccard, "BLOCK_RATIO", ratio)
+    monkeypatch.setattr(jaccard, "PIECE", 2)
     got = jaccard.near_duplicates(docs).collect()
     assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None) == brute_components(rows)
     assert [r["component_id"] for r in got if r["doc_id"] is None] == [None]
-    if share == 0.3 and long_list == 48:
+    if share == 0.12:
         assert jaccard.near_duplicates(empty).count() == 0
         one = jaccard.keep_one(docs)
         assert one.columns == docs.columns
@@ -167,18 +169,17 @@ def test_near_duplicates(docs, rows, empty, monkeypatch, long_list, share):
         assert sorted(x for x in kept if x is not None) == sorted({c for _, _, c in brute_components(rows)})
 
 
-@pytest.mark.parametrize("seed, long_list", [(1, 3), (2, 2)])
-def test_near_duplicates_of_passages(spark, monkeypatch, seed, long_list):
+@pytest.mark.parametrize("seed, many", [(1, 150), (2, 150), (3, 700)])
+def test_near_duplicates_of_passages(spark, seed, many):
     """Many sets made of a few passages and some words of their own: long lists, new prefixes and sets without other elements."""
     r = np.random.default_rng(seed)
     passages = [words(int(r.integers(20, 50)), 100 + i) for i in range(4)]
     rows = []
-    for i in range(150):
+    for i in range(many):
         parts = [passages[k] for k in r.choice(4, size=r.integers(1, 3), replace=False)] + [words(int(r.integers(0, 14)), 1000 + i)]
         if r.random() < 0.3:
             parts = [passages[0][: int(r.integers(15, 20))], words(int(r.integers(0, 5)), 2000 + i)]
         rows.append((i, " ".join(x for p in parts for x in p)))
-    monkeypatch.setattr(jaccard, "LONG_LIST", long_list)
     got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert collections.Counter(tuple(x) for x in got) == brute_components(rows)
 
@@ -445,6 +446,34 @@ def test_secrets_beside_base_spans_and_in_paths():
         assert found(t) == want, t
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_near_duplicates_of_edited_copies(spark, seed):
+    """Copies of one text with more and more edits, some of them copies of copies: links beside the leader's own."""
+    r = np.random.default_rng(seed)
+    made = [words(100, 7)]
+    for i in range(250):
+        text = list(made[int(r.integers(0, len(made)))] if r.random() < 0.3 else made[0])
+        for _ in range(int(r.integers(1, 8))):
+            text[int(r.integers(0, len(text)))] = f"edit{seed}{int(r.integers(0, 400))}"
+        made.append(text[int(r.integers(0, 12)) :])
+    rows = [(i, " ".join(t)) for i, t in enumerate(made)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = brute_components(rows)
+    assert len({c for _, _, c in want}) > 5
+    assert collections.Counter(tuple(x) for x in got) == want
+
+
+def test_shingle_sets_in_parts(monkeypatch):
+    """Long texts are hashed in parts: the sets stay the same, as those of words and of any white space."""
+    texts = ["", None, "a b", "A  B ", "one two three four five", "One two\tthree\x0bfour  five\n", "x" * 3000 + " y z w v u t é É", "a b c d e a b c d e a b c d e"]
+    whole = [s.tolist() for s in shingles.shingle_sets(pa.array(texts))]
+    assert [len(s) for s in whole] == [0, 0, 1, 1, 1, 1, 5, 5]
+    assert whole[2] == whole[3] and whole[4] == whole[5]
+    monkeypatch.setattr(shingles, "PART", 7)
+    assert [s.tolist() for s in shingles.shingle_sets(pa.array(texts))] == whole
+    assert [s.tolist() for s in shingles.shingle_sets(pa.array(["q", *texts]).slice(1))] == whole
+
+
 def test_near_duplicates_of_an_id_with_two_texts(spark):
     t = [words(120, 300 + i) for i in range(6)]
     near = lambda w, i: " ".join([*w[:i], "changed", *w[i + 1 :]])
