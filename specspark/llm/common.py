@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -31,15 +32,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Scratch:
@@ -49,10 +46,10 @@ class Scratch:
         self.spark, self.root, self.made = spark, shared_dir(spark, name), 0
         self.tables: list[tuple[DataFrame, str]] = []
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         self.made += 1
         path = f"{self.root}/{self.made:03d}-{name}"
-        df.write.parquet(path)
+        (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.tables.append((out, path))
         return out
@@ -78,12 +75,13 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def in_batches(df: DataFrame, batches: int) -> list[DataFrame]:
-    """``df`` in at most ``batches`` parts. A frame that only reads Parquet files is cut by files, so each
-    is read once; any other frame is one batch."""
-    files = sorted(df.inputFiles()) if df.isLocal() is False else []
-    plan = df._jdf.queryExecution().analyzed().toString()
-    if len(files) < 2 or not plan.startswith("Relation") or batches < 2:
-        return [df]
-    groups = [files[i::batches] for i in range(min(batches, len(files)))]
-    return [df.sparkSession.read.schema(df.schema).parquet(*g) for g in groups]
+def own_names(operator):
+    """A decorator: input columns that begin with two underscores, as the operators' own do, keep their values."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        odd = {c: f"kept{uuid.uuid4().hex}" for c in docs.columns if c.startswith("__")}
+        out = operator(docs.withColumnsRenamed(odd), *args, **kwargs)
+        return out.withColumnsRenamed({v: k for k, v in odd.items()})
+
+    return run

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions
+from .common import Scratch, own_names, partitions
 from .shingles import digest, shingle_sets, short_key
 
 PERCENT = 75
@@ -401,6 +401,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return numbered.unionByName(nameless.select(F.col("id").alias("doc_id"), F.col("n").cast("bigint").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id")))
 
 
+@own_names
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one row of each component: one of the smallest doc_id (of rows with that id,
     the first by hash of the text). Rows with a null id all stay."""

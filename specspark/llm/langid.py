@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import own_names
+
 DIM, GRAM, SEED = 1024, 3, 11
 UNDETERMINED = "und"
 #: Prototypes (4 KB each) go to every task, so there may be at most so many languages; more is an error.
@@ -146,6 +148,7 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+@own_names
 def identify(docs: DataFrame) -> DataFrame:
     """``docs`` with held_out, lang_pred and score.
 

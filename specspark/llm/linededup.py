@@ -1,10 +1,10 @@
 """Lines that many documents share, found with levelled sorted runs of line hashes.
 
-A batch of documents becomes a run: its distinct line keys, each with the number of the batch's documents
-that hold it, sorted by hash. ``LineRuns`` keeps runs in levels like a log-structured merge tree: ``fanout``
-runs of one level are merged into one run of the next, summing counts. Keys whose count has reached
-``min_docs`` are settled: they move to the settled run, and each later batch is merge-anti-joined with it
-before its own run is added, so the most frequent lines aren't carried again. Runs hold hashes only.
+A run holds distinct line keys, each with the number of documents that hold it. ``LineRuns`` keeps runs in levels like a
+log-structured merge tree: each new batch of documents is merge-anti-joined with the keys that have reached ``min_docs`` in any run,
+which need no further count, and what is left is a new run of level 0. Two runs of one level are merged into one of
+the next, summing counts. All runs are bucketed and sorted by the key in the same way, so neither the anti-joins nor the
+merges shuffle a run again.
 
 A key is the line without the six white-space characters at its ends, A-Z lower-cased, as a 128-bit hash
 (two xxHash64 of different seeds).
@@ -12,17 +12,19 @@ A key is the line without the six white-space characters at its ends, A-Z lower-
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_batches, remove, shared_dir
+from .common import Scratch, own_names, partitions, remove, shared_dir
 
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ["h1", "h2"]
 #: Up to so many settled keys (16 bytes each) are broadcast; beyond it the lines are shuffled to them.
 BROADCAST_KEYS = 200_000
-MIN_DOCS, BATCHES, FANOUT = 10, 4, 4
+MIN_DOCS, BATCHES = 10, 4
 
 
 def lower_ascii(text: Column) -> Column:
@@ -47,57 +49,79 @@ def batch_counts(docs: DataFrame) -> DataFrame:
 
 
 class LineRuns:
-    """Levelled runs of (h1, h2, n) in the shared folder; the driver knows only their paths and levels."""
+    """Levelled runs of (h1, h2, n) in the shared folder; the driver knows only their names and levels."""
 
-    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
-        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
+    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS):
+        self.spark, self.min_docs, self.buckets = spark, min_docs, partitions(spark)
         self.root = shared_dir(spark, "line-runs")
-        self.runs: list[tuple[int, str]] = []  # level, path
-        self.settled: list[str] = []
-        self.made = 0
-
-    def _write(self, df: DataFrame, kind: str) -> str:
-        self.made += 1
-        path = f"{self.root}/{kind}-{self.made:04d}"
-        df.sortWithinPartitions(*KEY).write.parquet(path)
-        return path
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        schema = "h1 bigint, h2 bigint, n bigint"
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-
-    def add(self, docs: DataFrame) -> None:
-        """Make a run of a batch, without the keys already settled, and compact full levels."""
-        counts = batch_counts(docs)
-        if self.settled:
-            counts = counts.join(self._read(self.settled).select(*KEY), KEY, "left_anti")
-        self.runs.append((0, self._write(counts, "run")))
-        level = 0
-        while len([1 for x, _ in self.runs if x == level]) >= self.fanout:
-            self._compact([p for x, p in self.runs if x == level], level + 1)
-            level += 1
-
-    def _compact(self, paths: list[str], level: int, last: bool = False) -> None:
-        merged = self._read(paths).groupBy(*KEY).agg(F.sum("n").alias("n"))
-        if last or level and len(paths) == len(self.runs):
-            # every run is in: counts at or over the limit are final
-            self.settled.append(self._write(merged.filter(F.col("n") >= self.min_docs), "settled"))
-            rest = merged.filter(F.col("n") < self.min_docs)
-        else:
-            rest = merged
-        self.runs = [r for r in self.runs if r[1] not in paths]
-        if not last:
-            self.runs.append((level, self._write(rest, "run")))
-        for p in paths:
-            remove(self.spark, p)
+        self.runs: list[tuple[int, str]] = []  # level, table
+        #: What happened: (level, runs that it was anti-joined with or merged from).
+        self.log: list[tuple[int, int]] = []
+
+    def _write(self, df: DataFrame, level: int, others: int) -> None:
+        name = f"line_run_{uuid.uuid4().hex}"
+        df.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{self.root}/{name}").saveAsTable(name)
+        self.runs.append((level, name))
+        self.log.append((level, others))
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        remove(self.spark, f"{self.root}/{name}")
+        self.runs = [r for r in self.runs if r[1] != name]
+
+    def add(self, counts: DataFrame) -> None:
+        """Make a run of a batch's ``batch_counts``, without the keys that have been found often enough, and merge full levels."""
+        counts = counts.repartition(self.buckets, *KEY)
+        for _, name in self.runs:
+            often = self.spark.table(name).filter(F.col("n") >= self.min_docs)
+            counts = counts.join(often.select(*KEY).hint("merge"), KEY, "left_anti")
+        self._write(counts, 0, len(self.runs))
+        while [level for level, _ in self.runs[-2:]] == [self.runs[-1][0]] * 2:
+            self._merge(self.runs[-1][0] + 1)
+
+    def _merge(self, level: int) -> None:
+        """Make one run of the last two."""
+        names = [name for _, name in self.runs[-2:]]
+        a, b = (self.spark.table(name).withColumnRenamed("n", f"n{i}") for i, name in enumerate(names))
+        both = a.hint("merge").join(b, KEY, "full").select(*KEY, (F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0))).alias("n"))
+        self._write(both, level, 2)
+        for name in names:
+            self._drop(name)
 
     def frequent(self) -> DataFrame:
-        """(h1, h2) of the keys found in at least ``min_docs`` documents of all batches; no batch may follow."""
-        if self.runs:
-            self._compact([p for _, p in self.runs], 0, last=True)
-        return self._read(self.settled).select(*KEY)
+        """(h1, h2) of the keys found in at least ``min_docs`` documents of all batches."""
+        while len(self.runs) > 1:
+            self._merge(self.runs[-1][0] + 1)
+        if not self.runs:
+            return self.spark.createDataFrame([], "h1 bigint, h2 bigint")
+        return self.spark.table(self.runs[0][1]).filter(F.col("n") >= self.min_docs).select(*KEY)
+
+    def drop(self) -> None:
+        """Delete all runs."""
+        for _, name in list(self.runs):
+            self._drop(name)
+
+
+def frequent_lines(docs: DataFrame, min_docs: int, batches: int, scratch: Scratch) -> DataFrame:
+    """(h1, h2), written: the keys found in at least ``min_docs`` rows of ``docs`` (doc_id, text).
+
+    Rows are dealt to ``batches`` by a hash; their keys are counted within the batches in one pass, and the batches are added one by one.
+    """
+    spark = docs.sparkSession
+    batch = F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int")
+    keys = F.filter(F.array_distinct(line_keys(F.col("text"))), lambda k: k.isNotNull())
+    rows = docs.select(batch.alias("batch"), F.explode(keys).alias("k")).select("batch", "k.*")
+    counts = scratch.write(rows.groupBy("batch", *KEY).agg(F.count(F.lit(1)).alias("n")), "batch-counts", "batch")
+    runs = LineRuns(spark, min_docs)
+    for i in range(batches):
+        runs.add(counts.filter(F.col("batch") == i).select(*KEY, "n"))
+    found = scratch.write(runs.frequent(), "frequent")
+    runs.drop()
+    scratch.drop(counts)
+    return found
 
 
+@own_names
 def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
     """``docs`` (doc_id, text and any others) with n_lines, n_dropped and the text that is left.
 
@@ -108,10 +132,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int
     """
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    runs = LineRuns(spark, min_docs)
-    for batch in in_batches(docs, batches):
-        runs.add(batch)
-    frequent = runs.frequent()
+    frequent = frequent_lines(docs, min_docs, batches, Scratch(spark, "line-dedup"))
     small = frequent.count() <= BROADCAST_KEYS
     # which lines of which text go: rows are named by id and text hash, as ids may repeat or be null
     named = docs.select(*keep).withColumn("__t", F.xxhash64("text"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .common import partitions, written
+from .common import own_names, partitions, written
 
 SEED = 17
 #: Up to so many sources their tables (about 1 KB at common rates) are broadcast; beyond it they are joined by shuffle.
@@ -61,6 +61,7 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, total
     return counts.select("source", "n", (F.col("w") * F.lit(float(size)) / F.lit(float(weight)) / F.col("n")).alias("rate"))
 
 
+@own_names
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` (doc_id, source and any others), each as often as its count says, with copy (from 0), shuffled globally.
 

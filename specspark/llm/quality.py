@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import own_names, written
 
 COMMON_WORDS, CANDIDATES, SKETCH_ITEMS = 32, 96, 10_000
 MIN_WORDS, MIN_CHARS = 60, 200
@@ -143,6 +143,7 @@ def word_limit(n: Column, bins: Column, lack: Column) -> Column:
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept")
 
 
+@own_names
 def judge(docs: DataFrame) -> DataFrame:
     """``docs`` (lang, text and any others) with ``ADDED`` columns; input columns of those names are replaced.
 
@@ -179,6 +180,7 @@ def judge(docs: DataFrame) -> DataFrame:
     return df.select(*keep, *ADDED)
 
 
+@own_names
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with the columns of ``docs``.
 
