@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, written
@@ -42,7 +42,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kept: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -198,12 +197,15 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     )
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: int = END_ID, carry: dict[str, Column] | None = None) -> DataFrame:
     """(doc_id, start, length, doc_tokens, ids, sequence_id, offset) of every piece of every row of ``docs``.
 
     Each row gives at least one piece, since ``end_id`` ends it; a null or empty text is that id alone.
     Rows with equal or null ids are packed separately. Sequences are numbered from 0 and filled without
-    gaps from offset 0. Other columns are left out.
+    gaps from offset 0. Other columns are left out. ``carry`` names columns to make of a piece's in place of ids: what
+    only a digest of the ids is wanted of need not be written and shuffled with them.
     """
-    pieces = written(token_pieces(docs, path or default_tokenizer(), size, end_id), "token-pieces")
-    return pack(pieces, size)
+    carry = {"ids": F.col("ids")} if carry is None else carry
+    pieces = token_pieces(docs, path or default_tokenizer(), size, end_id)
+    pieces = pieces.select("doc_id", "start", "length", "doc_tokens", *[c.alias(name) for name, c in carry.items()])
+    return pack(written(pieces, "token-pieces"), size)

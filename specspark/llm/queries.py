@@ -92,10 +92,8 @@ def op3_html(spark, sf_dir):
 
 @op()
 def op5_packing(spark, sf_dir):
-    packed = pack_documents(table(spark, sf_dir, "documents"))
-    return packed.select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
-    )
+    packed = pack_documents(table(spark, sf_dir, "documents"), carry={"ids_crc32": F.crc32("ids")})
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 _OP7 = """

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from specspark.llm import fingerprints, html, jaccard, langid, linededup, mixing, packing, quality, secrets, shingles, warc
 
@@ -116,17 +117,41 @@ def test_line_dedup(docs, rows, empty, tmp_path):
     out = linededup.drop_frequent_lines(docs)
     assert collections.Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in out.collect()) == want
     assert linededup.drop_frequent_lines(empty).count() == 0
-    # in batches, through levels and settled keys
-    docs.repartition(9).write.parquet(str(tmp_path / "d"))
-    again = docs.sparkSession.read.parquet(str(tmp_path / "d"))
-    old = linededup.FANOUT
-    runs = linededup.LineRuns(docs.sparkSession, 10, fanout=2)
-    for b in linededup.in_batches(again, 5):
-        runs.add(b)
+    # through levels, with anti-joins from the second batch on
+    runs = linededup.LineRuns(docs.sparkSession, 10)
+    for i in range(5):
+        runs.add(linededup.batch_counts(docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(5)) == i)))
+    assert [x for x in runs.log if x[0] == 0] == [(0, 0), (0, 1), (0, 1), (0, 2), (0, 1)] and (2, 2) in runs.log
     single = linededup.LineRuns(docs.sparkSession, 10)
-    single.add(docs)
-    assert sorted(runs.frequent().collect()) == sorted(single.frequent().collect()) and old == linededup.FANOUT
-    assert collections.Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in linededup.drop_frequent_lines(again, batches=3).collect()) == want
+    single.add(linededup.batch_counts(docs))
+    assert sorted(runs.frequent().collect()) == sorted(single.frequent().collect()) != []
+    assert collections.Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in linededup.drop_frequent_lines(docs, batches=7).collect()) == want
+    for r in (runs, single):
+        r.drop()
+    assert not [t.name for t in docs.sparkSession.catalog.listTables() if t.name.startswith("line_run")]
+
+
+def test_line_runs_do_not_shuffle_a_run(spark):
+    """Anti-joins and merges read runs as they lie: only the batch is exchanged."""
+    rows = spark.range(500).select((F.col("id") % 50).alias("h1"), F.lit(1).cast("bigint").alias("h2"), F.lit(20).cast("bigint").alias("n"))
+    runs = linededup.LineRuns(spark, 10)
+    runs.add(rows.filter("h1 < 30").dropDuplicates(["h1"]))
+    runs.add(rows.filter("h1 >= 20").dropDuplicates(["h1"]))  # 20 to 29 have been found often
+    merged = spark.table(runs.runs[0][1])
+    assert sorted((r["h1"], r["n"]) for r in merged.collect()) == [(i, 20) for i in range(50)]
+    a, b = (spark.table(runs.runs[0][1]) for _ in range(2))
+    assert "Exchange" not in a.hint("merge").join(b, ["h1", "h2"], "full")._jdf.queryExecution().executedPlan().toString()
+    runs.drop()
+
+
+def test_columns_of_the_operators_own_names_stay(spark):
+    own = ("__t", "__drop", "__k", "__p", "__u", "__n", "__w", "__c", "__hits", "__lines", "__row")
+    df = spark.createDataFrame([(1, "some text\nmore", "en", "s")], "doc_id bigint, text string, lang string, source string")
+    df = df.withColumns({c: F.lit(f"my {c}") for c in own})
+    for f in (linededup.drop_frequent_lines, mixing.mix, quality.judge, quality.keep_good, langid.identify, jaccard.keep_one):
+        out = f(df)
+        assert set(own) <= set(out.columns), f
+        assert all(r[c] == f"my {c}" for r in out.collect() for c in own)
 
 
 def brute_components(rows):
@@ -208,7 +233,7 @@ def test_mixing(docs, rows, empty):
 def test_packing(docs, rows, empty):
     size = 64
     out = packing.pack_documents(docs, size=size).collect()
-    tk = packing.WordTokenizer(packing.default_tokenizer()).tokenizer
+    tk = Tokenizer.from_file(packing.default_tokenizer())
     want = collections.Counter()
     for r in rows:
         ids = [*tk.encode(r[1] or "", add_special_tokens=False).ids, 1]
@@ -229,9 +254,17 @@ def test_packing(docs, rows, empty):
 
 
 def test_word_tokenizer_equals_tokenizer():
-    w = packing.WordTokenizer(packing.default_tokenizer())
-    odd = ["Ünï Ça'll don't ''s we've A1²½ x_y ÷× ßẞ İI ǅ <|endoftext|> \x1fab \x85 \xa0q ſK 'S'T", "日本語 naïve‘s", "", "ΌΣΟΣ'LL", "plain 'twas\ttext\n\n..,!! 12 345 it's"]
-    assert w.ids(odd) == [w._encode([x])[0] for x in odd]
+    w, plain = packing.WordTokenizer(packing.default_tokenizer()), Tokenizer.from_file(packing.default_tokenizer())
+    assert all("<|" in t.content for t in plain.get_added_tokens_decoder().values())
+    odd = ["Ünï Ça'll don't ''s we've A1²½ x_y ÷× ßẞ İI ǅ <|endoftext|> \x1fab \x85 \xa0q ſK 'S'T", "日本語 naïve‘s", "", "ΌΣΟΣ'LL", "plain 'twas\ttext\n\n..,!! 12 345 it's",
+           "a <|endoftext|> b <|startoftext|> c"]
+    r = np.random.default_rng(4)
+    usual = [chr(c) for c in range(0x180) if not packing.UNUSUAL.search(chr(c))]
+    odd += ["".join(r.choice(usual, 60)) for _ in range(1500)]
+    odd += ["".join(r.choice([*"'sStTrReEvVmMlLdD 1²ß.", " "], 40)) for _ in range(500)]
+    odd += ["".join(chr(c) for c in r.integers(1, 0xD7FF, 30)) for _ in range(300)]
+    want = [np.array(plain.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in odd]
+    assert w.ids(odd) == want
 
 
 def test_shortest_pack_first_holds_the_histogram():
