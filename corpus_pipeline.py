@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specspark.llm.common import table, written
+from specspark.llm.common import Scratch, table
 from specspark.llm.jaccard import keep_one
 from specspark.llm.linededup import drop_frequent_lines
 from specspark.llm.mixing import mix
@@ -38,8 +38,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
-    packed = pack_documents(docs.select(*COLUMNS))
-    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    packed = pack_documents(docs.select(*COLUMNS), carry={"ids_crc32": F.crc32("ids")})
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 STAGES = [
@@ -56,7 +56,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage returns is written to the shared folder and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        scratch.drop_all(docs)  # what the stage has read
     return STAGES[-1][1](spark, docs, sf_dir)
