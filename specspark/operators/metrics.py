@@ -33,12 +33,12 @@ def stratified(df: DataFrame, strata: dict[str, Column], rank: str, least: int =
 
 
 def consensus(df: DataFrame, group: str, candidates: str, depth: int) -> DataFrame:
-    """(group, candidate, rank, firsts, borda): by first choices, then Borda points (depth - r) / depth, then name.
+    """(group, candidate, rank, firsts, borda): by first choices, then Borda points (n - r) / n, then name.
 
-    ``candidates`` is each member's list, best first; only its first ``depth`` count.
+    ``candidates`` is each member's list, best first; only its first ``depth`` count, n of them.
     """
-    votes = df.select(group, F.posexplode(F.slice(candidates, 1, depth)).alias("r", "candidate"))
-    sums = votes.groupBy(group, "candidate").agg(F.count_if(F.col("r") == 0).alias("firsts"), (F.sum(F.lit(depth) - F.col("r")) / depth).alias("borda"))
+    votes = df.withColumn("__l", F.slice(candidates, 1, depth)).select(group, F.size("__l").alias("n"), F.posexplode("__l").alias("r", "candidate"))
+    sums = votes.groupBy(group, "candidate").agg(F.count_if(F.col("r") == 0).alias("firsts"), F.sum((F.col("n") - F.col("r")) / F.col("n")).alias("borda"))
     w = Window.partitionBy(group).orderBy(F.desc("firsts"), F.desc(F.round("borda", 9)), "candidate")
     return sums.withColumn("rank", F.row_number().over(w))
 
@@ -62,13 +62,13 @@ def evaluate_groups(members: DataFrame, group_rank: DataFrame, group: str, rank:
 
 def vote_trajectory(df: DataFrame, group: str, order: str, candidates: str, depth: int) -> DataFrame:
     """(group, member, winner): the consensus' first after each added member."""
-    votes = df.select(group, order, F.posexplode(F.slice(candidates, 1, depth)).alias("r", "candidate"))
+    votes = df.withColumn("__l", F.slice(candidates, 1, depth)).select(group, order, F.size("__l").alias("n"), F.posexplode("__l").alias("r", "candidate"))
     grid = df.select(group, order).distinct().join(votes.select(group, "candidate").distinct(), group)
     points = grid.join(votes, [group, order, "candidate"], "left")
     w = Window.partitionBy(group, "candidate").orderBy(order)
     running = points.select(
         group, order, "candidate", F.sum(F.when(F.col("r") == 0, 1).otherwise(0)).over(w).alias("firsts"),
-        F.sum(F.when(F.col("r").isNotNull(), depth - F.col("r")).otherwise(0)).over(w).alias("borda"),
+        F.round(F.sum(F.when(F.col("r").isNotNull(), (F.col("n") - F.col("r")) / F.col("n")).otherwise(0)).over(w), 9).alias("borda"),
     )
     best = F.min_by("candidate", F.struct(-F.col("firsts"), -F.col("borda"), F.col("candidate")))
     return running.groupBy(group, order).agg(best.alias("winner"))
@@ -77,9 +77,10 @@ def vote_trajectory(df: DataFrame, group: str, order: str, candidates: str, dept
 def fdr_frontier(df: DataFrame, score: str, correct: str, eligible: str | None = None, least: int = 10, by: list[str] = ()) -> DataFrame:
     """(score, accepted, correct, fdr, recall): accepting every row of at least a score, equal scores as one.
 
-    fdr is null under ``least`` accepted rows; recall is of the rows that ``eligible`` marks (all by default).
+    fdr is null under ``least`` accepted rows; recall is of the rows that ``eligible`` marks (all by default). Rows
+    whose score is null, infinite or not a number are left out.
     """
-    blocks = df.groupBy(*by, score).agg(
+    blocks = df.filter(F.abs(F.col(score).cast("double")) < float("inf")).groupBy(*by, score).agg(
         F.count(F.lit(1)).alias("__n"), F.count_if(F.col(correct)).alias("__c"), F.count_if(F.col(eligible) if eligible else F.lit(True)).alias("__e"))
     w = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy(*by)

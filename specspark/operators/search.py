@@ -15,6 +15,34 @@ from ..functions.vectors import centroid, cosine, dot, l2
 QUERY_BLOCK = 8192
 
 
+#: Queries of one tile, and bytes of query vectors that may be broadcast; more tiles are shuffled to parts of the library.
+QUERY_TILE, BROADCAST_BYTES = 256, 64 << 20
+
+
+def score_pairs(queries: DataFrame, library: DataFrame, key: str, vector: str, label: str) -> DataFrame:
+    """(query, query_label, key, label, score): the cosine of each stated query with every library row but itself.
+
+    Queries lie in tiles of about ``QUERY_TILE``, one row each, and a library row meets a tile as a whole. Tiles are broadcast where
+    their bytes allow it; else each is repeated for as many parts of the library as there are shuffle partitions. Nothing is collected.
+    """
+    spark = library.sparkSession
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("dim")).first()
+    tiles = max(1, -(-size["n"] // QUERY_TILE))
+    tile = F.pmod(F.xxhash64(key), F.lit(tiles)).cast("int").alias("__tile")
+    row = F.struct(F.col(key).alias("query"), F.col(label).alias("query_label"), F.col(vector).alias("v"))
+    tiled = queries.select(tile, row.alias("q")).groupBy("__tile").agg(F.collect_list("q").alias("__q"))
+    rows = library.select(key, label, vector).withColumn("__tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    on = ["__tile"]
+    if size["n"] * (8 * size["dim"] + 64) <= BROADCAST_BYTES:
+        tiled = F.broadcast(tiled)
+    else:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        tiled = tiled.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        rows, on = rows.withColumn("__part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")), ["__tile", "__part"]
+    met = rows.join(tiled, on).select(key, label, vector, F.explode("__q").alias("q")).filter(F.col("q.query") != F.col(key))
+    return met.select("q.query", "q.query_label", key, label, cosine(F.col("q.v"), F.col(vector)).alias("score"))
+
+
 def search_one(df: DataFrame, key: str, vector: str, query_id, k: int) -> DataFrame:
     """(key, rank, score): the ``k`` vectors of largest cosine with one row's, itself left out; ties by key."""
     q = df.filter(F.col(key) == query_id).select(F.col(vector).alias("__q")).limit(1)

@@ -44,11 +44,11 @@ def effective_candidates(spark, sf):
     return jn.effective_candidates(c, av, "candidate").groupBy("k", "candidate").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH l AS (SELECT DISTINCT c_nationkey AS p, o_custkey % 2 AS list_id, o_orderkey % 9 AS candidate FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 50 = 1), x AS (SELECT p, count(DISTINCT l) AS n FROM (SELECT p, list_id, string_agg(CAST(candidate AS VARCHAR), ',' ORDER BY candidate) AS l FROM l GROUP BY ALL) GROUP BY 1)
+@query("""WITH l AS (SELECT DISTINCT c_nationkey AS p, o_custkey % 2 AS list_id, o_orderkey % 9 AS candidate FROM orders JOIN customer ON o_custkey = c_custkey), x AS (SELECT p, count(DISTINCT l) AS n FROM (SELECT p, list_id, string_agg(CAST(candidate AS VARCHAR), ',' ORDER BY candidate) AS l FROM l GROUP BY ALL) GROUP BY 1)
 SELECT c_nationkey AS p, c_custkey AS child, CAST(candidate AS BIGINT) AS candidate, n > 1 AS inconsistent FROM customer JOIN (SELECT DISTINCT p, candidate FROM l) u ON u.p = c_nationkey JOIN x ON x.p = c_nationkey""")
 def inherit_candidates(spark, sf):
     cust = table(spark, sf, "customer").select(F.col("c_nationkey").alias("p"), F.col("c_custkey").alias("child"))
-    lists = table(spark, sf, "orders").filter("o_orderkey % 50 = 1").join(cust.withColumnRenamed("child", "o_custkey"), "o_custkey").select("p", (F.col("o_custkey") % 2).alias("list_id"), (F.col("o_orderkey") % 9).alias("candidate"))
+    lists = table(spark, sf, "orders").join(cust.withColumnRenamed("child", "o_custkey"), "o_custkey").select("p", (F.col("o_custkey") % 2).alias("list_id"), (F.col("o_orderkey") % 9).alias("candidate"))
     rows, split = jn.inherit_candidates(cust, lists, "p", "child")
     return rows.join(split.withColumn("inconsistent", F.lit(True)), "p", "left").select("p", "child", "candidate", F.coalesce("inconsistent", F.lit(False)).alias("inconsistent"))
 
@@ -102,10 +102,10 @@ def shared_roles(spark, sf):
     return jn.shared_roles(metadata(spark, sf), "molecule_id", "polarity", "fold", (0, 1))
 
 
-@query("SELECT vec_id, len(embedding) AS n, label FROM embeddings WHERE vec_id % 7 = 1")
+@query("SELECT vec_id, len(embedding) AS n, label FROM embeddings")
 def attach_vectors(spark, sf):
     v = vectors(spark, sf)
-    return jn.attach_vectors(v.filter("vec_id % 7 = 1").select("vec_id", "label"), v, "vec_id", "vector").select("vec_id", F.size("vector").cast("bigint").alias("n"), "label")
+    return jn.attach_vectors(v.select("vec_id", "label"), v, "vec_id", "vector").select("vec_id", F.size("vector").cast("bigint").alias("n"), "label")
 
 
 # Grouping ----------------------------------------------------------------------------------------------------

@@ -12,22 +12,21 @@ from ..registry import query
 
 V = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v)"""
-#: Every tenth vector (vec_id % 10 = 3) against the fifth of the vectors with its vec_id % 5, not the whole library; scores in
-#: millionths, so that both engines order alike.
+#: The stated queries are the vectors whose id is divisible by 100, each against all others; scores in millionths, so that both
+#: engines order alike.
 PAIRS = f"""{V}, pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS candidate_id, c.label AS candidate_label, q.label = c.label AS correct,
-  round(list_dot_product(q.e, c.e) / q.n / c.n, 6) AS score FROM u q JOIN u c ON q.vec_id % 5 = c.vec_id % 5 AND q.vec_id <> c.vec_id WHERE q.vec_id % 10 = 3)"""
+  round(list_dot_product(q.e, c.e) / q.n / c.n, 6) AS score FROM u q JOIN u c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)"""
 W = f"WITH {PAIRS}"
 RANKED = f"{W}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, candidate_id) AS r, count(*) OVER (PARTITION BY query_id) AS n FROM pairs)"
 FIRST = f"{RANKED}, f AS (SELECT query_id, coalesce(min(r) FILTER (WHERE correct), max(n) + 1) AS rank FROM r GROUP BY 1)"
 
 
 def scored(spark, sf):
-    """(query_id, candidate_id, candidate_label, correct, score): stated queries against the rows of equal vec_id % 5, a fifth of all."""
-    v = vectors(spark, sf).withColumn("part", F.col("vec_id") % 5)
-    q = v.filter("vec_id % 10 = 3").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("qv"), F.col("label").alias("ql"), "part")
-    c = v.select(F.col("vec_id").alias("candidate_id"), F.col("vector").alias("cv"), F.col("label").alias("candidate_label"), "part")
-    rows = q.join(c, "part").filter("query_id <> candidate_id")
-    return rows.select("query_id", "candidate_id", "candidate_label", (F.col("ql") == F.col("candidate_label")).alias("correct"), F.round(cosine(F.col("qv"), F.col("cv")), 6).alias("score"))
+    """(query_id, candidate_id, candidate_label, correct, score): the vectors with an id divisible by 100 against all others."""
+    v = vectors(spark, sf)
+    rows = se.score_pairs(v.filter("vec_id % 100 = 0"), v, "vec_id", "vector", "label")
+    return rows.select(F.col("query").alias("query_id"), F.col("vec_id").alias("candidate_id"), F.col("label").alias("candidate_label"),
+                       (F.col("query_label") == F.col("label")).alias("correct"), F.round("score", 6).alias("score"))
 
 
 def rounded(df, *cols):
@@ -174,26 +173,26 @@ def ranks(spark, sf):
     return se.first_hit_rank(scored(spark, sf), "query_id", "candidate_id", "score", "correct")
 
 
-@query(f"{FIRST}, g AS (SELECT query_id % 3 AS a, query_id % 2 AS b, avg(rank) AS rank FROM f GROUP BY ALL) SELECT round(avg(rank), 6) AS macro_rank FROM (SELECT a, avg(rank) AS rank FROM g GROUP BY 1)")
+@query(f"{FIRST}, g AS (SELECT query_id // 100 % 3 AS a, query_id // 100 % 2 AS b, avg(rank) AS rank FROM f GROUP BY ALL) SELECT round(avg(rank), 6) AS macro_rank FROM (SELECT a, avg(rank) AS rank FROM g GROUP BY 1)")
 def macro_metrics(spark, sf):
-    df = ranks(spark, sf).withColumn("a", F.col("query_id") % 3).withColumn("b", F.col("query_id") % 2).withColumn("rank", F.col("rank").cast("double"))
+    df = ranks(spark, sf).withColumn("a", F.expr("query_id div 100 % 3")).withColumn("b", F.expr("query_id div 100 % 2")).withColumn("rank", F.col("rank").cast("double"))
     return rounded(mt.macro_metrics(df, "rank", ["a", "b"]), "macro_rank")
 
 
-@query(f"{FIRST}, s AS (SELECT rank, 'all' AS stratum FROM f UNION ALL SELECT rank, 'early' FROM f WHERE query_id < 200 UNION ALL SELECT rank, 'odd' FROM f WHERE query_id % 20 = 3) SELECT stratum, {RANK_SQL} FROM s GROUP BY 1")
+@query(f"{FIRST}, s AS (SELECT rank, 'all' AS stratum FROM f UNION ALL SELECT rank, 'early' FROM f WHERE query_id < 200 UNION ALL SELECT rank, 'odd' FROM f WHERE query_id // 100 % 2 = 1) SELECT stratum, {RANK_SQL} FROM s GROUP BY 1")
 def stratified_metrics(spark, sf):
-    strata = {"all": F.lit(True), "early": F.col("query_id") < 200, "odd": F.col("query_id") % 20 == 3}
+    strata = {"all": F.lit(True), "early": F.col("query_id") < 200, "odd": F.expr("query_id div 100 % 2 = 1")}
     return rounded(mt.stratified(ranks(spark, sf), strata, "rank"), *RANK_COLS)
 
 
-VOTES = f"""{RANKED}, votes AS (SELECT query_id % 4 AS grp, query_id, candidate_label AS candidate, min(r) AS b FROM r GROUP BY ALL), lists AS (SELECT grp, query_id, candidate, row_number() OVER (PARTITION BY query_id ORDER BY b) - 1 AS r FROM votes), top AS (SELECT * FROM lists WHERE r < 3)"""
+VOTES = f"""{RANKED}, votes AS (SELECT query_id // 100 % 4 AS grp, query_id, candidate_label AS candidate, min(r) AS b FROM r GROUP BY ALL), lists AS (SELECT grp, query_id, candidate, row_number() OVER (PARTITION BY query_id ORDER BY b) - 1 AS r FROM votes), top AS (SELECT * FROM lists WHERE r < 3)"""
 
 
 def voters(spark, sf):
     """Each query's labels, best first, as a member of a group of queries."""
     best = se.rank_molecules(scored(spark, sf), "query_id", "candidate_label", "candidate_id", "score", 100)
     rows = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "candidate_label"))).alias("t"))
-    return rows.select((F.col("query_id") % 4).alias("grp"), "query_id", F.col("t.candidate_label").alias("candidates"))
+    return rows.select(F.expr("query_id div 100 % 4").alias("grp"), "query_id", F.col("t.candidate_label").alias("candidates"))
 
 
 CONSENSUS = f"{VOTES}, sums AS (SELECT grp, candidate, count(*) FILTER (WHERE r = 0) AS firsts, sum(3 - r) / 3.0 AS borda FROM top GROUP BY ALL), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY grp ORDER BY firsts DESC, round(borda, 9) DESC, candidate) AS INT) AS rank FROM sums)"
@@ -211,10 +210,10 @@ def evaluate_consensus(spark, sf):
     return mt.evaluate_consensus(ranked, truth, "grp", 3)
 
 
-@query(f"{CONSENSUS}, f AS (SELECT query_id, query_id % 4 AS grp, min(r) FILTER (WHERE correct) AS rank FROM r GROUP BY ALL HAVING min(r) FILTER (WHERE correct) IS NOT NULL), c AS (SELECT grp, min(rank) AS g FROM ranked WHERE candidate % 2 = 0 GROUP BY 1) SELECT count(*) AS n, count(*) FILTER (WHERE rank = 1) AS single_hits, count(*) FILTER (WHERE g = 1) AS consensus_hits, round(avg(1.0 / rank), 6) AS single_mrr, round(avg(1.0 / g), 6) AS consensus_mrr FROM f JOIN c USING (grp)")
+@query(f"{CONSENSUS}, f AS (SELECT query_id, query_id // 100 % 4 AS grp, min(r) FILTER (WHERE correct) AS rank FROM r GROUP BY ALL HAVING min(r) FILTER (WHERE correct) IS NOT NULL), c AS (SELECT grp, min(rank) AS g FROM ranked WHERE candidate % 2 = 0 GROUP BY 1) SELECT count(*) AS n, count(*) FILTER (WHERE rank = 1) AS single_hits, count(*) FILTER (WHERE g = 1) AS consensus_hits, round(avg(1.0 / rank), 6) AS single_mrr, round(avg(1.0 / g), 6) AS consensus_mrr FROM f JOIN c USING (grp)")
 def evaluate_groups(spark, sf):
     group_rank = mt.consensus(voters(spark, sf), "grp", "candidates", 3).filter("candidate % 2 = 0").groupBy("grp").agg(F.min("rank").alias("rank"))
-    one = se.rank_candidates(scored(spark, sf), "query_id", "candidate_id", "score", "correct", 1).filter("rank is not null").withColumn("grp", F.col("query_id") % 4)
+    one = se.rank_candidates(scored(spark, sf), "query_id", "candidate_id", "score", "correct", 1).filter("rank is not null").withColumn("grp", F.expr("query_id div 100 % 4"))
     return rounded(mt.evaluate_groups(one.select("grp", "rank"), group_rank, "grp", "rank"), "single_mrr", "consensus_mrr")
 
 
@@ -295,11 +294,11 @@ def paired_gain(spark, sf):
     return mt.paired_gain(ranks(spark, sf).withColumn("b", (F.col("rank") * 7 + F.col("query_id")) % 30 + 1), "rank", "b")
 
 
-AUC = f"{W}, b AS (SELECT query_id % 4 AS g, round(score, 2) AS s, count(*) FILTER (WHERE correct) AS p, count(*) FILTER (WHERE NOT correct) AS n FROM pairs GROUP BY ALL), a AS (SELECT *, coalesce(sum(p) OVER w, 0) AS pa, coalesce(sum(n) OVER w, 0) AS na FROM b WINDOW w AS (PARTITION BY g ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
+AUC = f"{W}, b AS (SELECT query_id // 100 % 4 AS g, round(score, 2) AS s, count(*) FILTER (WHERE correct) AS p, count(*) FILTER (WHERE NOT correct) AS n FROM pairs GROUP BY ALL), a AS (SELECT *, coalesce(sum(p) OVER w, 0) AS pa, coalesce(sum(n) OVER w, 0) AS na FROM b WINDOW w AS (PARTITION BY g ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
 
 
 def coarse(spark, sf):
-    return scored(spark, sf).withColumn("g", F.col("query_id") % 4).withColumn("s", F.round("score", 2))
+    return scored(spark, sf).withColumn("g", F.expr("query_id div 100 % 4")).withColumn("s", F.round("score", 2))
 
 
 @query(f"{AUC} SELECT g, round(sum(n * (pa + p / 2.0)) / (sum(p) * sum(n)), 6) AS auc, round(sum(p * (pa + p) / (pa + p + na + n)) / sum(p), 6) AS ap FROM a GROUP BY 1")
@@ -328,7 +327,7 @@ def best_threshold(spark, sf):
 @query()
 def fuse_and_threshold(spark, sf):
     df = scored(spark, sf).withColumn("other", ((F.col("query_id") * 31 + F.col("candidate_id") * 17) % 100) / 100.0)
-    return mt.fuse_and_threshold(df.filter("query_id % 20 = 3"), df.filter("query_id % 20 = 13"), "score", "other", "correct")
+    return mt.fuse_and_threshold(df.filter("query_id div 100 % 2 = 0"), df.filter("query_id div 100 % 2 = 1"), "score", "other", "correct")
 
 
 @query("""WITH e AS (SELECT l_returnflag, l_extendedprice AS t, l_quantity * 1000 AS p FROM lineitem) SELECT l_returnflag, round(avg(abs(p - t)), 4) AS mae, round(sqrt(avg((p - t) * (p - t))), 4) AS rmse, round(quantile_cont(abs(p - t), 0.5), 4) AS median_error,

@@ -264,3 +264,29 @@ def test_complete_link_equals_greedy_and_has_no_member_limit(spark):
         assert {tuple(x) for x in gr.complete_link(df, "block", t).collect()} == greedy("x", t) | greedy("y", t)
     hot = spark.range(3000).selectExpr("'h' AS block", "2 * id AS a", "2 * id + 1 AS b", "0.5D AS similarity")
     assert gr.complete_link(hot, "block", 0.3).count() == 6000
+
+
+def test_consensus_weighs_a_place_by_the_length_of_its_list(spark):
+    """Plurality is a tie; a second place of two is worth 1/2, one of four 3/4."""
+    df = spark.createDataFrame([("g", 1, ["a", "b"]), ("g", 2, ["c", "d", "e", "f"])], "g string, m int, c array<string>")
+    got = {r["candidate"]: r["borda"] for r in mt.consensus(df, "g", "c", 5).collect()}
+    assert got == {"a": 1.0, "b": 0.5, "c": 1.0, "d": 0.75, "e": 0.5, "f": 0.25}
+    assert [r["winner"] for r in mt.vote_trajectory(df, "g", "m", "c", 5).orderBy("m").collect()] == ["a", "a"]
+
+
+def test_frontier_leaves_out_scores_that_are_no_numbers(spark):
+    rows = [(float("nan"), False), (float("inf"), False), (None, False), (0.9, True), (0.8, False)]
+    got = mt.fdr_frontier(spark.createDataFrame(rows, "s double, c boolean"), "s", "c", least=1).orderBy("accepted").collect()
+    assert [(r["s"], r["accepted"], r["correct"], r["fdr"]) for r in got] == [(0.9, 1, 1, 0.0), (0.8, 2, 1, 0.5)]
+
+
+@pytest.mark.parametrize("tile, most", [(256, 64 << 20), (2, 0)])
+def test_score_pairs_meets_every_row(spark, monkeypatch, tile, most):
+    monkeypatch.setattr(se, "QUERY_TILE", tile)
+    monkeypatch.setattr(se, "BROADCAST_BYTES", most)
+    v = np.random.default_rng(5).normal(size=(40, 4))
+    df = spark.createDataFrame([(i, [float(x) for x in r], i % 3) for i, r in enumerate(v)], "k int, v array<double>, l int")
+    got = {(r["query"], r["k"]): (r["score"], r["query_label"], r["l"]) for r in se.score_pairs(df.filter("k % 7 = 0"), df, "k", "v", "l").collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert set(got) == {(q, k) for q in range(0, 40, 7) for k in range(40) if q != k}
+    assert all(s == pytest.approx(u[q] @ u[k]) and (a, b) == (q % 3, k % 3) for (q, k), (s, a, b) in got.items())

@@ -1,5 +1,6 @@
 """Registered queries against their SQL on the smallest tables, if these are there."""
 
+import decimal
 import math
 import os
 
@@ -15,6 +16,8 @@ CHOSEN = "prepare_peaks bin_l2 mask_peaks formula_mass audit_lists fingerprint_r
 
 
 def norm(v):
+    if isinstance(v, decimal.Decimal):
+        v = float(v)
     if isinstance(v, float):
         return None if math.isnan(v) else round(v, 5) + 0.0
     return v
