@@ -18,6 +18,9 @@ in the order, so sets that hold something of their own aren't in these lists at
 lists hold leaders in place of their followers. Leaders that meet in a block are compared once; for their followers that answer and
 the differences tell most links or their absence, and only the rest is compared itself.
 
+In lists of more than ``SHORT_LIST`` sets, leaders are also told apart by bitmaps: every element of a set turns over one of ``BITS`` bits,
+so two sets differ in at least as many elements as their bitmaps in bits.
+
 No list is cut or sampled and no candidate is dropped without such a proof.
 """
 
@@ -39,6 +42,9 @@ PERCENT = 75
 AHEAD = 0.12
 #: Sizes of one block of a list differ by this factor at most.
 BLOCK_RATIO = 1.1
+#: Bits of a bitmap, in words of 64. Lists of at most ``SHORT_LIST`` sets are joined without bitmaps, which saves their bytes.
+WORDS, SHORT_LIST = 8, 8
+BITS = 64 * WORDS
 #: Ids (8 bytes) that may be broadcast; more are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Comparisons with one set that are made in one piece; the set is repeated for further ones.
@@ -173,8 +179,14 @@ def _counted(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(read, "d1 bigint, c bigint").groupBy("d1").agg(F.sum("c").alias("c"))
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """``WORDS`` words whose bits tell whether an odd number of elements falls on them."""
+    odd = np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def whole_sets(docs: DataFrame) -> DataFrame:
-    """(d, n, set) of each row of ``docs`` (text)."""
+    """(d, n, set, bits) of each row of ``docs`` (text)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,10 +194,11 @@ def whole_sets(docs: DataFrame) -> DataFrame:
             ends = np.cumsum([0, *(len(s) for s in sets)])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([digest(s, 0) for s in sets], pa.binary()), pa.array(np.diff(ends), pa.int32()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _column(np.concatenate([np.zeros(0, np.uint64), *sets])))], names=["d", "n", "set"],
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _column(np.concatenate([np.zeros(0, np.uint64), *sets]))),
+                 pa.array([bitmap(s).tolist() for s in sets], pa.list_(pa.int64()))], names=["d", "n", "set", "bits"],
             )
 
-    return docs.select("text").mapInArrow(read, "d binary, n int, set array<bigint>")
+    return docs.select("text").mapInArrow(read, "d binary, n int, set array<bigint>, bits array<bigint>")
 
 
 def _small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -256,8 +269,9 @@ class Join:
         star = self._star(lists, order)
         heads = star.select(F.col("b").alias("a")).distinct()
         follows = star.join(heads, "a", "left_anti")  # a set that others follow stays a leader
-        follows = w.write(follows.select(F.col("a").alias("k"), F.col("b").alias("leader"), "n_a", (F.col("s_a") - F.col("o")).alias("own"), (F.col("s_b") - F.col("o")).alias("lost")), "followers")
-        pairs = w.write(self._block_pairs(lists, follows), "leader-pairs")
+        own, lost, apart = F.col("s_a") - F.col("o"), F.col("s_b") - F.col("o"), F.col("n_a") + F.col("n_b") - 2 * F.col("o")
+        follows = w.write(follows.select(F.col("a").alias("k"), F.col("b").alias("leader"), "n_a", own.alias("own"), lost.alias("lost"), apart.alias("apart")), "followers")
+        pairs = w.write(self._block_pairs(lists, follows, order), "leader-pairs")
         compared = self._compared(pairs, order)
         edges = star.select("a", "b").unionByName(self._answers(compared, follows, order))
         names = sets.select("k", "d")
@@ -279,16 +293,16 @@ class Join:
         return sets
 
     def _ordered(self, sets: DataFrame) -> DataFrame:
-        """(k, n, s): the elements that other sets of ``sets`` hold, too, the rarest first, of sets with enough of them."""
+        """(k, n, s, bits): the elements that other sets of ``sets`` hold, too, the rarest first, of sets with enough of them."""
         w = self.scratch
         rows = sets.select("k", F.explode("set").alias("e"))
         often = rows.groupBy("e").agg(F.count(F.lit(1)).cast("int").alias("f")).filter("f > 1")
         shared = rows.join(often, "e").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("s"))
-        shared = shared.join(sets.select("k", "n"), "k").filter(F.size("s") >= least_overlap(F.col("n")))
-        return w.write(shared.select("k", "n", F.col("s.e").alias("s")), "ordered")
+        shared = shared.join(sets.select("k", "n", "bits"), "k").filter(F.size("s") >= least_overlap(F.col("n")))
+        return w.write(shared.select("k", "n", F.col("s.e").alias("s"), "bits"), "ordered")
 
     def _lists(self, order: DataFrame) -> DataFrame:
-        """(e, k, n, rest, head): prefix elements that several sets have in theirs. rest: how many elements of the set there are from e on.
+        """(e, k, n, rest, head, c): prefix elements that c sets, two or more, have in theirs. rest: how many elements of the set there are from e on.
 
         Elements of a set that no other one holds come first of all, so those of ``s`` are its last.
         """
@@ -297,7 +311,7 @@ class Join:
         rows = order.select("k", "n", F.size("s").alias("m"), F.posexplode(F.slice("s", 1, length)).alias("i", "e"))
         rows = rows.select("e", "k", "n", (F.col("m") - F.col("i")).alias("rest"))
         first = F.min(F.struct((F.col("n") - F.col("rest")).alias("at"), F.col("k").alias("k")))
-        heads = rows.groupBy("e").agg(first.alias("h"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("e", F.col("h.k").alias("head"))
+        heads = rows.groupBy("e").agg(first.alias("h"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("e", F.col("h.k").alias("head"), "c")
         return self.scratch.write(rows.join(heads, "e"), "lists")
 
     def _star(self, lists: DataFrame, order: DataFrame) -> DataFrame:
@@ -325,31 +339,41 @@ class Join:
         return self.scratch.write(df.select("a", "b", "n_a", "n_b", F.size("set_a").alias("s_a"), F.size("set_b").alias("s_b"), o.alias("o")), "compared")
 
     @staticmethod
-    def _block_pairs(lists: DataFrame, follows: DataFrame) -> DataFrame:
+    def _block_pairs(lists: DataFrame, follows: DataFrame, order: DataFrame) -> DataFrame:
         """(a, b), a < b: leaders (or sets that follow none) that meet, or whose followers meet, in a block of a list.
 
         Of a linking pair x, y with y not the larger one, let e be the first common element: both have at least
         the needed overlap from e on. So y stands in e's list with ``rest`` of at least what it needs with a set of its own size, in the block
         of its size, and x's rest admits a size of at most 7/3 rest - n: x looks into the blocks from 0.75 n to that.
+
+        x and y link if they differ in at most 1/7 of their sizes together. They differ in at least what their leaders' bitmaps
+        do, less what each differs from its leader.
         """
         t = 100 + PERCENT
-        led = lists.select("e", "k", "n", "rest").join(_small(follows.select("k", "leader")), "k", "left").withColumn("g", F.coalesce("leader", "k"))
+        words = [f"w{i}" for i in range(WORDS)]
+        radius = follows.groupBy(F.col("leader").alias("g")).agg(F.max("apart").alias("radius"))
+        leaders = order.select(F.col("k").alias("g"), *[F.get("bits", F.lit(i)).alias(x) for i, x in enumerate(words)]).join(radius, "g", "left")
+        leaders = leaders.withColumn("radius", F.coalesce("radius", F.lit(0)))
+        led = lists.select("e", "k", "n", "rest", "c").join(_small(follows.select("k", "leader")), "k", "left").withColumn("g", F.coalesce("leader", "k"))
+        led = led.join(leaders, "g").withColumns({x: F.when(F.col("c") > SHORT_LIST, F.col(x)) for x in words})
 
         def block(n: Column) -> Column:
             return F.floor(F.log(n.cast("double")) / math.log(BLOCK_RATIO) + 1e-9).cast("int")
 
-        best = [F.max("rest").alias("rest"), F.min("n").alias("least"), F.max("n").alias("most")]
+        best = [F.max("rest").alias("rest"), F.min("n").alias("least"), F.max("n").alias("most"), *[F.max(x).alias(x) for x in ("radius", *words)]]
         listed = led.filter(t * F.col("rest") >= 2 * PERCENT * F.col("n")).groupBy("e", block(F.col("n")).alias("block"), "g").agg(*best)
         low = least_overlap(F.col("n"))
         high = F.least(F.col("n"), F.floor(t * F.col("rest") / PERCENT).cast("int") - F.col("n"))
         looking = led.withColumn("low", low).withColumn("high", high).filter("low <= high")
         blocks = F.explode(F.sequence(block(F.col("low")), block(F.col("high")))).alias("block")
-        looking = looking.select("e", blocks, "g", "rest", "n").groupBy("e", "block", "g").agg(*best)
-        fields = ("g", "rest", "least", "most")
+        looking = looking.select("e", blocks, "g", "rest", "n", "radius", *words).groupBy("e", "block", "g").agg(*best)
+        fields = ("g", "rest", "least", "most", "radius", *words)
         x, y = (df.select("e", "block", *[F.col(c).alias(f"{c}_{i}") for c in fields]) for df, i in ((looking, "x"), (listed, "y")))
         near = t * F.least("rest_x", "rest_y") >= PERCENT * (F.col("least_x") + F.col("least_y"))
         sizes = (F.col("least_x") * PERCENT <= F.col("most_y") * 100) & (F.col("least_y") * PERCENT <= F.col("most_x") * 100)
-        met = x.join(y, ["e", "block"]).filter((F.col("g_x") != F.col("g_y")) & near & sizes)
+        bits = sum((F.bit_count(F.col(f"{v}_x").bitwiseXOR(F.col(f"{v}_y"))) for v in words[1:]), F.bit_count(F.col("w0_x").bitwiseXOR(F.col("w0_y"))))
+        like = t * (F.coalesce(bits, F.lit(0)) - F.col("radius_x") - F.col("radius_y")) <= (100 - PERCENT) * (F.col("most_x") + F.col("most_y"))
+        met = x.join(y, ["e", "block"]).filter((F.col("g_x") != F.col("g_y")) & near & sizes & like)
         return met.select(F.least("g_x", "g_y").alias("a"), F.greatest("g_x", "g_y").alias("b")).distinct()
 
     def _answers(self, leaders: DataFrame, follows: DataFrame, order: DataFrame) -> DataFrame:
