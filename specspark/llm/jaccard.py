@@ -351,11 +351,15 @@ class Join:
         """
         t = 100 + PERCENT
         words = [f"w{i}" for i in range(WORDS)]
-        radius = follows.groupBy(F.col("leader").alias("g")).agg(F.max("apart").alias("radius"))
-        leaders = order.select(F.col("k").alias("g"), *[F.get("bits", F.lit(i)).alias(x) for i, x in enumerate(words)]).join(radius, "g", "left")
-        leaders = leaders.withColumn("radius", F.coalesce("radius", F.lit(0)))
-        led = lists.select("e", "k", "n", "rest", "c").join(_small(follows.select("k", "leader")), "k", "left").withColumn("g", F.coalesce("leader", "k"))
-        led = led.join(leaders, "g").withColumns({x: F.when(F.col("c") > SHORT_LIST, F.col(x)) for x in words})
+        # a leader is repeated for every ``PIECE`` of its followers, whose rows are dealt to its copies by element
+        groups = follows.groupBy("leader").agg(F.max("apart").alias("radius"), F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("parts"))
+        leaders = order.select(F.col("k").alias("g"), *[F.get("bits", F.lit(i)).alias(x) for i, x in enumerate(words)]).join(groups, F.col("g") == F.col("leader"), "left")
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+        leaders = leaders.select("g", F.coalesce("radius", F.lit(0)).alias("radius"), *words, copies)
+        named = follows.select("k", "leader").join(groups.select("leader", "parts"), "leader")
+        led = lists.select("e", "k", "n", "rest", "c").join(_small(named), "k", "left").withColumn("g", F.coalesce("leader", "k"))
+        led = led.withColumn("part", F.coalesce(F.pmod(F.xxhash64("e"), F.col("parts")), F.lit(0)).cast("int"))
+        led = led.join(leaders, ["g", "part"]).withColumns({x: F.when(F.col("c") > SHORT_LIST, F.col(x)) for x in words})
 
         def block(n: Column) -> Column:
             return F.floor(F.log(n.cast("double")) / math.log(BLOCK_RATIO) + 1e-9).cast("int")
