@@ -29,6 +29,9 @@ TRAINING_PAGES, EPOCHS, SEED = 800, 10, 5
 #: Elements whose text is none of the page's.
 SKIPPED = frozenset("script style head template noscript svg iframe object canvas".split())
 RAW = frozenset("script style".split())
+RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
+#: Elements that a head may hold; any other one closes it.
+IN_HEAD = frozenset("title base link meta style script noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn del em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 #: An opening tag of the key closes open elements of these names first.
@@ -107,7 +110,7 @@ def blocks(page: str) -> list[Block]:
                     pop(i)
                 elif stack[i][0] in FENCES:
                     break
-        if name in ("body",) and any(x[0] == "head" for x in stack):
+        if name == "body" and any(x[0] == "head" for x in stack) or stack and stack[-1][0] == "head" and name not in IN_HEAD:
             pop(next(i for i, x in enumerate(stack) if x[0] == "head"))
         names, label = [name], None
         for a in ATTRIBUTE.finditer(attributes):
@@ -118,8 +121,8 @@ def blocks(page: str) -> list[Block]:
                 names += [f"{name}.{x.lower()}" for x in value.split()]
                 names += [f".{x.lower()}" for x in NAME_PART.findall(value)]
         if name in RAW:
-            end = page.lower().find(f"</{name}", at) if "</" in page[at:] else -1
-            at = size if end < 0 else end
+            end = RAW_END[name].search(page, at)
+            at = end.start() if end else size
             continue
         if attributes.rstrip().endswith("/") and name in SKIPPED:
             continue

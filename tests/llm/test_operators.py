@@ -353,6 +353,13 @@ def test_html(spark):
     assert got[1] == (want, len(want)) and got[2] == got[3] == ("", 0)
 
 
+def test_html_head_ends_at_the_first_element_that_it_cannot_hold():
+    texts = lambda page: [b.text for b in html.blocks(page)]
+    assert texts("<html><head><title>x</title><p>The text</p><p>more</p></html>") == ["The text", "more"]
+    assert texts("<head><meta charset=utf-8><STYLE>p {}</Style><noscript><p>no</p></noscript><title>x</title></head><body><p>The text</p>") == ["The text"]
+    assert texts("<script>İ < 1 </SCRIPT><p>after</p><script>open <p>never") == ["after"]
+
+
 def test_html_held_out_accuracy():
     model, right, total = html.trained(), 0, 0
     for i in range(60):
