@@ -11,50 +11,50 @@ of the word distance is set against that one's distance, the language's *lack*:
 most ``LACK_MOST`` of the lack, and ``MAX_WORD_DISTANCE`` at most. Where chance alone reaches ``LACK_NOISE`` of the
 lack's square, the words are too few to tell, and only ``MAX_WORD_DISTANCE`` holds.
 
-The references are learned from the whole table: a frequent-items sketch names ``CANDIDATES`` words a
-language, these are then counted exactly, and the first ``COMMON_WORDS`` by count (ties by word) stay.
+The references are learned from the whole table: every word of a language is counted exactly, and the first
+``COMMON_WORDS`` by count (ties by word) stay. The characters are classed in the counted words, each once.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import own_names, written
 
-COMMON_WORDS, CANDIDATES, SKETCH_ITEMS = 32, 96, 10_000
+COMMON_WORDS = 32
 MIN_WORDS, MIN_CHARS = 60, 200
 MAX_WORD_DISTANCE, MAX_CLASS_DISTANCE = 0.47, 0.26
 LACK_SHARE, LACK_MOST, LACK_NOISE = 0.35, 0.97, 0.75
 WINDOW = 8
-#: Up to so many languages the references (about 1 KB each) are broadcast; beyond it they are joined by shuffle.
+#: Slots by hash in which a language's common words are marked: a word of an unmarked slot is none of them.
+SLOTS = 1024
+#: Up to so many languages the references (about 3 KB each) are broadcast; beyond it they are joined by shuffle.
 BROADCAST_LANGS = 2000
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "[#*$%&|<>]"
-#: Character classes counted by a pattern that matches seldom. Then come non-ASCII, white space (the characters outside the
-#: words) and lower-case letters (what no other class holds).
+#: Character classes counted by a pattern, of which none holds a lower-case letter or white space. Then come non-ASCII, white
+#: space (the characters outside the words) and lower-case letters (what no other class holds).
 CLASSES = ("[A-Z]", "[0-9]", "[.,;:!?'\"()-]", r"[\x00-\x08\x0E-\x1F+/=@\[\\\]^_`{}~\x7F]", SYMBOLS)
 
 
 def words_of(text: Column) -> Column:
     """The non-empty words; null for a null text."""
-    return F.filter(F.split(F.btrim(text, F.lit(SPACE_CHARS)), SPACE), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACE), "")
 
 
-def word_chars(words: Column) -> Column:
-    return F.aggregate(words, F.lit(0), lambda a, x: a + F.char_length(x))
+def not_lower(text: Column) -> Column:
+    """``text`` without its lower-case letters: what the class patterns have to look through."""
+    return F.regexp_replace(text, "[a-z]+", "")
 
 
-def _class_counts(text: Column, in_words: Column) -> Column:
-    """Counts of all classes, then of all characters; ``in_words`` is ``word_chars`` of the text."""
-    counted = [F.regexp_count(text, F.lit(c)).cast("double") for c in CLASSES]
-    ascii_only = F.char_length(text) == F.octet_length(text)
-    counted.append(F.when(ascii_only, F.lit(0.0)).otherwise(F.regexp_count(text, F.lit(r"[^\x00-\x7F]")).cast("double")))
-    total = F.char_length(text).cast("double")
-    return F.array(*counted, total - in_words, total)
+def _class_counts(rest: Column) -> list[Column]:
+    """Counts of ``CLASSES`` and of non-ASCII characters in a text's words, given as ``not_lower``."""
+    counted = [F.regexp_count(rest, F.lit(c)).cast("double") for c in CLASSES]
+    return [*counted, F.char_length(rest) - sum(counted[1:], counted[0])]
 
 
 def _class_shares(counts: Column) -> Column:
@@ -66,34 +66,46 @@ def _class_shares(counts: Column) -> Column:
 
 
 def language_references(docs: DataFrame) -> DataFrame:
-    """(lang, classes, common, shares, lack): of all non-null texts of each lang (null is a language of its own)
-    the shares of the character classes, the most frequent words, the words' shares with all others last, and
-    the distance from these of a text with none of the words."""
+    """(lang, classes, common, shares, marked, lack): of all non-null texts of each lang (null is a language of its
+    own) the shares of the character classes, the most frequent words' hashes, the words' shares with all others
+    last, which slots hold a common word, and the distance from the shares of a text with none of the words."""
     texts = docs.select("lang", "text").filter("text is not null")
     words = texts.select("lang", F.explode(words_of(F.col("text"))).alias("word"))
-    tops = words.groupBy("lang").agg(F.expr(f"approx_top_k(word, {CANDIDATES}, {SKETCH_ITEMS})").alias("top"))
-    tops = written(tops.select(F.col("lang").alias("l"), F.explode("top.item").alias("c")), "language-words")
-    small = tops.count() <= BROADCAST_LANGS * CANDIDATES
-    same = F.col("lang").eqNullSafe(F.col("l")) & (F.col("word") == F.col("c"))
-    counted = words.join(F.broadcast(tops) if small else tops, same).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("k"))
-    ordered = F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), F.col("word").alias("word"))))
-    common = counted.groupBy("lang").agg(F.slice(ordered, 1, COMMON_WORDS).alias("top"))
-    measures = texts.withColumn("w", words_of(F.col("text")))
-    measures = measures.select("lang", F.size("w").alias("n"), _class_counts(F.col("text"), word_chars(F.col("w"))).alias("c"))
-    width = len(CLASSES) + 3
-    totals = measures.groupBy("lang").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("c", F.lit(i))) for i in range(width)]).alias("c"))
+    counted = written(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("k")), "language-words")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("k"), "word"))
+    first = counted.withColumn("place", place).filter(F.col("place") <= COMMON_WORDS)
+    in_order = F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), F.col("word").alias("word"))))
+    common = first.groupBy("lang").agg(in_order.alias("top"))
+    classed = counted.withColumn("rest", not_lower(F.col("word")))
+    classed = classed.select("lang", "k", F.char_length("word").alias("long"), F.array(*_class_counts(F.col("rest"))).alias("c"))
+    width = len(CLASSES) + 1
+    totals = classed.groupBy("lang").agg(
+        F.sum("k").alias("n"), F.sum(F.col("k") * F.col("long")).alias("in_words"),
+        F.array(*[F.sum(F.col("k") * F.get("c", F.lit(i))) for i in range(width)]).alias("c"),
+    )
+    chars = texts.groupBy(F.col("lang").alias("l")).agg(F.sum(F.char_length("text")).alias("chars"))
+    totals = chars.join(totals, F.col("lang").eqNullSafe(F.col("l")), "left").drop("lang").withColumnRenamed("l", "lang")
+    none = F.array(*[F.lit(0.0)] * width)
+    space = (F.col("chars") - F.coalesce("in_words", F.lit(0))).cast("double")
+    totals = totals.withColumn("c", F.concat(F.coalesce("c", none), F.array(space, F.col("chars").cast("double"))))
     refs = totals.join(common.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left")
     top = F.coalesce("top", F.array().cast("array<struct<k:bigint,word:string>>"))
-    words_total = F.greatest(F.col("n"), F.lit(1)).cast("double")
+    words_total = F.greatest(F.col("n"), F.lit(1)).cast("double")  # greatest skips the null of a language without words
     top_total = F.aggregate(top, F.lit(0.0), lambda a, x: a - x["k"])
     refs = refs.select(
-        "lang", _class_shares(F.col("c")).alias("classes"), F.transform(top, lambda x: x["word"]).alias("common"),
+        "lang", _class_shares(F.col("c")).alias("classes"), F.transform(top, lambda x: F.xxhash64(x["word"])).alias("common"),
         F.concat(F.transform(top, lambda x: -x["k"] / words_total), F.array((words_total - top_total) / words_total)).alias("shares"),
     )
     none = F.concat(F.transform("common", lambda x: F.lit(0.0)), F.array(F.lit(1.0)))
+    slots = F.transform("common", lambda h: slot(h))
+    refs = refs.withColumn("marked", F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.array_contains(slots, i)))
     return refs.withColumn("lack", js_distance(none, F.col("shares")))
 
 
+def slot(h: Column) -> Column:
+    return h.bitwiseAND(SLOTS - 1).cast("int")
+
+
 def js_distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance of two arrays of shares, 0 to 1; null where one is null."""
 
@@ -106,16 +118,15 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def with_repeats(df: DataFrame, words: str, out: str) -> DataFrame:
-    """Add ``out``: how many words lie in windows of eight words that the array ``words`` holds twice or more."""
+    """Add ``out``: how many words lie in windows of eight words that ``words``, the array of their hashes, holds twice or more."""
     h1, h8, order, at = (f"__{out}_{x}" for x in ("1", "8", "o", "p"))
     keep = [c for c in df.columns]
-    df = df.withColumn(h1, F.transform(words, lambda w: F.xxhash64(w)))
 
     def doubled(h: Column, by: int) -> Column:
         return F.zip_with(h, F.slice(h, by + 1, F.greatest(F.size(h), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
 
     n = F.size(words)
-    df = df.withColumn(f"{h1}2", doubled(F.col(h1), 1)).withColumn(f"{h1}4", doubled(F.col(f"{h1}2"), 2))
+    df = df.withColumn(f"{h1}2", doubled(F.col(words), 1)).withColumn(f"{h1}4", doubled(F.col(f"{h1}2"), 2))
     # a window that lacks words hashes from a null: only the first n - 3, n - 7 are whole
     df = df.withColumn(f"{h1}4", F.when(n > WINDOW, F.slice(F.col(f"{h1}4"), 1, F.greatest(n - 3, F.lit(1)))))
     four = F.col(f"{h1}4")
@@ -160,11 +171,14 @@ def judge(docs: DataFrame) -> DataFrame:
     df = docs.join(F.broadcast(refs) if small else refs, F.col("lang").eqNullSafe(F.col("__ref_lang")), "left")
     t = F.coalesce(F.col("text"), F.lit(""))
     df = df.withColumn("__w", words_of(t)).withColumn("n_words", F.size("__w").cast("bigint"))
-    df = with_repeats(df, "__w", "n_repeat_words")
-    common = F.col("__ref_common")
-    df = df.withColumn("__hits", F.filter("__w", lambda x: common.isNotNull() & F.array_contains(common, x)))
-    df = df.withColumn("word_chars", word_chars(F.col("__w")).cast("bigint"))
-    df = df.drop("__w").withColumn("__c", _class_counts(t, F.col("word_chars"))).withColumn("n_symbols", F.get("__c", F.lit(len(CLASSES) - 1)).cast("bigint"))
+    df = df.withColumn("__in", F.array_join("__w", "")).withColumn("__h", F.transform("__w", lambda w: F.xxhash64(w))).drop("__w")
+    df = df.withColumn("__rest", not_lower(F.col("__in"))).withColumn("word_chars", F.char_length("__in").cast("bigint")).drop("__in")
+    total = F.char_length(t).cast("double")
+    df = df.withColumn("__c", F.array(*_class_counts(F.col("__rest")), total - F.col("word_chars"), total)).drop("__rest")
+    df = df.withColumn("n_symbols", F.get("__c", F.lit(len(CLASSES) - 1)).cast("bigint"))
+    common, marked = F.col("__ref_common"), F.col("__ref_marked")
+    df = df.withColumn("__hits", F.filter("__h", lambda h: F.get(marked, slot(h)) & F.array_contains(common, h)))
+    df = with_repeats(df, "__h", "n_repeat_words").drop("__h")
     df = df.withColumn("__lines", F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != ""))
     df = df.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint")).drop("__lines")
     df = df.withColumn("class_distance", js_distance(_class_shares(F.col("__c")), F.col("__ref_classes")))
