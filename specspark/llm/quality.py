@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import own_names, written
+from .common import Scratch, own_names
 
 COMMON_WORDS = 32
 MIN_WORDS, MIN_CHARS = 60, 200
@@ -68,10 +68,12 @@ def _class_shares(counts: Column) -> Column:
 def language_references(docs: DataFrame) -> DataFrame:
     """(lang, classes, common, shares, marked, lack): of all non-null texts of each lang (null is a language of its
     own) the shares of the character classes, the most frequent words' hashes, the words' shares with all others
-    last, which slots hold a common word, and the distance from the shares of a text with none of the words."""
+    last, which slots hold a common word, and the distance from the shares of a text with none of the words.
+    The table is written; the table of counted words behind it is deleted again."""
+    scratch = Scratch(docs.sparkSession, "quality")
     texts = docs.select("lang", "text").filter("text is not null")
     words = texts.select("lang", F.explode(words_of(F.col("text"))).alias("word"))
-    counted = written(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("k")), "language-words")
+    counted = scratch.write(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("k")), "language-words")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("k"), "word"))
     first = counted.withColumn("place", place).filter(F.col("place") <= COMMON_WORDS)
     in_order = F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), F.col("word").alias("word"))))
@@ -99,7 +101,9 @@ def language_references(docs: DataFrame) -> DataFrame:
     none = F.concat(F.transform("common", lambda x: F.lit(0.0)), F.array(F.lit(1.0)))
     slots = F.transform("common", lambda h: slot(h))
     refs = refs.withColumn("marked", F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.array_contains(slots, i)))
-    return refs.withColumn("lack", js_distance(none, F.col("shares")))
+    refs = scratch.write(refs.withColumn("lack", js_distance(none, F.col("shares"))), "language-references")
+    scratch.drop(counted)
+    return refs
 
 
 def slot(h: Column) -> Column:
@@ -165,7 +169,6 @@ def judge(docs: DataFrame) -> DataFrame:
     keep = [c for c in docs.columns if c not in ADDED]
     docs = docs.select(*keep)
     refs = language_references(docs)
-    refs = written(refs, "language-references")
     small = refs.count() <= BROADCAST_LANGS
     refs = refs.select(*[F.col(c).alias(f"__ref_{c}") for c in refs.columns])
     df = docs.join(F.broadcast(refs) if small else refs, F.col("lang").eqNullSafe(F.col("__ref_lang")), "left")
