@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .operators.lineage import shared_folder
+
 PEAKS_SQL = """peaks AS (
   SELECT l_orderkey AS spectrum_id,
          CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_quantity, l_partkey, l_suppkey, l_linenumber) AS INT) AS pos,
@@ -76,3 +80,8 @@ def formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, vector array<double>, label)."""
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"), "label")
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder name below the session's shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

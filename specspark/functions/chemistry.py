@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 MASSES = {
     "H": 1.00782503207, "C": 12.0, "N": 14.0030740048, "O": 15.99491461956, "F": 18.99840322, "Na": 22.9897692809, "Si": 27.9769265325,
     "P": 30.97376163, "S": 31.972071, "Cl": 34.96885268, "K": 38.96370668, "Br": 78.9183371, "I": 126.904473,
+    "B": 11.0093054, "Se": 79.9165213, "Fe": 55.9349375, "Co": 58.933195, "As": 74.9215965,
 }
 #: Mass shift of each adduct in Da.
-ADDUCT_SHIFTS = {"[M+H]+": 1.007276, "[M+Na]+": 22.989218, "[M+NH4]+": 18.033823, "[M+K]+": 38.963158, "[M-H]-": -1.007276, "[M+Cl]-": 34.969402}
+ADDUCT_SHIFTS = {
+    "[M+H]+": 1.007276, "[M+Na]+": 22.989218, "[M+NH4]+": 18.033823, "[M+K]+": 38.963158, "[M-H]-": -1.007276, "[M+Cl]-": 34.969402,
+    "[M]+": -0.000549, "[M+H3N+H]+": 18.033823, "[M-H2O+H]+": -17.003288, "[M+H-H2O]+": -17.003288, "[M-H4O2+H]+": -35.013853, "[M+H-2H2O]+": -35.013853,
+    "[M-H2O-H]-": -19.017841, "[M-H-H2O]-": -19.017841, "[M-H-CO2]-": -44.997106,
+}
 
 
 def formula_counts(formula: Column) -> Column:

@@ -58,6 +58,16 @@ SQL_FUNCTIONS = {
     "nce_to_ev(nce DOUBLE, precursor_mz DOUBLE) RETURNS DOUBLE": "nce * precursor_mz / 500",
     "ev_to_nce(ev DOUBLE, precursor_mz DOUBLE) RETURNS DOUBLE": "ev * 500 / precursor_mz",
     "stable_key(seed INT, text STRING) RETURNS BIGINT": "cast(conv(substr(sha2(concat(seed, ':', text), 256), 1, 8), 16, 10) as bigint)",
+    "total_intensity(intensity ARRAY<DOUBLE>) RETURNS DOUBLE": "aggregate(intensity, 0D, (s, x) -> s + x)",
+    "scale_to_max(intensity ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE>": "transform(intensity, x -> x / nullif(array_max(intensity), 0D))",
+    "vector_cosine(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE": (
+        "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)"
+        " / nullif(sqrt(aggregate(a, 0D, (s, x) -> s + x * x)) * sqrt(aggregate(b, 0D, (s, x) -> s + x * x)), 0D)"
+    ),
+    "polarity_of(adduct STRING) RETURNS INT": "CASE WHEN endswith(adduct, '+') THEN 1 WHEN endswith(adduct, '-') THEN 0 END",
+    "parse_collision(text STRING) RETURNS DOUBLE": "try_cast(regexp_extract(text, '([0-9]+([.][0-9]+)?)', 1) AS DOUBLE)",
+    "block_type(header STRING) RETURNS STRING": "lower(regexp_extract(header, '^[># ]*([A-Za-z0-9_]+)', 1))",
+    "dedup_list(list ARRAY<STRING>) RETURNS ARRAY<STRING>": "array_distinct(list)",
     "rt_scaled(rt DOUBLE) RETURNS DOUBLE": "coalesce(nanvl(rt, 0D), 0D) / 600",
 }
 

@@ -92,12 +92,18 @@ def rollup_audit(audited: DataFrame, by: str = "shard") -> DataFrame:
     return audited.agg(F.count(F.lit(1)).alias("shards"), *[F.sum(c).alias(c) for c in audited.columns if c != by])
 
 
-def file_inventory(spark, folder: str, pattern: str = "*") -> DataFrame:
-    """(name, bytes, sha256, start): the files of a folder by name with running byte offsets."""
+def file_inventory(spark, folder: str, pattern: str = "*", table_format: str = "parquet") -> DataFrame:
+    """(name, bytes, rows, sha256, start, end): the files of a folder by name; start and end are running row numbers, end exclusive.
+
+    A file is hashed as one value of at most 2 GB. Files without rows have start = end.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    rows = files.select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    w = Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)  # a list of files
-    return rows.withColumn("start", F.coalesce(F.sum("bytes").over(w), F.lit(0)))
+    files = files.select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    counted = spark.read.format(table_format).option("pathGlobFilter", pattern).load(folder)
+    counted = counted.groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count(F.lit(1)).alias("rows"))
+    both = files.join(counted, "name", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    end = F.sum("rows").over(Window.orderBy("name"))  # a list of files
+    return both.select("name", "bytes", "rows", "sha256", (end - F.col("rows")).alias("start"), end.alias("end"))
 
 
 def diff_manifest(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -204,8 +210,14 @@ def check_same_population(df: DataFrame, method: str, key: str) -> DataFrame:
     return seen.crossJoin(F.broadcast(total)).filter("methods <> __m or rows <> __m").drop("__m")
 
 
-def pending_shards(shards: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    return shards.join(done.select(key), key, "left_anti")
+def pending_shards(shards: DataFrame, done: DataFrame, key: str, found: DataFrame | None = None, digest: str = "sha256") -> DataFrame:
+    """Shards that aren't recorded as done. With ``found`` (key, digest of what lies there now), a recorded output that is gone or
+    has another digest is pending again."""
+    finished = done.select(key)
+    if found is not None:
+        same = done.select(key, F.col(digest).alias("__was")).join(found.select(key, F.col(digest).alias("__is")), key)
+        finished = same.filter("__was = __is").select(key)
+    return shards.join(finished, key, "left_anti")
 
 
 def drop_crossing_keys(df: DataFrame, key: str, fold: str) -> DataFrame:

@@ -238,3 +238,8 @@ def max_precursor(df: DataFrame, most: float) -> DataFrame:
 def valid_targets(df: DataFrame, targets: DataFrame, key: str, bits: str) -> DataFrame:
     """Rows whose key has a non-empty fingerprint."""
     return df.join(targets.filter(F.size(bits) > 0).select(key), key, "left_semi")
+
+
+def dedup_list(values: Column) -> Column:
+    """The list without repeats, each value at its first place (a null counts as a value); null for a null list."""
+    return F.array_distinct(values)

@@ -171,3 +171,11 @@ def precursor_and_targets(spark, sf):
     targets = table(spark, sf, "customer").select(F.col("c_custkey").alias("molecule_id"), F.when(F.col("c_custkey") % 4 == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(1))).alias("bits"))
     valid = sm.valid_targets(df, targets, "molecule_id", "bits").agg(F.count(F.lit(1)).alias("n_valid"))
     return sm.max_precursor(df, 300.0).agg(F.count(F.lit(1)).alias("n_light")).crossJoin(valid)
+
+
+@query("""WITH f AS (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS o FROM orders GROUP BY 1, 2)
+SELECT o_custkey, string_agg(o_orderpriority, '|' ORDER BY o, o_orderpriority) AS priorities FROM f GROUP BY 1""")
+def dedup_list(spark, sf):
+    rows = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority")))
+    lists = table(spark, sf, "orders").groupBy("o_custkey").agg(F.transform(rows, lambda r: r["o_orderpriority"]).alias("l"))
+    return lists.select("o_custkey", F.array_join(sm.dedup_list(F.col("l")), "|").alias("priorities"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import PEAKS_SQL, SPECTRA_SQL, metadata, spectra, table, vectors
+from ..fixtures import PEAKS_SQL, SPECTRA_SQL, metadata, scratch_dir, spectra, table, vectors
 from ..functions import udf
 from ..functions.peaks import signature
 from ..ml import baselines as bl
 from ..operators import search as se
 from ..registry import query
 from ..sources import tables as tb
+from ..streaming import jobs
 
 S = f"WITH {SPECTRA_SQL}"
 
@@ -105,3 +106,31 @@ def logistic_on_vectors(spark, sf):
 def stream_batch_search(spark, sf):
     v = vectors(spark, sf)
     return se.blocked_topk(v.filter("vec_id % 50 = 1"), v, "vec_id", "vector", 1, exclude_self=False)
+
+
+def _stream(spark, sf, name):
+    """The given table as a stream: a file or a folder of files (a path that is a file needs a pattern)."""
+    return jobs.shard_stream(spark, f"{sf}/{name}.parque[t]", table(spark, sf, name).schema)
+
+
+@query("SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1")
+def stream_running_counts(spark, sf):
+    out = scratch_dir(spark, "counts")
+    jobs.count_stream(_stream(spark, sf, "lineitem"), "l_orderkey", "n", f"{out}/table", f"{out}/checkpoint").awaitTermination()
+    return jobs.read_counts(spark, f"{out}/table", "l_orderkey", "n")
+
+
+@query("SELECT DISTINCT o_orderkey, o_custkey FROM orders")
+def stream_ingest(spark, sf):
+    out = scratch_dir(spark, "ingest")
+    jobs.ingest_stream(_stream(spark, sf, "orders"), f"{out}/table", f"{out}/checkpoint", "o_orderkey").awaitTermination()
+    return spark.read.parquet(f"{out}/table").select("o_orderkey", "o_custkey").distinct()
+
+
+@query()
+def stream_search(spark, sf):
+    """The nearest library vector of each arriving one; the stated queries are the ids divisible by 100."""
+    out = scratch_dir(spark, "search")
+    arriving = _stream(spark, sf, "embeddings").filter("vec_id % 100 = 0").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    jobs.search_stream(arriving, vectors(spark, sf).select("vec_id", "vector"), "vec_id", "vector", f"{out}/table", f"{out}/checkpoint").awaitTermination()
+    return spark.read.schema("query bigint, vec_id bigint, score double, batch int").parquet(f"{out}/table").drop("batch")

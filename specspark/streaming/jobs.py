@@ -24,6 +24,19 @@ def ingest_stream(stream: DataFrame, target: str, checkpoint: str, key: str):
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def count_stream(stream: DataFrame, key: str, count: str, target: str, checkpoint: str):
+    """Counts of each batch's rows by key, a folder a batch: no state is kept, ``read_counts`` adds them up."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.groupBy(key).agg(F.count(F.lit(1)).alias(count)).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_counts(spark: SparkSession, target: str, key: str, count: str) -> DataFrame:
+    return spark.read.parquet(target).groupBy(key).agg(F.sum(count).alias(count))
+
+
 def audit_stream(stream: DataFrame, by: list[str] = ("shard",)) -> DataFrame:
     """The audit's counters, kept up to date for each shard."""
     return audit(stream, list(by))

@@ -290,3 +290,79 @@ def test_score_pairs_meets_every_row(spark, monkeypatch, tile, most):
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     assert set(got) == {(q, k) for q in range(0, 40, 7) for k in range(40) if q != k}
     assert all(s == pytest.approx(u[q] @ u[k]) and (a, b) == (q % 3, k % 3) for (q, k), (s, a, b) in got.items())
+
+
+def test_side_tables_and_sinks(spark, tmp_path):
+    out = lambda name: str(tmp_path / name)
+    (tmp_path / "split.tsv").write_text("spec\tfold\na\ttrain\nb\ttest\n")
+    assert sorted(map(tuple, tables.read_split_tsv(spark, out("split.tsv")).collect())) == [("a", "train"), ("b", "test")]
+    (tmp_path / "t.tsv").write_text("x\ty\n1\t2\n3\t4\n")
+    tables.convert_table(spark, out("t.tsv"), out("csv"), ["x", "y"])
+    assert sorted(map(tuple, spark.read.csv(out("csv"), header=True).collect())) == [("0", "1", "2"), ("1", "3", "4")]
+    with pytest.raises(ValueError, match="columns"):
+        tables.convert_table(spark, out("t.tsv"), out("csv2"), ["x", "z"])
+    vectors = spark.createDataFrame([("a", [1.0, 2.0])], "id string, embedding array<double>")
+    tables.write_embeddings(vectors, out("vectors"))
+    assert spark.read.parquet(out("vectors")).first() == ("a", [1.0, 2.0])
+    with pytest.raises(ValueError, match="no embeddings"):
+        tables.write_embeddings(vectors.limit(0), out("none"))
+    tables.write_equal_shards(spark.range(5).withColumnRenamed("id", "o"), out("shards"), "o", shards=2)
+    rows = spark.read.parquet(out("shards")).groupBy("shard").agg(F.array_sort(F.collect_list("o")).alias("o"))
+    assert {r["shard"]: r["o"] for r in rows.collect()} == {0: [0, 1, 2], 1: [3, 4]}
+    tables.write_csv_gz(vectors.select("id"), out("gz"))
+    assert list((tmp_path / "gz").glob("*.csv.gz")) and spark.read.csv(out("gz"), header=True).first()["id"] == "a"
+
+
+def test_inventory_list_and_resume(spark, tmp_path):
+    import hashlib
+
+    folder = tmp_path / "files"
+    folder.mkdir()
+    for name, n in (("a", 3), ("b", 2)):
+        spark.range(n).coalesce(1).write.parquet(str(tmp_path / name))
+        (file,) = (tmp_path / name).glob("*.parquet")
+        file.rename(folder / f"{name}.parquet")
+    inventory = au.file_inventory(spark, str(folder), "*.parquet")
+    got = [tuple(r) for r in inventory.orderBy("name").select("name", "rows", "start", "end").collect()]
+    assert got == [("a.parquet", 3, 0, 3), ("b.parquet", 2, 3, 5)]
+    lines = [f"{hashlib.sha256(f.read_bytes()).hexdigest()}  {f.name}" for f in sorted(folder.glob("*.parquet"))]
+    (tmp_path / "list.txt").write_text("\n".join(lines) + "\n")
+    listed = au.read_sha_list(spark, str(tmp_path / "list.txt"))
+    assert au.check_sha_list(inventory, listed).count() == 0
+    spoilt = listed.withColumn("sha256", F.when(F.col("name") == "a.parquet", "0").otherwise(F.col("sha256")))
+    assert [tuple(r) for r in au.check_sha_list(inventory, spoilt).collect()] == [("a.parquet", "sha256")]
+    shards = spark.createDataFrame([(f"{x}.parquet",) for x in "abc"], "name string")
+    assert [r["name"] for r in au.pending_shards(shards, listed, "name").collect()] == ["c.parquet"]
+    assert sorted(r["name"] for r in au.pending_shards(shards, spoilt, "name", inventory).collect()) == ["a.parquet", "c.parquet"]
+
+
+def test_stream_search_and_counts(spark, tmp_path):
+    from specspark.streaming import jobs
+
+    rows = [(i, [float(i == 0 or i == 2), float(i % 2), 1.0]) for i in range(4)]
+    library = spark.createDataFrame(rows, "k int, v array<double>")
+    library.repartition(2).write.parquet(str(tmp_path / "in"))
+    stream = jobs.shard_stream(spark, str(tmp_path / "in"), library.schema, 1)
+    jobs.search_stream(stream, library, "k", "v", str(tmp_path / "s"), str(tmp_path / "cs")).awaitTermination(90)
+    assert {r["query"]: r["k"] for r in spark.read.parquet(str(tmp_path / "s")).collect()} == {0: 0, 1: 1, 2: 0, 3: 1}
+    jobs.count_stream(stream.withColumn("odd", F.col("k") % 2), "odd", "n", str(tmp_path / "c"), str(tmp_path / "cc")).awaitTermination(90)
+    assert {r["odd"]: r["n"] for r in jobs.read_counts(spark, str(tmp_path / "c"), "odd", "n").collect()} == {0: 2, 1: 2}
+
+
+def test_lists_masses_and_sql_functions(spark):
+    from specspark.functions import chemistry as ch
+
+    df = spark.createDataFrame([(["b", "a", "b", None, None],), ([],), (None,)], "l array<string>")
+    assert [r["d"] for r in df.select(sm.dedup_list(F.col("l")).alias("d")).collect()] == [["b", "a", None], [], None]
+    one = spark.range(1)
+    mass = lambda f: ch.formula_mass(ch.formula_counts(F.lit(f)))
+    assert one.select(mass("BH3")).first()[0] == pytest.approx(11.0093054 + 3 * 1.00782503207)
+    water = one.select(mass("H2O")).first()[0]
+    for name, lost in (("[M+H-H2O]+", 1), ("[M+H-2H2O]+", 2)):
+        assert ch.ADDUCT_SHIFTS[name] == pytest.approx(ch.ADDUCT_SHIFTS["[M+H]+"] - lost * water, abs=1e-5)
+    assert ch.ADDUCT_SHIFTS["[M-H-H2O]-"] == pytest.approx(ch.ADDUCT_SHIFTS["[M-H]-"] - water, abs=1e-5)
+    assert ch.ADDUCT_SHIFTS["[M-H-CO2]-"] == pytest.approx(ch.ADDUCT_SHIFTS["[M-H]-"] - one.select(mass("CO2")).first()[0], abs=1e-5)
+    udf.register_functions(spark)
+    row = spark.sql("""SELECT total_intensity(array(1D, 2D)), scale_to_max(array(1D, 2D)), vector_cosine(array(3D, 4D), array(3D, 4D)),
+        polarity_of('[M-H]-'), parse_collision('HCD 20.5 eV'), block_type('>ms2 x'), dedup_list(array('x', 'x', 'y'))""").first()
+    assert tuple(row) == (3.0, [0.5, 1.0], 1.0, 0, 20.5, "ms2", ["x", "y"])
