@@ -230,6 +230,18 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix(docs).columns[:2] == ["doc_id", "text"]
 
 
+def test_mixing_of_a_large_mean(spark):
+    """One rare source has a mean of 9000 repetitions: tables stay small, copies are gapless, equal at every partitioning."""
+    few = spark.createDataFrame([(i, "t", "rare") for i in range(4)], "doc_id bigint, text string, source string")
+    out = mixing.mix(few, total=36_000).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("copy").alias("a"), F.max("copy").alias("b"), F.count_distinct("copy").alias("k")).collect()
+    assert len(out) == 4 and all(r["a"] == 0 and r["b"] == r["n"] - 1 and r["k"] == r["n"] for r in out)
+    assert all(abs(r["n"] - 9000) < 6 * 9000**0.5 for r in out)
+    again = mixing.mix(few.repartition(3), total=36_000).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in out} == {r["doc_id"]: r["n"] for r in again}
+    tables = spark.createDataFrame([(500.0,)], "r double").select(mixing.poisson_table("r").alias("p")).first()["p"]
+    assert len(tables) < 800 and abs(tables[500] - 0.5119) < 1e-3
+
+
 def test_packing(docs, rows, empty):
     size = 64
     out = packing.pack_documents(docs, size=size).collect()
