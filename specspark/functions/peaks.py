@@ -6,7 +6,7 @@ then later position.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -99,7 +99,8 @@ def long_peaks(df: DataFrame, *keep: str) -> DataFrame:
 
 def _bins(df: DataFrame, key: str, bin_of: Column, value: Column, how: str) -> DataFrame:
     agg = {"sum": F.sum, "max": F.max}[how]
-    return long_peaks(df, key).filter("mz > 0 and intensity > 0").select(key, bin_of.alias("bin"), value.alias("value")).groupBy(key, "bin").agg(agg("value").alias("value"))
+    # dealt by key while peaks are still in their rows: bins and totals of a key then need no further exchange
+    return long_peaks(df.select(key, "mz", "intensity").repartition(F.col(key)), key).filter("mz > 0 and intensity > 0").select(key, bin_of.alias("bin"), value.alias("value")).groupBy(key, "bin").agg(agg("value").alias("value"))
 
 
 def _over_group(df: DataFrame, key: str, total: Column) -> DataFrame:
@@ -107,10 +108,16 @@ def _over_group(df: DataFrame, key: str, total: Column) -> DataFrame:
     return df.join(totals, key).withColumn("value", F.when(F.col("__t") > 0, F.col("value") / F.col("__t")).otherwise(0.0)).drop("__t")
 
 
+def _over_bins(rows: DataFrame, key: str, fold, of: Column, size=lambda t: t) -> DataFrame:
+    """Like ``_over_group`` for the few bins of a spectrum, which lie together: over ``size`` of the fold of ``of``."""
+    rows = rows.withColumn("__t", size(fold(of).over(Window.partitionBy(key))))
+    return rows.withColumn("value", F.when(F.col("__t") > 0, F.col("value") / F.col("__t")).otherwise(0.0)).drop("__t")
+
+
 def bin_sum(df: DataFrame, key: str = "spectrum_id", width: float = 1.0, top: float = 1005.0) -> DataFrame:
     """Sparse (key, bin, value): sums in floor(mz / width) below ``top``, over the spectrum's largest bin."""
-    rows = _bins(df.withColumn("__x", F.lit(0)), key, F.floor(F.col("mz") / width).cast("int"), F.col("intensity"), "sum")
-    return _over_group(rows.filter(F.col("bin") < int(top / width)), key, F.max("value"))
+    rows = _bins(df, key, F.floor(F.col("mz") / width).cast("int"), F.col("intensity"), "sum")
+    return _over_bins(rows.filter(F.col("bin") < int(top / width)), key, F.max, F.col("value"))
 
 
 def bin_max(df: DataFrame, key: str = "spectrum_id", width: float = 1.0, how: str = "max") -> DataFrame:
@@ -121,7 +128,7 @@ def bin_max(df: DataFrame, key: str = "spectrum_id", width: float = 1.0, how: st
 def bin_l2(df: DataFrame, key: str = "spectrum_id", width: float = 1.0) -> DataFrame:
     """Sparse (key, bin, value): sums of square roots in mz / width rounded half to even, of unit length."""
     rows = _bins(df, key, F.bround(F.col("mz") / width, 0).cast("int"), F.sqrt("intensity"), "sum")
-    return _over_group(rows, key, F.sqrt(F.sum(F.col("value") * F.col("value"))))
+    return _over_bins(rows, key, F.sum, F.col("value") * F.col("value"), F.sqrt)
 
 
 def merge_spectra(df: DataFrame, parent: str, how: str = "sum", digits: int = 4) -> DataFrame:

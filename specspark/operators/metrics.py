@@ -1,6 +1,6 @@
 """Rank, vote, false-discovery, classification and regression metrics, as grouped aggregates and windows.
 
-Score tables may be large: running sums over scores go over distinct scores, after one row a score.
+Score tables may be large: running sums over scores go over distinct scores, after one row a score, in value ranges.
 """
 
 from __future__ import annotations
@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import before
+
 
 def rank_metrics(df: DataFrame, rank: str, by: list[str] = (), ks: tuple[int, ...] = (1, 5, 20)) -> DataFrame:
     """n, hit@k, MRR, mean, median, p90, p95 and p99 of the ranks of each group."""
@@ -82,9 +84,13 @@ def fdr_frontier(df: DataFrame, score: str, correct: str, eligible: str | None =
     """
     blocks = df.filter(F.abs(F.col(score).cast("double")) < float("inf")).groupBy(*by, score).agg(
         F.count(F.lit(1)).alias("__n"), F.count_if(F.col(correct)).alias("__c"), F.count_if(F.col(eligible) if eligible else F.lit(True)).alias("__e"))
-    w = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy(*by)
-    out = blocks.select(*by, score, F.sum("__n").over(w).alias("accepted"), F.sum("__c").over(w).alias("correct"), F.sum("__e").over(everything).alias("eligible"))
+    rows = before(blocks, score, {"__nb": ("sum", "__n"), "__cb": ("sum", "__c")}, by, descending=True)
+    totals = blocks.groupBy(*by).agg(F.sum("__e").alias("__all")).select(*[F.col(c).alias(f"__of_{c}") for c in by], "__all")
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    rows = rows.join(totals, same) if by else rows.crossJoin(F.broadcast(totals))
+    out = rows.select(*by, score, (F.col("__nb") + F.col("__n")).alias("accepted"), (F.col("__cb") + F.col("__c")).alias("correct"), F.col("__all").alias("eligible"))
     return out.withColumn("fdr", F.when(F.col("accepted") >= least, 1 - F.col("correct") / F.col("accepted"))).withColumn(
         "recall", F.when(F.col("eligible") > 0, F.col("correct") / F.col("eligible")))
 
@@ -95,12 +101,16 @@ def fdr_working_point(frontier: DataFrame, most: float, score: str) -> DataFrame
 
 
 def mean_low_fdr_recall(frontier: DataFrame, most: float = 0.05) -> DataFrame:
-    """The mean over fdr in [0, most] of the best recall at that fdr or less, a step function."""
+    """The mean over fdr in [0, most] of the best recall at that fdr or less, a step function.
+
+    Its area is the last height times ``most``, less each rise times the fdr where it happens.
+    """
     steps = frontier.filter(F.col("fdr") <= most).groupBy("fdr").agg(F.max("recall").alias("recall"))
-    w = Window.orderBy("fdr")  # one row for each distinct fdr under the limit
-    steps = steps.withColumn("best", F.max("recall").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    steps = steps.withColumn("width", F.lead("fdr", 1, most).over(w) - F.col("fdr"))
-    return steps.agg((F.coalesce(F.sum(F.col("best") * F.col("width")), F.lit(0.0)) / most).alias("mean_recall"))
+    rises = before(steps, "fdr", {"held": ("max", "recall")})
+    held = F.coalesce("held", F.lit(0.0))
+    rise = F.greatest(F.coalesce("recall", F.lit(0.0)) - held, F.lit(0.0))
+    area = F.max("recall") * most - F.sum(F.col("fdr") * rise)
+    return rises.agg((F.coalesce(area, F.lit(0.0)) / most).alias("mean_recall"))
 
 
 def fdr_envelope(frontier: DataFrame, grid: list[float]) -> DataFrame:
@@ -156,8 +166,7 @@ def paired_gain(df: DataFrame, old: str, new: str, ks: tuple[int, ...] = (1, 5))
 def score_blocks(df: DataFrame, score: str, positive: str, by: list[str] = ()) -> DataFrame:
     """One row a score: positives p, negatives n, and those above."""
     blocks = df.groupBy(*by, score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
-    w = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    return blocks.withColumn("p_above", F.coalesce(F.sum("p").over(w), F.lit(0))).withColumn("n_above", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    return before(blocks, score, {"p_above": ("sum", "p"), "n_above": ("sum", "n")}, by, descending=True)
 
 
 def roc_auc(df: DataFrame, score: str, positive: str, by: list[str] = ()) -> DataFrame:
@@ -237,8 +246,7 @@ def regression_metrics(df: DataFrame, truth: str, predicted: str, tolerance: flo
 def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """Add the mean rank from 1 of equal values: from counts of distinct values."""
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(value, (F.coalesce(F.sum("__n").over(w), F.lit(0)) + (F.col("__n") + 1) / 2).alias(out))
+    ranks = before(counts, value, {"__less": ("sum", "__n")}).select(value, (F.col("__less") + (F.col("__n") + 1) / 2).alias(out))
     return df.join(ranks, value)
 
 

@@ -7,6 +7,8 @@ exact shares of all keys rank hash buckets: see ``hash_rank``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,13 +19,14 @@ def draw(seed: int | str, *parts: Column | str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in cols]), 256)
 
 
-def hash_rank(df: DataFrame, hashed: str, out: str, within: list[str] = (), buckets: int = 256) -> DataFrame:
+def hash_rank(df: DataFrame, hashed: str, out: str, within: list[str] = ()) -> DataFrame:
     """Add ``out``: the rank from 1 by column ``hashed`` (hexadecimal) within ``within``.
 
-    Rows are ranked inside buckets of the hash's first two digits; the buckets' counts, at most 256 a
-    group, give the offsets. So not even one group of all rows is sorted in one task.
+    Rows are ranked inside buckets of the hash's first digits, at least four buckets for each shuffle partition; the buckets'
+    counts give the offsets. So not even one group of all rows is sorted in one task.
     """
-    df = df.withColumn("__b", F.substring(hashed, 1, 2))
+    most = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.withColumn("__b", F.substring(hashed, 1, max(2, math.ceil(math.log(most, 16)))))
     keys = list(within)
     counts = df.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

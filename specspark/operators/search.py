@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import centroid, cosine, dot, l2
 
-#: Query vectors that are sent to every task at once.
-QUERY_BLOCK = 8192
+#: Query vectors that are sent to every task at once, and library rows that a task scores at once (their product is 16 MB of scores).
+QUERY_BLOCK, LIBRARY_TILE = 4096, 512
 
 
 #: Queries of one tile, and bytes of query vectors that may be broadcast; more tiles are shuffled to parts of the library.
@@ -68,18 +68,19 @@ def blocked_topk(queries: DataFrame, library: DataFrame, key: str, vector: str,
         ids, matrix = part[key].to_numpy(), _unit(np.array(part[vector].tolist(), dtype=np.float64))
 
         def best(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
-            kept = None
+            kept, found = np.empty((len(ids), 0)), np.empty((len(ids), 0), dtype=ids.dtype)
             for batch in batches:
-                own = batch[key].to_numpy()
-                scores = np.round(matrix @ _unit(np.array(batch[vector].tolist(), dtype=np.float64)).T, 12)
-                if exclude_self:
-                    scores[ids[:, None] == own[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
-                now = pd.DataFrame({"query": np.repeat(ids, order.shape[1]), key: own[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
-                kept = now if kept is None else pd.concat([kept, now])
-                kept = kept[kept["score"] > -np.inf].sort_values(["query", "score", key], ascending=[True, False, True]).groupby("query").head(k)
-            if kept is not None:
-                yield kept
+                for at in range(0, len(batch), LIBRARY_TILE):
+                    part = batch.iloc[at : at + LIBRARY_TILE]
+                    own = np.broadcast_to(part[key].to_numpy(), (len(ids), len(part)))
+                    scores = np.round(matrix @ _unit(np.array(part[vector].tolist(), dtype=np.float64)).T, 12)
+                    if exclude_self:
+                        scores[ids[:, None] == own] = -np.inf
+                    scores, own = np.concatenate([kept, scores], axis=1), np.concatenate([found, own], axis=1)
+                    order = np.lexsort((own, -scores), axis=1)[:, :k]
+                    kept, found = np.take_along_axis(scores, order, 1), np.take_along_axis(own, order, 1)
+            out = pd.DataFrame({"query": np.repeat(ids, kept.shape[1]), key: found.ravel(), "score": kept.ravel()})
+            yield out[out["score"] > -np.inf]
 
         block = library.select(key, vector).mapInPandas(best, schema)
         found = block if found is None else found.unionByName(block)
@@ -201,18 +202,41 @@ def choose_weights(df: DataFrame, query: str, candidate: str, member: str, score
     return scores.orderBy(F.desc("top1"), F.desc(F.round("mrr", 9)), "w").limit(1)
 
 
-def ann_topk(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, seed: int = 1, tables: int = 8) -> DataFrame:
-    """Approximate nearest neighbours of unit vectors by random projection buckets, re-ranked by exact cosine."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
+def ann_topk(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, seed: int = 1, cells: int = 64, probes: int = 40, sample: int = 20_000) -> DataFrame:
+    """(query, key, score, rank): near the ``k`` vectors of largest cosine, from the cells around each query.
+
+    ``cells`` centres are fitted on the ``sample`` rows first by hash; every row lies in the cell of its nearest centre. A query
+    meets all rows of its ``probes`` nearest cells, and of further ones until these hold k rows besides itself. Rows without a
+    direction (null or zero vectors) are in no cell.
+    """
+    from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    unit = df.select(key, l2(F.col(vector)).alias("u")).withColumn("f", array_to_vector("u"))
-    asked = queries.select(key, l2(F.col(vector)).alias("u")).withColumn("f", array_to_vector("u"))
-    model = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=0.5, numHashTables=tables, seed=seed).fit(unit)
-    near = model.approxSimilarityJoin(asked, unit, 1.2, "d").filter(F.col(f"datasetA.{key}") != F.col(f"datasetB.{key}"))
-    rows = near.select(F.col(f"datasetA.{key}").alias("query"), F.col(f"datasetB.{key}").alias(key), dot(F.col("datasetA.u"), F.col("datasetB.u")).alias("score"))
+    spark = df.sparkSession
+    directed = F.col("u").isNotNull() & (dot(F.col("u"), F.col("u")) > 0.5)
+    unit, asked = (d.select(F.col(key).alias(name), l2(F.col(vector)).alias("u")).filter(directed) for d, name in ((df, key), (queries, "query")))
+    first = unit.orderBy(F.xxhash64(F.lit(seed), key), key).limit(sample).select(array_to_vector("u").alias("f"))
+    if first.isEmpty():
+        types = dict(df.dtypes)
+        return spark.createDataFrame([], f"query {types[key]}, {key} {types[key]}, score double, rank int")
+    model = KMeans(featuresCol="f", predictionCol="cell", k=cells, seed=seed, maxIter=10).fit(first)
+    rows = model.transform(unit.withColumn("f", array_to_vector("u"))).drop("f")
+    sizes = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a cell
+    centers = [[float(x) for x in c] for c in model.clusterCenters()]
+    near = [F.struct((sum(x * x for x in c) - 2 * dot(F.col("u"), F.lit(c))).alias("d"), F.lit(i).alias("cell"), F.lit(sizes.get(i, 0)).cast("bigint").alias("n")) for i, c in enumerate(centers)]
+    asked = asked.withColumn("c", F.sort_array(F.array(*near)))
+    held = lambda j: F.aggregate(F.slice("c", 1, j), F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
+    met = asked.select("query", F.col("u").alias("q"), F.explode(F.filter("c", lambda x, j: (j < probes) | (held(j) <= k))).alias("x")).select("query", "q", F.col("x.cell").alias("cell"))
+    n, on = met.count(), ["cell"]
+    if n * (8 * len(centers[0]) + 64) <= BROADCAST_BYTES:
+        met = F.broadcast(met)
+    else:  # a cell may hold a large share of all rows: its rows are dealt to parts, and each part gets the cell's queries
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        met = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        rows, on = rows.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")), ["cell", "part"]
+    scored = rows.join(met, on).filter(F.col("query") != F.col(key)).select("query", key, dot(F.col("q"), F.col("u")).alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), key)
-    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def knn_curves(pairs: DataFrame, query: str, candidate: str, score: str, correct: str, other_group: Column, ks: list[int]) -> DataFrame:

@@ -118,7 +118,7 @@ def block_keys(spark, sf):
 
 def blocks(spark, sf):
     df = gr.block_keys(spectra(spark, sf), -1, -2)
-    bins = pk.bin_l2(df, width=20.0).join(df.select("spectrum_id", "block"), "spectrum_id")
+    bins = pk.bin_l2(df.withColumn("k", F.struct("block", "spectrum_id")), "k", 20.0).select("k.*", "bin", "value")
     return df, se.block_similarity(bins, "block", "spectrum_id")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..fixtures import FORMULA_SQL, PEAKS_SQL, SPECTRA_SQL, formulas, peaks, spectra, vectors
@@ -89,10 +91,12 @@ def merge_spectra(spark, sf):
     return df.select("molecule_id", F.round("mz", 6).alias("mz"), F.round("intensity", 6).alias("intensity"))
 
 
-@query(f"WITH {PEAKS_SQL}, m AS (SELECT spectrum_id, list(mz ORDER BY pos) AS a FROM peaks WHERE pos <= 2 GROUP BY 1 HAVING max(mz) - min(mz) <= min(mz) * 0.02) SELECT spectrum_id, round(list_avg(a), 6) AS mz FROM m")
+@query(f"WITH {PEAKS_SQL}, b AS (SELECT spectrum_id, CAST(floor(ln(mz) / {math.log(1.02)!r}) AS INT) AS bin, mz FROM peaks) SELECT spectrum_id, bin, round(avg(mz), 6) AS mz FROM b GROUP BY ALL")
 def merge_mz(spark, sf):
-    df = spectra(spark, sf).withColumn("mz", F.slice("mz", 1, 2)).filter("array_max(mz) - array_min(mz) <= array_min(mz) * 0.02")
-    return df.select("spectrum_id", F.round(pk.merge_mz(F.col("mz"), 20_000.0), 6).alias("mz"))
+    """Every peak: those of a spectrum in one bin lie within 2 % of each other."""
+    df = peaks(spark, sf).withColumn("bin", F.floor(F.ln("mz") / math.log(1.02)).cast("int"))
+    groups = df.groupBy("spectrum_id", "bin").agg(F.array_sort(F.collect_list("mz")).alias("mz"))
+    return groups.select("spectrum_id", "bin", F.round(pk.merge_mz(F.col("mz"), 20_000.1), 6).alias("mz"))
 
 
 @query(f"""WITH {PEAKS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY spectrum_id ORDER BY intensity DESC, pos DESC) AS rk FROM peaks WHERE intensity > 20)

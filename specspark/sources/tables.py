@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.running import before, value_range
+
 RANKING = (
     "sample_idx bigint, fold string, smiles string, adduct string, precursor_mz double, collision_energy double, rank int, n_candidates int, "
     "gt_score double, top_candidates array<string>, top_scores array<double>"
@@ -166,10 +168,8 @@ def equal_shards(df: DataFrame, order: str, shards: int | None = None, target: i
     n = shards or max(world, math.ceil(math.ceil(rows / target) / world) * world)
     small, longer = divmod(rows, n)
     spark = df.sparkSession
-    cuts = df.select(F.percentile_approx(order, [i / 64 for i in range(1, 64)], 10_000).alias("q")).first()["q"] or []
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>"), lambda c: c <= F.col(order)))
-    dealt = df.withColumn("__p", part)
-    sizes = {r["__p"]: r["n"] for r in dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 64 ranges
+    dealt = value_range(df, order, "__p")
+    sizes = {r["__p"]: r["n"] for r in dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a range
     firsts, at = [], 0
     for p in sorted(sizes):
         firsts.append((p, at))
@@ -186,9 +186,9 @@ def write_equal_shards(df: DataFrame, path: str, order: str, **options) -> None:
 
 
 def dictionary_encode(df: DataFrame, column: str, order: str, out: str) -> DataFrame:
-    """Rows with a dense id from 0 by first appearance. The ids are of the distinct values, which must fit one task."""
-    firsts = df.groupBy(column).agg(F.min(order).alias("__o"))
-    ids = firsts.select(column, (F.row_number().over(Window.orderBy("__o")) - 1).alias(out))
+    """Rows with a dense id from 0 by first appearance in ``order``, a number. Rows without a value go."""
+    firsts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("__o"), F.lit(1).alias("__one"))
+    ids = before(firsts, "__o", {"__id": ("sum", "__one")}).select(column, F.col("__id").cast("int").alias(out))
     return df.join(ids, column)
 
 

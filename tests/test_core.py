@@ -1,6 +1,7 @@
 """Golden fixtures and properties of the core operators."""
 
 import gzip
+import os
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from specspark.operators import joins as jn
 from specspark.operators import metrics as mt
 from specspark.operators import sampling as sm
 from specspark.operators import search as se
+from specspark.operators.running import before
 from specspark.sources import mgf, tables
 
 TWO = "BEGIN IONS\nTITLE=first\nPEPMASS=250.5 1000\n100.1 5 extra\n50 2\n# a comment\nEND IONS\nBEGIN IONS\nSCANS=7\nPEPMASS=99.5,3\n10 1\nEND IONS\n"
@@ -202,6 +204,55 @@ def test_ann_recall(spark):
     assert len(exact & found) / len(exact) >= 0.9
 
 
+def test_ann_has_k_rows_whatever_the_cells_hold(spark):
+    r = np.random.default_rng(1)
+    rows = [(i, r.normal(size=8).tolist()) for i in range(40)] + [(90, [0.0] * 8), (91, None)]
+    df = spark.createDataFrame(rows, "k int, v array<double>")
+    out = se.ann_topk(df, "k", "v", df.filter("k in (0, 1, 90)"), 30, probes=1).groupBy("query").count().collect()
+    assert {tuple(x) for x in out} == {(0, 30), (1, 30)}
+    assert se.ann_topk(df.limit(0), "k", "v", df, 3).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+@pytest.mark.parametrize("scale", ["0.001", "0.01"])
+def test_ann_recall_on_given_vectors(spark, scale):
+    v = spark.read.parquet(f"/root/testdata/sf{scale}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    q = v.filter("vec_id % 100 = 0")
+    exact = {(x["query"], x["vec_id"]) for x in se.blocked_topk(q, v, "vec_id", "v", 10).collect()}
+    found = {(x["query"], x["vec_id"]) for x in se.ann_topk(v, "vec_id", "v", q, 10).collect()}
+    assert len(found) == len(exact) and len(exact & found) / len(exact) >= 0.9
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_folds_by_value_range(spark, descending):
+    r = np.random.default_rng(3)
+    rows = [(("a", "b", None)[int(r.integers(3))], float(v), int(r.integers(1, 9))) for v in r.choice(5000, 400, replace=False) / 7]
+    df = spark.createDataFrame(rows, "g string, o double, n int")
+    for by in ([], ["g"]):
+        got = before(df, "o", {"s": ("sum", "n"), "m": ("max", "n")}, by, descending).collect()
+        assert len(got) == len(rows)
+        for x in got:
+            earlier = [n for g, o, n in rows if (not by or g == x["g"]) and (o > x["o"] if descending else o < x["o"])]
+            assert (x["s"], x["m"]) == (sum(earlier), max(earlier, default=None))
+    assert before(df.limit(0), "o", {"s": ("sum", "n")}).count() == 0
+
+
+def test_blocked_topk_over_many_tiles(spark, monkeypatch):
+    monkeypatch.setattr(se, "LIBRARY_TILE", 7)
+    r = np.random.default_rng(5)
+    rows = [(i, r.integers(-2, 3, size=3).astype(float).tolist()) for i in range(60)]  # many ties
+    df = spark.createDataFrame(rows, "k int, v array<double>")
+    unit = se._unit(np.array([v for _, v in rows]))
+    want = {(q, c) for q in range(10) for c in sorted((c for c in range(60) if c != q), key=lambda c: (-round(unit[q] @ unit[c], 12), c))[:6]}
+    assert {(x["query"], x["k"]) for x in se.blocked_topk(df.filter("k < 10"), df, "k", "v", 6).collect()} == want
+
+
+def test_mean_low_fdr_recall_is_the_area_under_the_steps(spark):
+    df = spark.createDataFrame([(0.01, 0.2), (0.02, 0.1), (0.03, 0.6), (0.05, 0.7), (0.2, 1.0), (None, 0.9)], "fdr double, recall double")
+    assert mt.mean_low_fdr_recall(df).first()[0] == pytest.approx((0.2 * 0.02 + 0.6 * 0.02) / 0.05)
+    assert mt.mean_low_fdr_recall(df.limit(0)).first()[0] == 0.0
+
+
 def test_encoder_and_sql_functions(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(10)], "k int, x double")
     out = {r["k"]: r["embedding"] for r in udf.encode_with(df, lambda b: np.c_[b["x"], b["x"] * 2], "k", 2, 3).collect()}
