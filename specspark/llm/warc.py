@@ -123,7 +123,7 @@ def write_archive(pages: DataFrame, folder: str | None = None, least: int = 0) -
 def _inflate_head(data: bytes) -> bytes | None:
     """The first bytes of a member that starts here, if it is a WARC record."""
     try:
-        head = zlib.decompressobj(31).decompress(data, 4096)
+        head = zlib.decompressobj(31).decompress(data, 16)
     except zlib.error:
         return None
     return head if head.startswith(b"WARC/") else None
@@ -158,9 +158,8 @@ def members(source, size: int, start: int, end: int) -> Iterator[bytes]:
                 data = source.read(READ_BYTES)
                 if not data:
                     raise ValueError(f"the record at {at} isn't complete")
-        except zlib.error:  # magic and header by chance, or damage: look further
-            at += 1
-            continue
+        except zlib.error as broken:  # a WARC header doesn't come about by chance
+            raise ValueError(f"the record at {at} is damaged") from broken
         yield b"".join(parts)
         at += consumed - len(unpack.unused_data)
 
@@ -187,7 +186,7 @@ def splits(spark: SparkSession, files: DataFrame, size: int = SPLIT_BYTES) -> Da
 
 
 def read_archive(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """The records of the archive files (path, bytes), by ``RECORD``; revisits have no payload."""
+    """The records of the archive files (path, bytes), by ``RECORD``; revisits have no payload. Records cut off or damaged are an error."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in RECORD.split(", ")]

@@ -230,6 +230,17 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix(docs).columns[:2] == ["doc_id", "text"]
 
 
+def test_damaged_records_are_an_error():
+    members = [warc.record(i, "u", bytes(np.random.default_rng(i).integers(0, 256, 2000, dtype=np.uint8)), "x", None) for i in range(2)]
+    whole = b"".join(members)
+    assert len(list(warc.members(warc.as_bytes(members), len(whole), 0, len(whole)))) == 2
+    cut = bytearray(whole)
+    at = len(members[0]) // 2
+    cut[at : at + 400] = bytes(400)
+    with pytest.raises(ValueError, match="damaged|complete"):
+        list(warc.members(warc.as_bytes([bytes(cut)]), len(cut), 0, len(cut)))
+
+
 def test_mixing_of_a_large_mean(spark):
     """One rare source has a mean of 9000 repetitions: tables stay small, copies are gapless, equal at every partitioning."""
     few = spark.createDataFrame([(i, "t", "rare") for i in range(4)], "doc_id bigint, text string, source string")
