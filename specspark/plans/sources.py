@@ -134,3 +134,14 @@ def stream_search(spark, sf):
     arriving = _stream(spark, sf, "embeddings").filter("vec_id % 100 = 0").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
     jobs.search_stream(arriving, vectors(spark, sf).select("vec_id", "vector"), "vec_id", "vector", f"{out}/table", f"{out}/checkpoint").awaitTermination()
     return spark.read.schema("query bigint, vec_id bigint, score double, batch int").parquet(f"{out}/table").drop("batch")
+
+
+@query("SELECT DISTINCT round_even(CAST(embedding[1] AS DOUBLE), 1) + 0.0 AS mz, round_even(CAST(embedding[2] AS DOUBLE), 1) + 0.0 AS intensity FROM embeddings")
+def stream_dedup(spark, sf):
+    """One row of each content signature as vectors arrive; the first two places to one digit stand for a peak."""
+    out = scratch_dir(spark, "dedup")
+    one = lambda i: F.array(F.bround(F.get("embedding", F.lit(i)).cast("double"), 1) + F.lit(0.0))
+    fresh = jobs.dedup_stream(_stream(spark, sf, "embeddings").select(one(0).alias("mz"), one(1).alias("intensity")))
+    jobs.append_stream(fresh, f"{out}/table", f"{out}/checkpoint").awaitTermination()
+    rows = spark.read.schema("mz array<double>, intensity array<double>, signature string").parquet(f"{out}/table")
+    return rows.select(F.get("mz", F.lit(0)).alias("mz"), F.get("intensity", F.lit(0)).alias("intensity"))

@@ -50,6 +50,11 @@ def dedup_stream(stream: DataFrame, timestamp: str | None = None, delay: str = "
     return marked.dropDuplicates(["signature"])
 
 
+def append_stream(stream: DataFrame, target: str, checkpoint: str):
+    """Append the rows of a stream to Parquet files, each once."""
+    return stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target)
+
+
 def search_stream(stream: DataFrame, library: DataFrame, key: str, vector: str, target: str, checkpoint: str):
     """The best library row of each arriving vector, a folder a batch."""
 

@@ -12,7 +12,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 import __spark_entry__ as entry  # noqa: E402
 
 #: A cross-section of the families; the driver compares all of them.
-CHOSEN = "prepare_peaks bin_l2 mask_peaks formula_mass audit_lists fingerprint_rows split_keys energy_pairs expand_candidates ppm_match rank_candidates consensus_votes fdr_frontier bootstrap_delta silhouette window_patterns dedup_list stream_running_counts stream_ingest".split()
+CHOSEN = "prepare_peaks bin_l2 mask_peaks formula_mass audit_lists fingerprint_rows split_keys energy_pairs expand_candidates ppm_match rank_candidates consensus_votes fdr_frontier bootstrap_delta silhouette window_patterns dedup_list stream_running_counts stream_ingest stream_dedup merge_mz dictionary_encode".split()
 
 
 def norm(v):
