@@ -3,6 +3,9 @@
 import decimal
 import math
 import os
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -50,3 +53,18 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("left", ["corpus_pipeline.py", "empty folder", "nothing"])
+def test_core_without_the_corpus_part(tmp_path, left):
+    """With the corpus subpackage deleted, the entry still imports and offers every other query, whatever else is left of it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    gone = shutil.ignore_patterns(".git", "__pycache__", "llm", *["corpus_pipeline.py"] * (left == "nothing"))
+    copy = shutil.copytree(root, tmp_path / "copy", ignore=gone)
+    if left == "empty folder":
+        (copy / "specspark" / "llm" / "__pycache__").mkdir(parents=True)
+    code = "import __spark_entry__ as e; print(*sorted(e.queries()), *sorted(e.oracle_sql()))"
+    got = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(copy)}, timeout=120)
+    assert got.returncode == 0, got.stderr
+    core = lambda names: [n for n in sorted(names) if not n.startswith("op") and n != "pipeline"]
+    assert got.stdout.split() == core(entry.queries()) + core(entry.oracle_sql())
