@@ -419,11 +419,12 @@ def test_partitions_do_not_matter(docs):
 
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline as cp
+    from specspark.llm.common import written
 
     df = docs
     for name, stage in cp.STAGES[:-1]:
         before = df
-        df = cp.written(stage(spark, df, ""), name)
+        df = written(stage(spark, df, ""), name)
         assert df.columns == cp.COLUMNS, name
         if name == "near_duplicates":
             kept = {c for _, _, c in brute_components([(r["doc_id"], r["text"]) for r in before.collect()])}
