@@ -12,9 +12,11 @@ from .langid import identify
 from .linededup import drop_frequent_lines
 from .mixing import mix
 from .packing import pack_documents
+from .phrases import mine_phrases
 from .quality import judge
 from .secrets import find_secrets, joined
 from .warc import read_archive, write_archive
+from .whitening import whiten
 
 QUERIES = {}
 ORACLES = {}
@@ -141,3 +143,37 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN reach ON reach.doc_id = d.doc_i
 @op(_OP9)
 def op9_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_OP11 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, 1 AS m, unnest(w) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: array_to_string(w[i:i+1], ' '))) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i:i+2], ' '))) FROM w),
+f AS (SELECT lang, m, phrase, count(*) AS n FROM g GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND n >= 10),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k+1:m], ' ') AS rp FROM c, (VALUES (1), (2)) t(k) WHERE k < m),
+s AS (SELECT cuts.lang, cuts.phrase, a, k, x.n AS l, y.n AS r, CAST((1000000::HUGEINT * a * a) // (x.n::HUGEINT * y.n) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = lp JOIN f y ON y.lang = cuts.lang AND y.phrase = rp),
+worst AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+over AS (SELECT lang, phrase, max(a) AS over FROM (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM c WHERE m = 3) GROUP BY ALL),
+best AS (SELECT worst.*, row_number() OVER (PARTITION BY worst.lang ORDER BY score DESC, a DESC, worst.phrase) AS rank
+  FROM worst LEFT JOIN over ON over.lang = worst.lang AND over.phrase = worst.phrase WHERE NOT coalesce(100 * over >= 50 * a, false))
+SELECT best.lang, rank, phrase, a, l, r, total.n, score FROM best JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
+@op(_OP11)
+def op11_collocations(spark, sf_dir):
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
+@op()
+def op13_whitening(spark, sf_dir):
+    white = whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("i", "e")
+    rows = white.select("vec_id", "n", "deviation", "identity_error", each)
+    return rows.select("vec_id", (F.col("i") + 1).cast("int").alias("component"), "n", "deviation", "e.whitened", "e.explained", "identity_error")
