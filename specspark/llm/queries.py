@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import bestfit
 from .common import table
 from .fingerprints import fingerprint_documents
 from .html import extract_pages
@@ -171,6 +172,12 @@ def op11_collocations(spark, sf_dir):
     return mine_phrases(table(spark, sf_dir, "documents"))
 
 
+@op()
+def op12_best_fit(spark, sf_dir):
+    packed = bestfit.pack_documents(table(spark, sf_dir, "documents"), carry={"ids_crc32": F.crc32("ids")})
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 @op()
 def op13_whitening(spark, sf_dir):
     white = whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))

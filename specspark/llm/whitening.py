@@ -34,7 +34,8 @@ def usable(vector: Column) -> Column:
 
 
 def on_grid(vector: Column) -> Column:
-    return F.transform(vector.cast("array<double>"), lambda c: F.floor(c * GRID).cast("bigint") + SHIFT)
+    """Whole numbers of usable vectors; filters may be tried after this, so other entries are null and no error."""
+    return F.transform(vector.cast("array<double>"), lambda c: F.when(F.abs(c) < LARGEST, F.floor(c * GRID).cast("bigint") + SHIFT))
 
 
 def _rows(column: pa.ListArray, dim: int) -> np.ndarray:
@@ -118,8 +119,7 @@ def solve(a: np.ndarray, depth: int = 0) -> np.ndarray:
             found = True
         if not found:
             break
-    for _ in range(3):  # corrections of nearly equal directions are rounding noise; they may turn, but not lean
-        x = x + x @ (np.eye(len(a)) - x.T @ x) / 2
+    x = np.linalg.qr(x)[0]  # corrections of nearly equal directions are rounding noise: they may turn, but not lean
     s = x.T @ (a @ x)
     joined = np.abs(s) > 16 * eps * np.abs(np.diag(s)).max()
     np.fill_diagonal(joined, True)
