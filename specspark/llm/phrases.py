@@ -18,6 +18,7 @@ from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +27,8 @@ from .common import Scratch, partitions
 MIN_COUNT, MAX_WORDS, TOP, COVERED = 10, 3, 2000, 50
 #: A phrase's word ids share a 63-bit number, 21 bits each.
 BITS = 21
-#: Entries and words that a task keeps, entries of a container before it bursts, tokens counted at once, bytes of text split at once.
-ENTRIES, WORDS, BURST, CHUNK, SEGMENT = 600_000, 400_000, 2048, 400_000, 4 << 20
+#: Entries and words that a task keeps, entries of a container before it bursts, bytes of text counted at once and of one text at most.
+ENTRIES, WORDS, BURST, CHUNK, SEGMENT = 600_000, 400_000, 2048, 3 << 20, 2 << 20
 #: The bit table has at most 2^27 bits (16 MB), 16 for each frequent phrase below that.
 TABLE_BITS, BITS_EACH = 27, 16
 #: A phrase's last word is dealt to this many parts, so that a frequent prefix isn't in one partition.
@@ -40,10 +41,13 @@ FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcde
 RUNS = "part int, lang string, phrases array<string>, counts array<bigint>"
 
 
-def segments(text: bytes) -> Iterator[list[bytes]]:
-    """A text's words, with ``.`` between pieces, in lists of about ``SEGMENT`` bytes."""
+def segments(text: bytes, words: int) -> Iterator[bytes]:
+    """A text's words, with ``.`` between pieces and at the end, in parts of about ``SEGMENT`` bytes.
+
+    A part begins with the last ``words`` - 1 words of the one before, so that every phrase lies in one part, and in one only.
+    """
     text = text.translate(FOLD).replace(b".", b" . ")
-    start = 0
+    start, before = 0, b""
     while start < len(text):
         end = start + SEGMENT
         if end < len(text):
@@ -51,7 +55,10 @@ def segments(text: bytes) -> Iterator[list[bytes]]:
             if cut < 0:
                 cut = text.find(b" ", end)
             end = cut if cut > 0 else len(text)
-        yield text[start:end].split()
+        part = before + text[start:end]
+        yield part + b" ."
+        if words > 1 and end < len(text):
+            before = b" ".join(part.rsplit(None, words - 1)[-(words - 1) :]) + b" "
         start = end
 
 
@@ -70,7 +77,7 @@ class HatTrie:
     """Counts of one language's phrases of ``words`` words in a task.
 
     ``root`` leads from a first word's id to a container {ids of the other words: count}, or to a dict of such containers by
-    second word once the first has burst.
+    second word once the first has burst. Single words are counted in the root itself, an array by id.
     """
 
     def __init__(self, lang: str, words: int):
@@ -80,6 +87,12 @@ class HatTrie:
         self.burst: set[int] = set()
         self.size: dict[int, int] = {}
         self.total = 0
+        self.single = np.zeros(0, dtype=np.int64)
+
+    def add_words(self, ids: np.ndarray) -> None:
+        found = np.bincount(ids, minlength=len(self.single))
+        found[: len(self.single)] += self.single
+        self.single = found
 
     def add(self, codes: np.ndarray, counts: np.ndarray) -> int:
         """Add ``counts`` of distinct sorted ``codes``; how many entries are new."""
@@ -142,7 +155,7 @@ class Counter:
     def __init__(self, words: int, parts: int, passed: tuple[bytes, int] | None):
         self.words, self.parts = words, parts
         self.passed = None if passed is None else (np.frombuffer(passed[0], dtype=np.uint8), np.uint64(passed[1] - 1))
-        self.held: dict[str, list[np.ndarray]] = {}
+        self.held: dict[str, list[bytes]] = {}
         self.holds = 0
         self._forget()
 
@@ -152,32 +165,35 @@ class Counter:
         self.ids: defaultdict[bytes, int] = defaultdict(count(1).__next__)
         self.ids[b"."] = 0  # between pieces
         self.hashes = np.zeros(1, dtype=np.uint64)
+        self.names, self.ordered, self.rank = pa.array([], pa.binary()), [], np.zeros(0, dtype=np.int64)
 
     def hold(self, lang: str, text: bytes) -> Iterator[pa.RecordBatch]:
         """Count a text's phrases, together with others' once there are enough."""
-        before: list[bytes] = []
-        for tokens in segments(text):
-            tokens = before + tokens
-            if self.words > 1:  # phrases that end in the next segment
-                before = tokens[1 - self.words :]
-            rows = self.held.setdefault(lang, [])
-            rows.append(np.fromiter(map(self.ids.__getitem__, tokens), dtype=np.int64, count=len(tokens)))
-            rows.append(np.zeros(1, dtype=np.int64))
-            self.holds += len(tokens) + 1
+        for part in segments(text, self.words):
+            self.held.setdefault(lang, []).append(part)
+            self.holds += len(part)
             if self.holds > CHUNK:
                 yield from self.count_held()
 
     def count_held(self) -> Iterator[pa.RecordBatch]:
+        tokens = {lang: self._ids(parts) for lang, parts in self.held.items()}
         new = list(islice(self.ids, len(self.hashes), None))  # words lie in the order of their ids
         self.hashes = np.concatenate([self.hashes, np.array([word_hash(w) for w in new], dtype=np.uint64)])
-        for lang, rows in self.held.items():
-            self._count(lang, np.concatenate(rows))
+        for lang, ids in tokens.items():
+            self._count(lang, ids)
         self.held, self.holds = {}, 0
         if self.entries > ENTRIES:
             yield from self._spill(self.entries // 2)
         if len(self.ids) > WORDS:
             yield from self._finish()
 
+    def _ids(self, parts: list[bytes]) -> np.ndarray:
+        """The ids of all words of ``parts``, 0 between pieces: distinct words are looked up once."""
+        found = pc.ascii_split_whitespace(pa.array(parts, pa.binary()).cast(pa.string())).flatten().dictionary_encode()
+        words = found.dictionary.cast(pa.binary()).to_pylist()
+        ids = np.fromiter((self.ids[w] if w else -1 for w in words), dtype=np.int64, count=len(words))[found.indices.to_numpy()]
+        return ids[ids >= 0]
+
     def _count(self, lang: str, tokens: np.ndarray) -> None:
         """Count the phrases of ``tokens`` (ids, 0 between pieces)."""
         trie = self.tries.get(lang) or self._trie(lang)
@@ -187,16 +203,18 @@ class Counter:
         fine = np.ones(n, dtype=bool)
         for i in range(self.words):
             fine &= tokens[i : i + n] > 0
-        trie.total += int(fine.sum())
-        if self.words > 1:
-            # the phrases one word shorter, by where they begin
-            h, hs = np.broadcast_to(trie.start, (n + 1,)), self.hashes[tokens]
-            for i in range(self.words - 1):
-                h = mix(h, hs[i : i + n + 1])
-            bits, mask = self.passed
-            at = h & mask
-            often = ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-            fine &= often[:-1] & often[1:]
+        if self.words == 1:
+            trie.total += int(fine.sum())
+            trie.add_words(tokens[fine])
+            return
+        # the phrases one word shorter, by where they begin
+        h, hs = np.broadcast_to(trie.start, (n + 1,)), self.hashes[tokens]
+        for i in range(self.words - 1):
+            h = mix(h, hs[i : i + n + 1])
+        bits, mask = self.passed
+        at = h & mask
+        often = ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+        fine &= often[:-1] & often[1:]
         where = np.flatnonzero(fine)
         codes = tokens[where]
         for i in range(1, self.words):
@@ -218,24 +236,33 @@ class Counter:
             chosen[lang].append(first)
             gone += n
         self.entries -= gone
-        names = list(self.ids)
-        rank = np.empty(len(names), dtype=np.int64)
-        rank[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
         for lang, firsts in chosen.items():
-            yield from self._run(self.tries[lang], *self.tries[lang].take(firsts), names, rank)
-
-    def _run(self, trie: HatTrie, codes: np.ndarray, ns: np.ndarray, names: list[bytes], rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+            yield self._run(self.tries[lang], *self.tries[lang].take(firsts))
+
+    def _names(self) -> tuple[pa.Array, np.ndarray]:
+        """All words by id, and each one's place in their order."""
+        if len(self.names) < len(self.ids):
+            new = list(islice(self.ids, len(self.names), None))
+            self.names = pa.concat_arrays([self.names, pa.array(new, pa.binary())])
+            self.ordered = sorted(self.ordered + sorted(new))  # two runs that only need a merge
+            self.rank = np.empty(len(self.names), dtype=np.int64)
+            self.rank[np.fromiter(map(self.ids.__getitem__, self.ordered), dtype=np.int64, count=len(self.ordered))] = np.arange(len(self.ordered))
+        return self.names, self.rank
+
+    def _run(self, trie: HatTrie, codes: np.ndarray, ns: np.ndarray) -> pa.RecordBatch:
         """The sorted runs of these entries, a row for each prefix partition."""
+        names, rank = self._names()
         words = [(codes >> (BITS * i)) & ((1 << BITS) - 1) for i in reversed(range(self.words))]
         h = np.broadcast_to(trie.start, codes.shape)
         for i, w in enumerate(words):
             h = mix(h, self.hashes[w] % np.uint64(LAST_PARTS) if i == 2 else self.hashes[w])
         part = (h % np.uint64(self.parts)).astype(np.int32)
         order = np.lexsort([*[rank[w] for w in reversed(words)], part])
-        part, ns, words = part[order], ns[order], [w[order].tolist() for w in words]
-        phrases = [b" ".join([names[i] for i in p]) for p in zip(*words)] if self.words > 1 else [names[i] for i in words[0]]
+        part, ns = part[order], ns[order]
+        phrases = [names.take(pa.array(w[order])) for w in words]
+        phrases = pc.binary_join_element_wise(*phrases, b" ") if self.words > 1 else phrases[0]
         at = np.flatnonzero(np.diff(part, prepend=-1))
-        yield runs(part[at], trie.lang, [*at.tolist(), len(part)], phrases, ns)
+        return runs(part[at], trie.lang, [*at.tolist(), len(part)], phrases, ns)
 
     def finish(self) -> Iterator[pa.RecordBatch]:
         yield from self.count_held()
@@ -243,19 +270,21 @@ class Counter:
 
     def _finish(self) -> Iterator[pa.RecordBatch]:
         """Write out everything; a language's number of words goes with the empty phrase."""
-        if self.words == 1:
-            for lang, trie in self.tries.items():
-                yield runs([0], lang, [0, 1], [b""], [trie.total])
+        for lang, trie in self.tries.items() if self.words == 1 else ():
+            yield runs([0], lang, [0, 1], pa.array([b""]), [trie.total])
+            ids = np.flatnonzero(trie.single)
+            if len(ids):
+                yield self._run(trie, ids, trie.single[ids])
         if self.entries:
             yield from self._spill(self.entries)
         self._forget()
 
 
-def runs(part, lang: str, ends: list[int], phrases: list[bytes], ns) -> pa.RecordBatch:
+def runs(part, lang: str, ends: list[int], phrases: pa.Array, ns) -> pa.RecordBatch:
     at = pa.array(ends, pa.int32())
     columns = [
         pa.array(part, pa.int32()), pa.array([lang] * len(part), pa.string()),
-        pa.ListArray.from_arrays(at, pa.array(phrases, pa.binary()).cast(pa.string())), pa.ListArray.from_arrays(at, pa.array(ns, pa.int64())),
+        pa.ListArray.from_arrays(at, phrases.cast(pa.string())), pa.ListArray.from_arrays(at, pa.array(ns, pa.int64())),
     ]
     return pa.RecordBatch.from_arrays(columns, names=["part", "lang", "phrases", "counts"])
 
@@ -267,8 +296,7 @@ def counted(docs: DataFrame, words: int, passed: tuple | None, min_count: int) -
     phrase has the number of words of each language.
     """
     spark = docs.sparkSession
-    n = partitions(spark)
-    parts = 8 * n
+    parts = partitions(spark)
 
     def count_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(words, parts, None if passed is None else (passed[0].value, passed[1]))
@@ -279,7 +307,7 @@ def counted(docs: DataFrame, words: int, passed: tuple | None, min_count: int) -
 
     found = docs.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(count_phrases, RUNS)
     # all runs of a prefix partition meet here; the aggregate needs no other exchange
-    merged = found.repartition(n, "part").select("part", "lang", F.inline(F.arrays_zip("phrases", "counts"))).groupBy("part", "lang", "phrases")
+    merged = found.repartitionById(parts, F.col("part")).select("part", "lang", F.inline(F.arrays_zip("phrases", "counts"))).groupBy("part", "lang", "phrases")
     merged = merged.agg(F.sum("counts").alias("n")).filter((F.col("n") >= min_count) | (F.col("phrases") == ""))
     return merged.select("lang", F.col("phrases").alias("phrase"), "n")
 

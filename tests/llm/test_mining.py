@@ -67,7 +67,7 @@ def test_phrases_equal_brute_force(spark, talk):
         phrases.mine_phrases(docs, max_words=4)
 
 
-@pytest.mark.parametrize("limits", [{}, {"SEGMENT": 16, "CHUNK": 30}, {"ENTRIES": 20, "CHUNK": 50}, {"WORDS": 6, "CHUNK": 40, "BURST": 2}, {"BURST": 1, "ENTRIES": 60, "CHUNK": 200, "SEGMENT": 7}])
+@pytest.mark.parametrize("limits", [{}, {"SEGMENT": 16, "CHUNK": 90}, {"ENTRIES": 20, "CHUNK": 150}, {"WORDS": 6, "CHUNK": 120, "BURST": 2}, {"BURST": 1, "ENTRIES": 60, "CHUNK": 600, "SEGMENT": 7}])
 def test_hat_trie_counts_whatever_it_keeps(monkeypatch, talk, limits):
     """Bursting, spilling, forgetting words and cutting long texts change no count; runs are sorted, a partition's phrases lie in it alone."""
     for name, value in limits.items():
