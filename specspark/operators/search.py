@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import centroid, cosine, dot, l2
-
-#: Query vectors that are sent to every task at once, and library rows that a task scores at once (their product is 16 MB of scores).
-QUERY_BLOCK, LIBRARY_TILE = 4096, 512
+from . import listjoin, tiles
 
 
 #: Queries of one tile, and bytes of query vectors that may be broadcast; more tiles are shuffled to parts of the library.
@@ -20,27 +14,8 @@ QUERY_TILE, BROADCAST_BYTES = 256, 64 << 20
 
 
 def score_pairs(queries: DataFrame, library: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """(query, query_label, key, label, score): the cosine of each stated query with every library row but itself.
-
-    Queries lie in tiles of about ``QUERY_TILE``, one row each, and a library row meets a tile as a whole. Tiles are broadcast where
-    their bytes allow it; else each is repeated for as many parts of the library as there are shuffle partitions. Nothing is collected.
-    """
-    spark = library.sparkSession
-    size = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("dim")).first()
-    tiles = max(1, -(-size["n"] // QUERY_TILE))
-    tile = F.pmod(F.xxhash64(key), F.lit(tiles)).cast("int").alias("__tile")
-    row = F.struct(F.col(key).alias("query"), F.col(label).alias("query_label"), F.col(vector).alias("v"))
-    tiled = queries.select(tile, row.alias("q")).groupBy("__tile").agg(F.collect_list("q").alias("__q"))
-    rows = library.select(key, label, vector).withColumn("__tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    on = ["__tile"]
-    if size["n"] * (8 * size["dim"] + 64) <= BROADCAST_BYTES:
-        tiled = F.broadcast(tiled)
-    else:
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        tiled = tiled.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        rows, on = rows.withColumn("__part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")), ["__tile", "__part"]
-    met = rows.join(tiled, on).select(key, label, vector, F.explode("__q").alias("q")).filter(F.col("q.query") != F.col(key))
-    return met.select("q.query", "q.query_label", key, label, cosine(F.col("q.v"), F.col(vector)).alias("score"))
+    """(query, query_label, key, label, score): the cosine of each stated query with every library row but itself (``tiles.all_scores``)."""
+    return tiles.all_scores(queries, library, key, vector, label)
 
 
 def search_one(df: DataFrame, key: str, vector: str, query_id, k: int) -> DataFrame:
@@ -52,49 +27,8 @@ def search_one(df: DataFrame, key: str, vector: str, query_id, k: int) -> DataFr
 
 
 def blocked_topk(queries: DataFrame, library: DataFrame, key: str, vector: str, k: int, exclude_self: bool = True) -> DataFrame:
-    """(query, key, score): for each query the ``k`` library rows of largest cosine, ties by key.
-
-    Query vectors go to the tasks in blocks of ``QUERY_BLOCK``; each task multiplies its batches with the block and
-    keeps k rows a query; the parts are merged by rank. Library vectors are never shuffled.
-    """
-    schema = f"query {dict(library.dtypes)[key]}, {key} {dict(library.dtypes)[key]}, score double"
-    rows = queries.select(key, vector).orderBy(key)
-    found, done = None, None
-    while True:
-        part = (rows if done is None else rows.filter(F.col(key) > done)).limit(QUERY_BLOCK).toPandas()
-        if not len(part):
-            break
-        done = part[key].iloc[-1].item()
-        ids, matrix = part[key].to_numpy(), _unit(np.array(part[vector].tolist(), dtype=np.float64))
-
-        def best(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
-            kept, found = np.empty((len(ids), 0)), np.empty((len(ids), 0), dtype=ids.dtype)
-            for batch in batches:
-                for at in range(0, len(batch), LIBRARY_TILE):
-                    part = batch.iloc[at : at + LIBRARY_TILE]
-                    own = np.broadcast_to(part[key].to_numpy(), (len(ids), len(part)))
-                    scores = np.round(matrix @ _unit(np.array(part[vector].tolist(), dtype=np.float64)).T, 12)
-                    if exclude_self:
-                        scores[ids[:, None] == own] = -np.inf
-                    scores, own = np.concatenate([kept, scores], axis=1), np.concatenate([found, own], axis=1)
-                    order = np.lexsort((own, -scores), axis=1)[:, :k]
-                    kept, found = np.take_along_axis(scores, order, 1), np.take_along_axis(own, order, 1)
-            out = pd.DataFrame({"query": np.repeat(ids, kept.shape[1]), key: found.ravel(), "score": kept.ravel()})
-            yield out[out["score"] > -np.inf]
-
-        block = library.select(key, vector).mapInPandas(best, schema)
-        found = block if found is None else found.unionByName(block)
-        if len(part) < QUERY_BLOCK:
-            break
-    if found is None:
-        return library.sparkSession.createDataFrame([], schema)
-    w = Window.partitionBy("query").orderBy(F.desc("score"), key)
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(n > 0, n, 1.0)
+    """(query, key, score, rank): for each query the ``k`` library rows of largest cosine, ties by key (``tiles.top_k``)."""
+    return tiles.top_k(queries, library, key, vector, k, exclude_self)
 
 
 def top1(pairs: DataFrame, query: str, candidate: str, score: str, correct: str) -> DataFrame:
@@ -202,7 +136,39 @@ def choose_weights(df: DataFrame, query: str, candidate: str, member: str, score
     return scores.orderBy(F.desc("top1"), F.desc(F.round("mrr", 9)), "w").limit(1)
 
 
-def ann_topk(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, seed: int = 1, cells: int = 64, probes: int = 40, sample: int = 20_000) -> DataFrame:
+def _directed(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
+    """(name, u): unit vectors of the rows that have a key and a direction."""
+    rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias(name), l2(F.col(vector)).alias("u"))
+    return rows.filter(F.col("u").isNotNull() & (dot(F.col("u"), F.col("u")) > 0.5))
+
+
+def ann_index(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, code): every row that has a direction as one byte an entry, its largest entry being 127. An eighth of its double vector;
+    angles stay to within half a degree or so. Nothing is fitted, so rows may be added at any time."""
+    unit = _directed(df, key, vector, key)
+    most = F.array_max(F.transform("u", lambda x: F.abs(x)))
+    return unit.select(key, F.transform("u", lambda x: F.round(x * 127 / most).cast("tinyint")).alias("code"))
+
+
+def ann_topk(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, refine: int = 4, probes: int | None = None, index: DataFrame | None = None) -> DataFrame:
+    """(query, key, score, rank): near the ``k`` vectors of largest cosine.
+
+    The ``refine`` k rows of the best codes (``ann_index``, or an ``index`` that it wrote before) are ranked anew by their vectors, so that of
+    all vectors only these are read for a query. With ``probes``, rows of that many cells are ranked in place (``cell_topk``):
+    less work where vectors cluster. Rows without a direction are left out; a query has ``k`` rows where there are as many.
+    """
+    if probes is not None:
+        return cell_topk(df, key, vector, queries, k, probes)
+    asked = _directed(queries, key, vector, "query")
+    codes = ann_index(df, key, vector) if index is None else index
+    near = tiles.top_k(asked.select(F.col("query").alias(key), F.col("u").alias("code")), codes.withColumn("code", F.col("code").cast("array<double>")), key, "code", refine * k)
+    rows = near.select("query", key).join(_directed(df, key, vector, key), key).join(asked.dropDuplicates(["query"]).withColumnRenamed("u", "q"), "query")
+    scored = rows.select("query", key, dot(F.col("q"), F.col("u")).alias("score"))
+    w = Window.partitionBy("query").orderBy(F.desc("score"), key)
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def cell_topk(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, probes: int, seed: int = 1, cells: int = 64, sample: int = 20_000) -> DataFrame:
     """(query, key, score, rank): near the ``k`` vectors of largest cosine, from the cells around each query.
 
     ``cells`` centres are fitted on the ``sample`` rows first by hash; every row lies in the cell of its nearest centre. A query
@@ -213,8 +179,7 @@ def ann_topk(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, s
     from pyspark.ml.functions import array_to_vector
 
     spark = df.sparkSession
-    directed = F.col("u").isNotNull() & (dot(F.col("u"), F.col("u")) > 0.5)
-    unit, asked = (d.select(F.col(key).alias(name), l2(F.col(vector)).alias("u")).filter(directed) for d, name in ((df, key), (queries, "query")))
+    unit, asked = _directed(df, key, vector, key), _directed(queries, key, vector, "query")
     first = unit.orderBy(F.xxhash64(F.lit(seed), key), key).limit(sample).select(array_to_vector("u").alias("f"))
     if first.isEmpty():
         types = dict(df.dtypes)
@@ -228,7 +193,7 @@ def ann_topk(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, s
     held = lambda j: F.aggregate(F.slice("c", 1, j), F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
     met = asked.select("query", F.col("u").alias("q"), F.explode(F.filter("c", lambda x, j: (j < probes) | (held(j) <= k))).alias("x")).select("query", "q", F.col("x.cell").alias("cell"))
     n, on = met.count(), ["cell"]
-    if n * (8 * len(centers[0]) + 64) <= BROADCAST_BYTES:
+    if n * (8 * len(centers[0]) + 64) <= tiles.BROADCAST_BYTES:
         met = F.broadcast(met)
     else:  # a cell may hold a large share of all rows: its rows are dealt to parts, and each part gets the cell's queries
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -266,22 +231,19 @@ def nearest_label(df: DataFrame, key: str, vector: str, label: str) -> DataFrame
     return best.join(names, key).select(F.col("query").alias(key), "nearest").join(df.select(key, label), key)
 
 
-def block_similarity(bins: DataFrame, block: str, key: str) -> DataFrame:
-    """(block, a, b, similarity) of pairs in a block that share a bin: products of unit sparse vectors, clipped to [0, 1]."""
-    a = bins.select(block, "bin", F.col(key).alias("a"), F.col("value").alias("va"))
-    b = bins.select(block, "bin", F.col(key).alias("b"), F.col("value").alias("vb"))
-    pairs = a.join(b, [block, "bin"]).filter("a < b").groupBy(block, "a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("s"))
-    return pairs.select(block, "a", "b", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("s"))).alias("similarity"))
+def block_similarity(bins: DataFrame, block: str, key: str, threshold: float = 1e-12) -> DataFrame:
+    """(block, a, b, similarity) of the pairs in a block with at least ``threshold``: products of unit sparse vectors, clipped to 1.
+
+    Without a threshold, pairs of non-negative vectors that share a bin (``listjoin.cosine_join``).
+    """
+    return listjoin.cosine_join(bins, block, key, threshold)
 
 
-def pairwise_tanimoto(bits: DataFrame, key: str, bit: str) -> DataFrame:
-    """(a, b, similarity) of rows of on-bits that share one."""
-    n = bits.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    a, b = (bits.select(bit, F.col(key).alias(x)) for x in "ab")
-    o = a.join(b, bit).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("o"))
-    for x in "ab":
-        o = o.join(n.select(F.col(key).alias(x), F.col("n").alias(f"n{x}")), x)
-    return o.select("a", "b", (F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))).alias("similarity"))
+def pairwise_tanimoto(bits: DataFrame, key: str, bit: str, threshold: float) -> DataFrame:
+    """(a, b, similarity) of sets at least ``threshold`` alike; equal sets are each paired with the first of them only."""
+    pairs, members = listjoin.tanimoto_join(bits, key, bit, threshold)
+    copies = members.filter(F.col(key) != F.col("representative")).select(F.col("representative").alias("a"), F.col(key).cast("bigint").alias("b"), F.lit(1.0).alias("similarity"))
+    return pairs.unionByName(copies)
 
 
 def best_positive(pairs: DataFrame, query: str, score: str, correct: str) -> DataFrame:

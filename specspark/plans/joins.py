@@ -9,6 +9,7 @@ from ..fixtures import PEAKS_SQL, SPECTRA_SQL, metadata, peaks, spectra, table,
 from ..functions import peaks as pk
 from ..operators import grouping as gr
 from ..operators import joins as jn
+from ..operators import listjoin as lj
 from ..operators import search as se
 from ..operators.metrics import average_rank
 from ..registry import query
@@ -116,10 +117,10 @@ def block_keys(spark, sf):
     return gr.block_keys(metadata(spark, sf), -1, -2).select("spectrum_id", "block")
 
 
-def blocks(spark, sf):
+def blocks(spark, sf, threshold=1e-12):
     df = gr.block_keys(spectra(spark, sf), -1, -2)
     bins = pk.bin_l2(df.withColumn("k", F.struct("block", "spectrum_id")), "k", 20.0).select("k.*", "bin", "value")
-    return df, se.block_similarity(bins, "block", "spectrum_id")
+    return df, se.block_similarity(bins, "block", "spectrum_id", threshold)
 
 
 @query(f"""{BOTH}, b AS (SELECT spectrum_id, adduct || '|' || CAST(round_even(precursor_mz / 10, 0) AS BIGINT) || '|' || CAST(round_even(rt / 100, 0) AS BIGINT) AS block FROM spectra), k AS (SELECT block FROM b GROUP BY 1 HAVING count(*) >= 2),
@@ -129,9 +130,16 @@ def block_similarity(spark, sf):
     return blocks(spark, sf)[1].withColumn("similarity", F.round("similarity", 6))
 
 
+@query(f"""{BOTH}, b AS (SELECT spectrum_id, adduct || '|' || CAST(round_even(precursor_mz / 10, 0) AS BIGINT) || '|' || CAST(round_even(rt / 100, 0) AS BIGINT) AS block FROM spectra), k AS (SELECT block FROM b GROUP BY 1 HAVING count(*) >= 2),
+n AS (SELECT block, spectrum_id, CAST(round_even(mz / 20, 0) AS INT) AS bin, sum(sqrt(intensity)) AS v FROM peaks JOIN b USING (spectrum_id) WHERE block IN (SELECT block FROM k) GROUP BY ALL), u AS (SELECT *, v / sqrt(sum(v * v) OVER (PARTITION BY spectrum_id)) AS x FROM n)
+SELECT a.block, a.spectrum_id AS a, c.spectrum_id AS b, round(least(1, sum(a.x * c.x)), 6) AS similarity FROM u a JOIN u c ON a.block = c.block AND a.bin = c.bin AND a.spectrum_id < c.spectrum_id GROUP BY ALL HAVING sum(a.x * c.x) >= 0.4567""")
+def similar_in_blocks(spark, sf):
+    return blocks(spark, sf, 0.4567)[1].withColumn("similarity", F.round("similarity", 6))
+
+
 @query()
 def complete_link_groups(spark, sf):
-    df, pairs = blocks(spark, sf)
+    df, pairs = blocks(spark, sf, 0.3)
     linked = gr.complete_link(pairs, "block", 0.3)
     members = gr.assign_groups(linked, df.drop("block"), "spectrum_id", [F.asc_nulls_last("collision_energy")])
     return gr.audit_groups(members, "group_id", "molecule_id")
@@ -176,20 +184,25 @@ def silhouette(spark, sf):
     return gr.silhouette(vectors(spark, sf), "vec_id", "vector", "label").withColumn("silhouette", F.round("silhouette", 6))
 
 
-@query(f"{BOTH}, b AS (SELECT DISTINCT spectrum_id, CAST(floor(mz / 100) AS INT) AS bit FROM peaks JOIN spectra USING (spectrum_id) WHERE molecule_id % 50 = 3), n AS (SELECT spectrum_id, count(*) AS n FROM b GROUP BY 1), o AS (SELECT x.spectrum_id AS a, y.spectrum_id AS b, count(*) AS o FROM b x JOIN b y ON x.bit = y.bit AND x.spectrum_id < y.spectrum_id GROUP BY ALL) SELECT a, o.b, round(o / (p.n + q.n - o), 6) AS similarity FROM o JOIN n p ON p.spectrum_id = a JOIN n q ON q.spectrum_id = o.b")
+#: A molecule's set: the ten-unit bins of all its spectra. Equal sets are each paired with the first of them only.
+SETS = f"""{BOTH}, b AS (SELECT DISTINCT molecule_id AS k, CAST(floor(mz / 10) AS INT) AS bit FROM peaks JOIN spectra USING (spectrum_id)), s AS (SELECT k, list_sort(list(bit)) AS bits, count(*) AS n FROM b GROUP BY 1),
+r AS (SELECT min(k) AS k, bits, n FROM s GROUP BY 2, 3), c AS (SELECT r.k, unnest(bits) AS bit FROM r), o AS (SELECT x.k AS a, y.k AS b, count(*) AS o FROM c x JOIN c y ON x.bit = y.bit AND x.k < y.k GROUP BY ALL)"""
+
+
+@query(f"{SETS} SELECT a, o.b, round(o / (p.n + q.n - o), 6) AS similarity FROM o JOIN r p ON p.k = a JOIN r q ON q.k = o.b WHERE o / (p.n + q.n - o) >= 0.3999999 UNION ALL SELECT r.k, s.k, 1.0 FROM r JOIN s ON r.bits = s.bits AND r.k < s.k")
 def pairwise_tanimoto(spark, sf):
-    return _bits(spark, sf).withColumn("similarity", F.round("similarity", 6))
+    return se.pairwise_tanimoto(_bits(spark, sf), "molecule_id", "bit", 0.4).withColumn("similarity", F.round("similarity", 6))
 
 
 def _bits(spark, sf):
-    rows = peaks(spark, sf).join(metadata(spark, sf).filter("molecule_id % 50 = 3").select("spectrum_id"), "spectrum_id")
-    return se.pairwise_tanimoto(rows.select("spectrum_id", F.floor(F.col("mz") / 100).cast("int").alias("bit")).distinct(), "spectrum_id", "bit")
+    rows = peaks(spark, sf).join(metadata(spark, sf).select("spectrum_id", "molecule_id"), "spectrum_id")
+    return rows.select("molecule_id", F.floor(F.col("mz") / 10).cast("int").alias("bit")).distinct()
 
 
 @query()
 def butina_clusters(spark, sf):
-    pairs = _bits(spark, sf).filter("similarity >= 0.6")
-    return gr.butina(pairs, metadata(spark, sf).filter("molecule_id % 50 = 3").select("spectrum_id"), "spectrum_id", 3)
+    pairs, members = lj.tanimoto_join(_bits(spark, sf), "molecule_id", "bit", 0.4)
+    return gr.butina(pairs, members, "molecule_id", 20)
 
 
 @query("WITH g AS (SELECT c_nationkey AS group_id, count(*) AS size, CASE WHEN c_nationkey % 2 = 0 THEN 1.0 ELSE 0.5 END AS purity, round(avg(c_acctbal), 4) AS mass FROM customer GROUP BY 1) SELECT group_id, size, CAST(purity AS DOUBLE) AS purity, mass FROM g WHERE purity = 1 ORDER BY size DESC, abs(mass - (SELECT quantile_cont(mass, 0.5) FROM g)), group_id LIMIT 1")

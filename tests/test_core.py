@@ -1,5 +1,6 @@
 """Golden fixtures and properties of the core operators."""
 
+import collections
 import gzip
 import os
 
@@ -12,9 +13,11 @@ from specspark.functions import udf
 from specspark.operators import audit as au
 from specspark.operators import grouping as gr
 from specspark.operators import joins as jn
+from specspark.operators import listjoin as lj
 from specspark.operators import metrics as mt
 from specspark.operators import sampling as sm
 from specspark.operators import search as se
+from specspark.operators import tiles
 from specspark.operators.running import before
 from specspark.sources import mgf, tables
 
@@ -237,14 +240,30 @@ def test_running_folds_by_value_range(spark, descending):
     assert before(df.limit(0), "o", {"s": ("sum", "n")}).count() == 0
 
 
-def test_blocked_topk_over_many_tiles(spark, monkeypatch):
-    monkeypatch.setattr(se, "LIBRARY_TILE", 7)
+@pytest.mark.parametrize("tile, most", [(4096, 1 << 20), (5, 1 << 20), (5, 0), (4096, 0)])
+@pytest.mark.parametrize("k, own", [(1, False), (6, True), (100, True)])
+def test_top_k_over_tiles(spark, monkeypatch, tile, most, k, own):
+    """Queries sent to all tasks or dealt to cells with the library, many ties, ids that repeat, vectors without a direction."""
     r = np.random.default_rng(5)
-    rows = [(i, r.integers(-2, 3, size=3).astype(float).tolist()) for i in range(60)]  # many ties
-    df = spark.createDataFrame(rows, "k int, v array<double>")
-    unit = se._unit(np.array([v for _, v in rows]))
-    want = {(q, c) for q in range(10) for c in sorted((c for c in range(60) if c != q), key=lambda c: (-round(unit[q] @ unit[c], 12), c))[:6]}
-    assert {(x["query"], x["k"]) for x in se.blocked_topk(df.filter("k < 10"), df, "k", "v", 6).collect()} == want
+    rows = [(i, r.integers(-2, 3, size=3).astype(float).tolist()) for i in range(60)] + [(70, None), (71, [0.0] * 3), (5, [1.0, 0.0, 0.0]), (None, [1.0, 2.0, 3.0]), (8, [2.0, 2.0, 1.0]), (8, [2.0, 2.0, 1.0])]
+    df = spark.createDataFrame(rows, "k int, v array<double>").repartition(3)
+    unit = lambda v: np.array(v) / (np.linalg.norm(v) or 1.0)
+    library = [(i, unit(v)) for i, v in rows if i is not None and v is not None]
+    want = collections.defaultdict(list)
+    for q, v in {(i, tuple(v)) for i, v in rows if i is not None and v is not None}:
+        want[q] += [(-round(float(unit(v) @ w), 12) + 0.0, c) for c, w in library if c != q or not own]
+    got = collections.defaultdict(list)
+    for x in tiles.top_k(df, df, "k", "v", k, own, tile, most).collect():
+        got[x["query"]].append((x["rank"], -x["score"] + 0.0, x["k"]))
+    assert {q: sorted(x) for q, x in got.items()} == {q: [(i, *x) for i, x in enumerate(sorted(xs)[:k], 1)] for q, xs in want.items()}
+
+
+def test_top_k_of_texts_and_of_nothing(spark):
+    df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("c", [0.0, 1.0])], "k string, v array<float>")
+    assert {(x["query"], x["k"]) for x in tiles.top_k(df, df, "k", "v", 1, most=0).collect()} == {("a", "b"), ("b", "a"), ("c", "b")}
+    assert tiles.top_k(df.limit(0), df, "k", "v", 1).count() == tiles.top_k(df, df.limit(0), "k", "v", 1).count() == 0
+    with pytest.raises(Exception, match="can't be compared"):
+        tiles.top_k(df, spark.createDataFrame([("d", [1.0])], df.schema), "k", "v", 1).collect()
 
 
 def test_mean_low_fdr_recall_is_the_area_under_the_steps(spark):
@@ -332,12 +351,10 @@ def test_frontier_leaves_out_scores_that_are_no_numbers(spark):
 
 
 @pytest.mark.parametrize("tile, most", [(256, 64 << 20), (2, 0)])
-def test_score_pairs_meets_every_row(spark, monkeypatch, tile, most):
-    monkeypatch.setattr(se, "QUERY_TILE", tile)
-    monkeypatch.setattr(se, "BROADCAST_BYTES", most)
+def test_score_pairs_meets_every_row(spark, tile, most):
     v = np.random.default_rng(5).normal(size=(40, 4))
     df = spark.createDataFrame([(i, [float(x) for x in r], i % 3) for i, r in enumerate(v)], "k int, v array<double>, l int")
-    got = {(r["query"], r["k"]): (r["score"], r["query_label"], r["l"]) for r in se.score_pairs(df.filter("k % 7 = 0"), df, "k", "v", "l").collect()}
+    got = {(r["query"], r["k"]): (r["score"], r["query_label"], r["l"]) for r in tiles.all_scores(df.filter("k % 7 = 0"), df, "k", "v", "l", tile, most).collect()}
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     assert set(got) == {(q, k) for q in range(0, 40, 7) for k in range(40) if q != k}
     assert all(s == pytest.approx(u[q] @ u[k]) and (a, b) == (q % 3, k % 3) for (q, k), (s, a, b) in got.items())
@@ -417,3 +434,72 @@ def test_lists_masses_and_sql_functions(spark):
     row = spark.sql("""SELECT total_intensity(array(1D, 2D)), scale_to_max(array(1D, 2D)), vector_cosine(array(3D, 4D), array(3D, 4D)),
         polarity_of('[M-H]-'), parse_collision('HCD 20.5 eV'), block_type('>ms2 x'), dedup_list(array('x', 'x', 'y'))""").first()
     assert tuple(row) == (3.0, [0.5, 1.0], 1.0, 0, 20.5, "ms2", ["x", "y"])
+
+
+@pytest.mark.parametrize("blocks, rows, features", [(3, 60, 30), (1, 700, 40), (2, 400, 300)])
+@pytest.mark.parametrize("threshold", [0.3, 0.9])
+def test_similar_pairs_of_blocks(spark, blocks, rows, features, threshold):
+    """Few and many rows a block, with copies; blocks of more rows than a tile go by lists."""
+    r, vectors = np.random.default_rng(rows), []
+    for i in range(rows):
+        at = r.choice(features, int(r.integers(1, 9)), replace=False)
+        v = r.random(len(at)) + 0.05
+        vectors.append(vectors[i - 1] if i % 10 == 9 else (f"b{r.integers(blocks)}", dict(zip(at.tolist(), (v / np.linalg.norm(v)).tolist()))))
+    long = [(b, i, x, y) for i, (b, v) in enumerate(vectors) for x, y in v.items()] + [(None, 9000 + i, 1, 1.0) for i in range(3)]
+    df = spark.createDataFrame(long, "blk string, id int, bin int, value double")
+    got = {(x["blk"], x["a"], x["b"]): x["similarity"] for x in lj.cosine_join(df, "blk", "id", threshold).collect()}
+    m = np.zeros((rows, features))
+    for i, (_, v) in enumerate(vectors):
+        m[i, list(v)] = list(v.values())
+    s = m @ m.T
+    want = {(vectors[i][0], i, j): min(1.0, s[i, j]) for i, j in zip(*np.nonzero(np.triu(s >= threshold, 1))) if vectors[i][0] == vectors[j][0]}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    with pytest.raises(ValueError):
+        lj.cosine_join(df, "blk", "id", 0.0)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.75, 1.0])
+def test_tanimoto_join_and_exclusion(spark, threshold):
+    r = np.random.default_rng(11)
+    sets = {}
+    for i in range(420):
+        sets[i] = sets[i - 1] if i % 12 == 11 else frozenset(r.choice(24 if i % 2 else 12, int(r.integers(1, 7)), replace=False).tolist())
+    df = spark.createDataFrame([(i, b) for i, s in sets.items() for b in s] + [(None, 1), (900, None)], "id int, bit int")
+    pairs, members = lj.tanimoto_join(df, "id", "bit", threshold)
+    alike = lambda a, b: len(a & b) / len(a | b)
+    first = {}
+    for i, s in sets.items():
+        first.setdefault(s, i)
+    reps = sorted(first.values())
+    want = {(a, b): alike(sets[a], sets[b]) for n, a in enumerate(reps) for b in reps[n + 1 :] if alike(sets[a], sets[b]) >= threshold}
+    got = {(x["a"], x["b"]): x["similarity"] for x in pairs.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    copies = collections.Counter(sets.values())
+    assert {x["id"]: (x["representative"], x["copies"]) for x in members.collect()} == {i: (first[s], copies[s]) for i, s in sets.items()}
+    # one by one: the most unassigned neighbours, ties to the smallest id
+    near = {i: {j for j in sets if j != i and alike(sets[i], sets[j]) >= threshold} for i in sets}
+    free, picked = set(sets), []
+    while True:
+        head = min(free, key=lambda i: (-len(near[i] & free), i), default=None)
+        if head is None or not near[head] & free:
+            break
+        taken = (near[head] & free) | {head}
+        picked.append((head, len(taken) - 1, taken))
+        free -= taken
+    every = collections.defaultdict(set)
+    for x in gr.sphere_exclusion(pairs, members, "id").collect():
+        every[x["head"], x["count"]].add(x["id"])
+    assert every == {(h, c): t for h, c, t in picked}
+    assert {(x["id"], x["cluster"]) for x in gr.butina(pairs, members, "id", 3).collect()} == {(i, c) for c, (_, _, t) in enumerate(picked[:3]) for i in t}
+    assert gr.sphere_exclusion(pairs.limit(0), members.filter("copies = 1"), "id").count() == 0
+
+
+def test_codes_find_neighbours_from_few_vectors(spark):
+    r = np.random.default_rng(3)
+    v = np.concatenate([r.normal(size=(900, 32)), r.normal(size=(1, 32)) + 0.05 * r.normal(size=(100, 32))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(2000, None), (2001, [0.0] * 32)], "k int, v array<double>")
+    q = df.filter("k % 50 = 0")
+    exact = {(x["query"], x["k"]) for x in se.blocked_topk(q.filter("k < 1000"), df.filter("k < 1000"), "k", "v", 10).collect()}
+    for index in (None, se.ann_index(df, "k", "v")):
+        found = {(x["query"], x["k"]) for x in se.ann_topk(df, "k", "v", q, 10, index=index).collect()}
+        assert len(found) == len(exact) == 200 and len(exact & found) >= 195  # 40 of 1000 vectors are read for a query
