@@ -24,8 +24,8 @@ from .packing import groups
 SIZE, END_ID = 2048, 0
 #: Pieces of a block; rounds of search after the first; a round is the last if it empties under this share of its bins.
 BLOCK, ROUNDS, LEAST_GAIN = 16_384, 4, 0.002
-#: Token ids of text parts that a worker keeps.
-CACHE = 400_000
+#: Text parts whose token ids a worker keeps, and as many older ones.
+CACHE = 250_000
 #: Texts of these characters split the same way with ``re`` as in the tokenizer; others go through it whole.
 UNUSUAL = re.compile("[^\t-\r -~¡-ſ]")
 #: The tokenizer's own split, written out for those characters.
@@ -49,34 +49,37 @@ class ByteTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.begins[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True  # a space, as bytes are written there
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _encode_joined(self, parts: list[str]) -> list[bytes]:
-        """Like ``_encode``, but all parts in one call: each is a word of the joined text."""
-        e = self.tokenizer.encode("".join(parts), add_special_tokens=False)
-        words, raw = np.array(e.word_ids, dtype=np.int64), np.array(e.ids, dtype="<u4").tobytes()
-        if not len(words) or words[-1] != len(parts) - 1:
+        """Like ``_encode``, but all parts in one call: each begins with its only space, and so does its first token."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
+        at = np.flatnonzero(self.begins[ids])
+        if len(at) != len(parts):
             return self._encode(parts)
-        ends = [*np.flatnonzero(np.diff(words)).tolist(), len(words) - 1]
-        at = [0, *(4 * (x + 1) for x in ends)]
-        return [raw[a:b] for a, b in zip(at, at[1:])] if len(at) == len(parts) + 1 else self._encode(parts)
+        raw, at = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+        return [raw[a:b] for a, b in zip(at, at[1:])]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. Parts that aren't kept yet are encoded together."""
         split = [None if UNUSUAL.search(t) or "<|" in t else SPLIT.findall(t) for t in texts]
-        kept = self.kept
+        if len(self.kept) > CACHE:  # what is used again moves over, the rest goes at the next change
+            self.older, self.kept = self.kept, {}
+        kept, older = self.kept, self.older
         missing = set().union(*(p for p in split if p)).difference(kept)
+        again = older.keys() & missing
+        kept.update(zip(again, map(older.__getitem__, again)))
+        missing -= again
         if missing:
-            if len(kept) > CACHE:
-                kept.clear()
-                missing = set().union(*(p for p in split if p))
             words = [p for p in missing if JOINABLE.fullmatch(p)]
             others = list(missing.difference(words))
-            for at in range(0, len(words), 10_000):
-                part = words[at : at + 10_000]
-                kept.update(zip(part, self._encode_joined(part)))
+            kept.update(zip(words, self._encode_joined(words)))
             kept.update(zip(others, self._encode(others)))
         return [self._encode([t])[0] if p is None else b"".join(map(kept.__getitem__, p)) for t, p in zip(texts, split)]
 
