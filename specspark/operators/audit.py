@@ -37,8 +37,8 @@ def _count(a: Column, test) -> Column:
     return F.sum(F.coalesce(F.size(F.filter(a, test)), F.lit(0)))
 
 
-def audit(df: DataFrame, by: list[str] = ("shard",), length: int | None = None, most_mz: float = 1500.0, most_precursor: float = 1000.0, most_rt: float = 1500.0, least_peaks: int = 3) -> DataFrame:
-    """All counters of each shard in one aggregate: polarity, rt, precursor, lengths, values, structure, pairs, peak counts."""
+def audit(df: DataFrame, by: list[str] = ("shard",), length: int | None = None, most_mz: float = 1500.0, most_precursor: float = 1000.0, most_rt: float = 1500.0, least_peaks: int = 3, most_intensity: float | None = None) -> DataFrame:
+    """All counters of each shard in one aggregate: polarity, rt, precursor, lengths, values of both lists, structure, pairs, peak counts."""
     mz, inten, rt, pre = F.col("mz"), F.col("intensity"), F.col("rt"), F.col("precursor_mz")
     positive = F.size(F.filter(mz, lambda m: _finite(m) & (m > 0)))
     n_peaks = F.coalesce(F.greatest(positive, F.lit(0)), F.lit(0))
@@ -59,6 +59,9 @@ def audit(df: DataFrame, by: list[str] = ("shard",), length: int | None = None,
         "length_expected": F.count_if(F.size(mz) == length) if length else F.count_if(mz.isNotNull()),
         "mz_total": F.sum(F.coalesce(F.size(mz), F.lit(0))), "mz_finite": _count(mz, _finite), "mz_nonfinite": _count(mz, lambda m: ~_finite(m)),
         "mz_negative": _count(mz, lambda m: _finite(m) & (m < 0)), "mz_above": _count(mz, lambda m: _finite(m) & (m > most_mz)),
+        "intensity_total": F.sum(F.coalesce(F.size(inten), F.lit(0))), "intensity_finite": _count(inten, _finite), "intensity_nonfinite": _count(inten, lambda i: ~_finite(i)),
+        "intensity_negative": _count(inten, lambda i: _finite(i) & (i < 0)),
+        "intensity_above": F.lit(0) if most_intensity is None else _count(inten, lambda i: _finite(i) & (i > most_intensity)),
         "padding_mismatch": F.sum(F.size(padded)), "interleaved": F.count_if(F.size(after) > 0), "unsorted": F.count_if(F.size(unsorted) > 0),
         "pairs_valid": _count(both, lambda p: (p["mz"] > 0) & _finite(p["i"]) & (p["i"] >= 0)),
         "pairs_invalid": _count(both, lambda p: (p["mz"] > 0) & (p["i"].isNotNull() & (~_finite(p["i"]) | (p["i"] < 0)))),
@@ -76,6 +79,7 @@ CLOSURES = {
     "precursor": ("rows", ["precursor_null", "precursor_bad", "precursor_above", "precursor_valid"]),
     "lists": ("rows", ["lists_null", "lengths_equal", "lengths_unequal"]),
     "mz": ("mz_total", ["mz_finite", "mz_nonfinite"]),
+    "intensity": ("intensity_total", ["intensity_finite", "intensity_nonfinite"]),
     "peaks": ("rows", ["peaks_0", "peaks_1", "peaks_2", "peaks_3"]),
     "minimum": ("rows", ["eligible", "skipped"]),
 }

@@ -53,11 +53,26 @@ def audit_peak_counts(spark, sf):
     return au.audit(shard_rows(spark, sf)).select("shard", "peaks_0", "peaks_1", "peaks_2", "peaks_3", "eligible", "skipped")
 
 
-@query(f"{SHARD} SELECT shard, 'rt' AS closure, CAST(count(*) AS BIGINT) AS whole, CAST(count(*) - count(*) FILTER (WHERE rt IS NULL) AS BIGINT) AS parts FROM rows GROUP BY 1 HAVING count(*) FILTER (WHERE rt IS NULL) > 0")
+#: Every thirteenth row has an infinite last intensity, every fifth a negative first one.
+SPOILT = f"""{SHARD}, x AS (SELECT shard, CASE WHEN spectrum_id % 13 = 0 THEN list_append(intensity, 'infinity'::DOUBLE) WHEN spectrum_id % 5 = 0 THEN list_prepend(-2.0, intensity) ELSE intensity END AS i FROM rows)"""
+
+
+@query(f"""{SPOILT} SELECT shard, CAST(sum(len(i)) AS BIGINT) AS intensity_total, CAST(sum(len(list_filter(i, lambda x: isfinite(x)))) AS BIGINT) AS intensity_finite, CAST(sum(len(list_filter(i, lambda x: NOT isfinite(x)))) AS BIGINT) AS intensity_nonfinite,
+CAST(sum(len(list_filter(i, lambda x: x < 0))) AS BIGINT) AS intensity_negative, CAST(sum(len(list_filter(i, lambda x: isfinite(x) AND x > 30))) AS BIGINT) AS intensity_above FROM x GROUP BY 1""")
+def audit_intensity(spark, sf):
+    k = F.col("spectrum_id")
+    spoilt = F.when(k % 13 == 0, F.concat("intensity", F.array(F.lit(float("inf"))))).when(k % 5 == 0, F.concat(F.array(F.lit(-2.0)), "intensity")).otherwise(F.col("intensity"))
+    audited = au.audit(shard_rows(spark, sf).withColumn("intensity", spoilt), most_intensity=30.0)
+    return audited.select("shard", *[f"intensity_{c}" for c in ("total", "finite", "nonfinite", "negative", "above")])
+
+
+@query(f"""{SHARD}, c AS (SELECT shard, count(*) AS whole, count(*) FILTER (WHERE rt IS NOT NULL) AS parts FROM rows GROUP BY 1)
+SELECT shard, closure, whole, parts FROM c, (VALUES ('polarity'), ('rt'), ('precursor'), ('lists'), ('peaks'), ('minimum')) AS t(closure) WHERE whole <> parts""")
 def audit_closure(spark, sf):
-    audited = au.audit(shard_rows(spark, sf).filter("rt is null or rt > 0 or rt <= 0")).withColumn("rt_missing", F.col("rt_missing") - F.lit(0))
-    nulls = shard_rows(spark, sf).groupBy("shard").agg(F.count_if(F.col("rt").isNull()).alias("k"))
-    return au.check_closure(audited.join(nulls, "shard").withColumn("rt_missing", F.col("rt_missing") - F.col("k")).drop("k"))
+    """Shards that lost their rows without a time, against the row counts they were declared with: no class adds up."""
+    audited = au.audit(shard_rows(spark, sf).filter("rt is not null")).drop("rows")
+    declared = metadata(spark, sf).groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))
+    return au.check_closure(audited.join(declared, "shard"))
 
 
 @query(f"{SHARD}, s AS (SELECT shard, {COUNTERS} FROM rows GROUP BY 1) SELECT count(*) AS shards, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(polarity_other) AS BIGINT) AS polarity_other, CAST(sum(rt_above) AS BIGINT) AS rt_above FROM s")

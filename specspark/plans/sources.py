@@ -12,6 +12,8 @@ from ..operators import search as se
 from ..registry import query
 from ..sources import tables as tb
 from ..streaming import jobs
+from .audit import COUNTERS, LISTS, SHARD, shard_rows
+from .audit import PEAKS as PEAK_COUNTS
 
 S = f"WITH {SPECTRA_SQL}"
 
@@ -102,13 +104,12 @@ def logistic_on_vectors(spark, sf):
     return model.transform(v.withColumn("features", array_to_vector("vector"))).select("vec_id", "y", "prediction")
 
 
-V = "v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v)"
-#: The nearest row of each query, itself among them, to 12 digits, then by id.
-NEAREST = f"""WITH {V}, s AS (SELECT q.vec_id AS query, c.vec_id, round(list_dot_product(q.e, c.e) / q.n / c.n, 12) AS score FROM u q, u c WHERE %s)
-SELECT query, vec_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS INT) AS rank FROM s QUALIFY rank <= 1"""
+#: Queries and the library rows near them, to 12 digits; the nearest by that, then by id.
+NEAR = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+s AS (SELECT q.vec_id AS query, c.vec_id, round(list_dot_product(q.e, c.e) / q.n / c.n, 12) AS score FROM u q, u c), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)"""
 
 
-@query(NEAREST % "true")
+@query(f"{NEAR} SELECT query, vec_id, round(score, 6) AS score, rank FROM r WHERE rank = 1")
 def stream_batch_search(spark, sf):
     v = vectors(spark, sf)
     return se.blocked_topk(v, v, "vec_id", "vector", 1, exclude_self=False).withColumn("score", F.round("score", 6))
@@ -128,18 +129,39 @@ def stream_running_counts(spark, sf):
 
 @query("SELECT DISTINCT o_orderkey, o_custkey FROM orders")
 def stream_ingest(spark, sf):
+    """Orders that arrive twice each, in four drops: only the first of a key stays, whichever batches the two are in."""
     out = scratch_dir(spark, "ingest")
-    jobs.ingest_stream(_stream(spark, sf, "orders"), f"{out}/table", f"{out}/checkpoint", "o_orderkey").awaitTermination()
-    return spark.read.parquet(f"{out}/table").select("o_orderkey", "o_custkey").distinct()
+    for _ in range(2):
+        table(spark, sf, "orders").select("o_orderkey", "o_custkey").repartition(2, "o_orderkey").write.mode("append").parquet(f"{out}/in")
+    stream = jobs.shard_stream(spark, f"{out}/in", "o_orderkey bigint, o_custkey bigint", 1)
+    jobs.ingest_stream(stream, f"{out}/table", f"{out}/checkpoint", "o_orderkey").awaitTermination()
+    return spark.read.schema("o_orderkey bigint, o_custkey bigint, batch int").parquet(f"{out}/table").drop("batch")
 
 
-@query()
+AUDITED = (
+    "rows polarity_0 polarity_1 polarity_other rt_valid rt_above rt_missing precursor_null precursor_bad precursor_above precursor_valid lengths_equal lengths_unequal "
+    "mz_total mz_above pairs_valid pairs_unpaired interleaved padding_mismatch peaks_0 peaks_1 peaks_2 peaks_3 eligible skipped"
+).split()
+
+
+@query(f"{SHARD} SELECT shard, {COUNTERS}, {LISTS}, {PEAK_COUNTS} FROM (SELECT *, len(list_filter(mz, lambda x: x > 0)) AS n FROM rows) GROUP BY 1")
+def stream_audit(spark, sf):
+    """The counters of shard rows that arrive in six drops, kept up to date batch by batch."""
+    out = scratch_dir(spark, "audit")
+    rows = shard_rows(spark, sf)
+    rows.repartition(6, "spectrum_id").write.parquet(f"{out}/in")
+    jobs.running_audit(jobs.shard_stream(spark, f"{out}/in", rows.schema, 1), f"{out}/table", f"{out}/checkpoint", most_mz=500.0).awaitTermination()
+    return jobs.read_audit(spark, f"{out}/table").select("shard", *AUDITED)
+
+
+@query(f"{NEAR} SELECT query, vec_id, round(score, 6) AS score FROM r WHERE rank = 1 AND query % 100 = 0")
 def stream_search(spark, sf):
     """The nearest library vector of each arriving one; the stated queries are the ids divisible by 100."""
     out = scratch_dir(spark, "search")
     arriving = _stream(spark, sf, "embeddings").filter("vec_id % 100 = 0").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
     jobs.search_stream(arriving, vectors(spark, sf).select("vec_id", "vector"), "vec_id", "vector", f"{out}/table", f"{out}/checkpoint").awaitTermination()
-    return spark.read.schema("query bigint, vec_id bigint, score double, batch int").parquet(f"{out}/table").drop("batch")
+    found = spark.read.schema("query bigint, vec_id bigint, score double, batch int").parquet(f"{out}/table").drop("batch")
+    return found.withColumn("score", F.round("score", 6))
 
 
 @query("SELECT DISTINCT round_even(CAST(embedding[1] AS DOUBLE), 1) + 0.0 AS mz, round_even(CAST(embedding[2] AS DOUBLE), 1) + 0.0 AS intensity FROM embeddings")

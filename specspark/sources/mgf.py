@@ -130,20 +130,35 @@ class MgfReader(DataSourceReader):
         yield from parse(lines_of(partition.path), self.strict)
 
 
+#: Files this much older than the newest are taken as read and leave the log.
+MAX_AGE_DAYS = 7
+
+
 class MgfStreamReader(DataSourceStreamReader):
-    """Each file once: the offset is how many files, by name, have been read. New files must sort after old ones."""
+    """Each file once, whatever its name.
+
+    The offset is a log: the files that are there with their times, and the time before which files are taken as read, which only
+    rises. A batch reads what its end has and its start doesn't, so that it reads the same files when it runs again. The log
+    holds only files of the last ``MAX_AGE_DAYS`` before the newest; one that arrives with an older time isn't read. A file that changes isn't
+    read again, and one that is gone before it was read is an error.
+    """
 
     def __init__(self, options: dict):
         self.path, self.strict = options["path"], options.get("mode", "FAILFAST").upper() != "PERMISSIVE"
+        self.age = float(options.get("maxfileagedays", MAX_AGE_DAYS)) * 86_400
+        self.after = 0.0
 
     def initialOffset(self):
-        return {"files": 0}
+        return {"after": 0.0, "files": {}}
 
     def latestOffset(self):
-        return {"files": len(files_of(self.path))}
+        times = {p: _modified(p) for p in files_of(self.path)}
+        self.after = max(self.after, max(times.values(), default=0.0) - self.age)
+        return {"after": self.after, "files": {p: t for p, t in times.items() if t >= self.after}}
 
     def partitions(self, start, end):
-        return [FilePartition(p) for p in files_of(self.path)[start["files"] : end["files"]]]
+        self.after = max(self.after, start["after"])
+        return [FilePartition(p) for p, t in sorted(end["files"].items()) if p not in start["files"] and t >= start["after"]]
 
     def read(self, partition):
         yield from parse(lines_of(partition.path), self.strict)
@@ -152,6 +167,11 @@ class MgfStreamReader(DataSourceStreamReader):
         pass
 
 
+def _modified(path: str) -> float:
+    store, at = _filesystem(path)
+    return store.get_file_info(at).mtime.timestamp()
+
+
 @dataclass
 class Written(WriterCommitMessage):
     path: str

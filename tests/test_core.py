@@ -503,3 +503,76 @@ def test_codes_find_neighbours_from_few_vectors(spark):
     for index in (None, se.ann_index(df, "k", "v")):
         found = {(x["query"], x["k"]) for x in se.ann_topk(df, "k", "v", q, 10, index=index).collect()}
         assert len(found) == len(exact) == 200 and len(exact & found) >= 195  # 40 of 1000 vectors are read for a query
+
+
+def test_running_audit_equals_an_audit_of_all(spark, tmp_path, monkeypatch):
+    """Counters that change batch by batch, whole states now and then, a batch that runs again."""
+    from specspark.streaming import jobs
+
+    monkeypatch.setattr(jobs, "WHOLE_EACH", 3)
+    rows = [(i, None if i % 5 == 4 else i % 3, [1.0, float(i), 0.0], [1.0, 2.0] if i % 4 else [1.0, float("nan"), -1.0], float(i - 3), i % 3 - 1, 5.0 * i) for i in range(60)]
+    schema = "id int, shard int, mz array<double>, intensity array<double>, precursor_mz double, polarity int, rt double"
+    df = spark.createDataFrame(rows, schema)
+    source, target, checkpoint = (str(tmp_path / x) for x in "abc")
+    for i in range(10):
+        df.filter(F.col("id") % 10 == i).coalesce(1).write.mode("append").parquet(source)
+    stream = jobs.shard_stream(spark, source, df.schema, 1)
+    jobs.running_audit(stream, target, checkpoint, least_peaks=2).awaitTermination()
+    want = {tuple(r) for r in au.audit(df, least_peaks=2).collect()}
+    got = jobs.read_audit(spark, target)
+    assert {tuple(r) for r in got.select(*au.audit(df).columns).collect()} == want
+    folders = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "b").glob("batch=*"))
+    assert folders[-1] == 9 and len(folders) < 10
+    # the last batch was written but not committed: it runs again
+    for name in ("9", ".9.crc"):
+        (tmp_path / "c" / "commits" / name).unlink()
+    jobs.running_audit(stream, target, checkpoint, least_peaks=2).awaitTermination()
+    assert {tuple(r) for r in jobs.read_audit(spark, target).select(*au.audit(df).columns).collect()} == want
+
+
+def test_ingest_keeps_one_row_a_key_over_all_batches(spark, tmp_path):
+    from specspark.operators.keyruns import KeyRuns
+    from specspark.streaming import jobs
+
+    source, target, checkpoint = (str(tmp_path / x) for x in "abc")
+    for i in range(10):
+        keys = [(k, i) for k in (*range(i * 3, i * 3 + 6), i * 3, None)]
+        spark.createDataFrame(keys, "k int, n int").coalesce(1).write.mode("append").parquet(source)
+    stream = jobs.shard_stream(spark, source, "k int, n int", 1)
+    jobs.ingest_stream(stream, target, checkpoint, "k", 3).awaitTermination()
+    read = lambda: collections.Counter(r["k"] for r in spark.read.parquet(target).collect())
+    want = collections.Counter(range(33)) + collections.Counter({None: 10})
+    assert read() == want
+    for name in ("9", ".9.crc"):
+        (tmp_path / "c" / "commits" / name).unlink()
+    jobs.ingest_stream(stream, target, checkpoint, "k", 3).awaitTermination()
+    assert read() == want
+    runs = KeyRuns(spark, f"{target}_keys", "k", "int", 3)
+    assert runs.runs() == [(0, 7), (8, 8), (9, 9)]
+    fresh = runs.unseen(spark.createDataFrame([(5,), (40,)], "k int"), 10)
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # the batch alone
+    assert [r["k"] for r in fresh.collect()] == [40]
+    assert [r["k"] for r in runs.unseen(spark.createDataFrame([(30,)], "k int"), 9).collect()] == [30]  # batch 9 doesn't see its own keys
+
+
+def test_mgf_stream_log(tmp_path):
+    """Files are told apart by name and time; a name that sorts first is read too, and a batch that runs again reads the same files."""
+    for i, name in enumerate(["m.mgf", "z.mgf"]):
+        (tmp_path / name).write_text(TWO)
+        os.utime(tmp_path / name, (1_000_000 + i, 1_000_000 + i))
+    reader = mgf.MgfStreamReader({"path": str(tmp_path)})
+    names = lambda a, b: [os.path.basename(p.path) for p in reader.partitions(a, b)]
+    first = reader.latestOffset()
+    assert names(reader.initialOffset(), first) == ["m.mgf", "z.mgf"]
+    (tmp_path / "a.mgf").write_text(TWO)
+    os.utime(tmp_path / "a.mgf", (1_000_002, 1_000_002))
+    second = reader.latestOffset()
+    assert names(first, second) == ["a.mgf"] and names(reader.initialOffset(), first) == ["m.mgf", "z.mgf"]
+    for name, t in (("late.mgf", 1_000_000 + 8 * 86_400), ("old.mgf", 1_000_003)):
+        (tmp_path / name).write_text(TWO)
+        os.utime(tmp_path / name, (t, t))
+    third = reader.latestOffset()
+    assert names(second, third) == ["late.mgf"] and set(map(os.path.basename, third["files"])) == {"late.mgf"}
+    (tmp_path / "late.mgf").unlink()
+    assert names(third, mgf.MgfStreamReader({"path": str(tmp_path)}).latestOffset()) == []  # older files don't come back
