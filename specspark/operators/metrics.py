@@ -5,10 +5,15 @@ Score tables may be large: running sums over scores go over distinct scores, aft
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .running import before
+from .running import before, settled
 
 
 def rank_metrics(df: DataFrame, rank: str, by: list[str] = (), ks: tuple[int, ...] = (1, 5, 20)) -> DataFrame:
@@ -82,9 +87,9 @@ def fdr_frontier(df: DataFrame, score: str, correct: str, eligible: str | None =
     fdr is null under ``least`` accepted rows; recall is of the rows that ``eligible`` marks (all by default). Rows
     whose score is null, infinite or not a number are left out.
     """
-    blocks = df.filter(F.abs(F.col(score).cast("double")) < float("inf")).groupBy(*by, score).agg(
-        F.count(F.lit(1)).alias("__n"), F.count_if(F.col(correct)).alias("__c"), F.count_if(F.col(eligible) if eligible else F.lit(True)).alias("__e"))
-    rows = before(blocks, score, {"__nb": ("sum", "__n"), "__cb": ("sum", "__c")}, by, descending=True)
+    blocks = settled(df.filter(F.abs(F.col(score).cast("double")) < float("inf")).groupBy(*by, score).agg(
+        F.count(F.lit(1)).alias("__n"), F.count_if(F.col(correct)).alias("__c"), F.count_if(F.col(eligible) if eligible else F.lit(True)).alias("__e")))
+    rows = before(blocks, score, {"__nb": ("sum", "__n"), "__cb": ("sum", "__c")}, by, descending=True, written=True)
     totals = blocks.groupBy(*by).agg(F.sum("__e").alias("__all")).select(*[F.col(c).alias(f"__of_{c}") for c in by], "__all")
     same = F.lit(True)
     for c in by:
@@ -96,8 +101,15 @@ def fdr_frontier(df: DataFrame, score: str, correct: str, eligible: str | None =
 
 
 def fdr_working_point(frontier: DataFrame, most: float, score: str) -> DataFrame:
-    """The row of an fdr of at most ``most`` with the largest recall, then the smallest fdr, then the strictest score."""
-    return frontier.filter(F.col("fdr") <= most).orderBy(F.desc("recall"), "fdr", F.desc(score)).limit(1)
+    """The row of an fdr of at most ``most`` with the largest recall, then the smallest fdr, then the strictest score.
+
+    Where no row is within ``most``, nothing is accepted: a null score and fdr, recall 0.
+    """
+    columns = [score, "accepted", "correct", "eligible", "fdr", "recall"]
+    rank = F.when(F.col("fdr") <= most, F.struct("recall", -F.col("fdr"), F.col(score)))
+    best = frontier.agg(F.max_by(F.struct(*columns), rank).alias("b"), F.max("eligible").alias("all"))
+    zero = {"accepted": F.lit(0), "correct": F.lit(0), "eligible": F.col("all"), "recall": F.lit(0.0)}
+    return best.select(*[(F.coalesce(f"b.{c}", zero[c]) if c in zero else F.col(f"b.{c}")).alias(c) for c in columns])
 
 
 def mean_low_fdr_recall(frontier: DataFrame, most: float = 0.05) -> DataFrame:
@@ -133,27 +145,68 @@ def micro_average(df: DataFrame, value: str, weight: str, by: list[str] = ()) ->
     return df.groupBy(*by).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias(value), F.sum(weight).alias("n"))
 
 
+#: Poisson(1) probabilities of at most 0 to 6. Draws that one SHA-256 digest gives.
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712)
+DRAWS = 8
+#: Numbers of an array of draws, and of the sums that a task holds.
+BOOT_ROWS, BOOT_SUMS = 2_000_000, 4_000_000
+
+
+def multiplicities(keys: list[str], rounds: int, seed: int) -> np.ndarray:
+    """How often each key is drawn in each round: 32-bit numbers of sha256(seed:block of rounds:key), inverted."""
+    blocks = -(-rounds // DRAWS)
+    digests = b"".join([hashlib.sha256(f"{seed}:{block}:{key}".encode()).digest() for key in keys for block in range(blocks)])
+    u = np.frombuffer(digests, dtype=">u4").reshape(len(keys), blocks * DRAWS)[:, :rounds] / 2.0**32
+    return np.searchsorted(POISSON, u, side="right")
+
+
 def bootstrap_delta(groups: DataFrame, key: str, numerator: str, denominator: str, rounds: int, seed: int, level: float = 0.95, stratum: str | None = None) -> DataFrame:
-    """(low, high, mean, p): the interval of sum(numerator) / sum(denominator) over resampled groups.
+    """(low, high, mean, p, estimate): sum(numerator) / sum(denominator), and its interval and mean over resampled groups.
 
-    Each group's multiplicity in each round is Poisson(1), inverted from a hash of (seed, round, key): rounds need no row
-    numbers and no join, and each task sums its own rows. With ``stratum``, each stratum's sums are scaled to its size.
+    Each group's multiplicities in all rounds are drawn in its own row, Poisson(1) from hashes of (seed, rounds, key), and a task adds
+    them up as arrays: what is shuffled is a row a round and task, not one a group. With ``stratum``, each stratum's sums are scaled to
+    its size. Groups without a key are left out; null numbers count as 0.
     """
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712]
-    drawn = groups.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    u = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), "round", key), 256), 1, 8), 16, 10).cast("double") / float(16**8)
-    times = sum((F.when(u >= c, 1).otherwise(0) for c in cuts[1:]), F.when(u >= cuts[0], 1).otherwise(0))
-    parts = ["round"] + ([stratum] if stratum else [])
-    weighed = drawn.withColumn("__w", times)
-    sums = weighed.groupBy(*parts).agg(F.sum(F.col(numerator) * F.col("__w")).alias("a"), F.sum(F.col(denominator) * F.col("__w")).alias("b"), F.sum("__w").alias("w"), F.count(F.lit(1)).alias("k"))
-    if stratum:
-        scale = F.when(F.col("w") > 0, F.col("k") / F.col("w")).otherwise(0.0)
-        sums = sums.groupBy("round").agg(F.sum(F.col("a") * scale).alias("a"), F.sum(F.col("b") * scale).alias("b"))
+    rows = groups.filter(F.col(key).isNotNull()).select(
+        F.col(key).cast("string").alias("k"), (F.col(stratum).cast("string") if stratum else F.lit("")).alias("s"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(x) for c, x in ((numerator, "a"), (denominator, "b"))])
+    each = max(1, BOOT_ROWS // max(1, rounds))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str | None, np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for s, m in held.items():
+                arrays = [pa.array([x], pa.list_(pa.float64())) for x in m[:4]]
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.string()), *arrays], names=["s", "a", "b", "w", "k"])
+            held.clear()
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, each):
+                part = batch.slice(at, each)
+                times = multiplicities(part.column(0).to_pylist(), rounds, seed).astype(np.float64)
+                ab = np.stack([part.column(i).to_numpy() for i in (2, 3)] + [np.ones(part.num_rows)])
+                codes = part.column(1).dictionary_encode(null_encoding="encode")
+                of = codes.indices.to_numpy()
+                for i, s in enumerate(codes.dictionary.to_pylist()):
+                    mine = of == i
+                    sums = np.concatenate([ab[:, mine] @ times[mine], np.full((1, rounds), mine.sum())])
+                    held[s] = held[s] + sums if s in held else sums
+                if len(held) * 4 * rounds > BOOT_SUMS:
+                    yield from out()
+        yield from out()
+
+    parts = rows.mapInArrow(add, "s string, a array<double>, b array<double>, w array<double>, k array<double>")
+    parts = parts.select("s", F.posexplode(F.arrays_zip("a", "b", "w", "k")).alias("round", "x"))
+    sums = parts.groupBy("round", "s").agg(*[F.sum(f"x.{c}").alias(c) for c in "abwk"])
+    scale = F.when(F.col("w") > 0, F.col("k") / F.col("w")).otherwise(0.0) if stratum else F.lit(1.0)
+    sums = sums.groupBy("round").agg(F.sum(F.col("a") * scale).alias("a"), F.sum(F.col("b") * scale).alias("b"))
     ratios = sums.select(F.when(F.col("b") != 0, F.col("a") / F.col("b")).alias("d"))
     edge = (1 - level) / 2
     n = F.count("d")
     p = F.least(F.lit(1.0), 2 * F.least((F.count_if(F.col("d") <= 0) + 1) / (n + 1), (F.count_if(F.col("d") >= 0) + 1) / (n + 1)))
-    return ratios.agg(F.percentile("d", edge).alias("low"), F.percentile("d", 1 - edge).alias("high"), F.avg("d").alias("mean"), p.alias("p"))
+    drawn = ratios.agg(F.percentile("d", edge).alias("low"), F.percentile("d", 1 - edge).alias("high"), F.avg("d").alias("mean"), p.alias("p"))
+    estimate = rows.agg((F.sum("a") / F.nullif(F.sum("b"), F.lit(0.0))).alias("estimate"))
+    return drawn.crossJoin(F.broadcast(estimate))  # one row each
 
 
 def paired_gain(df: DataFrame, old: str, new: str, ks: tuple[int, ...] = (1, 5)) -> DataFrame:
@@ -164,16 +217,30 @@ def paired_gain(df: DataFrame, old: str, new: str, ks: tuple[int, ...] = (1, 5))
 
 
 def score_blocks(df: DataFrame, score: str, positive: str, by: list[str] = ()) -> DataFrame:
-    """One row a score: positives p, negatives n, and those above."""
+    """One row a score: positives p, negatives n, and those above; ``df`` is read once."""
     blocks = df.groupBy(*by, score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
     return before(blocks, score, {"p_above": ("sum", "p"), "n_above": ("sum", "n")}, by, descending=True)
 
 
+def _area() -> Column:
+    """Of score blocks: the area under the ROC curve, ties counted half; null without both classes."""
+    return F.sum(F.col("n") * (F.col("p_above") + F.col("p") / 2.0)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))
+
+
+def _precision() -> Column:
+    """Of score blocks: the mean precision at the recall steps; 0 without positives."""
+    seen = F.col("p_above") + F.col("p")
+    precision = seen / (seen + F.col("n_above") + F.col("n"))
+    return F.coalesce(F.sum(F.col("p") * precision) / F.nullif(F.sum("p"), F.lit(0)), F.lit(0.0))
+
+
 def roc_auc(df: DataFrame, score: str, positive: str, by: list[str] = ()) -> DataFrame:
-    """Area under the ROC curve, ties counted half; null without both classes."""
-    b = score_blocks(df, score, positive, by)
-    area = F.sum(F.col("n") * (F.col("p_above") + F.col("p") / 2.0))
-    return b.groupBy(*by).agg((area / F.nullif(F.sum("p") * F.sum("n"), F.lit(0))).alias("auc"))
+    return score_blocks(df, score, positive, by).groupBy(*by).agg(_area().alias("auc"))
+
+
+def roc_auc_and_precision(df: DataFrame, score: str, positive: str, by: list[str] = ()) -> DataFrame:
+    """(by, auc, ap) from the same score blocks."""
+    return score_blocks(df, score, positive, by).groupBy(*by).agg(_area().alias("auc"), _precision().alias("ap"))
 
 
 def roc_curve(df: DataFrame, score: str, positive: str) -> DataFrame:
@@ -185,11 +252,7 @@ def roc_curve(df: DataFrame, score: str, positive: str) -> DataFrame:
 
 
 def avg_precision(df: DataFrame, score: str, positive: str, by: list[str] = ()) -> DataFrame:
-    """Mean precision at the recall steps; 0 without positives."""
-    b = score_blocks(df, score, positive, by)
-    seen = F.col("p_above") + F.col("p")
-    precision = seen / (seen + F.col("n_above") + F.col("n"))
-    return b.groupBy(*by).agg(F.coalesce(F.sum(F.col("p") * precision) / F.nullif(F.sum("p"), F.lit(0)), F.lit(0.0)).alias("ap"))
+    return score_blocks(df, score, positive, by).groupBy(*by).agg(_precision().alias("ap"))
 
 
 def class_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -217,7 +280,7 @@ def best_threshold(df: DataFrame, score: str, positive: str, points: int = 401)
     return best.select((F.col("b.g") * step).alias("threshold"), (F.col("b.right") / F.col("b.all")).alias("accuracy"))
 
 
-def fuse_and_threshold(train: DataFrame, val: DataFrame, a: str, b: str, positive: str, weights: int = 11, points: int = 101) -> DataFrame:
+def fuse_and_threshold(train: DataFrame, val: DataFrame, a: str, b: str, positive: str, weights: int = 101, points: int = 101) -> DataFrame:
     """(weight, threshold, accuracy) best on ``val`` of w z(a) + (1 - w) z(b), with z by train's mean and deviation, squeezed to [0, 1]."""
     m = train.agg(F.avg(a).alias("ma"), F.stddev_pop(a).alias("sa"), F.avg(b).alias("mb"), F.stddev_pop(b).alias("sb"))
     z = val.crossJoin(F.broadcast(m))

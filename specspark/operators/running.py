@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import Rounds
+
 
 def value_range(df: DataFrame, order: str, out: str) -> DataFrame:
     """Add ``out``: the place from 0 of the value range that ``order`` lies in; nulls lie in the first, NaN in the last.
@@ -19,12 +21,19 @@ def value_range(df: DataFrame, order: str, out: str) -> DataFrame:
     return df.withColumn(out, F.size(lower))
 
 
-def before(df: DataFrame, order: str, folds: dict[str, tuple[str, str]], by: list[str] = (), descending: bool = False) -> DataFrame:
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder: what made it runs once, however often it is read."""
+    return Rounds(df.sparkSession, "settled").keep(df)
+
+
+def before(df: DataFrame, order: str, folds: dict[str, tuple[str, str]], by: list[str] = (), descending: bool = False, written: bool = False) -> DataFrame:
     """Add for each out: (fold, column) of ``folds`` the fold of the column over the group's earlier rows.
 
     ``fold`` is sum (0 if there are none) or max (null if there are none). Rows are ordered inside value ranges; one row for
-    each group and range carries what the ranges before hold. Rows of equal ``order`` follow each other in any order.
+    each group and range carries what the ranges before hold. Rows of equal ``order`` follow each other in any order. ``df`` is read three times, so it
+    is written first unless it is ``written`` already.
     """
+    df = df if written else settled(df)
     fold = {"sum": F.sum, "max": F.max}
     dealt = value_range(df, order, "__range")
     way = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))

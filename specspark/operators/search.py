@@ -125,17 +125,6 @@ def fuse_scores(df: DataFrame, by: list[str], member: str, score: str, weights:
     return df.groupBy(*by).agg((F.sum(F.col(score) * w) / F.nullif(F.sum(w), F.lit(0.0))).alias(score))
 
 
-def choose_weights(df: DataFrame, query: str, candidate: str, member: str, score: str, truth: str, names: tuple[str, str], steps: int = 5) -> DataFrame:
-    """(w, top1, mrr): the weight w of the first of two members, in steps, of the largest top-1, then MRR, then smallest w."""
-    wide = df.groupBy(query, candidate).agg(*[F.max(F.when(F.col(member) == n, F.col(score))).alias(x) for n, x in zip(names, "ab")], F.max(truth).alias("t"))
-    grid = wide.withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumn("w", F.col("w") / F.lit(steps))
-    fused = grid.withColumn("s", F.round(F.col("w") * F.coalesce("a", F.lit(0.0)) + (1 - F.col("w")) * F.coalesce("b", F.lit(0.0)), 9))
-    w = Window.partitionBy("w", query).orderBy(F.desc("s"), candidate)
-    ranks = fused.withColumn("r", F.row_number().over(w)).filter("t").groupBy("w", query).agg(F.min("r").alias("r"))
-    scores = ranks.groupBy("w").agg(F.avg((F.col("r") == 1).cast("double")).alias("top1"), F.avg(1.0 / F.col("r")).alias("mrr"))
-    return scores.orderBy(F.desc("top1"), F.desc(F.round("mrr", 9)), "w").limit(1)
-
-
 def _directed(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
     """(name, u): unit vectors of the rows that have a key and a direction."""
     rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias(name), l2(F.col(vector)).alias("u"))

@@ -8,6 +8,7 @@ from ..fixtures import PEAKS_SQL, SPECTRA_SQL, peaks, spectra, table, vectors
 from ..functions.vectors import cosine
 from ..operators import metrics as mt
 from ..operators import search as se
+from ..operators import weights as wt
 from ..registry import query
 
 V = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
@@ -124,9 +125,24 @@ def fuse_scores(spark, sf):
 
 @query(f"""{W}{MEMBERS}, wide AS (SELECT query_id, candidate_id, bool_or(correct) AS t, max(s) FILTER (WHERE member = 'a') AS a, max(s) FILTER (WHERE member = 'b') AS b FROM m GROUP BY ALL),
 g AS (SELECT *, i / 5.0 AS w, round(i / 5.0 * coalesce(a, 0) + (1 - i / 5.0) * coalesce(b, 0), 9) AS s FROM wide, generate_series(0, 5) AS g(i)), r AS (SELECT *, row_number() OVER (PARTITION BY w, query_id ORDER BY s DESC, candidate_id) AS r FROM g),
-f AS (SELECT w, query_id, min(r) AS r FROM r WHERE t GROUP BY ALL) SELECT CAST(w AS DOUBLE) AS w, round(avg(CASE WHEN r = 1 THEN 1.0 ELSE 0 END), 6) AS top1, round(avg(1.0 / r), 6) AS mrr FROM f GROUP BY w ORDER BY top1 DESC, round(avg(1.0 / r), 9) DESC, w LIMIT 1""")
+f AS (SELECT w, query_id, min(r) AS r FROM r WHERE t GROUP BY ALL) SELECT CAST(w AS DOUBLE) AS w, round(avg(CASE WHEN r = 1 THEN 1.0 ELSE 0 END), 6) AS top1, round(avg(1.0 / r), 6) AS mrr FROM f GROUP BY w ORDER BY top1 DESC, round(avg(1.0 / r), 9) DESC, avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0 END) DESC, w LIMIT 1""")
 def choose_weights(spark, sf):
-    return rounded(se.choose_weights(members(spark, sf), "query_id", "candidate_id", "member", "score", "correct", ("a", "b")), "top1", "mrr")
+    best = wt.choose_weights(members(spark, sf), "query_id", "candidate_id", "member", "score", "correct", ["a", "b"])
+    return rounded(best.select(F.get("weights", F.lit(0)).alias("w"), "top1", "mrr"), "top1", "mrr")
+
+
+@query(f"""{W}{MEMBERS}, m3 AS (SELECT * FROM m UNION ALL SELECT query_id, candidate_id, correct, 'c', round(1 - abs(query_id - candidate_id) % 97 / 97.0, 6) FROM pairs),
+wide AS (SELECT query_id, candidate_id, bool_or(correct) AS t, coalesce(max(s) FILTER (WHERE member = 'a'), 0) AS a, coalesce(max(s) FILTER (WHERE member = 'b'), 0) AS b, coalesce(max(s) FILTER (WHERE member = 'c'), 0) AS c FROM m3 GROUP BY ALL),
+g AS (SELECT *, i / 8.0 AS x, j / 8.0 AS y, (8 - i - j) / 8.0 AS z, round(i / 8.0 * a + j / 8.0 * b + (8 - i - j) / 8.0 * c, 9) AS s FROM wide, generate_series(0, 8) AS p(i), generate_series(0, 8) AS q(j) WHERE i + j <= 8),
+r AS (SELECT *, row_number() OVER (PARTITION BY x, y, query_id ORDER BY s DESC, candidate_id) AS r FROM g), f AS (SELECT x, y, z, query_id, min(r) AS r FROM r WHERE t GROUP BY ALL)
+SELECT CAST(x AS DOUBLE) AS a, CAST(y AS DOUBLE) AS b, CAST(z AS DOUBLE) AS c, round(avg(CASE WHEN r = 1 THEN 1.0 ELSE 0 END), 6) AS top1, round(avg(1.0 / r), 6) AS mrr, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0 END), 6) AS top5 FROM f GROUP BY x, y, z ORDER BY top1 DESC, round(avg(1.0 / r), 9) DESC, top5 DESC, x, y LIMIT 1""")
+def choose_simplex_weights(spark, sf):
+    """Weights of three members in eighths."""
+    df = members(spark, sf)
+    third = scored(spark, sf).withColumn("member", F.lit("c")).withColumn("score", F.round(1 - F.abs(F.col("query_id") - F.col("candidate_id")) % 97 / 97.0, 6))
+    best = wt.choose_weights(df.unionByName(third), "query_id", "candidate_id", "member", "score", "correct", ["a", "b", "c"], 8)
+    each = [F.get("weights", F.lit(i)).alias(x) for i, x in enumerate("abc")]
+    return rounded(best.select(*each, "top1", "mrr", "top5"), "top1", "mrr", "top5")
 
 
 @query()
@@ -239,7 +255,8 @@ def fdr_frontier(spark, sf):
     return rounded(frontier(spark, sf), "fdr", "recall")
 
 
-@query(f"{FRONT} SELECT score, accepted, correct, eligible, round(fdr, 6) AS fdr, round(recall, 6) AS recall FROM fr WHERE fdr <= 0.9 ORDER BY fr.recall DESC, fr.fdr, score DESC LIMIT 1")
+@query(f"""{FRONT}, best AS (SELECT score, accepted, correct, eligible, round(fdr, 6) AS fdr, round(recall, 6) AS recall FROM fr WHERE fdr <= 0.9 ORDER BY fr.recall DESC, fr.fdr, score DESC LIMIT 1)
+SELECT * FROM best UNION ALL SELECT NULL, 0, 0, max(eligible), NULL, 0.0 FROM fr HAVING NOT EXISTS (SELECT 1 FROM best)""")
 def fdr_working_point(spark, sf):
     return rounded(mt.fdr_working_point(frontier(spark, sf), 0.9, "score"), "fdr", "recall")
 
@@ -264,9 +281,9 @@ def micro_average(spark, sf):
     return rounded(mt.micro_average(table(spark, sf, "lineitem"), "l_discount", "l_quantity", ["l_returnflag"]), "l_discount")
 
 
-BOOT = """u AS (SELECT r, {extra} a, b, CAST('0x' || substr(sha256('5:' || r || ':' || k), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM g, generate_series(0, 49) AS t(r)),
+BOOT = """u AS (SELECT r, {extra} a, b, CAST('0x' || substr(sha256('5:' || (r // 8) || ':' || k), 1 + 8 * (r % 8), 8) AS BIGINT) / 4294967296.0 AS u FROM g, generate_series(0, 49) AS t(r)),
 w AS (SELECT *, CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3 WHEN u < 0.9963401531726563 THEN 4 WHEN u < 0.9994058151824183 THEN 5 WHEN u < 0.999916758850712 THEN 6 ELSE 7 END AS w FROM u)"""
-ENDS = "round(quantile_cont(d, 0.025), 5) AS low, round(quantile_cont(d, 0.975), 5) AS high, round(avg(d), 5) AS mean, round(least(1.0, 2.0 * least((count(*) FILTER (WHERE d <= 0) + 1) / (count(d) + 1), (count(*) FILTER (WHERE d >= 0) + 1) / (count(d) + 1))), 6) AS p"
+ENDS = "round(quantile_cont(d, 0.025), 5) AS low, round(quantile_cont(d, 0.975), 5) AS high, round(avg(d), 5) AS mean, round(least(1.0, 2.0 * least((count(*) FILTER (WHERE d <= 0) + 1) / (count(d) + 1), (count(*) FILTER (WHERE d >= 0) + 1) / (count(d) + 1))), 6) AS p, (SELECT round(sum(a) / sum(b), 5) FROM g) AS estimate"
 GROUPS = "g AS (SELECT o_custkey AS k, sum(CASE WHEN o_totalprice > 150000 THEN 1 ELSE -1 END) AS a, count(*) AS b, max(o_custkey % 3) AS s FROM orders GROUP BY 1)"
 
 
@@ -276,7 +293,7 @@ def order_groups(spark, sf):
 
 
 def _ends(df):
-    return df.select(F.round("low", 5).alias("low"), F.round("high", 5).alias("high"), F.round("mean", 5).alias("mean"), F.round("p", 6).alias("p"))
+    return df.select(*[F.round(c, 6 if c == "p" else 5).alias(c) for c in ("low", "high", "mean", "p", "estimate")])
 
 
 @query(f"WITH {GROUPS}, {BOOT.format(extra='')}, d AS (SELECT sum(a * w) / nullif(sum(b * w), 0) AS d FROM w GROUP BY r) SELECT {ENDS} FROM d")
@@ -304,7 +321,7 @@ def coarse(spark, sf):
 @query(f"{AUC} SELECT g, round(sum(n * (pa + p / 2.0)) / (sum(p) * sum(n)), 6) AS auc, round(sum(p * (pa + p) / (pa + p + na + n)) / sum(p), 6) AS ap FROM a GROUP BY 1")
 def roc_auc_and_precision(spark, sf):
     df = coarse(spark, sf)
-    return rounded(mt.roc_auc(df, "s", "correct", ["g"]).join(mt.avg_precision(df, "s", "correct", ["g"]), "g"), "auc", "ap")
+    return rounded(mt.roc_auc_and_precision(df, "s", "correct", ["g"]), "auc", "ap")
 
 
 @query(f"{W}, b AS (SELECT round(score, 2) AS s, count(*) FILTER (WHERE correct) AS p, count(*) FILTER (WHERE NOT correct) AS n FROM pairs GROUP BY 1) SELECT s, round(sum(n) OVER w / sum(n) OVER (), 6) AS fpr, round(sum(p) OVER w / sum(p) OVER (), 6) AS tpr FROM b WINDOW w AS (ORDER BY s DESC)")
