@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,10 @@ PART, MOST_WEIGHTS, PRODUCT = 4096, 20_000, 4_000_000
 
 def simplex(members: int, steps: int) -> np.ndarray:
     """All weights in multiples of 1 / ``steps`` that add up to 1, a row each, in rising order."""
-    bars = np.array(list(combinations(range(steps + members - 1), members - 1)), dtype=np.int64).reshape(-1, members - 1)
-    if len(bars) > MOST_WEIGHTS:
-        raise ValueError(f"{len(bars)} weights; at most {MOST_WEIGHTS}")
+    many = comb(steps + members - 1, members - 1)
+    if many > MOST_WEIGHTS:
+        raise ValueError(f"{many} weights; at most {MOST_WEIGHTS}")
+    bars = np.array(list(combinations(range(steps + members - 1), members - 1)), dtype=np.int64).reshape(many, members - 1)
     edges = np.concatenate([np.full((len(bars), 1), -1), bars, np.full((len(bars), 1), steps + members - 1)], axis=1)
     return (np.diff(edges, axis=1) - 1) / steps
 

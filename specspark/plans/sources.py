@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..fixtures import PEAKS_SQL, SPECTRA_SQL, metadata, scratch_dir, spectra, table, vectors
+from ..fixtures import PEAKS_SQL, SPECTRA_SQL, metadata, peaks, scratch_dir, spectra, table, vectors
 from ..functions import udf
 from ..functions.peaks import signature
 from ..ml import baselines as bl
+from ..operators import audit as au
 from ..operators import search as se
 from ..registry import query
+from ..sources import mgf
 from ..sources import tables as tb
 from ..streaming import jobs
 from .audit import COUNTERS, LISTS, SHARD, shard_rows
@@ -173,3 +176,99 @@ def stream_dedup(spark, sf):
     jobs.append_stream(fresh, f"{out}/table", f"{out}/checkpoint").awaitTermination()
     rows = spark.read.schema("mz array<double>, intensity array<double>, signature string").parquet(f"{out}/table")
     return rows.select(F.get("mz", F.lit(0)).alias("mz"), F.get("intensity", F.lit(0)).alias("intensity"))
+
+
+# Files written and read back -----------------------------------------------------------------------------------
+
+
+@query(f"WITH {PEAKS_SQL}, {SPECTRA_SQL} SELECT spectrum_id, count(*) AS n, round(sum(mz), 5) AS mz, round(sum(intensity), 5) AS intensity, round(max(precursor_mz), 6) AS precursor_mz, max(adduct) AS adduct FROM peaks JOIN spectra USING (spectrum_id) GROUP BY 1")
+def mgf_round_trip(spark, sf):
+    out = scratch_dir(spark, "mgf")
+    rows = spectra(spark, sf).select(F.col("spectrum_id").cast("string").alias("id"), "mz", "intensity", "precursor_mz", F.create_map(F.lit("adduct"), "adduct").alias("meta"))
+    mgf.register(spark)
+    rows.write.format("mgf").mode("append").save(out)
+    back = spark.read.format("mgf").load(out)
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x), 5).alias(c)
+    return back.select(F.col("id").cast("bigint").alias("spectrum_id"), F.size("mz").cast("bigint").alias("n"), total("mz"), total("intensity"), F.round("precursor_mz", 6).alias("precursor_mz"), F.col("meta")["ADDUCT"].alias("adduct"))
+
+
+@query(f"WITH {PEAKS_SQL}, {SPECTRA_SQL} SELECT molecule_id, count(*) AS n, round(sum(mz), 5) AS mz, round(sum(intensity), 5) AS intensity FROM peaks JOIN spectra USING (spectrum_id) GROUP BY 1")
+def ms_round_trip(spark, sf):
+    """A .ms file for each molecule, with the peaks of all its spectra."""
+    out = scratch_dir(spark, "ms")
+    rows = peaks(spark, sf).join(metadata(spark, sf).select("spectrum_id", "molecule_id"), "spectrum_id")
+    rows = rows.groupBy("molecule_id").agg(F.collect_list(F.struct("mz", "intensity")).alias("p")).select("molecule_id", F.col("p.mz").alias("mz"), F.col("p.intensity").alias("intensity"))
+    tb.write_ms(rows.withColumn("meta", F.create_map(F.lit("parentmass"), F.lit("1"), F.lit("compound"), F.col("molecule_id").cast("string"))), out, "molecule_id")
+    back = tb.read_ms_blocks(spark, out)
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x), 5).alias(c)
+    return back.select(F.col("meta")["compound"].cast("bigint").alias("molecule_id"), F.size("mz").cast("bigint").alias("n"), total("mz"), total("intensity"))
+
+
+@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS index, c_custkey, c_name, c_mktsegment FROM customer")
+def numbered_table(spark, sf):
+    """Tab-separated files in the order of their keys, as one table with a running number."""
+    out, columns = scratch_dir(spark, "table"), ["c_custkey", "c_name", "c_mktsegment"]
+    table(spark, sf, "customer").select(*columns).repartitionByRange(5, "c_custkey").sortWithinPartitions("c_custkey").write.csv(f"{out}/tsv", sep="\t", header=True)
+    tb.convert_table(spark, f"{out}/tsv", f"{out}/csv", columns)
+    return spark.read.csv(f"{out}/csv", header=True, schema="index bigint, c_custkey bigint, c_name string, c_mktsegment string")
+
+
+@query(f"""WITH {PEAKS_SQL}, {SPECTRA_SQL}, p AS (SELECT spectrum_id, count(*) AS n FROM peaks GROUP BY 1)
+SELECT shard, count(*) AS rows, CAST(sum(n) AS BIGINT) AS peaks, count(rt) AS timed, count(collision_energy) AS energies, round(sum(rt), 3) AS rt FROM
+ (SELECT s.shard, n, CASE WHEN spectrum_id % 9 = 0 THEN NULL ELSE rt END AS rt, CASE WHEN shard < 8 THEN collision_energy END AS collision_energy FROM spectra s JOIN p USING (spectrum_id)) GROUP BY 1""")
+def shard_round_trip(spark, sf):
+    """Shards of two folders under other column names, one without collision energies; a missing folder is left out."""
+    out, df = scratch_dir(spark, "shards"), spectra(spark, sf)
+    rt = F.when(F.col("spectrum_id") % 9 == 0, float("nan")).otherwise(F.col("rt"))
+    rows = df.select("shard", F.col("mz").alias("spectrum_mz"), F.col("intensity").alias("spectrum_intensity"), "precursor_mz", "polarity", rt.alias("RT"), "collision_energy")
+    rows.filter("shard < 8").write.parquet(f"{out}/base")
+    rows.filter("shard >= 8").drop("collision_energy").withColumnsRenamed({"spectrum_mz": "mz", "spectrum_intensity": "intensity"}).write.parquet(f"{out}/more")
+    back = tb.read_shards(spark, f"{out}/base", f"{out}/more", f"{out}/none")
+    return back.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("mz")).alias("peaks"), F.count("rt").alias("timed"), F.count("collision_energy").alias("energies"), F.round(F.sum("rt"), 3).alias("rt"))
+
+
+@query(f"WITH {SPECTRA_SQL} SELECT spectrum_id AS sample_idx, fold, adduct, round(precursor_mz, 6) AS precursor_mz, CAST(shard + 1 AS INT) AS rank, adduct || ',' || fold AS top FROM spectra")
+def ranking_round_trip(spark, sf):
+    out = scratch_dir(spark, "rankings")
+    rows = metadata(spark, sf).select(
+        F.col("spectrum_id").alias("sample_idx"), "fold", F.lit(None).cast("string").alias("smiles"), "adduct", "precursor_mz", "collision_energy", (F.col("shard") + 1).cast("int").alias("rank"),
+        F.lit(2).alias("n_candidates"), F.lit(None).cast("double").alias("gt_score"), F.array("adduct", "fold").alias("top_candidates"), F.array(F.lit(0.5), F.lit(0.25)).alias("top_scores"))
+    tb.write_rankings(rows, out)
+    back = tb.read_rankings(spark, out)
+    return back.select("sample_idx", "fold", "adduct", F.round("precursor_mz", 6).alias("precursor_mz"), "rank", F.array_join("top_candidates", ",").alias("top"))
+
+
+@query("SELECT vec_id, len(embedding) AS n, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS total FROM embeddings")
+def embedding_export(spark, sf):
+    out = scratch_dir(spark, "embeddings")
+    tb.write_embeddings(vectors(spark, sf), out, "vec_id", "vector")
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)
+    return spark.read.parquet(out).select("vec_id", F.size("vector").cast("bigint").alias("n"), F.round(total, 5).alias("total"))
+
+
+@query(f"WITH {SPECTRA_SQL} SELECT CAST(spectrum_id AS VARCHAR) AS spec, fold FROM spectra")
+def split_table(spark, sf):
+    """The split table, through a gzip CSV of its own: the fold is the first column that isn't the spectrum."""
+    out, df = scratch_dir(spark, "split"), metadata(spark, sf)
+    tb.write_csv_gz(df.select(F.col("fold").alias("split"), F.col("spectrum_id").alias("spec"), "adduct"), f"{out}/gz")
+    spark.read.csv(f"{out}/gz", header=True).write.csv(f"{out}/tsv", sep="\t", header=True)
+    return tb.read_split_tsv(spark, f"{out}/tsv")
+
+
+@query(f"WITH {SPECTRA_SQL}, n AS (SELECT count(*) AS n FROM spectra) SELECT CAST(i AS BIGINT) AS file, CAST(n // 7 + CASE WHEN i < n % 7 THEN 1 ELSE 0 END AS BIGINT) AS rows, CAST(i * (n // 7) + least(i, n % 7) AS BIGINT) AS start, true AS listed FROM n, generate_series(0, 6) AS t(i)")
+def shard_inventory(spark, sf):
+    """Equal shards as files, their inventory with running rows, and each file's digest found in a list of digests."""
+    out = scratch_dir(spark, "inventory")
+    tb.write_equal_shards(metadata(spark, sf).select("spectrum_id", "fold"), f"{out}/shards", "spectrum_id", shards=7)
+    whole = spark.read.parquet(f"{out}/shards")
+    for i in range(7):
+        whole.filter(F.col("shard") == i).select("spectrum_id").coalesce(1).write.parquet(f"{out}/files/{i}")
+    parts = None
+    for i in range(7):
+        one = au.file_inventory(spark, f"{out}/files/{i}", "*.parquet").withColumn("file", F.lit(i).cast("bigint"))
+        parts = one if parts is None else parts.unionByName(one)
+    parts.select(F.concat_ws("  ", "sha256", "name").alias("value")).coalesce(1).write.text(f"{out}/list")
+    listed = au.read_sha_list(spark, f"{out}/list").select("sha256", F.lit(True).alias("listed")).distinct()
+    found = parts.join(listed, "sha256", "left")
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    return found.select("file", "rows", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"), F.coalesce("listed", F.lit(False)).alias("listed"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.running import before, value_range
+from .textfiles import write_text_files
 
 RANKING = (
     "sample_idx bigint, fold string, smiles string, adduct string, precursor_mz double, collision_energy double, rank int, n_candidates int, "
@@ -151,8 +152,20 @@ def convert_table(spark: SparkSession, source: str, target: str, columns: list[s
     if header != columns:
         raise ValueError(f"columns are {header}, not {columns}")
     df = spark.read.csv(source, sep="\t", header=True, schema=", ".join(f"`{c}` string" for c in columns), mode="FAILFAST", enforceSchema=True)
-    numbered = df.rdd.zipWithIndex().map(lambda x: (x[1], *x[0])).toDF(["index", *columns])
-    numbered.write.csv(target, header=True)
+    row_numbers(df, "index").select("index", *columns).write.csv(target, header=True)
+
+
+def row_numbers(df: DataFrame, out: str) -> DataFrame:
+    """``df``, read from files, with the place of each row from 0: files by name, rows as they lie in them.
+
+    A row's place in its piece of a file comes from its running number in the task, and pieces are counted first: as many rows as Spark
+    makes tasks. No row is moved or sorted.
+    """
+    placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__m"))
+    pieces = placed.groupBy("__file", "__at").agg(F.count(F.lit(1)).alias("n"), F.min("__m").alias("__least"))
+    before = Window.orderBy("__file", "__at").rowsBetween(Window.unboundedPreceding, -1)  # a row a piece
+    starts = pieces.select("__file", "__at", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("__least")).alias("__start"))
+    return placed.join(starts, ["__file", "__at"]).withColumn(out, F.col("__start") + F.col("__m")).drop("__file", "__at", "__m", "__start")
 
 
 def write_embeddings(df: DataFrame, path: str, key: str = "id", vector: str = "embedding") -> None:
@@ -244,8 +257,10 @@ def read_ms_blocks(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(parse, MS_SCHEMA)
 
 
-def write_ms(df: DataFrame, path: str) -> None:
-    """One .ms text a row: metadata, then its peaks as an ms2 block."""
+def write_ms(df: DataFrame, path: str, name: str | None = None) -> None:
+    """A .ms file for each row below ``path``: metadata, then its peaks as an ms2 block. Files are named by the column ``name``, which must
+    differ, or by number."""
     meta = F.array_join(F.transform(F.map_entries("meta"), lambda e: F.concat(F.lit(">"), e["key"], F.lit(" "), e["value"])), "\n")
     peaks = F.array_join(F.transform(F.arrays_zip("mz", "intensity"), lambda p: F.concat_ws(" ", p["mz"], p["intensity"])), "\n")
-    df.select(F.concat(meta, F.lit("\n\n>ms2\n"), peaks, F.lit("\n")).alias("value")).write.text(path)
+    named = F.col(name).cast("string") if name else F.lpad(F.monotonically_increasing_id().cast("string"), 19, "0")
+    write_text_files(df.select(F.concat(named, F.lit(".ms")).alias("name"), F.concat(meta, F.lit("\n\n>ms2\n"), peaks, F.lit("\n")).alias("text")), path)

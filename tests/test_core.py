@@ -93,6 +93,15 @@ def test_ms_blocks(spark, tmp_path):
     rows = tables.read_ms_blocks(spark, str(tmp_path)).orderBy("block").collect()
     assert [r["mz"] for r in rows] == [[10.0, 20.0], [11.0]] and rows[0]["meta"]["note'"] == "y"
     tables.write_ms(tables.read_ms_blocks(spark, str(tmp_path)), str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").glob("*.ms"))) == 2  # a file a text
+    back = tables.read_ms_blocks(spark, str(tmp_path / "out")).orderBy("file").collect()
+    assert [r["mz"] for r in back] == [[10.0, 20.0], [11.0]]
+    named = tables.read_ms_blocks(spark, str(tmp_path / "out")).withColumn("n", F.element_at(F.split("file", "/"), -1))
+    tables.write_ms(named, str(tmp_path / "named"), "n")
+    with pytest.raises(ValueError, match="names 2 texts"):
+        tables.write_ms(named.withColumn("n", F.lit("same")), str(tmp_path / "bad"), "n")
+    with pytest.raises(Exception, match="no file name"):
+        tables.write_ms(named.withColumn("n", F.concat(F.lit("../"), "n")), str(tmp_path / "bad"), "n")
     with pytest.raises(ValueError):
         tables.ms_blocks(">ms2\n1 1\n")
 
@@ -576,3 +585,72 @@ def test_mgf_stream_log(tmp_path):
     assert names(second, third) == ["late.mgf"] and set(map(os.path.basename, third["files"])) == {"late.mgf"}
     (tmp_path / "late.mgf").unlink()
     assert names(third, mgf.MgfStreamReader({"path": str(tmp_path)}).latestOffset()) == []  # older files don't come back
+
+
+def test_row_numbers_follow_files_and_lines(spark, tmp_path):
+    """Numbers run over files by name and lines in them, whatever sizes they have and however Spark splits them."""
+    for name, first, n in (("b.csv", 0, 3), ("c.csv", 3, 4000), ("a.csv", 4003, 500), ("d.csv", 4503, 0)):
+        (tmp_path / name).write_text("k,t\n" + "".join(f"{first + i},{'x' * (i % 50)}\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = spark.read.csv(str(tmp_path), header=True, schema="k int, t string")
+        assert rows.rdd.getNumPartitions() > 8
+        got = {r["k"]: r["i"] for r in tables.row_numbers(rows, "i").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    order = [*range(4003, 4503), *range(0, 3), *range(3, 4003)]
+    assert got == {k: i for i, k in enumerate(order)}
+
+
+@pytest.mark.parametrize("part", [4096, 7])
+@pytest.mark.parametrize("members, steps", [(1, 4), (2, 5), (3, 4), (4, 3)])
+def test_simplex_weights(spark, monkeypatch, members, steps, part):
+    from specspark.operators import weights as wt
+
+    monkeypatch.setattr(wt, "PART", part)
+    grid = wt.simplex(members, steps)
+    assert len({tuple(w) for w in grid.tolist()}) == len(grid) and np.allclose(grid.sum(axis=1), 1) and (grid >= 0).all()
+    r = np.random.default_rng(members)
+    rows = [(q, c, f"m{m}", float(r.integers(0, 6)) / 4, bool(q < 9 and c % 5 == q % 5)) for q in range(10) for c in range(30) for m in range(members) if r.random() < 0.8]
+    df = spark.createDataFrame([(q, c, m, s, t) for q, c, m, s, t in rows], "q int, c int, m string, s double, t boolean")
+    names = [f"m{m}" for m in range(members)]
+    table = collections.defaultdict(lambda: [0.0] * members)
+    for q, c, m, s, _ in rows:
+        table[q, c][names.index(m)] = max(table[q, c][names.index(m)], s)
+    want = []
+    for i, w in enumerate(grid):
+        ranks = []
+        for q in range(9):
+            order = sorted((-round(float(np.dot(w, v)), 9), c) for (p, c), v in table.items() if p == q)
+            hits = [n for n, (_, c) in enumerate(order, 1) if c % 5 == q % 5]
+            ranks += hits[:1]
+        want.append((-np.mean([x == 1 for x in ranks]), -round(np.mean([1 / x for x in ranks]), 9), -np.mean([x <= 5 for x in ranks]), i))
+    best = min(want)
+    got = wt.choose_weights(df, "q", "c", "m", "s", "t", names, steps).first()
+    assert got["weights"] == pytest.approx(grid[best[3]].tolist())
+    assert (got["top1"], got["mrr"], got["top5"]) == pytest.approx((-best[0], -best[1], -best[2]))
+    assert wt.choose_weights(df.filter("not t"), "q", "c", "m", "s", "t", names, steps).count() == 0
+
+
+def test_bootstrap_draws_and_estimate(spark, monkeypatch):
+    from specspark.operators import metrics
+
+    rows = [(f"k{i}", float(i % 7 - 2), 1.0 + i % 3, "s" if i % 4 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, a double, b double, s string").repartition(3)
+    times = metrics.multiplicities([r[0] for r in rows], 30, 9)
+    assert times.shape == (200, 30) and abs(times.mean() - 1) < 0.05 and abs(times.var() - 1) < 0.1
+    a, b = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    plain = (a @ times) / (b @ times)
+    of = np.array([r[3] is None for r in rows])
+    top = sum((a[m] @ times[m]) * m.sum() / times[m].sum(axis=0) for m in (of, ~of))
+    low = sum((b[m] @ times[m]) * m.sum() / times[m].sum(axis=0) for m in (of, ~of))
+    for stratum, d in ((None, plain), ("s", top / low)):
+        got = mt.bootstrap_delta(df, "k", "a", "b", 30, 9, stratum=stratum).first()
+        assert (got["low"], got["high"], got["mean"]) == pytest.approx((np.percentile(d, 2.5), np.percentile(d, 97.5), d.mean()))
+        assert got["estimate"] == pytest.approx(a.sum() / b.sum())
+
+
+def test_working_point_without_a_row(spark):
+    df = spark.createDataFrame([(0.9, 20, 2, 10, 0.9, 0.2), (0.5, 40, 30, 10, 0.25, 0.8)], "score double, accepted bigint, correct bigint, eligible bigint, fdr double, recall double")
+    assert tuple(mt.fdr_working_point(df, 0.5, "score").first()) == (0.5, 40, 30, 10, 0.25, 0.8)
+    assert tuple(mt.fdr_working_point(df, 0.1, "score").first()) == (None, 0, 0, 10, None, 0.0)
