@@ -654,3 +654,38 @@ def test_working_point_without_a_row(spark):
     df = spark.createDataFrame([(0.9, 20, 2, 10, 0.9, 0.2), (0.5, 40, 30, 10, 0.25, 0.8)], "score double, accepted bigint, correct bigint, eligible bigint, fdr double, recall double")
     assert tuple(mt.fdr_working_point(df, 0.5, "score").first()) == (0.5, 40, 30, 10, 0.25, 0.8)
     assert tuple(mt.fdr_working_point(df, 0.1, "score").first()) == (None, 0, 0, 10, None, 0.0)
+
+
+def test_sql_functions_equal_the_projections(spark):
+    from specspark.functions import chemistry as ch
+    from specspark.functions import vectors as ve
+
+    udf.register_functions(spark)
+    nan, inf = float("nan"), float("inf")
+    df = spectra_of(spark, [(1, [3.0, 1.0, 2.0, 9.5, 0.0], [5.0, 50.0, 50.0, 1.0, 2.0], 8.0), (2, [1.0, 2.0], [0.0, 3.0], 2.0), (3, [1.0, nan, 2.0, 3.0, inf], [1.0, 2.0, -1.0, 4.0, 1.0], 3.0), (4, [], [], 1.0), (5, [1.0, 2.0, 3.0, 4.0], [0.0] * 4, 50.0)])
+    df.createOrReplaceTempView("s")
+    got = lambda sql: {r[0]: repr(r[1]) for r in spark.sql(f"SELECT spectrum_id, {sql} FROM s WHERE {sql} IS NOT NULL").collect()}
+    pairs = lambda d: {r[0]: repr(r[1]) for r in d.select("spectrum_id", F.zip_with("mz", "intensity", lambda m, i: F.struct(m.alias("mz"), i.alias("intensity")))).collect()}
+    assert got("prepare_peaks(mz, intensity, 2)") == pairs(pk.prepare_peaks(df.filter("spectrum_id <> 3"), 2)) | {3: got("prepare_peaks(mz, intensity, 2)")[3]}
+    assert got("top_peaks(mz, intensity, 2)") == pairs(pk.top_peaks(df, 2))
+    assert got("normalize_spectrum(mz, intensity)") == pairs(pk.normalize_spectrum(df))
+    assert got("strongest_peaks(mz, intensity, 3, 1.5D)") == pairs(pk.strongest(df, 3, 1.5))
+    assert got("parent_filter(mz, intensity, precursor_mz)") == pairs(pk.parent_filter(df))
+    padded = pk.pad_peaks(df, 3)
+    assert got("pad_list(intensity, 3)") == {r[0]: repr(r[1]) for r in padded.select("spectrum_id", "intensity").collect()}
+    assert got("peak_mask(mz, 3)") == {r[0]: repr(r[1]) for r in padded.select("spectrum_id", "mask").collect()}
+    fine = "spectrum_id <> 3"
+    assert {k: v for k, v in got("CASE WHEN spectrum_id <> 3 THEN spectrum_signature(mz, intensity) END").items()} == {r[0]: repr(r[1]) for r in df.filter(fine).select("spectrum_id", pk.signature(F.col("mz"), F.col("intensity"))).collect()}
+    assert got("CASE WHEN spectrum_id <> 3 THEN peak_key(mz) END") == {r[0]: repr(r[1]) for r in df.filter(fine).select("spectrum_id", pk.peak_key(F.col("mz"))).collect()}
+    assert got("unit_vector(intensity)") == {r[0]: repr(r[1]) for r in df.select("spectrum_id", ve.l2(F.col("intensity"))).collect()}
+    assert got("fuse_vectors(intensity, intensity)") == {r[0]: repr(r[1]) for r in df.select("spectrum_id", ve.fuse_vectors(F.col("intensity"), F.col("intensity"))).collect()}
+    formulas = spark.createDataFrame([("C6H12O6",), ("CH4",), ("C2H5Cl",), ("CHSO4N2C",), ("CO2",), ("Xx2",), ("",), (None,)], "f string")
+    formulas.createOrReplaceTempView("f")
+    counts = ch.formula_counts(F.col("f"))
+    want = formulas.select("f", counts.alias("c"), ch.formula_mass(counts).alias("m"), ch.family_label(counts).alias("l"), ch.has_valid_elements(counts, ["C", "H", "O"]).alias("v"), ch.element(counts, "O").alias("o")).collect()
+    sql = spark.sql("SELECT f, formula_counts(f) AS c, formula_mass(formula_counts(f)) AS m, family_label(formula_counts(f)) AS l, has_valid_elements(formula_counts(f), array('C', 'H', 'O')) AS v, element_count(formula_counts(f), 'O') AS o FROM f").collect()
+    for a, b in zip(want, sql):
+        assert (a["c"], a["l"], a["v"], a["o"]) == (b["c"], b["l"], b["v"], b["o"]) and (a["m"] is None) == (b["m"] is None) and a["m"] == (b["m"] if a["m"] is None else pytest.approx(b["m"]))
+    row = spark.sql("SELECT adduct_of(1), adduct_of(2), neutral_mass(100D, '[M+H]+'), neutral_mass(1D, 'x'), bin_floor(29.9D, 10D), bin_even(25D, 10D), has_neutral_loss(array(81.99D), 100D, 18.01D, 0.02D)").first()
+    assert tuple(row) == ("[M+H]+", None, pytest.approx(100 - ch.ADDUCT_SHIFTS["[M+H]+"]), None, 2, 2, True)
+    assert len(udf.SQL_FUNCTIONS) >= 33
