@@ -14,8 +14,9 @@ from pyspark.sql.functions import udtf
 from . import chemistry
 
 
-def encode_with(df: DataFrame, fn: Callable[[pd.DataFrame], np.ndarray], key: str, dim: int, batch_size: int = 1024) -> DataFrame:
-    """(key, embedding): ``fn`` maps a batch of rows to a matrix of ``dim`` columns; rows keep their key, so order doesn't matter."""
+def encode_with(df: DataFrame, fn: Callable[[pd.DataFrame], np.ndarray], key: str, dim: int | None = None, batch_size: int = 1024) -> DataFrame:
+    """(key, embedding): ``fn`` maps a batch of rows to a matrix, of ``dim`` columns if that is given; rows keep their key, so order
+    doesn't matter."""
     kind = dict(df.dtypes)[key]
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -23,8 +24,8 @@ def encode_with(df: DataFrame, fn: Callable[[pd.DataFrame], np.ndarray], key: st
             for at in range(0, len(batch), batch_size):
                 part = batch.iloc[at : at + batch_size]
                 out = np.asarray(fn(part), dtype=np.float32)
-                if out.shape != (len(part), dim):
-                    raise ValueError(f"the encoder gave {out.shape}, not {(len(part), dim)}")
+                if out.ndim != 2 or len(out) != len(part) or dim not in (None, out.shape[1]):
+                    raise ValueError(f"the encoder gave {out.shape} for {len(part)} rows, not {dim or 'any'} columns each")
                 yield pd.DataFrame({key: part[key].to_numpy(), "embedding": list(out)})
 
     return df.mapInPandas(encode, f"{key} {kind}, embedding array<float>")

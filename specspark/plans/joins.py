@@ -153,11 +153,7 @@ def audit_groups(spark, sf):
 @query(f"{S}, c AS (SELECT formula_id, adduct, count(*) AS n FROM spectra GROUP BY ALL), g AS (SELECT formula_id, sum(n) AS size, max(n) / sum(n) AS purity FROM c GROUP BY 1), t AS (SELECT i / 100.0 AS threshold, sum(size) FILTER (WHERE purity >= i / 100.0) / (SELECT count(*) FROM spectra) AS coverage, sum(size * purity) FILTER (WHERE purity >= i / 100.0) / sum(size) FILTER (WHERE purity >= i / 100.0) AS purity FROM g, (VALUES (18), (20), (21), (22)) AS v(i) GROUP BY 1) SELECT CAST(threshold AS DOUBLE) AS threshold, round(coverage, 6) AS coverage, round(purity, 6) AS purity FROM t ORDER BY (coalesce(purity, 0) >= 0.215) DESC, CASE WHEN purity >= 0.215 THEN coverage ELSE purity END DESC, threshold LIMIT 1")
 def choose_threshold(spark, sf):
     df = metadata(spark, sf)
-    groups, total = gr.audit_groups(df, "formula_id", "adduct"), df.count()
-    parts = None
-    for t in (0.18, 0.20, 0.21, 0.22):
-        one = gr.coverage(groups.filter(F.col("purity") >= t), total).select(F.lit(t).alias("threshold"), "coverage", "purity")
-        parts = one if parts is None else parts.unionByName(one)
+    parts = gr.threshold_table(gr.audit_groups(df, "formula_id", "adduct"), [0.18, 0.20, 0.21, 0.22], df).select("threshold", "coverage", "purity")
     return gr.choose_threshold(parts, 0.215).withColumn("coverage", F.round("coverage", 6)).withColumn("purity", F.round("purity", 6))
 
 

@@ -72,7 +72,7 @@ def encode_with(spark, sf):
     import numpy as np
 
     v = vectors(spark, sf)
-    out = udf.encode_with(v, lambda batch: 2 * np.array(batch["vector"].tolist()), "vec_id", len(v.select("vector").first()["vector"]))
+    out = udf.encode_with(v, lambda batch: 2 * np.array(batch["vector"].tolist()), "vec_id")
     return out.select("vec_id", F.size("embedding").cast("bigint").alias("n"), F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("first"))
 
 

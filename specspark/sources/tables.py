@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,23 +52,40 @@ def format_peak_tuples(mz: Column, intensity: Column, digits: int = 4) -> Column
     return F.concat(F.lit("["), F.array_join(one, ", "), F.lit("]"))
 
 
-@F.pandas_udf(T.BinaryType())
-def pack_spectrum(mz: pd.Series, intensity: pd.Series) -> pd.Series:
-    """A float32 buffer of 150 (m/z, intensity) pairs, zero-padded."""
-
-    def one(m, i):
-        out = np.zeros((150, 2), dtype="<f4")
-        n = min(150, len(m), len(i))
-        out[:n, 0], out[:n, 1] = m[:n], i[:n]
-        return out.tobytes()
-
-    return pd.Series([one(m, i) for m, i in zip(mz, intensity)])
-
-
-@F.pandas_udf(T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("mz", "intensity")]))
-def unpack_spectrum(packed: pd.Series, length: pd.Series) -> pd.DataFrame:
-    rows = [np.frombuffer(b, dtype="<f4").reshape(-1, 2)[:n].astype(float) for b, n in zip(packed, length)]
-    return pd.DataFrame({"mz": [r[:, 0].tolist() for r in rows], "intensity": [r[:, 1].tolist() for r in rows]})
+#: Pairs of a packed buffer.
+PACKED = 150
+
+
+def _places(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in the row, value) of all entries of a list column, and each row's length; null rows are empty."""
+    sizes = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    row = np.repeat(np.arange(len(column)), sizes)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return row, place, column.flatten().to_numpy(zero_copy_only=False), sizes
+
+
+@F.arrow_udf(T.BinaryType())
+def pack_spectrum(mz: pa.Array, intensity: pa.Array) -> pa.Array:
+    """A float32 buffer of 150 (m/z, intensity) pairs, zero-padded; what one list has more than the other is cut. Null for a null list."""
+    out = np.zeros((len(mz), PACKED, 2), dtype="<f4")
+    parts = [_places(mz), _places(intensity)]
+    least = np.minimum(PACKED, np.minimum(parts[0][3], parts[1][3]))
+    for i, (row, place, value, _) in enumerate(parts):
+        fine = place < least[row]
+        out[row[fine], place[fine], i] = value[fine]
+    buffers = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * PACKED), len(mz), [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())
+    return pc.if_else(pc.and_(mz.is_valid(), intensity.is_valid()), buffers, pa.scalar(None, pa.binary()))
+
+
+@F.arrow_udf(T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("mz", "intensity")]))
+def unpack_spectrum(packed: pa.Array, length: pa.Array) -> pa.Array:
+    """The first ``length`` pairs of each buffer; null for a null buffer or length."""
+    found = [np.frombuffer(b, dtype="<f4").reshape(-1, 2)[:n].astype(np.float64) if b is not None and n is not None else None for b, n in zip(packed.to_pylist(), length.to_pylist())]
+    known = [f for f in found if f is not None]
+    pairs = np.concatenate(known) if known else np.zeros((0, 2))
+    ends = pa.array(np.concatenate([[0], np.cumsum([0 if f is None else len(f) for f in found])]).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(pairs[:, i]))) for i in (0, 1)]
+    return pa.StructArray.from_arrays(lists, names=["mz", "intensity"], mask=pa.array([f is None for f in found]))
 
 
 #: What a shard's columns may be called, and what a missing one is.
