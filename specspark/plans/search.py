@@ -341,10 +341,16 @@ def best_threshold(spark, sf):
     return rounded(mt.best_threshold(scored(spark, sf), "score", "correct"), "threshold", "accuracy")
 
 
-@query()
+@query(f"""{W}, o AS (SELECT *, ((query_id * 31 + candidate_id * 17) % 100) / 100.0 AS other, query_id // 100 % 2 AS half FROM pairs),
+m AS (SELECT avg(score) AS ma, stddev_pop(score) AS sa, avg(other) AS mb, stddev_pop(other) AS sb FROM o WHERE half = 0),
+z AS (SELECT correct, (score - ma) / CASE WHEN sa > 0 THEN sa ELSE 1 END AS za, (other - mb) / CASE WHEN sb > 0 THEN sb ELSE 1 END AS zb FROM o, m WHERE half = 1),
+c AS (SELECT w, CAST(floor(greatest(0, least(1, round((w / 100.0 * za + (1 - w / 100.0) * zb + 3) / 6, 9))) / 0.01 + 1e-9) AS INT) AS i, count(*) FILTER (WHERE correct) AS p, count(*) FILTER (WHERE NOT correct) AS n FROM z, generate_series(0, 100) AS t(w) GROUP BY ALL),
+s AS (SELECT w, g, sum(CASE WHEN i >= g THEN p ELSE n END) AS k, sum(p + n) AS n FROM c, generate_series(0, 100) AS t(g) GROUP BY ALL)
+SELECT round(w / 100.0, 6) AS weight, round(g / 100.0, 6) AS threshold, round(k / n, 6) AS accuracy FROM s ORDER BY k DESC, w, g LIMIT 1""")
 def fuse_and_threshold(spark, sf):
     df = scored(spark, sf).withColumn("other", ((F.col("query_id") * 31 + F.col("candidate_id") * 17) % 100) / 100.0)
-    return mt.fuse_and_threshold(df.filter("query_id div 100 % 2 = 0"), df.filter("query_id div 100 % 2 = 1"), "score", "other", "correct")
+    best = mt.fuse_and_threshold(df.filter("query_id div 100 % 2 = 0"), df.filter("query_id div 100 % 2 = 1"), "score", "other", "correct")
+    return rounded(best, "weight", "threshold", "accuracy")
 
 
 @query("""WITH e AS (SELECT l_returnflag, l_extendedprice AS t, l_quantity * 1000 AS p FROM lineitem) SELECT l_returnflag, round(avg(abs(p - t)), 4) AS mae, round(sqrt(avg((p - t) * (p - t))), 4) AS rmse, round(quantile_cont(abs(p - t), 0.5), 4) AS median_error,
