@@ -1,6 +1,7 @@
 """Phrases, best-fit packing and whitening against brute force, exact round trips and numpy."""
 
 import collections
+import os
 import re
 import zlib
 
@@ -9,7 +10,6 @@ import pytest
 from tokenizers import Tokenizer
 
 from specspark.llm import bestfit, phrases, whitening
-from specspark.llm.common import Scratch
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -259,3 +259,45 @@ def test_whitening_edges(spark):
     out = whitening.whiten(spark.createDataFrame(list(enumerate(big)), "vec_id bigint, embedding array<double>")).collect()
     deviations = brute_whitening(big, 2)[0]
     assert [x["deviation"] for x in sorted(out, key=lambda x: x["vec_id"])] == [d if d < 2**63 else None for d in deviations]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_queries_on_the_given_tables(spark):
+    """The registered queries over whole tables, against brute force, the plain tokenizer and numpy."""
+    from specspark.llm.queries import QUERIES
+
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text").collect()]
+    got = QUERIES["op11_collocations"](spark, SF)
+    assert [d for _, d in got.dtypes] == ["string", "bigint", "string", *["bigint"] * 5]
+    assert sorted(tuple(r) for r in got.collect()) == brute_phrases([(lang, text) for _, lang, text in docs])
+
+    tk, want, tokens = Tokenizer.from_file(bestfit.default_tokenizer()), set(), 0
+    for doc_id, _, text in docs:
+        ids = [*tk.encode(text or "", add_special_tokens=False).ids, 0]
+        tokens += len(ids)
+        cuts = [0, *range(len(ids) % 2048 or 2048, len(ids), 2048), len(ids)]
+        want |= {(doc_id, p, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for p, (a, b) in enumerate(zip(cuts, cuts[1:]))}
+    out = QUERIES["op12_best_fit"](spark, SF)
+    assert out.dtypes == [("doc_id", "bigint"), ("piece", "int"), ("start", "bigint"), ("length", "bigint"), ("ids_crc32", "bigint"), ("sequence_id", "bigint"), ("offset", "bigint")]
+    out = out.collect()
+    assert len(out) == len(want) and {tuple(x)[:5] for x in out} == want
+    by = collections.defaultdict(list)
+    for x in out:
+        by[x["sequence_id"]].append((x["offset"], x["length"]))
+    assert all(sorted(p)[i][0] == sum(n for _, n in sorted(p)[:i]) for p in by.values() for i in range(len(p))) and max(sum(n for _, n in p) for p in by.values()) <= 2048
+    assert len(by) <= -(-tokens // 2048) + 2
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    deviations, white, explained, n = brute_whitening([v for _, v in rows], 32)
+    out = QUERIES["op13_whitening"](spark, SF)
+    assert out.dtypes == [("vec_id", "bigint"), ("component", "int"), ("n", "bigint"), ("deviation", "bigint"), ("whitened", "double"), ("explained", "double"), ("identity_error", "double")]
+    table = {(x["vec_id"], x["component"]): x for x in out.collect()}
+    assert len(table) == 32 * n
+    for i, (vec_id, _) in enumerate(rows):
+        for k in range(32):
+            x = table[vec_id, k + 1]
+            assert (x["n"], x["deviation"]) == (n, deviations[i]) and abs(abs(x["whitened"]) - abs(white[i, k])) < 1e-9
+            assert x["explained"] == pytest.approx(explained[k], rel=1e-9) and x["identity_error"] < 1e-10
