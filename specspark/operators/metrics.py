@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from .running import before, settled
 
 
-def rank_metrics(df: DataFrame, rank: str, by: list[str] = (), ks: tuple[int, ...] = (1, 5, 20)) -> DataFrame:
-    """n, hit@k, MRR, mean, median, p90, p95 and p99 of the ranks of each group."""
+def rank_metrics(df: DataFrame, rank: str, by: list[str] = (), ks: tuple[int, ...] = (1, 5, 20), candidates: str | None = None) -> DataFrame:
+    """n, hit@k, MRR, mean, median, p90, p95 and p99 of the ranks of each group, and the mean number of ``candidates`` if that is a column."""
     r = F.col(rank)
     return df.groupBy(*by).agg(
+        *([F.avg(candidates).alias("average_candidates")] if candidates else []),
         F.count(rank).alias("n"), *[F.avg((r <= k).cast("double")).alias(f"hit_{k}") for k in ks], F.avg(1.0 / r).alias("mrr"), F.avg(r).alias("mean_rank"),
         *[F.percentile(rank, q).alias(name) for q, name in ((0.5, "median_rank"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99"))],
     )

@@ -46,6 +46,13 @@ def library_search_metrics(spark, sf):
     return rounded(mt.rank_metrics(ranks, "rank"), *RANK_COLS)
 
 
+@query(f"{RANKED}, f AS (SELECT query_id, min(r) FILTER (WHERE correct) AS rank, max(n) AS candidates FROM r GROUP BY 1) SELECT query_id // 100 % 2 AS half, round(avg(candidates), 6) AS average_candidates, {RANK_SQL} FROM f WHERE rank IS NOT NULL GROUP BY 1")
+def candidate_rank_metrics(spark, sf):
+    ranked = se.rank_candidates(scored(spark, sf), "query_id", "candidate_id", "score", "correct", 1).filter("rank is not null")
+    out = mt.rank_metrics(ranked.withColumn("half", F.expr("query_id div 100 % 2")), "rank", ["half"], candidates="n_candidates")
+    return rounded(out, "average_candidates", *RANK_COLS)
+
+
 @query(f"WITH {V}, s AS (SELECT c.vec_id, round(list_dot_product(q.e, c.e) / q.n / c.n, 6) AS score, list_dot_product(q.e, c.e) / q.n / c.n AS x FROM u q, u c WHERE q.vec_id = 7 AND c.vec_id <> 7) SELECT vec_id, score, CAST(row_number() OVER (ORDER BY x DESC, vec_id) AS INT) AS rank FROM s QUALIFY rank <= 20")
 def search_one(spark, sf):
     return rounded(se.search_one(vectors(spark, sf), "vec_id", "vector", 7, 20), "score")
