@@ -249,8 +249,7 @@ def test_running_folds_by_value_range(spark, descending):
     assert before(df.limit(0), "o", {"s": ("sum", "n")}).count() == 0
 
 
-@pytest.mark.parametrize("tile, most", [(4096, 1 << 20), (5, 1 << 20), (5, 0), (4096, 0)])
-@pytest.mark.parametrize("k, own", [(1, False), (6, True), (100, True)])
+@pytest.mark.parametrize("tile, most, k, own", [(4096, 1 << 20, 1, False), (5, 1 << 20, 6, True), (5, 0, 6, True), (5, 0, 100, True), (4096, 0, 1, False)])
 def test_top_k_over_tiles(spark, monkeypatch, tile, most, k, own):
     """Queries sent to all tasks or dealt to cells with the library, many ties, ids that repeat, vectors without a direction."""
     r = np.random.default_rng(5)
@@ -605,8 +604,7 @@ def test_row_numbers_follow_files_and_lines(spark, tmp_path):
     assert got == {k: i for i, k in enumerate(order)}
 
 
-@pytest.mark.parametrize("part", [4096, 7])
-@pytest.mark.parametrize("members, steps", [(1, 4), (2, 5), (3, 4), (4, 3)])
+@pytest.mark.parametrize("members, steps, part", [(1, 4, 4096), (2, 5, 7), (3, 4, 4096), (4, 3, 7)])
 def test_simplex_weights(spark, monkeypatch, members, steps, part):
     from specspark.operators import weights as wt
 
