@@ -505,6 +505,32 @@ def test_tanimoto_join_and_exclusion(spark, threshold):
         assert gr.sphere_exclusion(pairs.limit(0), members.filter("copies = 1"), "id").count() == 0
 
 
+@pytest.mark.parametrize("wide, most", [(512, 1 << 25), (512, 0), (3, 0)])
+def test_sets_in_tiles_or_lists_give_the_same_pairs_and_spheres(spark, monkeypatch, wide, most):
+    """Matrices sent or dealt, and lists; the matrix path writes no pairs and clusters without them."""
+    r = np.random.default_rng(4)
+    sets = {i: frozenset(r.choice(14, int(r.integers(1, 7)), replace=False).tolist()) for i in range(160)}
+    df = spark.createDataFrame([(i, b) for i, s in sets.items() for b in s], "id int, bit int")
+    monkeypatch.setattr(lj, "WIDE", wide)
+    monkeypatch.setattr(tiles, "BROADCAST_BYTES", most)
+    alike = lambda a, b: len(a & b) / len(a | b)
+    near = {i: {j for j in sets if j != i and alike(sets[i], sets[j]) >= 0.4} for i in sets}
+    free, want = set(sets), {}
+    for cluster in range(3):
+        head = min(free, key=lambda i: (-len(near[i] & free), i))
+        taken = (near[head] & free) | {head}
+        want |= {i: cluster for i in taken}
+        free -= taken
+    found = lj.first_spheres(df, "id", "bit", 0.4, 3)
+    assert found is None if wide == 3 else {x["id"]: x["cluster"] for x in found.collect()} == want
+    first = {}
+    for i, s in sets.items():
+        first.setdefault(s, i)
+    reps = sorted(first.values())
+    pairs = {(a, b) for n, a in enumerate(reps) for b in reps[n + 1 :] if b in near[a]}
+    assert {(x["a"], x["b"]) for x in lj.tanimoto_join(df, "id", "bit", 0.4)[0].collect()} == pairs
+
+
 def test_codes_find_neighbours_from_few_vectors(spark):
     r = np.random.default_rng(3)
     v = np.concatenate([r.normal(size=(900, 32)), r.normal(size=(1, 32)) + 0.05 * r.normal(size=(100, 32))])
