@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from specspark.functions import peaks as pk
 from specspark.functions import udf
 from specspark.operators import audit as au
+from specspark.operators import folds as fo
 from specspark.operators import grouping as gr
 from specspark.operators import joins as jn
 from specspark.operators import listjoin as lj
@@ -266,6 +267,41 @@ def test_top_k_over_tiles(spark, monkeypatch, tile, most, k, own):
     assert {q: sorted(x) for q, x in got.items()} == {q: [(i, *x) for i, x in enumerate(sorted(xs)[:k], 1)] for q, xs in want.items()}
 
 
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_folds_of_a_search_equal_its_pairs(spark, monkeypatch, most):
+    """Ranks, best of labels and weights without pairs: ties, a null label, a label without others, vectors without a direction."""
+    from specspark.operators import weights as wt
+
+    monkeypatch.setattr(tiles, "BROADCAST_BYTES", most)
+    r = np.random.default_rng(8)
+    rows = [(i, "xyz"[int(r.integers(3))] if i % 9 else None, r.integers(-2, 3, size=3).astype(float).tolist()) for i in range(50)] + [(60, "alone", [1.0, 2.0, 0.0]), (61, "x", [0.0] * 3)]
+    df = spark.createDataFrame(rows, "k int, l string, v array<double>").repartition(3)
+    asked = df.filter("k % 4 = 0")
+    pairs = se.score_pairs(asked, df, "k", "v", "l").withColumn("score", F.round("score", 6)).withColumn("correct", F.coalesce(F.col("query_label") == F.col("l"), F.lit(False))).persist()
+    want = {x["query"]: x["rank"] for x in se.first_hit_rank(pairs, "query", "k", "score", "correct").collect()}
+    got = fo.first_hits(asked, df, "k", "v", "l").collect()
+    assert {x["query"]: x["rank"] for x in got} == want and {x["candidates"] for x in got} == {len(rows) - 1}
+    assert {x["query"] for x in got if not x["found"]} == {x["query"] for x in pairs.groupBy("query").agg(F.max("correct").alias("c")).filter("not c").collect()}
+    by = lambda d, label, row: {tuple(x) for x in se.rank_molecules(d, "query", label, row, "score", 9).select("query", label, "rank", row, "score").collect()}
+    known = pairs.filter("score is not null")
+    assert by(fo.label_best(asked, df, "k", "v", "l").filter("score is not null"), "label", "candidate") == by(known, "l", "k")
+    b = pairs.select("query", "k", "correct", F.lit("b").alias("m"), (F.col("k") * 7 % 10 / 10).alias("s")).filter("k % 3 <> 0")
+    long = pairs.select("query", "k", "correct", F.lit("a").alias("m"), F.col("score").alias("s")).unionByName(b)
+    members = lambda q, c, s: [s, np.where(c % 3 != 0, c * 7 % 10 / 10, 0.0)]
+    assert fo.choose_weights(asked, df, "k", "v", "l", members, 2).first() == wt.choose_weights(long, "query", "k", "m", "s", "correct", ["a", "b"]).first()
+
+
+def test_columns_fused_and_normalized_at_once(spark):
+    rows = [(q, c, float((q * 7 + c * c) % 11) / 4) for q in range(3) for c in range(20)] + [(3, 0, 1.0), (4, 0, 2.0), (4, 1, 2.0)]
+    df = spark.createDataFrame(rows, "q int, c int, s double")
+    got = {(x["q"], x["c"]): x for x in se.normalize_all(df, "q", "s").collect()}
+    for mode in ("zscore", "minmax", "rank"):
+        for x in se.normalize_scores(df, "q", "s", mode).collect():
+            assert got[x["q"], x["c"]][mode] == pytest.approx(x["s"])
+    both = spark.createDataFrame([(1.0, 3.0), (2.0, None), (None, None)], "a double, b double")
+    assert [x[0] for x in both.select(se.fuse_columns([(F.col("a"), 0.75), (F.col("b"), 0.25)])).collect()] == [1.5, 2.0, None]
+
+
 def test_top_k_of_texts_and_of_nothing(spark):
     df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("c", [0.0, 1.0])], "k string, v array<float>")
     assert {(x["query"], x["k"]) for x in tiles.top_k(df, df, "k", "v", 1, most=0).collect()} == {("a", "b"), ("b", "a"), ("c", "b")}
