@@ -36,15 +36,18 @@ def inherit_candidates(children: DataFrame, lists: DataFrame, parent: str, child
 def nearest_join(left: DataFrame, right: DataFrame, on: list[str], l: str, r: str, tolerance: float, left_id: list[str], right_id: str) -> DataFrame:
     """left with the id and value of the nearest right value within the tolerance, null if none; ties by id.
 
-    Values are dealt to bins of the tolerance's width and each left row looks in three: an equi-join, no range scan.
+    Values are dealt to bins of the tolerance's width and each left row looks in three: an equi-join, no range scan. Equal right values are
+    one, that of the smallest id.
     ``left_id`` names each left row.
     """
-    bins = right.select(*on, F.floor(F.col(r) / tolerance).alias("__b"), F.col(r).alias("__v"), F.col(right_id).alias("__id"))
+    value = F.col(r)
+    known = right.filter(value.isNotNull()).groupBy(*on, value.alias("__v")).agg(F.min(right_id).alias("__id"))  # equal values are one
+    bins = known.withColumn("__b", F.floor(F.col("__v") / tolerance))
     cell = F.floor(F.col(l) / tolerance)
     keys = list(dict.fromkeys([*left_id, *on]))
     probes = left.select(*keys, F.col(l).alias("__x"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("__b"))
-    near = probes.join(bins, [*on, "__b"]).filter(F.abs(F.col("__x") - F.col("__v")) <= tolerance)
-    best = near.groupBy(*left_id).agg(F.min(F.struct(F.abs(F.col("__x") - F.col("__v")).alias("d"), F.col("__id").alias("id"), F.col("__v").alias("v"))).alias("m"))
+    near = probes.join(bins, [*on, "__b"]).withColumn("__d", F.abs(F.col("__x") - F.col("__v"))).filter(F.col("__d") <= tolerance)
+    best = near.groupBy(*left_id).agg(F.min(F.struct(F.col("__d").alias("d"), F.col("__id").alias("id"), F.col("__v").alias("v"))).alias("m"))
     return left.join(best, left_id, "left").select(*left.columns, F.col("m.id").alias(right_id), F.col("m.v").alias(r))
 
 
@@ -54,12 +57,13 @@ def ppm_match(peaks: DataFrame, masses: DataFrame, on: list[str], mz: str, mass:
     Buckets of the logarithm as wide as the window make the range an equi-join on three buckets.
     """
     width = math.log((1 + ppm * 1e-6) / (1 - ppm * 1e-6))
-    m = masses.withColumn("__b", F.floor(F.ln(mass) / width))
+    # equal masses are one, with the lowest score and how many they are
+    m = masses.groupBy(*on, mass).agg(F.min(score).alias(score), F.count(F.lit(1)).alias("__n")).withColumn("__b", F.floor(F.ln(mass) / width))
     p = peaks.withColumn("__c", F.floor(F.ln(mz) / width)).withColumn("__b", F.explode(F.array(F.col("__c") - 1, F.col("__c"), F.col("__c") + 1)))
     off = F.abs(F.col(mz) - F.col(mass)) / F.col(mass) * 1e6
     met = p.join(m, [*on, "__b"]).withColumn("ppm", off).filter(F.col("ppm") <= ppm)
     best = F.min(F.struct("ppm", score, mass)).alias("b")
-    return met.groupBy(*peak_id).agg(best, F.count(F.lit(1)).alias("matches")).select(*peak_id, "b.*", "matches")
+    return met.groupBy(*peak_id).agg(best, F.sum("__n").alias("matches")).select(*peak_id, "b.*", "matches")
 
 
 def fill_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -291,6 +291,30 @@ def test_folds_of_a_search_equal_its_pairs(spark, monkeypatch, most):
     assert fo.choose_weights(asked, df, "k", "v", "l", members, 2).first() == wt.choose_weights(long, "query", "k", "m", "s", "correct", ["a", "b"]).first()
 
 
+def test_equal_masses_meet_a_peak_once(spark):
+    """Many rows of one mass: same answers, and the join makes one row a peak and mass."""
+    peaks = spark.createDataFrame([(1, "f", 100.0), (2, "f", 200.0), (3, "g", 100.0)], "id int, f string, mz double")
+    masses = spark.createDataFrame([("f", 100.0 + i % 2 / 100, 40 - i, i) for i in range(40)], "f string, mass double, score int, k int")
+    got = jn.ppm_match(peaks, masses, ["f"], "mz", "mass", "score", 1000.0, ["id"])
+    assert [(x["id"], x["ppm"], x["score"], x["mass"], x["matches"]) for x in got.collect()] == [(1, 0.0, 2, 100.0, 40)]
+    near = jn.nearest_join(peaks, masses, ["f"], "mz", "mass", 0.5, ["id"], "k")
+    assert {(x["id"], x["k"], x["mass"]) for x in near.collect()} == {(1, 0, 100.0), (2, None, None), (3, None, None)}
+    assert "__n" in got._jdf.queryExecution().toString() and "min(k" in near._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("threshold", [0.05, 0.6])
+def test_lists_give_a_pair_once(spark, monkeypatch, threshold):
+    """Tiles of four rows, so that all goes by lists and many lists hold the same pair."""
+    monkeypatch.setattr(lj, "TILE", 4)
+    r = np.random.default_rng(2)
+    m = np.where(r.random((40, 9)) < 0.5, r.random((40, 9)), 0.0) + np.eye(40, 9)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    df = spark.createDataFrame([("x", i, b, float(m[i, b])) for i, b in zip(*(x.tolist() for x in np.nonzero(m)))], "blk string, id int, bin int, value double")
+    got = [(x["a"], x["b"]) for x in lj.cosine_join(df, "blk", "id", threshold).collect()]
+    assert sorted(got) == sorted(zip(*(x.tolist() for x in np.nonzero(np.triu(m @ m.T >= threshold, 1)))))
+    assert not hasattr(lj._List, "last_common")  # nothing is done pair by pair
+
+
 def test_columns_fused_and_normalized_at_once(spark):
     rows = [(q, c, float((q * 7 + c * c) % 11) / 4) for q in range(3) for c in range(20)] + [(3, 0, 1.0), (4, 0, 2.0), (4, 1, 2.0)]
     df = spark.createDataFrame(rows, "q int, c int, s double")
