@@ -47,6 +47,18 @@ def test_query_equals_sql(spark, con, name):
     assert sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=repr) == want
 
 
+@pytest.mark.parametrize("name", ["hit_recall_curve", "library_search_metrics", "macro_metrics", "pair_rank", "stratified_metrics"])
+def test_ranks_without_a_row_a_pair(spark, con, name, monkeypatch):
+    """Queries of first hits equal their SQL without the operator that makes every pair of query and candidate a row."""
+    from specspark.operators import tiles
+
+    def pairs(*args, **kwargs):
+        raise AssertionError("pairs as rows")
+
+    monkeypatch.setattr(tiles, "all_scores", pairs)
+    test_query_equals_sql(spark, con, name)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
 
