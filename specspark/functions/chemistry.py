@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Monoisotopic masses in Da.
@@ -19,15 +22,35 @@ ADDUCT_SHIFTS = {
 }
 
 
+#: An element and its count in a formula text.
+ELEMENT = r"([A-Z][a-z]?)(\d*)"
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` names it: Spark repeats what a lambda names for each of its elements."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def formula_counts(formula: Column) -> Column:
     """map<element, count> of a formula text; repeated elements are summed; null for a null text."""
-    parts = F.regexp_extract_all(formula, F.lit(r"([A-Z][a-z]?)(\d*)"), F.lit(0))
-    pairs = F.transform(parts, lambda p: F.struct(
-        F.regexp_extract(p, "[A-Za-z]+", 0).alias("e"),
-        F.coalesce(F.regexp_extract(p, r"\d+", 0).try_cast("int"), F.lit(1)).alias("n"),
-    ))
-    names = F.array_sort(F.array_distinct(F.transform(pairs, lambda x: x["e"])))
-    return F.map_from_entries(F.transform(names, lambda e: F.struct(e, F.aggregate(F.filter(pairs, lambda x: x["e"] == e), F.lit(0), lambda a, x: a + x["n"]))))
+    found = [F.regexp_extract_all(formula, F.lit(ELEMENT), F.lit(i)) for i in (1, 2)]
+    pairs = F.zip_with(*found, lambda e, n: F.struct(e.alias("e"), F.coalesce(n.try_cast("int"), F.lit(1)).alias("n")))
+    total = lambda p, e: F.aggregate(F.filter(p, lambda x: x["e"] == e), F.lit(0), lambda a, x: a + x["n"])
+    names = lambda p: F.sort_array(F.array_distinct(F.transform(p, lambda x: x["e"])))
+    return _once(pairs, lambda p: F.map_from_entries(F.transform(names(p), lambda e: F.struct(e, total(p, e)))))
+
+
+def counts_of(formula: str) -> Column:
+    """``formula_counts`` of one text, as a constant."""
+    sums: dict[str, int] = {}
+    for e, n in re.findall(ELEMENT, formula):
+        sums[e] = sums.get(e, 0) + int(n or 1)
+    return F.create_map(*[F.lit(x) for e in sorted(sums) for x in (e, sums[e])]).cast("map<string,int>")
+
+
+def with_counts(df: DataFrame, out: str, formula: str) -> DataFrame:
+    """``df`` with the column ``out``, ``formula_counts`` of another. It is generated, so that each row's text is read once for all later columns."""
+    return df.select("*", F.explode(F.array(formula_counts(F.col(formula)))).alias(out))
 
 
 def element(counts: Column, name: str) -> Column:
@@ -46,7 +69,7 @@ def formula_mass(counts: Column, masses: dict[str, float] = MASSES) -> Column:
 def formula_diff(a: Column, b: Column) -> Column:
     """map of a's counts minus b's, without zeros."""
     names = F.array_union(F.map_keys(a), F.map_keys(b))
-    pairs = F.transform(F.array_sort(names), lambda e: F.struct(e.alias("e"), (F.coalesce(F.try_element_at(a, e), F.lit(0)) - F.coalesce(F.try_element_at(b, e), F.lit(0))).alias("n")))
+    pairs = F.transform(F.sort_array(names), lambda e: F.struct(e.alias("e"), (F.coalesce(F.try_element_at(a, e), F.lit(0)) - F.coalesce(F.try_element_at(b, e), F.lit(0))).alias("n")))
     return F.map_from_entries(F.filter(pairs, lambda x: x["n"] != 0))
 
 

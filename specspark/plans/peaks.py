@@ -138,7 +138,7 @@ COUNTED = f"WITH {FORMULA_SQL}, c AS (SELECT p_partkey, formula, {COUNT_SQL} FRO
 
 
 def _counted(spark, sf):
-    return formulas(spark, sf).withColumn("counts", chem.formula_counts(F.col("formula")))
+    return chem.with_counts(formulas(spark, sf), "counts", "formula")
 
 
 @query(f"{COUNTED} SELECT p_partkey, {', '.join(f'n_{e}' for e in ELEMENTS)} FROM c")
@@ -151,7 +151,7 @@ MASS_SQL = " + ".join(f"n_{e} * {chem.MASSES[e]!r}" for e in ELEMENTS)
 
 @query(f"{COUNTED} SELECT p_partkey, round({MASS_SQL}, 6) AS mass, n_C - 1 AS rest_C, n_H - 4 AS rest_H FROM c")
 def formula_mass(spark, sf):
-    df = _counted(spark, sf).withColumn("rest", chem.formula_diff(F.col("counts"), chem.formula_counts(F.lit("CH4"))))
+    df = _counted(spark, sf).withColumn("rest", chem.formula_diff(F.col("counts"), chem.counts_of("CH4")))
     return df.select("p_partkey", F.round(chem.formula_mass(F.col("counts")), 6).alias("mass"), chem.element(F.col("rest"), "C").alias("rest_C"), chem.element(F.col("rest"), "H").alias("rest_H"))
 
 

@@ -89,6 +89,23 @@ def test_mzml(spark, tmp_path):
         mgf.read_spectra(spark, "x.raw")
 
 
+def test_formula_counts_are_worked_out_once(spark):
+    """However many columns are made of a row's counts, its text is read once for them, and a fixed formula is a constant."""
+    from specspark.functions import chemistry as ch
+
+    df = spark.createDataFrame([("C6H12O6",), ("CH3CH2OH",), ("",), (None,), ("NaCl2Si",)], "f string")
+    counted = ch.with_counts(df, "c", "f")
+    rest = ch.formula_diff(F.col("c"), ch.counts_of("CH4"))
+    out = counted.withColumn("rest", rest).select("f", "c", ch.formula_mass(F.col("c")).alias("m"), *[ch.element(F.col("rest"), e).alias(e) for e in "CH"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2  # elements and numbers
+    rows = {r["f"]: r for r in out.collect()}
+    assert rows["CH3CH2OH"]["c"] == {"C": 2, "H": 6, "O": 1} and (rows["CH3CH2OH"]["C"], rows["CH3CH2OH"]["H"]) == (1, 2)
+    assert rows["NaCl2Si"]["c"] == {"Cl": 2, "Na": 1, "Si": 1} and rows[""]["c"] == {} and rows[None]["c"] is None and len(rows) == 5
+    constant = df.limit(1).select(ch.counts_of("CH3CH2OH").alias("k"), ch.formula_counts(F.lit("CH3CH2OH")).alias("v")).first()
+    assert constant["k"] == constant["v"]
+
+
 def test_ms_blocks(spark, tmp_path):
     (tmp_path / "a.ms").write_text(">compound c\n>parentmass 100.5\n>note x\n>note y\n\n>ms2 20 eV\n10 1\n20 2\n\n>collision 30\n11 1\n\n>ms1\n")
     rows = tables.read_ms_blocks(spark, str(tmp_path)).orderBy("block").collect()
