@@ -276,6 +276,54 @@ def read_ms_blocks(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(parse, MS_SCHEMA)
 
 
+#: What begins a compound in a .ms file that holds several.
+COMPOUND = ">compound "
+
+
+def read_ms_compounds(spark: SparkSession, path: str) -> DataFrame:
+    """One row a peak block, as ``read_ms_blocks``, of .ms files that may hold many compounds, each begun by its >compound line.
+
+    Spark cuts the files at these lines, so that a large file is read by several tasks and a task holds few compounds at a time. Blocks are
+    numbered and metadata hold within a compound. A file that begins otherwise is an error.
+    """
+    texts = spark.read.text(path, lineSep=f"\n{COMPOUND}", pathGlobFilter="*.ms").withColumn("file", F.input_file_name())
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for f, t in zip(batch["file"], batch["value"]):
+                t = t.removeprefix(COMPOUND)
+                if t.startswith((">", "#")) or not t.partition("\n")[0].strip():
+                    raise ValueError(f"{f}: a .ms file that doesn't begin with a named >compound")
+                rows += [(f, *b) for b in ms_blocks(COMPOUND + t)]
+            yield pd.DataFrame(rows, columns=["file", "block", "header", "mz", "intensity", "meta"])
+
+    return texts.mapInPandas(parse, MS_SCHEMA)
+
+
+def write_ms_compounds(df: DataFrame, path: str, name: str) -> None:
+    """Each row as a compound called by the column ``name``, with its metadata and peaks, in one .ms file a task below the new folder ``path``.
+
+    The number of files is that of tasks, not of compounds, so that neither a store nor the driver's listing meets a file a row.
+    Names and metadata are single lines; others, names that are null or blank or begin with a mark, and "compound" as a key are errors.
+    """
+    named = F.col(name).cast("string")
+    meta = F.array_join(F.transform(F.map_entries("meta"), lambda e: F.concat(F.lit("\n>"), e["key"], F.lit(" "), F.coalesce(e["value"], F.lit("")))), "")
+    peaks = F.array_join(F.transform(F.arrays_zip("mz", "intensity"), lambda p: F.concat_ws(" ", p["mz"], p["intensity"])), "\n")
+    one_line = ~F.exists(F.flatten(F.array(F.map_keys("meta"), F.map_values("meta"))), lambda x: F.coalesce(x, F.lit("")).rlike("[\\r\\n]"))
+    fine = named.rlike("^[^>#\\s][^\\r\\n]*$") & one_line & ~F.array_contains(F.map_keys("meta"), "compound")
+    text = F.concat(F.lit(COMPOUND), named, meta, F.lit("\n\n>ms2\n"), peaks)
+    bad = F.raise_error(F.concat(F.lit("no compound for a .ms file: "), F.coalesce(named, F.lit("null")))).cast("string")
+    spark = df.sparkSession
+    df.select(F.when(F.coalesce(fine, F.lit(False)), text).otherwise(bad).alias("value")).write.text(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for file in store.listStatus(at):  # a file a task; Spark's text writer calls them .txt
+        old = file.getPath()
+        if old.getName().endswith(".txt") and not store.rename(old, spark._jvm.org.apache.hadoop.fs.Path(at, f"{old.getName()[:-4]}.ms")):
+            raise OSError(f"{old.toString()} can't be renamed")
+
+
 def write_ms(df: DataFrame, path: str, name: str | None = None) -> None:
     """A .ms file for each row below ``path``: metadata, then its peaks as an ms2 block. Files are named by the column ``name``, which must
     differ, or by number."""

@@ -124,6 +124,34 @@ def test_ms_blocks(spark, tmp_path):
         tables.ms_blocks(">ms2\n1 1\n")
 
 
+def test_ms_compounds(spark, tmp_path):
+    """Many compounds lie in few files, are cut apart wherever Spark splits a file, and come back with their own metadata."""
+    df = spark.range(500).select(F.concat(F.lit("c "), "id").alias("n"), F.create_map(F.lit("parentmass"), F.col("id").cast("string"), F.lit("note"), F.lit("a>compound b")).alias("meta"),
+                                 F.transform(F.sequence(F.lit(1), F.col("id") % 5 + 1), lambda x: x + 0.5).alias("mz"), F.transform(F.sequence(F.lit(1), F.col("id") % 5 + 1), lambda x: x * 1.0).alias("intensity"))
+    out = str(tmp_path / "out")
+    tables.write_ms_compounds(df.repartition(3), out, "n")
+    assert len([f for f in os.listdir(out) if f.endswith(".ms")]) == 3
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        read = tables.read_ms_compounds(spark, out)
+        assert read.rdd.getNumPartitions() > 10
+        got = {r["meta"]["compound"]: r for r in read.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 500 and read.count() == 500
+    for i in range(500):
+        r = got[f"c {i}"]
+        assert r["meta"] == {"compound": f"c {i}", "parentmass": str(i), "note": "a>compound b"} and r["block"] == 0
+        assert r["mz"] == [x + 1.5 for x in range(i % 5 + 1)] and r["intensity"] == [x + 1.0 for x in range(i % 5 + 1)]
+    for j, odd in enumerate((F.lit(None).cast("string"), F.lit(" "), F.lit("#x"), F.lit("a\n>compound b"))):
+        with pytest.raises(Exception, match="no compound"):
+            tables.write_ms_compounds(df.limit(1).withColumn("n", odd), str(tmp_path / f"bad{j}"), "n")
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd" / "a.ms").write_text("# made\n>compound a\n>parentmass 1\n>ms2\n1 2\n")
+    with pytest.raises(Exception, match="doesn't begin"):
+        tables.read_ms_compounds(spark, str(tmp_path / "odd")).collect()
+
+
 def test_tables_round_trips(spark, tmp_path):
     df = spectra_of(spark, [(1, [1.5, 2.5], [3.0, 4.0], 9.0)])
     back = tables.unpack_spectrum(tables.pack_spectrum(F.col("mz"), F.col("intensity")), F.size("mz"))
