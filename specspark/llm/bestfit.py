@@ -32,7 +32,9 @@ UNUSUAL = re.compile("[^\t-\r -~¡-ſ]")
 LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
 SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\\s{LETTERS}{DIGITS}]+|\\s+(?!\\S)|\\s+")
 #: Parts that stay apart when they follow each other.
-JOINABLE = re.compile(f" [{LETTERS}]+")
+JOINABLE = re.compile(f" [{LETTERS}]+| [{DIGITS}]+")
+#: Parts that stay apart with a line break before each.
+LINED = re.compile(f"[{LETTERS}]+|[{DIGITS}]+")
 
 
 def default_tokenizer() -> str:
@@ -53,6 +55,7 @@ class ByteTokenizer:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.begins = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.begins[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True  # a space, as bytes are written there
+        self.line_break = vocabulary.get("Ċ", -1)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -66,6 +69,15 @@ class ByteTokenizer:
         raw, at = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
         return [raw[a:b] for a, b in zip(at, at[1:])]
 
+    def _encode_lined(self, parts: list[str]) -> list[bytes]:
+        """Like ``_encode``, but all parts in one call, each after a line break, which is a token of its own."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(f"\n{p}" for p in parts)], add_special_tokens=False)[0].ids, dtype="<u4")
+        at = np.flatnonzero(ids == self.line_break)
+        if len(at) != len(parts):
+            return self._encode(parts)
+        raw, at = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+        return [raw[a + 4 : b] for a, b in zip(at, at[1:])]
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. Parts that aren't kept yet are encoded together."""
         split = [None if UNUSUAL.search(t) or "<|" in t else SPLIT.findall(t) for t in texts]
@@ -78,9 +90,12 @@ class ByteTokenizer:
         missing -= again
         if missing:
             words = [p for p in missing if JOINABLE.fullmatch(p)]
-            others = list(missing.difference(words))
-            kept.update(zip(words, self._encode_joined(words)))
-            kept.update(zip(others, self._encode(others)))
+            others = missing.difference(words)
+            lined = [p for p in others if LINED.fullmatch(p)]
+            others = list(others.difference(lined))
+            for some, encode in ((words, self._encode_joined), (lined, self._encode_lined), (others, self._encode)):
+                if some:
+                    kept.update(zip(some, encode(some)))
         return [self._encode([t])[0] if p is None else b"".join(map(kept.__getitem__, p)) for t, p in zip(texts, split)]
 
 

@@ -555,3 +555,17 @@ def test_warc_keeps_payloads_of_an_id_with_two_texts(spark):
     files = warc.write_archive(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
     got = {(r["url"], r["record_type"], r["refers_to"], r["payload"] and bytes(r["payload"])) for r in warc.read_archive(files).collect()}
     assert got == {("u7", "revisit", 9, None), ("u9", "response", None, b"<p>same</p>"), ("v7", "response", None, b"<p>other</p>")}
+
+
+def test_byte_ids_of_parts_encoded_together(monkeypatch):
+    """Letters and digits, with or without a space before them, are encoded in one call each, to the ids that the tokenizer gives whole texts."""
+    from specspark.llm import bestfit
+
+    words = bestfit.ByteTokenizer(bestfit.default_tokenizer())
+    texts = ["Erndly says\nShes 35 of 76ers, ²³ and 1½ Übung.\n\n12\n", "Don't 2024 I'll 3f  x", "", " Ab 9\nAb9", "\n", "7"]
+    alone = []
+    encode = words._encode
+    monkeypatch.setattr(words, "_encode", lambda parts: alone.extend(parts) or encode(parts))
+    got = words.ids(texts)
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in got] == [e.ids for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert not any(p.strip().isalnum() for p in alone)
