@@ -47,6 +47,24 @@ def test_query_equals_sql(spark, con, name):
     assert sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=repr) == want
 
 
+@pytest.mark.parametrize("name", ["hit_recall_curve", "library_search_metrics", "macro_metrics", "pair_rank", "stratified_metrics"])
+def test_products_of_first_hits_return_a_row_a_query_and_task(spark, name, monkeypatch):
+    """What later steps sort and hold in a task grows with the queries, not with the pairs."""
+    from specspark.operators import tiles
+
+    made, multiply = [], tiles.multiply
+
+    def counted(*args, **kwargs):
+        out = multiply(*args, **kwargs)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(tiles, "multiply", counted)
+    entry.queries()[name](spark, SF).collect()
+    asked = spark.read.parquet(f"{SF}/embeddings.parquet").filter("vec_id % 100 = 0").count()
+    assert made and max(made) <= asked * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 @pytest.mark.parametrize("name", ["hit_recall_curve", "library_search_metrics", "macro_metrics", "pair_rank", "stratified_metrics"])
 def test_ranks_without_a_row_a_pair(spark, con, name, monkeypatch):
     """Queries of first hits equal their SQL without the operator that makes every pair of query and candidate a row."""
