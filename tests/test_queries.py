@@ -65,6 +65,12 @@ def test_products_of_first_hits_return_a_row_a_query_and_task(spark, name, monke
     assert made and max(made) <= asked * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_pair_rank_has_one_product_in_its_plan(spark):
+    """Whether a query has a truth comes with its rank; the search for the best truth isn't run once more for it."""
+    plan = entry.queries()["pair_rank"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 @pytest.mark.parametrize("name", ["hit_recall_curve", "library_search_metrics", "macro_metrics", "pair_rank", "stratified_metrics"])
 def test_ranks_without_a_row_a_pair(spark, con, name, monkeypatch):
     """Queries of first hits equal their SQL without the operator that makes every pair of query and candidate a row."""
