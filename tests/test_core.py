@@ -3,6 +3,7 @@
 import collections
 import gzip
 import os
+import re
 
 import numpy as np
 import pytest
@@ -821,3 +822,42 @@ def test_sql_functions_equal_the_projections(spark):
     row = spark.sql("SELECT adduct_of(1), adduct_of(2), neutral_mass(100D, '[M+H]+'), neutral_mass(1D, 'x'), bin_floor(29.9D, 10D), bin_even(25D, 10D), has_neutral_loss(array(81.99D), 100D, 18.01D, 0.02D)").first()
     assert tuple(row) == ("[M+H]+", None, pytest.approx(100 - ch.ADDUCT_SHIFTS["[M+H]+"]), None, 2, 2, True)
     assert len(udf.SQL_FUNCTIONS) >= 33
+
+
+def _far_sets(spark, n=300):
+    import random
+
+    draw = random.Random(5)
+    sets = {k: sorted(draw.sample(range(90), draw.randint(1, 6)) if k % 3 else draw.sample(range(70), 2)) for k in range(n)}
+    return sets, spark.createDataFrame([(k, b) for k, s in sets.items() for b in s], "k bigint, bit int")
+
+
+def test_what_sets_shuffle_grows_with_the_rows_not_with_their_square(spark, monkeypatch):
+    """Many sets are dealt to cells of several tiles each, as words of 64 bits; pairs and spheres are those of a plain loop."""
+    from specspark.operators import listjoin as lj
+    from specspark.operators import tiles
+
+    monkeypatch.setattr(lj, "SET_TILE", 8)
+    monkeypatch.setattr(tiles, "BROADCAST_BYTES", 0)
+    sets, bits = _far_sets(spark)
+    like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.4
+    met = []
+    monkeypatch.setattr(tiles, "multiply", lambda *a, f=tiles.multiply, **b: met.append(f(*a, **b)) or met[-1])
+    pairs, members = lj.tanimoto_join(bits, "k", "bit", 0.4)
+    first = {}
+    for k, s in sets.items():
+        first.setdefault(tuple(s), k)
+    heads = sorted(first.values())
+    want = {(a, b) for a in heads for b in heads if a < b and like(sets[a], sets[b])}
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == want
+    assert {(r["k"], r["representative"]) for r in members.collect()} == {(k, first[tuple(s)]) for k, s in sets.items()}
+    copies = [int(x) + 1 for x in re.findall(r"explode\(sequence\(0, (\d+)", met[0]._jdf.queryExecution().analyzed().toString())]
+    assert len(copies) == 2 and max(copies) <= 4  # as many as shuffle partitions, not as rows / tile
+    left, want = dict(sets), {}
+    for c in range(5):
+        near = {a: [b for b in left if like(left[a], left[b])] for a in left}
+        head = min(near, key=lambda a: (-len(near[a]), first[tuple(left[a])], a))
+        want |= {k: c for k in near[head]}
+        left = {k: s for k, s in left.items() if k not in near[head]}
+    found = lj.first_spheres(bits, "k", "bit", 0.4, 5)
+    assert {r["k"]: r["cluster"] for r in found.collect()} == want
