@@ -861,3 +861,54 @@ def test_what_sets_shuffle_grows_with_the_rows_not_with_their_square(spark, monk
         left = {k: s for k, s in left.items() if k not in near[head]}
     found = lj.first_spheres(bits, "k", "bit", 0.4, 5)
     assert {r["k"]: r["cluster"] for r in found.collect()} == want
+
+
+def _blocks_of(spark, seed, n=60, wide=8):
+    """Unit vectors in two blocks, many of them equal, and their bins."""
+    draw = np.random.default_rng(seed)
+    rows = {}
+    for i in range(n):
+        v = draw.integers(0, 3, wide) * (draw.random(wide) < 0.5)
+        v[i % wide] += 1
+        rows[("x" if i % 3 else "y", 7 * i)] = v / np.linalg.norm(v)
+    return rows, spark.createDataFrame([(b, k, f, float(x)) for (b, k), v in rows.items() for f, x in enumerate(v) if x], "block string, k bigint, bin int, value double")
+
+
+@pytest.mark.parametrize("tile", [5, 1000])
+def test_blocks_of_few_bins_without_lists(spark, monkeypatch, tile):
+    """Rows of large blocks are copied once for each tile of their block, not for each of their features; pairs are those of a plain loop."""
+    monkeypatch.setattr(lj, "BLOCK_TILE", tile)
+    monkeypatch.setattr(lj, "TILE", 4)
+    monkeypatch.setattr(lj, "list_join", lambda *a: pytest.fail("lists"))
+    rows, bins = _blocks_of(spark, 3)
+    for threshold in (1e-12, 0.5):
+        want = {(b, i, j): x for (b, i), v in rows.items() for (c, j), w in rows.items() if b == c and i < j and (x := min(1.0, v @ w)) >= threshold}
+        got = [(r["block"], r["a"], r["b"], r["similarity"]) for r in lj.cosine_join(bins, "block", "k", threshold).collect()]
+        assert len(got) == len(want) and all(want[b, i, j] == pytest.approx(s) for b, i, j, s in got)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_linkage_from_vectors_writes_no_pairs(spark, monkeypatch, seed):
+    """A block is linked from its vectors; larger blocks still go by their pairs. Both equal merging the best pair, one by one."""
+    rows, bins = _blocks_of(spark, seed)
+    want = set()
+    for block in ("x", "y"):
+        parts = [[k] for b, k in rows if b == block]
+        alike = lambda p, q: min(round(min(1.0, rows[block, i] @ rows[block, j]), 12) for i in p for j in q)  # noqa: B023, E731
+        while True:
+            s, a, b = min((-alike(p, q), *sorted((min(p), min(q)))) for p in parts for q in parts if p is not q)
+            if -s < 0.6:
+                break
+            p, q = (next(x for x in parts if min(x) == y) for y in (a, b))
+            parts = [x for x in parts if x is not p and x is not q] + [p + q]
+        want |= {(block, i, min(p)) for p in parts if len(p) > 1 for i in p}
+    exact = bins.withColumn("value", F.round("value", 15))
+    for most in (8192, 30, 1):
+        monkeypatch.setattr(lj, "LINK_ROWS", most)
+        if most == 8192:
+            monkeypatch.setattr(gr, "complete_link", lambda *a: pytest.fail("pairs"))
+        else:
+            monkeypatch.undo()
+            monkeypatch.setattr(lj, "LINK_ROWS", most)
+        got = gr.complete_link_of_bins(exact, "block", "k", 0.6)
+        assert {(r["block"], r["id"], r["cluster"]) for r in got.collect()} == want
