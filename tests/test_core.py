@@ -912,3 +912,20 @@ def test_linkage_from_vectors_writes_no_pairs(spark, monkeypatch, seed):
             monkeypatch.setattr(lj, "LINK_ROWS", most)
         got = gr.complete_link_of_bins(exact, "block", "k", 0.6)
         assert {(r["block"], r["id"], r["cluster"]) for r in got.collect()} == want
+
+
+def test_normalized_equals_rows(spark, monkeypatch):
+    """Packed scores against rows: ties, a zero vector, a null one and a query of its own only."""
+    from specspark.operators import tiles
+
+    draw = np.random.default_rng(2)
+    rows = [(10 * k, [float(x) for x in draw.integers(-1, 2, 4)] if k % 9 else [0.0] * 4) for k in range(70)]
+    df = spark.createDataFrame([*rows, (-5, None)], "k bigint, v array<double>")
+    plain = tiles.all_scores(df.filter("k % 30 = 0").withColumn("l", F.lit(0)), df.withColumn("l", F.lit(0)), "k", "v", "l")
+    want = {(x["query"], x["k"]): x for x in se.normalize_all(plain.withColumn("score", F.round("score", 6)), "query", "score").collect()}
+    monkeypatch.setattr(tiles, "LIBRARY_CHUNK", 7)
+    got = fo.normalized(df.filter("k % 30 = 0"), df, "k", "v").collect()
+    assert len(got) == len(want)
+    for x in got:
+        for c in ("zscore", "minmax", "rank"):
+            assert x[c] == pytest.approx(want[x["query"], x["candidate"]][c], abs=1e-9)

@@ -104,3 +104,15 @@ def test_core_without_the_corpus_part(tmp_path, left):
     assert got.returncode == 0, got.stderr
     core = lambda names: [n for n in sorted(names) if not n.startswith("op") and n != "pipeline"]
     assert got.stdout.split() == core(entry.queries()) + core(entry.oracle_sql())
+
+
+def test_normalized_scores_are_shuffled_packed(spark, con, monkeypatch):
+    """Ranks of all scores of a query without a row a pair before them: a row a query and chunk of the library is shuffled."""
+    from specspark.operators import tiles
+
+    made, multiply = [], tiles.multiply
+    monkeypatch.setattr(tiles, "multiply", lambda *a, **b: made.append(multiply(*a, **b)) or made[-1])
+    test_query_equals_sql(spark, con, "normalize_scores")
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert made[0].count() <= vectors.filter("vec_id % 100 = 0").count() * (vectors.count() // tiles.LIBRARY_CHUNK + parts)
