@@ -929,3 +929,20 @@ def test_normalized_equals_rows(spark, monkeypatch):
     for x in got:
         for c in ("zscore", "minmax", "rank"):
             assert x[c] == pytest.approx(want[x["query"], x["candidate"]][c], abs=1e-9)
+
+
+def test_exact_percentiles_without_a_map_of_values(spark):
+    """Percentiles of groups, one null, one without values, and of the whole; no aggregate holds all distinct values of a group."""
+    draw = np.random.default_rng(4)
+    data = {g: [round(float(x), 2) for x in draw.exponential(9, n)] for g, n in (("a", 101), (None, 38), ("b", 1), ("c", 2))}
+    df = spark.createDataFrame([*[(g, x) for g, v in data.items() for x in v], ("d", None), ("a", None)], "g string, x double")
+    out = mt.distribution(df, "x", ["g"])
+    assert "percentile(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["g"]: r for r in out.collect()}
+    assert len(got) == 5 and got["d"]["median"] is None and got["d"]["min"] is None
+    for g, v in [*data.items(), ("all", sum(data.values(), []))]:
+        r = got[g] if g != "all" else mt.distribution(df, "x").first()
+        assert [r["min"], r["p05"], r["median"], r["mean"], r["p95"], r["max"]] == pytest.approx([min(v), *np.percentile(v, [5, 50]), np.mean(v), np.percentile(v, 95), max(v)])
+    errors = mt.regression_metrics(df.withColumn("p", F.col("x") * 2), "x", "p", 5.0, ["g"])
+    assert "percentile(" not in errors._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["g"]: r["median_error"] for r in errors.collect() if r["g"] != "d"} == pytest.approx({g: np.median(v) for g, v in data.items()})
