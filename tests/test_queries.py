@@ -116,3 +116,24 @@ def test_normalized_scores_are_shuffled_packed(spark, con, monkeypatch):
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert made[0].count() <= vectors.filter("vec_id % 100 = 0").count() * (vectors.count() // tiles.LIBRARY_CHUNK + parts)
+
+
+def test_scores_are_rounded_as_the_sql_does(spark, tmp_path):
+    """Best scores that lie between two of fewer digits: as doubles some are less than a half."""
+    import duckdb
+
+    halves = [0.5005, 0.5015, 0.5025, 0.5125, 0.2505, 0.145, 0.285, 0.0005]
+    rows = []
+    for i, x in enumerate(halves):  # each query has two axes of its own
+        q, c = [0.0] * 16, [0.0] * 16
+        q[2 * i], c[2 * i], c[2 * i + 1] = 1.0, x, math.sqrt(1 - x * x)
+        rows += [(100 * i, q, i % 2), (100 * i + 1, c, 0)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("fdr_frontier", "fdr_working_point", "fdr_envelope", "top1_ties", "roc_curve"):
+        df = entry.queries()[name](spark, str(tmp_path))
+        cur = db.execute(entry.oracle_sql()[name])
+        names = [d[0] for d in cur.description]
+        want = sorted((tuple(norm(r[names.index(c)]) for c in df.columns) for r in cur.fetchall()), key=repr)
+        assert sorted((tuple(norm(r[c]) for c in df.columns) for r in df.collect()), key=repr) == want, name
