@@ -137,3 +137,15 @@ def test_scores_are_rounded_as_the_sql_does(spark, tmp_path):
         names = [d[0] for d in cur.description]
         want = sorted((tuple(norm(r[names.index(c)]) for c in df.columns) for r in cur.fetchall()), key=repr)
         assert sorted((tuple(norm(r[c]) for c in df.columns) for r in df.collect()), key=repr) == want, name
+
+
+def test_hit_recall_curve_asks_for_every_vector(spark, monkeypatch):
+    """No vector is left out of the queries, in the code or in the SQL."""
+    from specspark.operators import tiles
+
+    asked, multiply = [], tiles.multiply
+    monkeypatch.setattr(tiles, "multiply", lambda q, *a, **b: asked.append(q.count()) or multiply(q, *a, **b))
+    entry.queries()["hit_recall_curve"](spark, SF).collect()
+    every = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    assert asked == [every, every]
+    assert "% 100" not in entry.oracle_sql()["hit_recall_curve"]
